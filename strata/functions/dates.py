@@ -39,7 +39,7 @@ def parse_ts(col, formats: Sequence[str] = DEFAULT_TS_FORMATS, ntz: bool = False
 
 def parse_date(col, fmt: str = "yyyyMMdd") -> Column:
     """Fixed-width date text (e.g. mainframe ``OPEN_DT``); bad dates give NULL."""
-    return F.try_to_date(F.trim(_c(col).cast("string")), F.lit(fmt))
+    return F.try_to_date(F.trim(_c(col).cast("string")), fmt)
 
 
 def to_day(col) -> Column:

@@ -69,7 +69,7 @@ def conform_transactions(typed: DataFrame, cfg: TransactionConfig = TransactionC
     df = _ordered(typed)
     if dedupe:
         df = keep_latest(df, ["order_id"], _order())
-    extra = [c for c in ("_rescued_data", "_source_file", "_ingested_at") if c in df.columns]
+    extra = [c for c in ("_rescued_data", "_source_file", "_ingested_at") if c in typed.columns]
     return df.select(
         sha_key("order_id", "cust_id", null_token=cfg.null_token).alias("sk_transaction"),
         F.col("order_id"),
