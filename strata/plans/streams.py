@@ -1,4 +1,76 @@
-"""Streaming queries registered with the driver (filled in below)."""
+"""Streaming queries registered with the driver.
 
-STREAM_QUERIES: dict = {}
-STREAM_SQL: dict = {}
+Both stage their input from the driver tables into the shared checkpoint
+folder (``spark.checkpoint.dir``), run Structured Streaming with
+``availableNow`` and return a batch read of what the stream wrote.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strata.plans.catalog import LINE_KEY, line_order, table
+from strata.plans.oracle import SQL as _SQL
+from strata.session import scratch_path
+from strata.streaming.bronze import BronzeConfig, bronze_stream
+from strata.streaming.silver import latest_snapshot, silver_stream
+
+EVENT_COLUMNS = ("event_id", "ts", "user_id", "event_type", "value", "props")
+TS_TEXT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
+def stage_event_csv(spark: SparkSession, sf: str, path: str, files: int = 4) -> None:
+    """Events as legacy CSV text; one value in 101 is the text ``n/a``."""
+    ev = table(spark, sf, "events")
+    ev.select(
+        F.col("event_id").cast("string").alias("event_id"),
+        F.date_format("ts", TS_TEXT).alias("ts"),
+        F.col("user_id").cast("string").alias("user_id"),
+        "event_type",
+        F.when(F.col("event_id") % 101 == 0, F.lit("n/a")).otherwise(F.col("value").cast("string")).alias("value"),
+        "props",
+    ).repartition(files).write.option("header", "true").csv(path)
+
+
+def q_bronze_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """ST1 / ST2 / ST4 / SRC1 / SRC8 / SRC9 / SRC10: CSV files -> bronze
+    Parquet partitioned by ingest date, run twice on one checkpoint (the
+    second run must add nothing)."""
+    src, out, ckpt = (scratch_path(spark, n) for n in ("events-csv", "bronze-events", "ckpt-bronze"))
+    stage_event_csv(spark, sf, src)
+    cfg = BronzeConfig(source_path=src, target_path=out, checkpoint=ckpt, fmt="csv",
+                       columns=EVENT_COLUMNS,
+                       expected={"event_id": "bigint", "ts": f"timestamp:{TS_TEXT}", "user_id": "bigint",
+                                 "event_type": "string", "value": "double", "props": "string"})
+    bronze_stream(spark, cfg)
+    bronze_stream(spark, cfg)          # restart: every file is already in the source log
+    b = spark.read.parquet(out)
+    return b.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id",
+                    "event_type", "value", "props", "_rescued_data")
+
+
+def q_silver_stream(spark: SparkSession, sf: str, files: int = 4) -> DataFrame:
+    """ST3: line items arrive as several Parquet files, one micro-batch
+    each; the keep-latest snapshot after the last batch must equal the
+    batch keep-latest over all rows (``keep_latest_lineitem``)."""
+    src, snap, ckpt = (scratch_path(spark, n) for n in ("lineitem-in", "silver-snap", "ckpt-silver"))
+    li = table(spark, sf, "lineitem")
+    li.repartition(files).write.parquet(src)
+    stream = spark.readStream.schema(li.schema).option("maxFilesPerTrigger", "1").parquet(src)
+    silver_stream(stream, snap, ckpt, LINE_KEY, line_order())
+    return latest_snapshot(spark, snap)
+
+
+STREAM_QUERIES = {
+    "bronze_stream": q_bronze_stream,
+    "silver_stream": q_silver_stream,
+}
+
+STREAM_SQL = {
+    "bronze_stream": """SELECT event_id, ts, user_id, event_type,
+       CASE WHEN event_id % 101 = 0 THEN NULL ELSE value END AS value, props,
+       CASE WHEN event_id % 101 = 0 THEN '{"value":"n/a"}' END AS _rescued_data
+FROM events""",
+    "silver_stream": _SQL["keep_latest_lineitem"],
+}

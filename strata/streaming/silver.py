@@ -5,8 +5,9 @@ overwritten while it is read, so each micro-batch (``foreachBatch``)
 folds its rows into the previous snapshot and writes the next
 *versioned* snapshot directory, named by batch id.  A retried batch
 rewrites the same version from the same inputs, so retries (lost
-executors, restarts) are idempotent; readers take the highest version
-that carries a ``_SUCCESS`` marker.
+executors, restarts) are idempotent.  After a version is written its id
+is appended to a small commit log (``committed/``); readers take the
+highest committed version, so a half-written version is never read.
 
 Cost per batch is O(snapshot + batch): the snapshot holds one row per
 key, already de-duplicated, so the window sees at most two rows per key
@@ -19,11 +20,16 @@ from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from strata.operators.dedupe import keep_latest
 
 
+def commit_log(root: str) -> str:
+    return f"{root.rstrip('/')}/committed"
+
+
 def version_path(root: str, batch_id: int) -> str:
     return f"{root.rstrip('/')}/v={batch_id:012d}"
 
@@ -55,6 +61,8 @@ def silver_stream(bronze: DataFrame, snapshot_root: str, checkpoint: str,
         union = rows if prev is None else prev.unionByName(rows.select(*prev.columns))
         latest = keep_latest(union, keys, order)
         latest.write.mode("overwrite").parquet(version_path(snapshot_root, batch_id))
+        spark.range(1).select(F.lit(batch_id).cast("bigint").alias("version")) \
+            .write.mode("append").parquet(commit_log(snapshot_root))
 
     q = (bronze.writeStream.foreachBatch(fold)
          .option("checkpointLocation", checkpoint)
@@ -65,12 +73,11 @@ def silver_stream(bronze: DataFrame, snapshot_root: str, checkpoint: str,
 
 
 def latest_snapshot(spark: SparkSession, snapshot_root: str) -> DataFrame:
-    """The newest complete snapshot version."""
-    versions = spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS") \
-        .option("recursiveFileLookup", "true").load(snapshot_root).select("path")
-    # the version folder names are ordered; take the greatest with a marker
-    from pyspark.sql import functions as F
-    top = versions.select(F.max(F.regexp_extract("path", r"v=(\d+)", 1)).alias("v")).first()["v"]
-    if not top:
-        raise FileNotFoundError(f"no snapshot under {snapshot_root}")
+    """The newest committed snapshot version."""
+    try:
+        top = spark.read.parquet(commit_log(snapshot_root)).agg(F.max("version")).first()[0]
+    except AnalysisException:
+        top = None
+    if top is None:
+        raise FileNotFoundError(f"no committed snapshot under {snapshot_root}")
     return spark.read.parquet(version_path(snapshot_root, int(top)))
