@@ -7,6 +7,7 @@ would never fall through to the next pattern.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -30,16 +31,51 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+_LETTER_RUN = re.compile(r"([A-Za-z])\1*|'[^']*'|.", re.S)
+
+
+def shape_regex(pattern: str) -> str:
+    """A loose regex every text the pattern can parse also matches.
+
+    A failed ``try_to_timestamp`` attempt is costly (the parser raises and
+    catches internally), so each pattern is only tried on text of its
+    shape.  The regex is deliberately permissive -- it may admit text the
+    parser then rejects, never the reverse -- so results are unchanged.
+    """
+    out = []
+    for m in _LETTER_RUN.finditer(pattern):
+        tok = m.group(0)
+        ch = tok[0]
+        if tok.startswith("'"):
+            out.append(re.escape(tok[1:-1]) if len(tok) > 2 else "'")
+        elif ch.isalpha():
+            if ch in "MLE" and len(tok) >= 3:
+                out.append(r"\p{L}+\.?")           # month / weekday names
+            elif ch in "aB":
+                out.append(r"\p{L}+")
+            elif ch in "VzOXxZ":
+                out.append(r"\S+")
+            elif ch in "yuY":
+                out.append(r"[+-]?\d+")
+            else:
+                out.append(r"\d+")
+        else:
+            out.append(re.escape(tok))
+    return "^" + "".join(out) + "$"
+
+
 def parse_ts(col, formats: Sequence[str] = DEFAULT_TS_FORMATS, ntz: bool = False) -> Column:
     """First pattern that parses wins; no match gives NULL, never an error."""
     c = F.trim(_c(col).cast("string"))
-    out = F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats])
+    out = F.coalesce(*[F.when(c.rlike(shape_regex(f)), F.try_to_timestamp(c, F.lit(f)))
+                       for f in formats])
     return out.cast("timestamp_ntz") if ntz else out
 
 
 def parse_date(col, fmt: str = "yyyyMMdd") -> Column:
     """Fixed-width date text (e.g. mainframe ``OPEN_DT``); bad dates give NULL."""
-    return F.try_to_date(F.trim(_c(col).cast("string")), fmt)
+    c = F.trim(_c(col).cast("string"))
+    return F.when(c.rlike(shape_regex(fmt)), F.try_to_date(c, fmt))
 
 
 def to_day(col) -> Column:

@@ -67,18 +67,28 @@ def rescue_columns(df: DataFrame, expected: Mapping[str, DataType | str],
     Columns not in ``expected`` pass through unchanged.  If a corrupt-record
     column is present (CSV ``columnNameOfCorruptRecord``) it wins: the whole
     raw line is the rescue value, and the column is dropped.
+
+    Plan shape: typed values are computed once in their own projection and
+    the misfit test reads them back (Catalyst does not collapse a projection
+    that would repeat a costly expression); the JSON is ``to_json`` of a
+    struct whose NULL fields are omitted, so no higher-order function
+    leaves whole-stage codegen.
     """
-    conv = {n: converter(t)(F.col(n)) for n, t in expected.items() if n in df.columns}
-    misfit = []
-    for n, typed in conv.items():
-        misfit += [F.lit(n), F.when(F.col(n).isNotNull() & typed.isNull(), F.col(n).cast("string"))]
-    m = F.map_filter(F.create_map(*misfit), lambda k, v: v.isNotNull()) if misfit else None
-    new = F.when(F.size(m) > 0, F.to_json(m)) if m is not None else F.lit(None).cast("string")
+    names = [n for n in expected if n in df.columns]
+    tmp = {n: f"__typed_{i}" for i, n in enumerate(names)}
+    staged = df.withColumns({tmp[n]: converter(expected[n])(F.col(n)) for n in names})
+    if names:
+        mis = F.struct(*[F.when(F.col(n).isNotNull() & F.col(tmp[n]).isNull(),
+                                F.col(n).cast("string")).alias(n) for n in names])
+        js = F.to_json(mis)
+        new = F.when(js != F.lit("{}"), js)
+    else:
+        new = F.lit(None).cast("string")
     if corrupt and corrupt in df.columns:
         new = F.coalesce(F.col(corrupt), new)
     if rescued in df.columns:
         new = _merge(F.col(rescued), new)
-    out = df.withColumns({**conv, rescued: new})
+    out = staged.withColumns({**{n: F.col(tmp[n]) for n in names}, rescued: new}).drop(*tmp.values())
     if corrupt and corrupt in df.columns:
         out = out.drop(corrupt)
     return out
