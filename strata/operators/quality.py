@@ -79,6 +79,7 @@ def _named(cells: list[Column]) -> list[Column]:
 @dataclass
 class TestSuite:
     """Declarative tests of one model (the dbt-style YAML block as data)."""
+    __test__ = False          # not a pytest class
     model: str
     not_null: list[str] = field(default_factory=list)
     unique: list[str] = field(default_factory=list)
