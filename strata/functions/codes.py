@@ -35,3 +35,9 @@ def map_codes(col, mapping: Mapping[str, str], default: str | None = None,
         return out.otherwise(F.lit(default))
     m = F.create_map(*[F.lit(x) for kv in items for x in kv])
     return F.coalesce(F.try_element_at(m, c), F.lit(default))
+
+
+def codes_for(mapping: Mapping[str, str], value: str) -> list[str]:
+    """The codes that map to ``value`` -- lets a filter on the mapped column
+    be written on the raw code, where Parquet can push it down."""
+    return [k for k, v in mapping.items() if v == value]

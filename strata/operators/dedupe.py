@@ -50,11 +50,16 @@ def keep_latest(df: DataFrame, keys: Sequence[str], order: Sequence,
               .drop(rank_col))
 
 
+def tag_latest(df: DataFrame, keys: Sequence[str], order: Sequence,
+               rank_col: str = "_rn") -> DataFrame:
+    """Every row with its rank among the rows of its key (1 = kept).  Use
+    this when both the kept and the superseded rows are needed: filters on
+    the one tagged frame share a single window shuffle."""
+    w = Window.partitionBy(*keys).orderBy(*latest_order(order, _payload(df, keys)))
+    return df.withColumn(rank_col, F.row_number().over(w))
+
+
 def superseded(df: DataFrame, keys: Sequence[str], order: Sequence,
                rank_col: str = "_rn") -> DataFrame:
     """The rows ``keep_latest`` drops (for reconciliation)."""
-    payload = _payload(df, keys)
-    w = Window.partitionBy(*keys).orderBy(*latest_order(order, payload))
-    return (df.withColumn(rank_col, F.row_number().over(w))
-              .where(F.col(rank_col) > 1)
-              .drop(rank_col))
+    return tag_latest(df, keys, order, rank_col).where(F.col(rank_col) > 1).drop(rank_col)

@@ -39,11 +39,17 @@ def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "left",
 
 def lookup_category(items: DataFrame, dim: DataFrame, key: str = "item_id",
                     category: str = "category", default: str = "Unknown",
-                    max_broadcast_rows: int | None = BROADCAST_ROWS) -> DataFrame:
+                    max_broadcast_rows: int | None = BROADCAST_ROWS,
+                    dedupe_dim: bool = False) -> DataFrame:
     """Item -> category with a fallback for items the dimension lacks (J2).
-    The dimension is reduced to distinct (key, category) so a duplicated
-    dimension row cannot multiply facts."""
-    d = dim.select(key, category).dropDuplicates([key])
+
+    The dimension key is its primary key (checked by a ``unique`` test), so
+    by default the dimension is joined as is: de-duplicating it would cost
+    a full shuffle of the dimension on every run.  ``dedupe_dim`` keeps one
+    row per key for dimensions that are known to repeat rows."""
+    d = dim.select(key, category)
+    if dedupe_dim:
+        d = d.dropDuplicates([key])
     out = join_dimension(items, d, key, "left", max_broadcast_rows)
     return out.withColumn(category, F.coalesce(F.col(category), F.lit(default)))
 
@@ -76,21 +82,23 @@ def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str
 
 
 def build_star(fact: DataFrame, dims: Mapping[str, tuple[DataFrame, str, str]],
-               max_broadcast_rows: int | None = BROADCAST_ROWS) -> tuple[DataFrame, dict]:
+               dedupe_dims: bool = False) -> tuple[DataFrame, dict]:
     """Kimball star (J5).  ``dims`` maps a dimension name to
     ``(dimension rows, natural key in the dimension, natural key in the fact)``.
 
     Each dimension gets ``sk_<name> = md5(trim(natural key))``, a stable key
     that needs no sequence and no global sort; the fact's natural key is
     replaced by that surrogate, computed from the fact itself, so the fact
-    needs no join at all to receive it.  Returns (fact, {name: dimension}).
+    needs no join at all to receive it.  Natural keys are primary keys
+    (``unique`` test); ``dedupe_dims`` drops repeated dimension rows at the
+    cost of a shuffle.  Returns (fact, {name: dimension}).
     """
     out_dims = {}
     f = fact
     for name, (dim, dim_key, fact_key) in dims.items():
         sk = f"sk_{name}"
-        out_dims[name] = (dim.dropDuplicates([dim_key])
-                          .withColumn(sk, md5_key(F.col(dim_key))))
+        d = dim.dropDuplicates([dim_key]) if dedupe_dims else dim
+        out_dims[name] = d.withColumn(sk, md5_key(F.col(dim_key)))
         f = f.withColumn(sk, F.when(F.col(fact_key).isNotNull(), md5_key(F.col(fact_key))))
         f = f.drop(fact_key)
     return f, out_dims

@@ -18,16 +18,24 @@ from pyspark.sql import functions as F
 RESULT_COLUMNS = ("model", "column_name", "test", "failures")
 
 
+def reject_reasons(required: Sequence[str], rules: Mapping[str, Column] | None = None) -> Column:
+    """``;``-joined reasons a row is rejected ('' when it is valid): a NULL
+    required column, or a named rule that is not TRUE."""
+    reasons = [F.when(F.col(c).isNull(), F.lit(f"missing:{c}")) for c in required]
+    for name, pred in (rules or {}).items():
+        reasons.append(F.when(~F.coalesce(pred, F.lit(False)), F.lit(name)))
+    if not reasons:
+        return F.lit("")
+    return F.array_join(F.array_compact(F.array(*reasons)), ";")
+
+
 def split_valid(df: DataFrame, required: Sequence[str],
                 rules: Mapping[str, Column] | None = None,
                 reason_col: str = "_reject_reason") -> tuple[DataFrame, DataFrame]:
     """(valid, quarantine).  A row is quarantined when a required column is
     NULL or a named rule is not TRUE; ``reason_col`` lists every reason,
     ``;``-separated.  Both outputs come from one reasons expression."""
-    reasons = [F.when(F.col(c).isNull(), F.lit(f"missing:{c}")) for c in required]
-    for name, pred in (rules or {}).items():
-        reasons.append(F.when(~F.coalesce(pred, F.lit(False)), F.lit(name)))
-    tagged = df.withColumn(reason_col, F.array_join(F.array_compact(F.array(*reasons)), ";"))
+    tagged = df.withColumn(reason_col, reject_reasons(required, rules))
     valid = tagged.where(F.col(reason_col) == F.lit("")).drop(reason_col)
     quarantine = tagged.where(F.col(reason_col) != F.lit(""))
     return valid, quarantine
@@ -130,21 +138,27 @@ def describe_model(df: DataFrame, docs: Mapping[str, str]) -> DataFrame:
     return out
 
 
+LAYER = "_layer"
+
+
 def reconcile(layers: Mapping[str, DataFrame], key: str = "_source_file",
-              source: str = "rows_in") -> DataFrame:
+              source: str = "rows_in", outcomes: Sequence[str] | None = None) -> DataFrame:
     """DQ7: lineage as data.  ``layers`` maps an outcome name (e.g.
     ``rows_in``, ``kept``, ``superseded``, ``quarantined``) to the frame
-    holding those rows; all carry ``key``.  One union and ONE aggregate
-    (no join between layers): per key the count of every outcome, the
-    unexplained difference and a ``balanced`` flag."""
-    names = list(layers)
+    holding those rows; all carry ``key``.  A frame that has a ``_layer``
+    column is labelled per row by it instead (one processed frame can then
+    carry several outcomes, computed in a single pass).  One union and ONE
+    aggregate (no join between layers): per key the count of every
+    outcome, the unexplained difference and a ``balanced`` flag."""
+    names = [n for n in layers if LAYER not in layers[n].columns]
     if source not in names:
-        raise ValueError(f"reconcile: {source!r} must be one of the layers")
+        raise ValueError(f"reconcile: {source!r} must be a plain layer")
+    outs = list(outcomes) if outcomes is not None else [n for n in names if n != source]
     u = None
     for n, d in layers.items():
-        part = d.select(F.col(key).alias(key), F.lit(n).alias("_layer"))
+        label = F.col(LAYER) if LAYER in d.columns else F.lit(n)
+        part = d.select(F.col(key).alias(key), label.alias(LAYER))
         u = part if u is None else u.unionByName(part)
-    agg = u.groupBy(key).agg(*[F.count_if(F.col("_layer") == F.lit(n)).alias(n) for n in names])
-    outs = [n for n in names if n != source]
+    agg = u.groupBy(key).agg(*[F.count_if(F.col(LAYER) == F.lit(n)).alias(n) for n in [source, *outs]])
     diff = F.col(source) - sum((F.col(n) for n in outs), F.lit(0))
     return agg.withColumn("unexplained", diff).withColumn("balanced", diff == 0)

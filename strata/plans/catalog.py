@@ -16,17 +16,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
-from strata.functions.codes import map_codes
+from strata.functions.codes import codes_for, map_codes
 from strata.functions.dates import DEFAULT_TS_FORMATS, parse_date, parse_ts
 from strata.functions.items import items_total, parse_items
 from strata.functions.keys import md5_key, sha_key
 from strata.functions.text import extract_block
-from strata.operators.dedupe import keep_latest, superseded
+from strata.operators.dedupe import keep_latest, tag_latest
 from strata.operators.gold import (active_users, daily_revenue, daily_revenue_by_category,
                                    monthly_recurring_revenue)
 from strata.operators.items import explode_items
 from strata.operators.joins import build_star, join_dimension, lookup_category, orphans
-from strata.operators.quality import TestSuite, reconcile, run_tests, split_valid
+from strata.operators.quality import (LAYER, TestSuite, reconcile, reject_reasons, run_tests,
+                                      split_valid)
 from strata.plans.banking import (conform_customers, gold_customer_value,
                                   gold_customer_value_by_status)
 from strata.plans.ecommerce import conform_transactions, typed_transactions
@@ -56,17 +57,24 @@ def render_date(ts: Column, idx: Column, bad: str = "invalid_date_here") -> Colu
     return out
 
 
-def completed_transactions(orders: DataFrame) -> DataFrame:
+# Our order status code map for the silver-shaped orders.
+ORDER_STATUS = {"F": "COMPLETED", "O": "PENDING", "P": "CANCELLED"}
+
+
+def completed_transactions(orders: DataFrame, status: str | None = None) -> DataFrame:
     """Silver-shaped transactions from ``orders``: F/O/P -> COMPLETED /
-    PENDING / CANCELLED, tax rate 0.00..0.09 from the key."""
+    PENDING / CANCELLED, tax rate 0.00..0.09 from the key.  ``status``
+    keeps only that status, filtered on the raw code so the predicate
+    reaches the Parquet scan."""
+    if status is not None:
+        orders = orders.where(F.col("o_orderstatus").isin(codes_for(ORDER_STATUS, status)))
     return orders.select(
         F.col("o_orderkey").alias("order_id"),
         F.col("o_custkey").alias("customer_id"),
         F.col("o_orderdate").alias("transaction_timestamp"),
         F.col("o_totalprice").cast(D18_2).alias("gross_amount"),
         ((_k("o_orderkey", 10)) * F.lit(0.01).cast(DecimalType(2, 2))).cast(DecimalType(5, 4)).alias("tax_rate"),
-        map_codes("o_orderstatus", {"F": "COMPLETED", "O": "PENDING", "P": "CANCELLED"},
-                  "UNKNOWN").alias("order_status"),
+        map_codes("o_orderstatus", ORDER_STATUS, "UNKNOWN").alias("order_status"),
     )
 
 
@@ -196,12 +204,12 @@ def fenced_text(conversations: DataFrame) -> DataFrame:
 
 def q_daily_revenue(spark, sf):
     """G1 + W2 (flagship): completed orders per day, 7-row rolling average."""
-    return daily_revenue(completed_transactions(table(spark, sf, "orders")), window="rows")
+    return daily_revenue(completed_transactions(table(spark, sf, "orders"), "COMPLETED"), window="rows")
 
 
 def q_daily_revenue_calendar(spark, sf):
     """G1 + W3: the same with a 7-calendar-day frame."""
-    return daily_revenue(completed_transactions(table(spark, sf, "orders")), window="days")
+    return daily_revenue(completed_transactions(table(spark, sf, "orders"), "COMPLETED"), window="days")
 
 
 def category_items(spark, sf) -> DataFrame:
@@ -451,11 +459,17 @@ def q_reconcile_layers(spark, sf):
     superseded + quarantined."""
     bronze = table(spark, sf, "lineitem").withColumn(
         "_source_file", F.concat(F.lit("part-"), (F.col("l_orderkey") / 5000).cast("bigint").cast("string")))
-    kept = keep_latest(bronze, LINE_KEY, line_order())
-    sup = superseded(bronze, LINE_KEY, line_order())
-    valid, quarantine = split_valid(kept, [], {"quantity_below_50": F.col("l_quantity") < 50})
-    return reconcile({"rows_in": bronze, "kept": valid, "superseded": sup,
-                      "quarantined": quarantine})
+    # One window over the processed rows labels every row with its outcome;
+    # rows_in is counted independently from a key-only scan of the input.
+    tagged = tag_latest(bronze, LINE_KEY, line_order())
+    reason = reject_reasons([], {"quantity_below_50": F.col("l_quantity") < 50})
+    labelled = tagged.select(
+        "_source_file",
+        F.when(F.col("_rn") > 1, F.lit("superseded"))
+         .when(reason != F.lit(""), F.lit("quarantined"))
+         .otherwise(F.lit("kept")).alias(LAYER))
+    return reconcile({"rows_in": bronze, "outcomes": labelled},
+                     outcomes=["kept", "superseded", "quarantined"])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
