@@ -30,7 +30,8 @@ from strata.operators.quality import (LAYER, TestSuite, reconcile, reject_reason
                                       split_valid)
 from strata.plans.banking import (conform_customers, gold_customer_value,
                                   gold_customer_value_by_status)
-from strata.plans.ecommerce import conform_transactions, typed_transactions
+from strata.plans.ecommerce import (conform_transactions, gold_revenue_by_category,
+                                    gold_revenue_daily, silver_transactions, typed_transactions)
 from strata.sources.rescue import rescue_json
 
 D18_2 = DecimalType(18, 2)
@@ -292,6 +293,32 @@ def q_conform_orders(spark, sf):
                              F.col("transaction_timestamp").cast("timestamp_ntz"))
 
 
+def transactions_silver(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """(valid, quarantine) silver of the legacy text derived from orders."""
+    return silver_transactions(raw_transactions(table(spark, sf, "orders")))
+
+
+def q_transactions_gold_daily(spark, sf):
+    """Whole e-commerce flow on driver data: legacy text -> typed (rescue)
+    -> keep-latest -> quarantine split -> G1 (unparseable dates are
+    quarantined, lower-case statuses count as COMPLETED)."""
+    valid, _ = transactions_silver(spark, sf)
+    return gold_revenue_daily(valid)
+
+
+def q_transactions_gold_by_category(spark, sf):
+    """The same silver -> G2: line items parsed from the text, category from
+    ``part.p_type`` (missing -> Unknown), per-category rolling average."""
+    valid, _ = transactions_silver(spark, sf)
+    dim = table(spark, sf, "part").select(F.col("p_partkey").cast("int").alias("item_id"),
+                                          F.col("p_type").alias("category"))
+    g = gold_revenue_by_category(valid, dim)
+    return g.select("transaction_date", "category", "order_count",
+                    F.col("daily_gross_revenue").cast(DecimalType(38, 2)).alias("daily_gross_revenue"),
+                    F.col("daily_tax_collected").cast(DecimalType(38, 6)).alias("daily_tax_collected"),
+                    "rolling_7d_avg_orders")
+
+
 def q_code_map(spark, sf):
     """PR5: order status and priority codes to words, unmapped -> default."""
     o = table(spark, sf, "orders")
@@ -481,6 +508,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parse_dates": q_parse_dates,
     "char_dates": q_char_dates,
     "conform_orders": q_conform_orders,
+    "transactions_gold_daily": q_transactions_gold_daily,
+    "transactions_gold_by_category": q_transactions_gold_by_category,
     "code_map": q_code_map,
     "surrogate_keys": q_surrogate_keys,
     "items_roundtrip": q_items_roundtrip,

@@ -223,7 +223,7 @@ SQL["char_dates"] = """WITH r AS (
   FROM orders)
 SELECT o_orderkey, open_dt, CAST(try_strptime(trim(open_dt), '%Y%m%d') AS DATE) AS open_date FROM r"""
 
-SQL["conform_orders"] = f"""WITH {RAW_TX},
+CONFORMED = f"""{RAW_TX},
 n AS (
   SELECT order_id, {_null_tok('cust_id')} AS cust_id, txn_dt, {_null_tok('item_details')} AS item_details,
          gross_amt, tax_rate, {_null_tok('status')} AS status, {_null_tok('p_method')} AS p_method
@@ -235,7 +235,8 @@ typed AS (
   FROM n),
 dedup AS (
   SELECT * FROM typed
-  QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY ts DESC NULLS LAST) = 1)
+  QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY ts DESC NULLS LAST) = 1),
+silver AS (
 SELECT sha256(concat_ws('||', order_id, cust_id)) AS sk_transaction,
        order_id, cust_id AS customer_id, ts AS transaction_timestamp,
        item_details AS raw_item_details,
@@ -253,7 +254,52 @@ SELECT sha256(concat_ws('||', order_id, cust_id)) AS sk_transaction,
                    {{'k': 'tax_rate', 'v': CASE WHEN tax_rate IS NOT NULL AND rate IS NULL THEN tax_rate END}}
                  ], lambda x: x.v IS NOT NULL))) AS VARCHAR)
        END AS _rescued_data
-FROM dedup"""
+FROM dedup),
+valid AS (SELECT * FROM silver WHERE order_id IS NOT NULL AND transaction_timestamp IS NOT NULL)"""
+
+SQL["conform_orders"] = f"""WITH {CONFORMED}
+SELECT * FROM silver"""
+
+SQL["transactions_gold_daily"] = f"""WITH {CONFORMED},
+daily AS (
+  SELECT CAST(transaction_timestamp AS DATE) AS transaction_date,
+         CAST(count(DISTINCT order_id) AS BIGINT) AS order_count,
+         CAST(sum(gross_amount) AS DECIMAL(28,2)) AS daily_gross_revenue,
+         CAST(sum(gross_amount * tax_rate) AS DECIMAL(34,6)) AS daily_tax_collected
+  FROM valid WHERE order_status = 'COMPLETED' GROUP BY 1)
+SELECT *, avg(order_count) OVER (ORDER BY transaction_date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)
+            AS rolling_7d_avg_orders
+FROM daily"""
+
+SQL["transactions_gold_by_category"] = f"""WITH {CONFORMED},
+it AS (
+  SELECT order_id, CAST(transaction_timestamp AS DATE) AS transaction_date, tax_rate,
+    CASE WHEN regexp_matches(trim(raw_item_details), '^\\[(.*)\\]$')
+          AND trim(regexp_extract(trim(raw_item_details), '^\\[(.*)\\]$', 1)) <> ''
+         THEN string_split(regexp_extract(trim(raw_item_details), '^\\[(.*)\\]$', 1), '|') END AS parts
+  FROM valid WHERE order_status = 'COMPLETED'),
+ex AS (
+  SELECT order_id, transaction_date, tax_rate, CAST(NULL AS INTEGER) AS item_id,
+         CAST(NULL AS INTEGER) AS quantity, CAST(NULL AS DECIMAL(18,2)) AS unit_price
+  FROM it WHERE parts IS NULL
+  UNION ALL
+  SELECT order_id, transaction_date, tax_rate,
+         TRY_CAST(trim(string_split(parts[i], ':')[1]) AS INTEGER),
+         TRY_CAST(trim(string_split(parts[i], ':')[2]) AS INTEGER),
+         TRY_CAST(trim(string_split(parts[i], ':')[3]) AS DECIMAL(18,2))
+  FROM (SELECT *, unnest(generate_series(1, len(parts))) AS i FROM it WHERE parts IS NOT NULL)),
+cat AS (
+  SELECT ex.*, COALESCE(p.p_type, 'Unknown') AS category,
+         COALESCE(CAST(quantity AS DECIMAL(10,0)) * unit_price, CAST(0 AS DECIMAL(18,2))) AS line_revenue
+  FROM ex LEFT JOIN part p ON ex.item_id = CAST(p.p_partkey AS INTEGER)),
+daily AS (
+  SELECT transaction_date, category, CAST(count(DISTINCT order_id) AS BIGINT) AS order_count,
+         CAST(sum(line_revenue) AS DECIMAL(38,2)) AS daily_gross_revenue,
+         CAST(sum(line_revenue * tax_rate) AS DECIMAL(38,6)) AS daily_tax_collected
+  FROM cat WHERE transaction_date IS NOT NULL GROUP BY 1, 2)
+SELECT *, avg(order_count) OVER (PARTITION BY category ORDER BY transaction_date
+                                 ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS rolling_7d_avg_orders
+FROM daily"""
 
 SQL["code_map"] = """WITH c AS (
   SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN 'X' ELSE o_orderstatus END AS status_code,
