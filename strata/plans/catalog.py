@@ -32,13 +32,18 @@ from strata.plans.banking import (conform_customers, gold_customer_value,
                                   gold_customer_value_by_status)
 from strata.plans.ecommerce import (conform_transactions, gold_revenue_by_category,
                                     gold_revenue_daily, silver_transactions, typed_transactions)
+from strata.sources.files import spread_input
 from strata.sources.rescue import rescue_json
 
 D18_2 = DecimalType(18, 2)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A driver table.  ``spread`` is for queries whose per-row work is
+    heavy (parsing, hashing, regexes): a scan with fewer partitions than
+    task slots is round-robined first (never the case on a large input)."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread_input(df) if spread else df
 
 
 def _k(col: str, m: int) -> Column:
@@ -268,7 +273,7 @@ def q_keep_latest_event_per_user(spark, sf):
 
 def q_parse_dates(spark, sf):
     """SC6 / PR3: seven renderings of the order date parsed back."""
-    o = table(spark, sf, "orders")
+    o = table(spark, sf, "orders", spread=True)
     raw = o.select("o_orderkey", render_date(F.col("o_orderdate"), _k("o_orderkey", 7)).alias("raw_date"))
     return raw.select("o_orderkey", "raw_date",
                       parse_ts("raw_date", DEFAULT_TS_FORMATS, ntz=True).alias("parsed_ts"))
@@ -288,14 +293,14 @@ def q_char_dates(spark, sf):
 def q_conform_orders(spark, sf):
     """PR1-PR6, PR13, PR14, SC1, SC9, SRC7: the e-commerce silver conform
     (with keep-latest) over legacy text derived from every order."""
-    silver = conform_transactions(typed_transactions(raw_transactions(table(spark, sf, "orders"))))
+    silver = conform_transactions(typed_transactions(raw_transactions(table(spark, sf, "orders", spread=True))))
     return silver.withColumn("transaction_timestamp",
                              F.col("transaction_timestamp").cast("timestamp_ntz"))
 
 
 def transactions_silver(spark, sf) -> tuple[DataFrame, DataFrame]:
     """(valid, quarantine) silver of the legacy text derived from orders."""
-    return silver_transactions(raw_transactions(table(spark, sf, "orders")))
+    return silver_transactions(raw_transactions(table(spark, sf, "orders", spread=True)))
 
 
 def q_transactions_gold_daily(spark, sf):
@@ -348,7 +353,7 @@ def q_surrogate_keys(spark, sf):
 
 
 def parsed_line_items(spark, sf) -> DataFrame:
-    return raw_line_items(table(spark, sf, "lineitem")).withColumn("items", parse_items("item_details"))
+    return raw_line_items(table(spark, sf, "lineitem", spread=True)).withColumn("items", parse_items("item_details"))
 
 
 def q_items_roundtrip(spark, sf):
@@ -385,7 +390,7 @@ def q_customer_value(spark, sf):
 
 def q_rescue_json(spark, sf):
     """SRC7 / ST4: JSON with drift and broken records; nothing fails."""
-    return rescue_json(raw_event_json(table(spark, sf, "events")), {"k": "int"})
+    return rescue_json(raw_event_json(table(spark, sf, "events", spread=True)), {"k": "int"})
 
 
 def faulty_orders(spark, sf) -> DataFrame:
@@ -474,7 +479,7 @@ def q_recurring_revenue(spark, sf):
 
 def q_extract_blocks(spark, sf):
     """TX1 / TX2: first fenced block by language, with the fallbacks."""
-    t = fenced_text(table(spark, sf, "conversations"))
+    t = fenced_text(table(spark, sf, "conversations", spread=True))
     return t.select("conv_id", "turn",
                     extract_block("reply", "sql").alias("sql_block"),
                     extract_block("reply", "yaml").alias("yaml_block"),

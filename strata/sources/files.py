@@ -134,3 +134,16 @@ def read_table(spark: SparkSession, name_or_path: str, fmt: str = "parquet") ->
     if "/" in name_or_path:
         return spark.read.format(fmt).load(name_or_path)
     return spark.read.table(name_or_path)
+
+
+def spread_input(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin a scan that yields fewer partitions than the cluster runs
+    tasks at once (a few large unsplittable files, or one Parquet row group),
+    so CPU-heavy row work (parsing, hashing, regexes) is not done by one
+    task.  A large input already has far more partitions than cores, and
+    then this returns ``df`` unchanged (no shuffle)."""
+    spark = df.sparkSession
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)
