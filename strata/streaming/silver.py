@@ -9,9 +9,14 @@ executors, restarts) are idempotent.  After a version is written its id
 is appended to a small commit log (``committed/``); readers take the
 highest committed version, so a half-written version is never read.
 
-Cost per batch is O(snapshot + batch): the snapshot holds one row per
-key, already de-duplicated, so the window sees at most two rows per key
-from it.
+Per batch only the keys the batch touches are re-ranked: the previous
+snapshot is split by a null-safe semi / anti join against the batch's
+distinct keys (broadcast after a row-count check, so the snapshot itself
+is filtered map-side and never shuffled), and keep-latest runs over the
+touched snapshot rows plus the batch.  Shuffle and sort cost is
+O(batch); the new version is still written in full (plain files have no
+in-place update).  A batch touching more keys than the broadcast bound
+falls back to one keep-latest over snapshot + batch.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from strata.operators.dedupe import keep_latest
+from strata.operators.joins import BROADCAST_ROWS, fits_broadcast
 
 
 def commit_log(root: str) -> str:
@@ -41,6 +47,25 @@ def read_version(spark: SparkSession, root: str, batch_id: int) -> DataFrame | N
         return None
 
 
+def merge_latest(prev: DataFrame, rows: DataFrame, keys: Sequence[str], order: Sequence,
+                 max_broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Fold new ``rows`` into a keep-latest snapshot ``prev`` (one row per
+    key): untouched keys pass through, touched keys are re-ranked."""
+    if not fits_broadcast(rows, max_broadcast_rows):
+        # a batch this large may touch too many keys to filter the snapshot
+        # map-side: one shuffle of snapshot + batch beats two shuffle joins
+        return keep_latest(prev.unionByName(rows), keys, order)
+    # at most max_broadcast_rows rows -> at most that many distinct keys
+    touched = F.broadcast(rows.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).distinct())
+    cond = None
+    for i, k in enumerate(keys):
+        c = prev[k].eqNullSafe(touched[f"_k{i}"])
+        cond = c if cond is None else cond & c
+    keep = prev.join(touched, cond, "left_anti")
+    redo = prev.join(touched, cond, "left_semi")
+    return keep.unionByName(keep_latest(redo.unionByName(rows), keys, order))
+
+
 def silver_stream(bronze: DataFrame, snapshot_root: str, checkpoint: str,
                   keys: Sequence[str], order: Sequence,
                   conform: Callable[[DataFrame], DataFrame] | None = None,
@@ -58,8 +83,11 @@ def silver_stream(bronze: DataFrame, snapshot_root: str, checkpoint: str,
                 prev = read_version(spark, snapshot_root, b)
                 if prev is not None:
                     break
-        union = rows if prev is None else prev.unionByName(rows.select(*prev.columns))
-        latest = keep_latest(union, keys, order)
+        if prev is None:
+            latest = keep_latest(rows, keys, order)
+        else:
+            rows = rows.select(*prev.columns)
+            latest = merge_latest(prev, rows, keys, order)
         latest.write.mode("overwrite").parquet(version_path(snapshot_root, batch_id))
         spark.range(1).select(F.lit(batch_id).cast("bigint").alias("version")) \
             .write.mode("append").parquet(commit_log(snapshot_root))

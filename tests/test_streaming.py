@@ -52,3 +52,16 @@ def test_sinks_roundtrip(spark, tmp_dir):
     assert g.count() == 2
     v = materialize_gold(df, "gold_view", view_only=True)
     assert spark.table("gold_view").count() == v.count() == 2
+
+
+def test_merge_latest_both_paths(spark):
+    from strata.operators.dedupe import keep_latest
+    from strata.streaming.silver import merge_latest
+    prev = spark.createDataFrame([(1, 10, "a"), (2, 20, "b"), (None, 5, "n")], "k int, ts int, v string")
+    rows = spark.createDataFrame([(2, 25, "b2"), (3, 1, "c"), (None, 6, "n2"), (1, 9, "old")],
+                                 "k int, ts int, v string")
+    want = sorted(map(tuple, keep_latest(prev.unionByName(rows), ["k"], ["ts"]).collect()), key=repr)
+    for bound in (100, 1):          # broadcast path, then the fallback
+        got = sorted(map(tuple, merge_latest(prev, rows, ["k"], ["ts"], max_broadcast_rows=bound).collect()),
+                     key=repr)
+        assert got == want
