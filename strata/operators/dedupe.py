@@ -50,13 +50,29 @@ def keep_latest(df: DataFrame, keys: Sequence[str], order: Sequence,
               .drop(rank_col))
 
 
+ROW_ID = "_row_id"
+
+
 def tag_latest(df: DataFrame, keys: Sequence[str], order: Sequence,
                rank_col: str = "_rn") -> DataFrame:
-    """Every row with its rank among the rows of its key (1 = kept).  Use
-    this when both the kept and the superseded rows are needed: filters on
-    the one tagged frame share a single window shuffle."""
-    w = Window.partitionBy(*keys).orderBy(*latest_order(order, _payload(df, keys)))
-    return df.withColumn(rank_col, F.row_number().over(w))
+    """Every row, with ``rank_col`` = 1 for the row ``keep_latest`` keeps and
+    2 for every row it drops.
+
+    No window over a whole key group: a key holding a third of all rows
+    would be sorted by one task.  Instead each row gets an id right at the
+    scan (``monotonically_increasing_id``: partition id + position, stable
+    when a lost task re-reads its split), the winner per key is found with
+    the skew-safe ``keep_latest`` (the id is the last tie-break, so exact
+    duplicates still have one winner), and rows are tagged by a join on the
+    id, which is spread evenly whatever the key distribution."""
+    ided = df.withColumn(ROW_ID, F.monotonically_increasing_id())
+    payload = _payload(df, keys)
+    w = Window.partitionBy(*keys).orderBy(*latest_order(order, payload), F.col(ROW_ID).desc())
+    winners = (ided.withColumn("_w", F.row_number().over(w)).where(F.col("_w") == 1)
+                   .select(F.col(ROW_ID).alias("_win_id")))
+    tagged = ided.join(winners, ided[ROW_ID] == winners["_win_id"], "left")
+    return (tagged.withColumn(rank_col, F.when(F.col("_win_id").isNotNull(), F.lit(1)).otherwise(F.lit(2)))
+                  .drop("_win_id", ROW_ID))
 
 
 def superseded(df: DataFrame, keys: Sequence[str], order: Sequence,
