@@ -30,6 +30,7 @@ from strata.operators.quality import (LAYER, TestSuite, reconcile, reject_reason
                                       split_valid)
 from strata.plans.banking import (conform_customers, gold_customer_value,
                                   gold_customer_value_by_status)
+from strata.plans.sql_models import CUSTOMER_VALUE_SQL, DAILY_REVENUE_SQL, run_model_sql
 from strata.plans.ecommerce import (conform_transactions, gold_revenue_by_category,
                                     gold_revenue_daily, silver_transactions, typed_transactions)
 from strata.sources.files import spread_input
@@ -324,6 +325,17 @@ def q_transactions_gold_by_category(spark, sf):
                     "rolling_7d_avg_orders")
 
 
+def q_daily_revenue_sql(spark, sf):
+    """G1 as a SQL model over the silver view (must equal ``daily_revenue``)."""
+    silver = completed_transactions(table(spark, sf, "orders"))
+    return run_model_sql(spark, DAILY_REVENUE_SQL, {"silver": silver})
+
+
+def q_customer_value_by_status_sql(spark, sf):
+    """G4 as a SQL model (must equal ``customer_value_by_status``)."""
+    return run_model_sql(spark, CUSTOMER_VALUE_SQL, {"silver": customer_silver(spark, sf)})
+
+
 def q_code_map(spark, sf):
     """PR5: order status and priority codes to words, unmapped -> default."""
     o = table(spark, sf, "orders")
@@ -513,6 +525,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parse_dates": q_parse_dates,
     "char_dates": q_char_dates,
     "conform_orders": q_conform_orders,
+    "daily_revenue_sql": q_daily_revenue_sql,
+    "customer_value_by_status_sql": q_customer_value_by_status_sql,
     "transactions_gold_daily": q_transactions_gold_daily,
     "transactions_gold_by_category": q_transactions_gold_by_category,
     "code_map": q_code_map,

@@ -475,3 +475,7 @@ c AS (
 SELECT *, rows_in - kept - superseded - quarantined AS unexplained,
        rows_in - kept - superseded - quarantined = 0 AS balanced
 FROM c"""
+
+# The SQL-model queries compute the same results as their DataFrame twins.
+SQL["daily_revenue_sql"] = SQL["daily_revenue"]
+SQL["customer_value_by_status_sql"] = SQL["customer_value_by_status"]
