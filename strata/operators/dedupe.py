@@ -54,18 +54,28 @@ ROW_ID = "_row_id"
 
 
 def tag_latest(df: DataFrame, keys: Sequence[str], order: Sequence,
-               rank_col: str = "_rn") -> DataFrame:
+               rank_col: str = "_rn", stable_input: bool = False) -> DataFrame:
     """Every row, with ``rank_col`` = 1 for the row ``keep_latest`` keeps and
     2 for every row it drops.
 
     No window over a whole key group: a key holding a third of all rows
-    would be sorted by one task.  Instead each row gets an id right at the
-    scan (``monotonically_increasing_id``: partition id + position, stable
-    when a lost task re-reads its split), the winner per key is found with
-    the skew-safe ``keep_latest`` (the id is the last tie-break, so exact
-    duplicates still have one winner), and rows are tagged by a join on the
-    id, which is spread evenly whatever the key distribution."""
+    would be sorted by one task.  Instead each row gets an id
+    (``monotonically_increasing_id``) and the id-tagged rows are written
+    once to the shared checkpoint folder, so every reader sees the same id
+    per row whatever the upstream (a shuffle output may be re-read in
+    another order).  The winner per key is found with the skew-safe
+    ``keep_latest`` (the id is the last tie-break, so exact copies still
+    have one winner), and rows are tagged by a join on the id, which is
+    spread evenly whatever the key distribution.
+
+    ``stable_input=True`` skips the write when the caller knows every
+    evaluation of ``df`` yields the same rows in the same partitions in the
+    same order -- true for a file scan followed by row-wise projections
+    (splits and row order are fixed by the files), not after a shuffle."""
     ided = df.withColumn(ROW_ID, F.monotonically_increasing_id())
+    if not stable_input:
+        from strata.session import materialize
+        ided = materialize(ided, "tag-latest")
     payload = _payload(df, keys)
     w = Window.partitionBy(*keys).orderBy(*latest_order(order, payload), F.col(ROW_ID).desc())
     winners = (ided.withColumn("_w", F.row_number().over(w)).where(F.col("_w") == 1)
@@ -75,7 +85,11 @@ def tag_latest(df: DataFrame, keys: Sequence[str], order: Sequence,
                   .drop("_win_id", ROW_ID))
 
 
-def superseded(df: DataFrame, keys: Sequence[str], order: Sequence,
-               rank_col: str = "_rn") -> DataFrame:
-    """The rows ``keep_latest`` drops (for reconciliation)."""
-    return tag_latest(df, keys, order, rank_col).where(F.col(rank_col) > 1).drop(rank_col)
+def superseded(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
+    """The rows ``keep_latest`` drops: the input minus the kept rows as a
+    multiset (``EXCEPT ALL``).  That is a group-by over whole rows with
+    map-side combining, so neither a hot key nor a hot group of exact
+    copies is gathered by one task, and the result does not depend on
+    which of several exact copies was kept.  (Map-typed columns cannot be
+    grouped; use :func:`tag_latest` for such frames.)"""
+    return df.exceptAll(keep_latest(df, keys, order))

@@ -503,9 +503,10 @@ def q_reconcile_layers(spark, sf):
     superseded + quarantined."""
     bronze = table(spark, sf, "lineitem").withColumn(
         "_source_file", F.concat(F.lit("part-"), (F.col("l_orderkey") / 5000).cast("bigint").cast("string")))
-    # One window over the processed rows labels every row with its outcome;
-    # rows_in is counted independently from a key-only scan of the input.
-    tagged = tag_latest(bronze, LINE_KEY, line_order())
+    # One keep-latest pass labels every row with its outcome (bronze is a
+    # plain file scan, so its row ids are stable without a write); rows_in
+    # is counted independently from a key-only scan of the input.
+    tagged = tag_latest(bronze, LINE_KEY, line_order(), stable_input=True)
     reason = reject_reasons([], {"quantity_below_50": F.col("l_quantity") < 50})
     labelled = tagged.select(
         "_source_file",

@@ -102,3 +102,16 @@ def test_active_users_and_mrr(spark):
     m = [(str(r.month), r.recurring_customers, r.recurring_revenue)
          for r in monthly_recurring_revenue(tx).collect()]
     assert m == [("2024-02-01", 1, 20)]
+
+
+def test_tag_latest_and_superseded(spark):
+    from strata.operators.dedupe import superseded, tag_latest
+    rows = [("k", 1, "a"), ("k", 1, "a"), ("k", 2, "b"), ("j", None, "c"), ("j", None, "c")]
+    df = spark.createDataFrame(rows, "key string, ts int, v string")
+    for stable in (True, False):
+        t = tag_latest(df.repartition(3), ["key"], ["ts"], stable_input=stable).collect()
+        kept = sorted((r.key, r.ts, r.v) for r in t if r._rn == 1)
+        assert kept == [("j", None, "c"), ("k", 2, "b")]
+        assert sum(1 for r in t if r._rn == 2) == 3
+    sup = sorted(map(tuple, superseded(df, ["key"], ["ts"]).collect()), key=repr)
+    assert sup == sorted([("k", 1, "a"), ("k", 1, "a"), ("j", None, "c")], key=repr)
