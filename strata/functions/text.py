@@ -55,3 +55,9 @@ def extract_block(col, language: str = "python") -> Column:
     return (F.when(c.rlike(lang), strip_text(F.regexp_extract(c, lang, 1)))
             .when(c.rlike(anyb), strip_text(F.regexp_extract(c, anyb, 1)))
             .otherwise(strip_text(c)))
+
+
+def extract_pair(col, first: str = "sql", second: str = "yaml") -> Column:
+    """TX2: ``struct(sql, yaml)`` from one reply.  Without a ``yaml`` fence
+    (e.g. a ``yml`` tag) the fallback returns the first block, i.e. the SQL."""
+    return F.struct(extract_block(col, first).alias(first), extract_block(col, second).alias(second))

@@ -81,3 +81,12 @@ def customer_value_suite() -> TestSuite:
             "is_dormant_risk": "Flag indicating whether a dormant account holds high value "
                                "and requires remediation.",
         })
+
+
+def stream_bronze_customers(spark, source_path: str, target_path: str, checkpoint: str):
+    """ST1 for the mainframe dump: Parquet with the declared record layout,
+    ``_rescued_data`` always present, partitioned by ingest date."""
+    from strata.streaming.bronze import BronzeConfig, bronze_stream
+    cfg = BronzeConfig(source_path=source_path, target_path=target_path, checkpoint=checkpoint,
+                       fmt="parquet", schema=CUST_MAST_SCHEMA)
+    return bronze_stream(spark, cfg)

@@ -138,3 +138,31 @@ def gold_daily_suite() -> TestSuite:
             "daily_gross_revenue": "Total gross amount of completed orders before taxes.",
             "rolling_7d_avg_orders": "7-day rolling average of completed orders.",
         })
+
+
+def stream_bronze_transactions(spark, source_path: str, target_path: str, checkpoint: str):
+    """ST1 for the transaction CSV files: all-string columns, rescue,
+    ingest metadata, partitioned by ingest date."""
+    from strata.streaming.bronze import BronzeConfig, bronze_stream
+    cfg = BronzeConfig(source_path=source_path, target_path=target_path, checkpoint=checkpoint,
+                       fmt="csv", columns=RAW_COLUMNS)
+    return bronze_stream(spark, cfg)
+
+
+def stream_silver_transactions(spark, bronze_path: str, snapshot_root: str, checkpoint: str,
+                               cfg: TransactionConfig = TransactionConfig(),
+                               max_files_per_trigger: int | None = None):
+    """ST3 for transactions: bronze Parquet -> conform each micro-batch ->
+    keep-latest snapshot versions (read with ``latest_snapshot``)."""
+    from strata.streaming.silver import silver_stream
+    bronze = spark.read.parquet(bronze_path)
+    r = spark.readStream.schema(bronze.schema)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    stream = r.parquet(bronze_path)
+
+    def conform(batch: DataFrame) -> DataFrame:
+        return conform_transactions(typed_transactions(batch, cfg), cfg, dedupe=False)
+
+    order = [F.col("transaction_timestamp").desc_nulls_last(), F.col("_ingested_at").desc_nulls_last()]
+    return silver_stream(stream, snapshot_root, checkpoint, ["order_id"], order, conform=conform)

@@ -70,3 +70,19 @@ def test_value_per_customer(spark):
     assert res[("customer_id", "unique")] == 0
     assert res[("customer_tier", "accepted_values")] == 0
     assert all(v == 0 for v in res.values())
+
+
+def test_mainframe_parquet_bronze_stream(spark, tmp_dir):
+    import os
+
+    from strata.plans.banking import stream_bronze_customers
+    src = os.path.join(tmp_dir, "dump")
+    spark.createDataFrame(RAW, CUST_MAST_SCHEMA).coalesce(1).write.parquet(src)
+    out, ckpt = os.path.join(tmp_dir, "bronze"), os.path.join(tmp_dir, "ckpt")
+    stream_bronze_customers(spark, src, out, ckpt)
+    stream_bronze_customers(spark, src, out, ckpt)          # restart adds nothing
+    bronze = spark.read.parquet(out)
+    assert bronze.count() == len(RAW)
+    assert {"_rescued_data", "_ingested_at", "_source_file", "_ingest_date"} <= set(bronze.columns)
+    g = {r.customer_id: r.customer_tier for r in gold_customer_value(conform_customers(bronze)).collect()}
+    assert g["C1"] == "Tier 2 (Gold)" and g["C5"] == "Tier 1 (Platinum)"

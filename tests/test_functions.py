@@ -90,3 +90,9 @@ FENCE_2 = "```sql\nselect 2\n```\n```yml\nb: 2\n```"
 def test_extract_block(spark, text, sql, yaml):
     assert one(spark, extract_block("x", "sql"), text) == sql
     assert one(spark, extract_block("x", "yaml"), text) == yaml
+
+
+def test_extract_pair(spark):
+    from strata.functions.text import extract_pair
+    r = one(spark, extract_pair("x"), FENCE_2)
+    assert (r.sql, r.yaml) == ("select 2", "select 2")

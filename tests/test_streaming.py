@@ -65,3 +65,16 @@ def test_merge_latest_both_paths(spark):
         got = sorted(map(tuple, merge_latest(prev, rows, ["k"], ["ts"], max_broadcast_rows=bound).collect()),
                      key=repr)
         assert got == want
+
+
+def test_transaction_stream_helpers(spark, tmp_dir):
+    from strata.plans.ecommerce import stream_bronze_transactions, stream_silver_transactions
+    src = os.path.join(tmp_dir, "raw")
+    write_csv(src)
+    bronze_path = os.path.join(tmp_dir, "bronze")
+    stream_bronze_transactions(spark, src, bronze_path, os.path.join(tmp_dir, "cb"))
+    snap = os.path.join(tmp_dir, "silver")
+    stream_silver_transactions(spark, bronze_path, snap, os.path.join(tmp_dir, "cs"))
+    got = latest_snapshot(spark, snap)
+    assert got.count() == 8
+    assert got.where("order_id = 'O-9983'").first().order_status == "COMPLETED"
