@@ -115,7 +115,10 @@ def rescue_json(df: DataFrame, expected: Mapping[str, DataType | str], value: st
         return chain.otherwise(bad) if chain is not None else bad
 
     mis = F.map_filter(m, misfit)
+    # a repeated key: lookups see only one value; keep the whole record instead
+    repeated = F.size(F.map_keys(m)) > F.size(F.array_distinct(F.map_keys(m)))
     res = (F.when(m.isNull() & F.col(value).isNotNull(), F.col(value))
+            .when(repeated, F.col(value))
             .when(F.size(mis) > 0, F.to_json(mis)))
     cols = [c for c in df.columns if keep_value or c != value]
     return df.select(*cols, *[typed[n].alias(n) for n in names], res.alias(rescued))

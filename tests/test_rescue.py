@@ -88,3 +88,9 @@ def test_declare_or_infer_schema(spark, tmp_dir):
         f.write("k,ts,v,extra\nA,2026/08/01,1,z\n")
     s2 = declare_or_infer_schema(spark, "csv", src, stored)
     assert s2 == s1                                    # remembered, not re-inferred
+
+
+def test_rescue_json_repeated_key_keeps_record(spark):
+    df = spark.createDataFrame([(1, '{"k":1,"k":2}')], "id int, value string")
+    r = rescue_json(df, {"k": "int"}).first()
+    assert r._rescued_data == '{"k":1,"k":2}'
