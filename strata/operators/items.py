@@ -31,6 +31,7 @@ def item_reconciliation(df: DataFrame, amount_col: str = "gross_amount",
         src = src.withColumn(items_col, parse_items(raw_col))
     tot = items_total(F.col(items_col))
     return (src.withColumn("items_total", tot)
-               .withColumn("item_count", F.coalesce(F.size(F.col(items_col)), F.lit(0)))
+               .withColumn("item_count", F.when(F.col(items_col).isNull(), F.lit(0))
+                                         .otherwise(F.size(F.col(items_col))))
                .withColumn("amount_matches", F.coalesce(F.col(amount_col) == F.col("items_total"),
                                                          F.lit(False))))

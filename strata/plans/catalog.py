@@ -382,7 +382,7 @@ def q_item_totals(spark, sf):
         "l_orderkey", "l_linenumber",
         F.col("header_amount").try_cast(D18_2).alias("header_amount"),
         items_total(F.col("items")).alias("items_total"),
-        F.coalesce(F.size("items"), F.lit(0)).alias("item_count"),
+        F.when(F.col("items").isNull(), F.lit(0)).otherwise(F.size("items")).alias("item_count"),
     ).withColumn("amount_matches", F.coalesce(F.col("header_amount") == F.col("items_total"), F.lit(False)))
 
 
