@@ -107,3 +107,30 @@ def test_parse_ts_roundtrip(spark, items):
     df = spark.createDataFrame([(j, t) for j, t in enumerate(texts)], "j int, t string")
     got = {r.j: r.p for r in df.select("j", parse_ts("t", ntz=True).alias("p")).collect()}
     assert [got[j] for j in range(len(texts))] == want
+
+
+CELL = st.one_of(st.none(), st.integers(-10**6, 10**6).map(str), st.sampled_from(
+    ["FREE", "1.5", " 42 ", "", "2026/08/01", "1e3", "NaN", "-0", "12345678901234567890", "a\"b", "x,y"]))
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(CELL, CELL), min_size=1, max_size=30))
+def test_rescue_never_loses_a_value(spark, rows):
+    """Every non-NULL input value is either typed or present verbatim in
+    ``_rescued_data`` (SRC7)."""
+    import json
+
+    from strata.sources.rescue import rescue_columns
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rows)], "i int, a string, b string")
+    out = {r.i: r for r in rescue_columns(df, {"a": "int", "b": "decimal(18,2)"}).collect()}
+    for i, (a, b) in enumerate(rows):
+        r = out[i]
+        rescued = json.loads(r._rescued_data) if r._rescued_data else {}
+        for name, raw in (("a", a), ("b", b)):
+            typed = getattr(r, name)
+            if raw is None:
+                assert typed is None and name not in rescued
+            else:
+                assert (typed is not None) != (name in rescued), (name, raw, typed, rescued)
+                if name in rescued:
+                    assert rescued[name] == raw

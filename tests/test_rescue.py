@@ -53,6 +53,7 @@ def test_bronze_stream_restart(spark, tmp_dir):
     assert first.count() == 3
     assert set(first.columns) >= {"_rescued_data", "_ingested_at", "_source_file", "_ingest_date"}
     assert first.where(F.col("_source_file").endswith("a.csv")).count() == 3
+    assert any(d.startswith("_ingest_date=") for d in os.listdir(cfg.target_path))   # D17 layout
     bronze_stream(spark, cfg)                       # restart: nothing new
     assert spark.read.parquet(cfg.target_path).count() == 3
     with open(os.path.join(src, "b.csv"), "w") as f:
