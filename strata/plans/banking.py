@@ -75,11 +75,10 @@ def customer_value_suite() -> TestSuite:
         unique=["customer_id"],
         accepted_values={"customer_tier": list(TIERS)},
         docs={
-            "customer_id": "Primary key identifier from mainframe system.",
-            "customer_lifetime_value": "Total balances across checking, savings, and CD accounts.",
-            "customer_tier": "Categorization of customer wealth and credit score tier.",
-            "is_dormant_risk": "Flag indicating whether a dormant account holds high value "
-                               "and requires remediation.",
+            "customer_id": "Customer number from the master file, padding removed.",
+            "customer_lifetime_value": "Sum of the balances of all the customer's accounts.",
+            "customer_tier": "Tier from total balance and credit score (first matching rule).",
+            "is_dormant_risk": "True when dormant accounts hold more than 1,000.",
         })
 
 

@@ -133,10 +133,10 @@ def gold_daily_suite() -> TestSuite:
         not_null=["transaction_date", "order_count", "daily_gross_revenue", "rolling_7d_avg_orders"],
         unique=["transaction_date"],
         docs={
-            "transaction_date": "The calendar date when the transaction was completed.",
-            "order_count": "Number of unique orders completed on this date.",
-            "daily_gross_revenue": "Total gross amount of completed orders before taxes.",
-            "rolling_7d_avg_orders": "7-day rolling average of completed orders.",
+            "transaction_date": "Day (UTC calendar date) the orders were placed.",
+            "order_count": "Distinct completed orders on the day.",
+            "daily_gross_revenue": "Sum of gross amounts of the day's completed orders, tax excluded.",
+            "rolling_7d_avg_orders": "Mean order count of this row and the six rows before it.",
         })
 
 
