@@ -109,3 +109,21 @@ def test_gold_by_category(spark, tmp_dir):
         ("2026-08-05", "Home", 1, "15.00", "0.750000"),
         ("2026-08-06", "Stationery", 1, "49.90", "4.990000"),
     ]
+
+
+def test_line_items_golden(spark, tmp_dir):
+    from strata.operators.items import item_reconciliation
+    from strata.plans.ecommerce import line_items
+    _, silver = _silver_all(spark, tmp_dir)
+    items = line_items(silver).collect()
+    got = {}
+    for r in items:
+        got.setdefault(r.order_id, []).append(
+            None if r.item_id is None else (r.item_id, r.quantity, str(r.unit_price)))
+    assert got == {
+        "O-9982": [(101, 2, "19.99"), (105, 1, "4.99")], "O-9983": [(203, 1, "89.00")],
+        "O-9984": [None], "O-9985": [(102, 4, "9.99")], "O-9986": [None],
+        "O-9987": [(301, 1, "15.00")], "O-9988": [(105, 10, "4.99")], "O-9989": [(201, 1, "120.00")],
+    }
+    rec = item_reconciliation(silver).collect()
+    assert len(rec) == 8 and all(r.amount_matches for r in rec)
