@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import (ArrayType, DecimalType, IntegerType, StructField,
+from pyspark.sql.types import (ArrayType, DecimalType, IntegerType, LongType, StructField,
                                StructType)
 
+# item_id is BIGINT: item ids in legacy text can be any catalogue key, and
+# keys outgrow the INT range on large catalogues (a narrower type would
+# turn them into NULLs).
 ITEM_STRUCT = StructType([
-    StructField("item_id", IntegerType()),
+    StructField("item_id", LongType()),
     StructField("quantity", IntegerType()),
     StructField("unit_price", DecimalType(18, 2)),
 ])
@@ -22,7 +25,7 @@ def _c(c) -> Column:
 
 
 def parse_items(col) -> Column:
-    """Text list -> ``ARRAY<STRUCT<item_id INT, quantity INT, unit_price DECIMAL(18,2)>>``.
+    """Text list -> ``ARRAY<STRUCT<item_id BIGINT, quantity INT, unit_price DECIMAL(18,2)>>``.
 
     NULL, blank, ``NULL`` or an empty list give a NULL array.  A malformed
     field inside an item gives a NULL field, never an error.
@@ -34,7 +37,7 @@ def parse_items(col) -> Column:
     def one(x):
         f = F.split(x, ":")
         return F.struct(
-            F.trim(F.try_element_at(f, F.lit(1))).try_cast(IntegerType()).alias("item_id"),
+            F.trim(F.try_element_at(f, F.lit(1))).try_cast(LongType()).alias("item_id"),
             F.trim(F.try_element_at(f, F.lit(2))).try_cast(IntegerType()).alias("quantity"),
             F.trim(F.try_element_at(f, F.lit(3))).try_cast(DecimalType(18, 2)).alias("unit_price"),
         )

@@ -316,7 +316,9 @@ def q_transactions_gold_by_category(spark, sf):
     """The same silver -> G2: line items parsed from the text, category from
     ``part.p_type`` (missing -> Unknown), per-category rolling average."""
     valid, _ = transactions_silver(spark, sf)
-    dim = table(spark, sf, "part").select(F.col("p_partkey").cast("int").alias("item_id"),
+    # item ids are INT in the item schema; part keys are BIGINT (beyond the
+    # INT range at scale), so the join widens the item id, never the key
+    dim = table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"),
                                           F.col("p_type").alias("category"))
     g = gold_revenue_by_category(valid, dim)
     return g.select("transaction_date", "category", "order_count",

@@ -279,19 +279,19 @@ it AS (
          THEN string_split(regexp_extract(trim(raw_item_details), '^\\[(.*)\\]$', 1), '|') END AS parts
   FROM valid WHERE order_status = 'COMPLETED'),
 ex AS (
-  SELECT order_id, transaction_date, tax_rate, CAST(NULL AS INTEGER) AS item_id,
+  SELECT order_id, transaction_date, tax_rate, CAST(NULL AS BIGINT) AS item_id,
          CAST(NULL AS INTEGER) AS quantity, CAST(NULL AS DECIMAL(18,2)) AS unit_price
   FROM it WHERE parts IS NULL
   UNION ALL
   SELECT order_id, transaction_date, tax_rate,
-         TRY_CAST(trim(string_split(parts[i], ':')[1]) AS INTEGER),
+         TRY_CAST(trim(string_split(parts[i], ':')[1]) AS BIGINT),
          TRY_CAST(trim(string_split(parts[i], ':')[2]) AS INTEGER),
          TRY_CAST(trim(string_split(parts[i], ':')[3]) AS DECIMAL(18,2))
   FROM (SELECT *, unnest(generate_series(1, len(parts))) AS i FROM it WHERE parts IS NOT NULL)),
 cat AS (
   SELECT ex.*, COALESCE(p.p_type, 'Unknown') AS category,
          COALESCE(CAST(quantity AS DECIMAL(10,0)) * unit_price, CAST(0 AS DECIMAL(18,2))) AS line_revenue
-  FROM ex LEFT JOIN part p ON ex.item_id = CAST(p.p_partkey AS INTEGER)),
+  FROM ex LEFT JOIN part p ON ex.item_id = p.p_partkey),
 daily AS (
   SELECT transaction_date, category, CAST(count(DISTINCT order_id) AS BIGINT) AS order_count,
          CAST(sum(line_revenue) AS DECIMAL(38,2)) AS daily_gross_revenue,
@@ -326,12 +326,12 @@ FROM b"""
 SQL["items_roundtrip"] = f"""WITH {RAW_ITEMS},
 e AS (SELECT l_orderkey, l_linenumber, parts, unnest(generate_series(1, len(parts))) AS i
       FROM p WHERE parts IS NOT NULL)
-SELECT l_orderkey, l_linenumber, CAST(NULL AS INTEGER) AS item_pos, CAST(NULL AS INTEGER) AS item_id,
+SELECT l_orderkey, l_linenumber, CAST(NULL AS INTEGER) AS item_pos, CAST(NULL AS BIGINT) AS item_id,
        CAST(NULL AS INTEGER) AS quantity, CAST(NULL AS DECIMAL(18,2)) AS unit_price
 FROM p WHERE parts IS NULL
 UNION ALL
 SELECT l_orderkey, l_linenumber, CAST(i - 1 AS INTEGER) AS item_pos,
-       TRY_CAST(trim(string_split(parts[i], ':')[1]) AS INTEGER) AS item_id,
+       TRY_CAST(trim(string_split(parts[i], ':')[1]) AS BIGINT) AS item_id,
        TRY_CAST(trim(string_split(parts[i], ':')[2]) AS INTEGER) AS quantity,
        TRY_CAST(trim(string_split(parts[i], ':')[3]) AS DECIMAL(18,2)) AS unit_price
 FROM e"""
