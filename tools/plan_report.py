@@ -60,8 +60,42 @@ def main():
         scans = "; ".join(f"{t}: {pf or '—'}; {n} cols" for t, pf, n in s["scans"])
         joins = ", ".join(s["joins"]) or "—"
         print(f"| `{name}` | {scans} | {s['exchanges']} | {s['single']} | {joins} | {s['group_limits']} |")
+    print(SCALE_NOTES)
     spark.stop()
 
 
+SCALE_NOTES = """
+## At 100 TB (reading the plans above at 1000x)
+
+* **Daily models** (`daily_revenue*`, `transactions_gold_daily`, `daily_revenue_sql`): the status
+  filter reaches the scan; the distinct count plans as partial sums per (day, order) before the
+  first exchange and partial counts per day before the second, so a day with a third of all
+  orders is combined map-side. The single-partition exchange feeds the rolling window one row
+  per calendar day (a few thousand rows whatever the data size).
+* **By-category models**: line items are shuffled by order key to meet orders and by part key to
+  meet `part` (both large at scale, so sort-merge joins with AQE skew splitting; a broadcast only
+  when the measured or checked side is small). Bucketing line items and orders by order key in
+  storage would remove one exchange. The rolling window is partitioned by category and sees one
+  row per (day, category).
+* **Keep-latest** (`keep_latest_*`, `conform_orders`, `silver_stream`): one exchange by key with
+  a partial `WindowGroupLimit` on both sides, so a hot key ships one row per map task.
+* **Row-level parsing** (`parse_dates`, `char_dates`, `items_*`, `rescue_json`, `extract_blocks`,
+  `surrogate_keys`, `code_map`): no exchange at scale (the round-robin seen here only exists
+  because each sf0.1 table is one Parquet row group; with many splits `spread_input` is a no-op).
+* **Customer value**: one join of orders with customers on the customer key, then partial
+  aggregation by customer; `count(DISTINCT account_type)` adds one exchange on
+  (customer, type) with map-side de-duplication.
+* **Quality** (`dq_results`): one aggregate for all not-null / accepted-values checks, one
+  group-by per unique column, one anti join for relationships; global aggregates end in a
+  single-partition exchange of one partial row per task.
+* **Reconciliation**: rows in are counted from a key-only scan; outcomes come from one
+  keep-latest pass and a join on a row id (even spread whatever the key distribution); one
+  final aggregate by source file.
+* **Streams**: the bronze file source and sink commit through their logs (a retried batch is not
+  written twice); the silver fold re-ranks only touched keys when the batch's keys fit the
+  broadcast bound, otherwise one keep-latest over snapshot + batch.
+"""
+
+
 if __name__ == "__main__":
     main()
