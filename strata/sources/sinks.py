@@ -28,11 +28,22 @@ def write_stream_append(df: DataFrame, target: str, checkpoint: str,
 
 
 def write_overwrite(df: DataFrame, target: str, fmt: str = "parquet",
-                    partition_by: Sequence[str] = ()) -> None:
-    """SRC12: full overwrite; the new schema replaces the old one."""
+                    partition_by: Sequence[str] = (),
+                    bucket_by: tuple[int, Sequence[str]] | None = None) -> None:
+    """SRC12: full overwrite; the new schema replaces the old one.
+
+    ``bucket_by=(n, keys)`` (catalog tables only) stores the table hashed
+    into ``n`` buckets by ``keys`` and sorted within them: later joins and
+    aggregations of two tables bucketed alike on the key read co-located
+    buckets and need no shuffle."""
     w = df.write.format(fmt).mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
+    if bucket_by is not None:
+        if "/" in target:
+            raise ValueError("bucket_by needs a catalog table name, not a path")
+        n, keys = bucket_by
+        w = w.bucketBy(n, *keys).sortBy(*keys)
     if "/" in target:
         w.save(target)
     else:

@@ -10,7 +10,9 @@ from strata.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = local_session(cores="*", shuffle_partitions=8, app="strata-tests")
+    import tempfile
+    s = local_session(cores="*", shuffle_partitions=8, app="strata-tests",
+                      extra={"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="strata-wh-")})
     yield s
     s.stop()
 

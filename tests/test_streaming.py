@@ -78,3 +78,21 @@ def test_transaction_stream_helpers(spark, tmp_dir):
     got = latest_snapshot(spark, snap)
     assert got.count() == 8
     assert got.where("order_id = 'O-9983'").first().order_status == "COMPLETED"
+
+
+def test_bucketed_tables_join_without_shuffle(spark):
+    orders = spark.range(0, 2000).selectExpr("id AS k", "id % 7 AS v")
+    items = spark.range(0, 6000).selectExpr("id % 2000 AS k", "id AS w")
+    write_overwrite(orders, "strata_test_orders_b", bucket_by=(4, ["k"]))
+    write_overwrite(items, "strata_test_items_b", bucket_by=(4, ["k"]))
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        j = spark.table("strata_test_items_b").join(spark.table("strata_test_orders_b"), "k")
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert j.count() == 6000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+        spark.sql("DROP TABLE IF EXISTS strata_test_orders_b")
+        spark.sql("DROP TABLE IF EXISTS strata_test_items_b")
