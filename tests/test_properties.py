@@ -134,3 +134,36 @@ def test_rescue_never_loses_a_value(spark, rows):
                 assert (typed is not None) != (name in rescued), (name, raw, typed, rescued)
                 if name in rescued:
                     assert rescued[name] == raw
+
+
+def _brute_block(text, language):
+    """Plain-Python statement of TX1: first fenced block tagged `language`
+    (tag case-insensitive, anything may follow the tag on its line), else
+    the first fenced block of any tag, else the text; stripped."""
+    import re
+    tagged = re.search(r"`{3,}" + re.escape(language) + r"\b[^\n]*\n(.*?)\n`{3,}", text,
+                       re.DOTALL | re.IGNORECASE)
+    if tagged:
+        return tagged.group(1).strip()
+    anyb = re.search(r"`{3,}[^\n]*\n(.*?)\n`{3,}", text, re.DOTALL)
+    if anyb:
+        return anyb.group(1).strip()
+    return text.strip()
+
+
+WORD = st.sampled_from(["select 1", "a: 1", "from t", "x", "", "  ", "\t", "é", "k: v"])
+TAG = st.sampled_from(["sql", "SQL", "Sql filename=m.sql", "yaml", "yml", "python", "", "sqlx", "sql "])
+BLOCK = st.builds(lambda n, tag, body, m: "`" * n + tag + "\n" + body + "\n" + "`" * m,
+                  st.integers(3, 5), TAG, st.lists(WORD, max_size=3).map("\n".join), st.integers(3, 5))
+TEXT = st.lists(st.one_of(BLOCK, WORD, st.just("\n")), min_size=0, max_size=5).map("\n".join)
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(TEXT, min_size=1, max_size=25))
+def test_extract_block_matches_brute_force(spark, texts):
+    from strata.functions.text import extract_block
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    rows = df.select("i", extract_block("t", "sql").alias("s"), extract_block("t", "yaml").alias("y")).collect()
+    got = {r.i: (r.s, r.y) for r in rows}
+    for i, t in enumerate(texts):
+        assert got[i] == (_brute_block(t, "sql"), _brute_block(t, "yaml")), repr(t)
