@@ -1,11 +1,12 @@
 """Joins (J1-J5).  Equi-joins only; the physical strategy is Catalyst's.
 
 A side is broadcast explicitly only after its row count has been checked
-against a bound.  The check is ``take(bound + 1)`` of a constant column:
-``take`` scans incrementally (one partition, then 4x more, ...) and stops
-as soon as ``bound + 1`` rows are seen, so checking a huge table costs
-about ``bound`` rows, not a scan of the table (a ``limit().count()``
-would run a limit in *every* partition).  Otherwise the plain join is left
+against a bound.  The check collects ``limit(bound + 1)`` of a constant
+column as Arrow: a limit at the root of a plan runs incrementally (one
+partition, then 4x more, ...) and stops as soon as ``bound + 1`` rows are
+seen, reading no columns, so checking a huge table costs about ``bound``
+rows, not a scan of the table (a ``limit().count()`` would run a limit in
+*every* partition).  Otherwise the plain join is left
 to Catalyst / AQE, which still switch to a broadcast at run time when the
 measured shuffle output is small, and otherwise run a sort-merge join
 with skew-split enabled.
@@ -28,7 +29,8 @@ BROADCAST_ROWS = 100_000
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """True when ``df`` has at most ``max_rows`` rows; reads and returns at
     most ``max_rows + 1`` one-byte rows."""
-    return len(df.select(F.lit(True).alias("_")).take(max_rows + 1)) <= max_rows
+    probe = df.select(F.lit(True).alias("_")).limit(max_rows + 1)
+    return probe.toArrow().num_rows <= max_rows
 
 
 def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "left",
