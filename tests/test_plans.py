@@ -59,3 +59,18 @@ def test_spread_input_is_a_noop_on_many_partitions(spark):
     assert spread_input(many) is many
     few = spark.range(0, 1000, numPartitions=1)
     assert spread_input(few, min_partitions=4).rdd.getNumPartitions() == 4
+
+
+FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
+             "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF")
+
+
+def test_registered_queries_have_no_cross_joins_or_python(spark):
+    import __spark_entry__ as E
+    sf = "/root/testdata/sf0.001"
+    for name, fn in E.queries().items():
+        if name in ("bronze_stream", "silver_stream"):
+            continue
+        plan = _plan(fn(spark, sf))
+        bad = [f for f in FORBIDDEN if f in plan]
+        assert not bad, (name, bad)
