@@ -25,9 +25,16 @@ def all_string_schema(columns, corrupt: str | None = CORRUPT) -> StructType:
     return StructType(fields)
 
 
-def _csv_options(glob: str | None, corrupt: str | None) -> dict:
-    o = {"header": "true", "mode": "PERMISSIVE", "enforceSchema": "false",
-         "multiLine": "false"}
+def _csv_options(glob: str | None, corrupt: str | None, check_header: bool = False) -> dict:
+    """CSV reader options.  Columns are matched by position
+    (``enforceSchema=true``): a file that gains trailing columns still
+    loads -- its leading columns are read and the whole line lands in the
+    corrupt-record column, hence in ``_rescued_data`` -- so schema drift
+    never stops a stream.  ``check_header=True`` validates every file's
+    header by name instead and fails on any difference (use it when
+    columns may be reordered)."""
+    o = {"header": "true", "mode": "PERMISSIVE",
+         "enforceSchema": "false" if check_header else "true", "multiLine": "false"}
     if corrupt:
         o["columnNameOfCorruptRecord"] = corrupt
     if glob:
@@ -37,13 +44,13 @@ def _csv_options(glob: str | None, corrupt: str | None) -> dict:
 
 def read_csv_stream(spark: SparkSession, path: str, schema: StructType,
                     glob: str | None = "*.csv", corrupt: str | None = CORRUPT,
-                    max_files_per_trigger: int | None = None) -> DataFrame:
-    """SRC1/SRC5: incremental CSV ingest with header.  The header is checked
-    by name against ``schema`` (``enforceSchema=false``), so a file with
-    swapped columns is not loaded silently by position."""
+                    max_files_per_trigger: int | None = None,
+                    check_header: bool = False) -> DataFrame:
+    """SRC1/SRC5: incremental CSV ingest with header (see ``_csv_options``
+    for how columns are matched)."""
     if corrupt and corrupt not in schema.fieldNames():
         schema = StructType(schema.fields + [StructField(corrupt, StringType(), True)])
-    r = spark.readStream.schema(schema).options(**_csv_options(glob, corrupt))
+    r = spark.readStream.schema(schema).options(**_csv_options(glob, corrupt, check_header))
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
     return r.csv(path)
@@ -74,7 +81,8 @@ def read_json_stream(spark: SparkSession, path: str, glob: str | None = "*.json"
 
 
 def read_batch(spark: SparkSession, fmt: str, path: str, schema: StructType | None = None,
-               glob: str | None = None, corrupt: str | None = CORRUPT) -> DataFrame:
+               glob: str | None = None, corrupt: str | None = CORRUPT,
+               check_header: bool = False) -> DataFrame:
     """SRC4: the same contract as the stream readers, as a one-off load."""
     fmt = fmt.lower()
     if fmt == "csv":
@@ -82,7 +90,7 @@ def read_batch(spark: SparkSession, fmt: str, path: str, schema: StructType | No
             raise ValueError("read_batch(csv) needs a schema (see declare_or_infer_schema)")
         if corrupt and corrupt not in schema.fieldNames():
             schema = StructType(schema.fields + [StructField(corrupt, StringType(), True)])
-        return spark.read.schema(schema).options(**_csv_options(glob, corrupt)).csv(path)
+        return spark.read.schema(schema).options(**_csv_options(glob, corrupt, check_header)).csv(path)
     if fmt == "json":
         r = spark.read.format("text")
         if glob:

@@ -95,3 +95,33 @@ def test_rescue_json_repeated_key_keeps_record(spark):
     df = spark.createDataFrame([(1, '{"k":1,"k":2}')], "id int, value string")
     r = rescue_json(df, {"k": "int"}).first()
     assert r._rescued_data == '{"k":1,"k":2}'
+
+
+def test_csv_new_column_does_not_stop_the_stream(spark, tmp_dir):
+    src = os.path.join(tmp_dir, "in")
+    os.makedirs(src)
+    with open(os.path.join(src, "a.csv"), "w") as f:
+        f.write("k,ts,v\nA,2026/08/01,1\n")
+    cfg = BronzeConfig(source_path=src, target_path=os.path.join(tmp_dir, "bronze"),
+                       checkpoint=os.path.join(tmp_dir, "ckpt"), fmt="csv",
+                       columns=["k", "ts", "v"], expected=EXPECTED)
+    bronze_stream(spark, cfg)
+    with open(os.path.join(src, "b.csv"), "w") as f:          # the source adds a column
+        f.write("k,ts,v,extra\nB,2026/08/02,2,zz\n")
+    bronze_stream(spark, cfg)
+    rows = {r.k: r for r in spark.read.parquet(cfg.target_path).collect()}
+    assert rows["B"].v == 2 and rows["B"].ts is not None
+    assert rows["B"]._rescued_data == "B,2026/08/02,2,zz"
+    assert rows["A"]._rescued_data is None
+
+
+def test_check_header_fails_on_mismatch(spark, tmp_dir):
+    import pytest
+    src = os.path.join(tmp_dir, "csv")
+    os.makedirs(src)
+    with open(os.path.join(src, "a.csv"), "w") as f:
+        f.write("v,ts,k\n1,2026/08/01,A\n")
+    raw = read_batch(spark, "csv", src, all_string_schema(["k", "ts", "v"]), glob="*.csv",
+                     check_header=True)
+    with pytest.raises(Exception):
+        raw.collect()
