@@ -34,6 +34,7 @@ class BronzeConfig:
     partition_by: Sequence[str] = ("_ingest_date",)
     glob: str | None = None
     max_files_per_trigger: int | None = None
+    rescue_new_columns: bool = True        # parquet: keep undeclared columns as JSON
 
 
 def bronze_frame(spark: SparkSession, cfg: BronzeConfig) -> DataFrame:
@@ -55,17 +56,39 @@ def bronze_frame(spark: SparkSession, cfg: BronzeConfig) -> DataFrame:
     if fmt == "parquet":
         if cfg.schema is None:
             raise ValueError("parquet bronze needs a schema")
-        raw = read_parquet_stream(spark, cfg.source_path, cfg.schema, glob=cfg.glob or "*.parquet",
+        extra = new_parquet_columns(spark, cfg) if cfg.rescue_new_columns else []
+        schema = StructType(cfg.schema.fields + extra)
+        raw = read_parquet_stream(spark, cfg.source_path, schema, glob=cfg.glob or "*.parquet",
                                   max_files_per_trigger=cfg.max_files_per_trigger)
         df = with_ingest_metadata(raw)
         if cfg.expected:
             df = rescue_columns(df, cfg.expected)
         else:
             df = df.withColumn("_rescued_data", F.lit(None).cast("string"))
+        if extra:
+            # undeclared columns: values kept as JSON, schema unchanged
+            js = F.to_json(F.struct(*[F.col(f.name) for f in extra]))
+            new = F.when(js != F.lit("{}"), js)
+            df = df.withColumn("_rescued_data", F.coalesce(F.col("_rescued_data"), new)) \
+                   .drop(*[f.name for f in extra])
         return df
     raise ValueError(f"unsupported bronze format {cfg.fmt!r}")
 
 
+def new_parquet_columns(spark: SparkSession, cfg: BronzeConfig) -> list:
+    """Columns present in the source files but not in the declared schema.
+    Reads Parquet footers only (merged by a distributed job), once per
+    stream start; an empty or missing folder has none."""
+    try:
+        found = (spark.read.option("mergeSchema", "true")
+                 .option("pathGlobFilter", cfg.glob or "*.parquet")
+                 .parquet(cfg.source_path).schema)
+    except Exception:  # noqa: BLE001 -- nothing to read yet
+        return []
+    declared = set(cfg.schema.fieldNames())
+    return [f for f in found.fields if f.name not in declared]
+
+
 def bronze_stream(spark: SparkSession, cfg: BronzeConfig, wait: bool = True) -> StreamingQuery:
     """Run the bronze ingest (availableNow) into ``cfg.target_path``."""
     q = write_stream_append(bronze_frame(spark, cfg), cfg.target_path, cfg.checkpoint,

@@ -86,3 +86,24 @@ def test_mainframe_parquet_bronze_stream(spark, tmp_dir):
     assert {"_rescued_data", "_ingested_at", "_source_file", "_ingest_date"} <= set(bronze.columns)
     g = {r.customer_id: r.customer_tier for r in gold_customer_value(conform_customers(bronze)).collect()}
     assert g["C1"] == "Tier 2 (Gold)" and g["C5"] == "Tier 1 (Platinum)"
+
+
+def test_parquet_new_column_is_rescued(spark, tmp_dir):
+    import json
+    import os
+
+    from pyspark.sql import functions as F
+
+    from strata.plans.banking import stream_bronze_customers
+    src = os.path.join(tmp_dir, "dump")
+    base = spark.createDataFrame(RAW[:2], CUST_MAST_SCHEMA)
+    base.coalesce(1).write.parquet(os.path.join(src, "day1"))
+    out, ckpt = os.path.join(tmp_dir, "bronze"), os.path.join(tmp_dir, "ckpt")
+    # recursive listing: day folders below the source folder
+    stream_bronze_customers(spark, src + "/*", out, ckpt)
+    base.withColumn("EMAIL", F.lit("a@b.c")).coalesce(1).write.parquet(os.path.join(src, "day2"))
+    stream_bronze_customers(spark, src + "/*", out, ckpt)     # dump now has a new column
+    bronze = spark.read.parquet(out)
+    assert bronze.count() == 4 and "EMAIL" not in bronze.columns
+    rescued = [json.loads(r._rescued_data) for r in bronze.collect() if r._rescued_data]
+    assert rescued == [{"EMAIL": "a@b.c"}] * 2
