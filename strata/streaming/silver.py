@@ -76,13 +76,8 @@ def silver_stream(bronze: DataFrame, snapshot_root: str, checkpoint: str,
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = conform(batch) if conform else batch
-        prev = read_version(spark, snapshot_root, batch_id - 1) if batch_id > 0 else None
-        if prev is None and batch_id > 0:
-            # earlier batches produced no version (e.g. a fresh root): find the last one
-            for b in range(batch_id - 2, -1, -1):
-                prev = read_version(spark, snapshot_root, b)
-                if prev is not None:
-                    break
+        last = last_committed(spark, snapshot_root, below=batch_id)
+        prev = read_version(spark, snapshot_root, last) if last is not None else None
         if prev is None:
             latest = keep_latest(rows, keys, order)
         else:
@@ -100,12 +95,21 @@ def silver_stream(bronze: DataFrame, snapshot_root: str, checkpoint: str,
     return q
 
 
-def latest_snapshot(spark: SparkSession, snapshot_root: str) -> DataFrame:
-    """The newest committed snapshot version."""
+def last_committed(spark: SparkSession, snapshot_root: str, below: int | None = None) -> int | None:
+    """Highest committed version id (optionally below ``below``), or None."""
     try:
-        top = spark.read.parquet(commit_log(snapshot_root)).agg(F.max("version")).first()[0]
+        log = spark.read.parquet(commit_log(snapshot_root))
     except AnalysisException:
-        top = None
+        return None
+    if below is not None:
+        log = log.where(F.col("version") < below)
+    top = log.agg(F.max("version")).first()[0]
+    return None if top is None else int(top)
+
+
+def latest_snapshot(spark: SparkSession, snapshot_root: str) -> DataFrame:
+    """The newest committed snapshot version."""
+    top = last_committed(spark, snapshot_root)
     if top is None:
         raise FileNotFoundError(f"no committed snapshot under {snapshot_root}")
     return spark.read.parquet(version_path(snapshot_root, int(top)))
