@@ -327,6 +327,15 @@ def q_transactions_gold_by_category(spark, sf):
                     "rolling_7d_avg_orders")
 
 
+def q_transactions_quarantine(spark, sf):
+    """PR8 + SRC7 on the whole flow: the rows the silver split rejects, each
+    with its reasons and the original text of its misfits (D5)."""
+    _, quarantine = transactions_silver(spark, sf)
+    return quarantine.select(
+        "order_id", "customer_id", "raw_item_details", "gross_amount", "order_status",
+        "_rescued_data", "_reject_reason")
+
+
 def q_daily_revenue_sql(spark, sf):
     """G1 as a SQL model over the silver view (must equal ``daily_revenue``)."""
     silver = completed_transactions(table(spark, sf, "orders"))
@@ -532,6 +541,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "customer_value_by_status_sql": q_customer_value_by_status_sql,
     "transactions_gold_daily": q_transactions_gold_daily,
     "transactions_gold_by_category": q_transactions_gold_by_category,
+    "transactions_quarantine": q_transactions_quarantine,
     "code_map": q_code_map,
     "surrogate_keys": q_surrogate_keys,
     "items_roundtrip": q_items_roundtrip,

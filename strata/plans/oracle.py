@@ -271,6 +271,14 @@ SELECT *, avg(order_count) OVER (ORDER BY transaction_date ROWS BETWEEN 6 PRECED
             AS rolling_7d_avg_orders
 FROM daily"""
 
+SQL["transactions_quarantine"] = f"""WITH {CONFORMED}
+SELECT order_id, customer_id, raw_item_details, gross_amount, order_status, _rescued_data,
+       concat_ws(';', CASE WHEN order_id IS NULL THEN 'missing:order_id' END,
+                      CASE WHEN transaction_timestamp IS NULL THEN 'missing:transaction_timestamp' END)
+         AS _reject_reason
+FROM silver
+WHERE order_id IS NULL OR transaction_timestamp IS NULL"""
+
 SQL["transactions_gold_by_category"] = f"""WITH {CONFORMED},
 it AS (
   SELECT order_id, CAST(transaction_timestamp AS DATE) AS transaction_date, tax_rate,
