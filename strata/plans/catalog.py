@@ -401,6 +401,13 @@ def customer_silver(spark, sf) -> DataFrame:
     return conform_customers(raw_accounts(table(spark, sf, "customer"), table(spark, sf, "orders")))
 
 
+def q_conform_customers(spark, sf):
+    """Mainframe silver (PR1, PR2, PR5, SC2, SC4, SC7, SC9): trimmed CHAR
+    fields, md5 key, ``yyyyMMdd`` dates (month 13 -> NULL), code maps.  The
+    audit timestamp is left out (it differs per run)."""
+    return customer_silver(spark, sf).drop("_silver_processed_at")
+
+
 def q_customer_value_by_status(spark, sf):
     """G4 (as shipped) + AG1/AG2/AG4/AG6 + PR10/PR11."""
     return gold_customer_value_by_status(customer_silver(spark, sf))
@@ -546,6 +553,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "surrogate_keys": q_surrogate_keys,
     "items_roundtrip": q_items_roundtrip,
     "item_totals": q_item_totals,
+    "conform_customers": q_conform_customers,
     "customer_value_by_status": q_customer_value_by_status,
     "customer_value": q_customer_value,
     "rescue_json": q_rescue_json,

@@ -93,7 +93,10 @@ RAW_ACCOUNTS = """j AS (
 raw AS (
   SELECT rpad('C' || c_custkey, 10, ' ') AS CUST_ID,
          rpad(c_mktsegment, 25, ' ') AS FIRST_NAME,
+         CASE WHEN o_orderkey % 2 = 0 THEN 'X' END AS MID_INIT,
          rpad(c_name, 30, ' ') AS LAST_NAME,
+         CASE WHEN o_orderkey % 31 = 0 THEN strftime(o_orderdate, '%Y') || '13' || strftime(o_orderdate, '%d')
+              ELSE strftime(o_orderdate, '%Y%m%d') END AS OPEN_DT,
          CASE o_orderkey % 4 WHEN 0 THEN 'SV ' WHEN 1 THEN 'CH' WHEN 2 THEN ' CD' ELSE 'XX' END AS ACCT_TYPE,
          CAST(o_totalprice AS DECIMAL(15,2)) AS CURR_BAL,
          CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE CAST(500 + (c_custkey * 37) % 350 AS INTEGER) END AS CR_SCORE,
@@ -487,3 +490,15 @@ FROM c"""
 # The SQL-model queries compute the same results as their DataFrame twins.
 SQL["daily_revenue_sql"] = SQL["daily_revenue"]
 SQL["customer_value_by_status_sql"] = SQL["customer_value_by_status"]
+
+SQL["conform_customers"] = f"""WITH {RAW_ACCOUNTS}
+SELECT md5(trim(CUST_ID)) AS sk_customer, trim(CUST_ID) AS customer_id, trim(FIRST_NAME) AS first_name,
+       trim(MID_INIT) AS middle_initial, trim(LAST_NAME) AS last_name,
+       CAST(try_strptime(trim(OPEN_DT), '%Y%m%d') AS DATE) AS account_open_date,
+       CASE trim(ACCT_TYPE) WHEN 'SV' THEN 'Savings' WHEN 'CH' THEN 'Checking'
+            WHEN 'CD' THEN 'Certificate of Deposit' ELSE 'Unknown' END AS account_type,
+       TRY_CAST(trim(CAST(CURR_BAL AS VARCHAR)) AS DECIMAL(15,2)) AS current_balance,
+       TRY_CAST(trim(CAST(CR_SCORE AS VARCHAR)) AS INTEGER) AS credit_score,
+       CASE trim(STATUS_CD) WHEN 'A' THEN 'Active' WHEN 'I' THEN 'Inactive'
+            WHEN 'D' THEN 'Dormant' ELSE 'Other' END AS account_status
+FROM raw"""
