@@ -25,7 +25,8 @@ from strata.operators.dedupe import keep_latest, tag_latest
 from strata.operators.gold import (active_users, daily_revenue, daily_revenue_by_category,
                                    monthly_recurring_revenue)
 from strata.operators.items import explode_items
-from strata.operators.joins import build_star, join_dimension, lookup_category, orphans
+from strata.operators.joins import (build_star, combine_accounts, join_dimension, lookup_category,
+                                    orphans)
 from strata.operators.quality import (LAYER, TestSuite, reconcile, reject_reasons, run_tests,
                                       split_valid)
 from strata.plans.banking import (conform_customers, gold_customer_value,
@@ -408,6 +409,16 @@ def q_conform_customers(spark, sf):
     return customer_silver(spark, sf).drop("_silver_processed_at")
 
 
+def q_accounts_by_type(spark, sf):
+    """J3: one row per customer with a balance column per account type -- a
+    single conditional aggregate, not a self-join per type."""
+    types = ["Savings", "Checking", "Certificate of Deposit", "Unknown"]
+    wide = combine_accounts(customer_silver(spark, sf), "customer_id", "account_type",
+                            "current_balance", types)
+    return wide.select("customer_id", *[F.col(f"`{t}`").alias(t.lower().replace(" ", "_"))
+                                        for t in types])
+
+
 def q_customer_value_by_status(spark, sf):
     """G4 (as shipped) + AG1/AG2/AG4/AG6 + PR10/PR11."""
     return gold_customer_value_by_status(customer_silver(spark, sf))
@@ -554,6 +565,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "items_roundtrip": q_items_roundtrip,
     "item_totals": q_item_totals,
     "conform_customers": q_conform_customers,
+    "accounts_by_type": q_accounts_by_type,
     "customer_value_by_status": q_customer_value_by_status,
     "customer_value": q_customer_value,
     "rescue_json": q_rescue_json,

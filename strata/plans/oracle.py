@@ -502,3 +502,12 @@ SELECT md5(trim(CUST_ID)) AS sk_customer, trim(CUST_ID) AS customer_id, trim(FIR
        CASE trim(STATUS_CD) WHEN 'A' THEN 'Active' WHEN 'I' THEN 'Inactive'
             WHEN 'D' THEN 'Dormant' ELSE 'Other' END AS account_status
 FROM raw"""
+
+SQL["accounts_by_type"] = f"""WITH {RAW_ACCOUNTS}
+SELECT customer_id,
+       CAST(sum(CASE WHEN account_type = 'Savings' THEN current_balance END) AS DECIMAL(25,2)) AS savings,
+       CAST(sum(CASE WHEN account_type = 'Checking' THEN current_balance END) AS DECIMAL(25,2)) AS checking,
+       CAST(sum(CASE WHEN account_type = 'Certificate of Deposit' THEN current_balance END) AS DECIMAL(25,2))
+         AS certificate_of_deposit,
+       CAST(sum(CASE WHEN account_type = 'Unknown' THEN current_balance END) AS DECIMAL(25,2)) AS unknown
+FROM silver GROUP BY customer_id"""
