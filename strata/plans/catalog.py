@@ -26,7 +26,7 @@ from strata.operators.gold import (active_users, daily_revenue, daily_revenue_by
                                    monthly_recurring_revenue)
 from strata.operators.items import explode_items
 from strata.operators.joins import (build_star, combine_accounts, join_dimension, lookup_category,
-                                    orphans)
+                                    map_codes_join, orphans)
 from strata.operators.quality import (LAYER, TestSuite, reconcile, reject_reasons, run_tests,
                                       split_valid)
 from strata.plans.banking import (conform_customers, gold_customer_value,
@@ -361,6 +361,18 @@ def q_code_map(spark, sf):
                     map_codes(prio, prio_words, "Other").alias("priority_desc"))
 
 
+def q_code_map_table(spark, sf):
+    """PR5 for dictionaries held as data: customer nation codes mapped
+    through the ``nation`` table (broadcast after its size check), with
+    some codes shifted out of the dictionary -> default."""
+    c = table(spark, sf, "customer").select(
+        "c_custkey",
+        F.when(_k("c_custkey", 17) == 0, F.col("c_nationkey") + F.lit(100))
+         .otherwise(F.col("c_nationkey")).alias("nation_code"))
+    return map_codes_join(c, "nation_code", table(spark, sf, "nation"), "n_nationkey", "n_name",
+                          out="nation_name", default="Unknown", max_broadcast_rows=10_000)
+
+
 def q_surrogate_keys(spark, sf):
     """SC1-SC3: SHA-256 over ``||``-joined keys (NULL skipped, and the opt-in
     NULL marker form) and MD5 of a trimmed CHAR key."""
@@ -561,6 +573,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "transactions_gold_by_category": q_transactions_gold_by_category,
     "transactions_quarantine": q_transactions_quarantine,
     "code_map": q_code_map,
+    "code_map_table": q_code_map_table,
     "surrogate_keys": q_surrogate_keys,
     "items_roundtrip": q_items_roundtrip,
     "item_totals": q_item_totals,

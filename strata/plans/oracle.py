@@ -511,3 +511,9 @@ SELECT customer_id,
          AS certificate_of_deposit,
        CAST(sum(CASE WHEN account_type = 'Unknown' THEN current_balance END) AS DECIMAL(25,2)) AS unknown
 FROM silver GROUP BY customer_id"""
+
+SQL["code_map_table"] = """WITH c AS (
+  SELECT c_custkey, CASE WHEN c_custkey % 17 = 0 THEN c_nationkey + 100 ELSE c_nationkey END AS nation_code
+  FROM customer)
+SELECT c.c_custkey, c.nation_code, COALESCE(n.n_name, 'Unknown') AS nation_name
+FROM c LEFT JOIN nation n ON c.nation_code = n.n_nationkey"""
