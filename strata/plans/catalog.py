@@ -18,13 +18,13 @@ from pyspark.sql.types import DecimalType
 
 from strata.functions.codes import codes_for, map_codes
 from strata.functions.dates import DEFAULT_TS_FORMATS, parse_date, parse_ts
-from strata.functions.items import items_total, parse_items
+from strata.functions.items import parse_items
 from strata.functions.keys import md5_key, sha_key
 from strata.functions.text import extract_block
 from strata.operators.dedupe import keep_latest, tag_latest
 from strata.operators.gold import (active_users, daily_revenue, daily_revenue_by_category,
                                    monthly_recurring_revenue)
-from strata.operators.items import explode_items
+from strata.operators.items import explode_items, item_reconciliation
 from strata.operators.joins import (build_star, combine_accounts, join_dimension, lookup_category,
                                     map_codes_join, orphans)
 from strata.operators.quality import (LAYER, TestSuite, reconcile, reject_reasons, run_tests,
@@ -401,13 +401,11 @@ def q_items_roundtrip(spark, sf):
 
 def q_item_totals(spark, sf):
     """G3: header amount vs sum of quantity x unit price per record."""
-    p = parsed_line_items(spark, sf)
-    return p.select(
-        "l_orderkey", "l_linenumber",
-        F.col("header_amount").try_cast(D18_2).alias("header_amount"),
-        items_total(F.col("items")).alias("items_total"),
-        F.when(F.col("items").isNull(), F.lit(0)).otherwise(F.size("items")).alias("item_count"),
-    ).withColumn("amount_matches", F.coalesce(F.col("header_amount") == F.col("items_total"), F.lit(False)))
+    p = parsed_line_items(spark, sf).withColumn(
+        "header_amount", F.col("header_amount").try_cast(D18_2))
+    rec = item_reconciliation(p, amount_col="header_amount", items_col="items", raw_col=None)
+    return rec.select("l_orderkey", "l_linenumber", "header_amount", "items_total", "item_count",
+                      "amount_matches")
 
 
 def customer_silver(spark, sf) -> DataFrame:
