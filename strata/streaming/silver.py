@@ -2,12 +2,14 @@
 
 ``row_number`` is not allowed on a stream and a table cannot be
 overwritten while it is read, so each micro-batch (``foreachBatch``)
-folds its rows into the previous snapshot and writes the next
-*versioned* snapshot directory, named by batch id.  A retried batch
-rewrites the same version from the same inputs, so retries (lost
-executors, restarts) are idempotent.  After a version is written its id
-is appended to a small commit log (``committed/``); readers take the
-highest committed version, so a half-written version is never read.
+folds its rows into the previous snapshot and writes the next snapshot
+into the *other* of two slots (``data/slot=0|1``, double buffering with a
+per-write dynamic partition overwrite, so only that slot is replaced and
+storage stays at two copies).  After the write, (batch id, slot) is
+appended to a small commit log (``committed/``); readers take the slot of
+the highest committed version, so a half-written slot is never read.  A
+retried batch folds the same committed input into the same slot, so
+retries (lost executors, restarts) are idempotent.
 
 Per batch only the keys the batch touches are re-ranked: the previous
 snapshot is split by a null-safe semi / anti join against the batch's
@@ -36,13 +38,17 @@ def commit_log(root: str) -> str:
     return f"{root.rstrip('/')}/committed"
 
 
-def version_path(root: str, batch_id: int) -> str:
-    return f"{root.rstrip('/')}/v={batch_id:012d}"
+def data_path(root: str) -> str:
+    return f"{root.rstrip('/')}/data"
 
 
-def read_version(spark: SparkSession, root: str, batch_id: int) -> DataFrame | None:
+def slot_path(root: str, slot: int) -> str:
+    return f"{data_path(root)}/slot={slot}"
+
+
+def read_slot(spark: SparkSession, root: str, slot: int) -> DataFrame | None:
     try:
-        return spark.read.parquet(version_path(root, batch_id))
+        return spark.read.parquet(slot_path(root, slot))
     except AnalysisException:
         return None
 
@@ -77,14 +83,18 @@ def silver_stream(bronze: DataFrame, snapshot_root: str, checkpoint: str,
         spark = batch.sparkSession
         rows = conform(batch) if conform else batch
         last = last_committed(spark, snapshot_root, below=batch_id)
-        prev = read_version(spark, snapshot_root, last) if last is not None else None
+        prev = read_slot(spark, snapshot_root, last[1]) if last is not None else None
         if prev is None:
             latest = keep_latest(rows, keys, order)
         else:
             rows = rows.select(*prev.columns)
             latest = merge_latest(prev, rows, keys, order)
-        latest.write.mode("overwrite").parquet(version_path(snapshot_root, batch_id))
-        spark.range(1).select(F.lit(batch_id).cast("bigint").alias("version")) \
+        slot = 0 if last is None else 1 - last[1]
+        (latest.withColumn("slot", F.lit(slot))
+               .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+               .partitionBy("slot").parquet(data_path(snapshot_root)))
+        spark.range(1).select(F.lit(batch_id).cast("bigint").alias("version"),
+                              F.lit(slot).alias("slot")) \
             .write.mode("append").parquet(commit_log(snapshot_root))
 
     q = (bronze.writeStream.foreachBatch(fold)
@@ -95,21 +105,23 @@ def silver_stream(bronze: DataFrame, snapshot_root: str, checkpoint: str,
     return q
 
 
-def last_committed(spark: SparkSession, snapshot_root: str, below: int | None = None) -> int | None:
-    """Highest committed version id (optionally below ``below``), or None."""
+def last_committed(spark: SparkSession, snapshot_root: str,
+                   below: int | None = None) -> tuple[int, int] | None:
+    """(version, slot) of the highest committed version (optionally below
+    ``below``), or None."""
     try:
         log = spark.read.parquet(commit_log(snapshot_root))
     except AnalysisException:
         return None
     if below is not None:
         log = log.where(F.col("version") < below)
-    top = log.agg(F.max("version")).first()[0]
-    return None if top is None else int(top)
+    top = log.agg(F.max_by(F.struct("version", "slot"), "version").alias("t")).first()["t"]
+    return None if top is None else (int(top["version"]), int(top["slot"]))
 
 
 def latest_snapshot(spark: SparkSession, snapshot_root: str) -> DataFrame:
-    """The newest committed snapshot version."""
+    """The newest committed snapshot."""
     top = last_committed(spark, snapshot_root)
     if top is None:
         raise FileNotFoundError(f"no committed snapshot under {snapshot_root}")
-    return spark.read.parquet(version_path(snapshot_root, int(top)))
+    return spark.read.parquet(slot_path(snapshot_root, top[1]))

@@ -96,3 +96,18 @@ def test_bucketed_tables_join_without_shuffle(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
         spark.sql("DROP TABLE IF EXISTS strata_test_orders_b")
         spark.sql("DROP TABLE IF EXISTS strata_test_items_b")
+
+
+def test_silver_stream_keeps_two_slots(spark, tmp_dir):
+    src = os.path.join(tmp_dir, "in")
+    rows = spark.range(0, 400).selectExpr("id % 50 AS k", "id AS ts", "concat('v', id) AS v")
+    rows.repartition(4).write.parquet(src)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", "1").parquet(src)
+    snap = os.path.join(tmp_dir, "snap")
+    silver_stream(stream, snap, os.path.join(tmp_dir, "ck"), ["k"], ["ts"])
+    slots = sorted(d for d in os.listdir(os.path.join(snap, "data")) if d.startswith("slot="))
+    assert slots == ["slot=0", "slot=1"]
+    got = sorted(map(tuple, latest_snapshot(spark, snap).collect()))
+    want = sorted(map(tuple, rows.groupBy("k").agg(F.max("ts").alias("ts"))
+                      .selectExpr("k", "ts", "concat('v', ts) AS v").collect()))
+    assert got == want
