@@ -3,9 +3,9 @@
 ``row_number`` is not allowed on a stream and a table cannot be
 overwritten while it is read, so each micro-batch (``foreachBatch``)
 folds its rows into the previous snapshot and writes the next snapshot
-into the *other* of two slots (``data/slot=0|1``, double buffering with a
-per-write dynamic partition overwrite, so only that slot is replaced and
-storage stays at two copies).  After the write, (batch id, slot) is
+into the *other* of two slots (``data/slot=0|1``, double buffering: the
+slot being replaced is never the one being read, and storage stays at
+two copies).  After the write, (batch id, slot) is
 appended to a small commit log (``committed/``); readers take the slot of
 the highest committed version, so a half-written slot is never read.  A
 retried batch folds the same committed input into the same slot, so
@@ -90,9 +90,8 @@ def silver_stream(bronze: DataFrame, snapshot_root: str, checkpoint: str,
             rows = rows.select(*prev.columns)
             latest = merge_latest(prev, rows, keys, order)
         slot = 0 if last is None else 1 - last[1]
-        (latest.withColumn("slot", F.lit(slot))
-               .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-               .partitionBy("slot").parquet(data_path(snapshot_root)))
+        # the slot being replaced is not the one being read
+        latest.write.mode("overwrite").parquet(slot_path(snapshot_root, slot))
         spark.range(1).select(F.lit(batch_id).cast("bigint").alias("version"),
                               F.lit(slot).alias("slot")) \
             .write.mode("append").parquet(commit_log(snapshot_root))
