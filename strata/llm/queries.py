@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from strata.llm.ngram_jaccard import op8_ngram_jaccard
 from strata.llm.quality_rules import op9_quality_rules
 from strata.llm.secret_scan import op1_secret_scan
 from strata.llm.word_bpe import op3_word_bpe
@@ -9,6 +10,7 @@ from strata.llm.word_bpe import op3_word_bpe
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op3_word_bpe": op3_word_bpe,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_quality_rules": op9_quality_rules,
 }
 SQL: dict[str, str] = {}
