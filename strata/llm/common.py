@@ -49,3 +49,30 @@ def ascii_lower(c: Column) -> Column:
 def id_part(c: Column, parts: int) -> Column:
     """crc32 of the id written as text, modulo ``parts`` (null ids: null)."""
     return F.crc32(c.cast("string").cast("binary")) % parts
+
+
+#: Slots of the filters below: what is broadcast is this many integers at most.
+SLOTS = 1 << 20
+
+
+def slot(*keys: Column) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(SLOTS)).cast("int")
+
+
+def slots_of(df: DataFrame, *keys: str) -> DataFrame:
+    """The slots that the keys of ``df`` fall in, to be broadcast whatever its size."""
+    return F.broadcast(df.select(slot(*[col(k) for k in keys]).alias("slot")).distinct())
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` whose id is not in ``gone`` (one column of that name); null ids stay.
+
+    Rows whose slot holds no id of ``gone`` pass without a shuffle; only the rest,
+    in proportion to ``gone``, meet it in an exact join."""
+    s = fresh(docs, "slot")
+    taken = slots_of(gone, id_col).withColumnRenamed("slot", s)
+    d = docs.withColumn(s, slot(col(id_col)))
+    clear = d.join(taken, s, "left_anti")
+    rest = d.join(taken, s, "left_semi").join(gone, id_col, "left_anti")
+    names = [col(c) for c in docs.columns]
+    return clear.select(*names).unionByName(rest.select(*names))

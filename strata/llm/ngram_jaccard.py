@@ -38,7 +38,7 @@ from pandas.util import hash_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import col, read_table, workers_import
+from strata.llm.common import col, read_table, slot, slots_of, without, workers_import
 from strata.llm.components import components
 from strata.session import materialize
 
@@ -230,10 +230,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = materialize(
         members.join(sizes, "cluster").join(classes.select("rep", "copies"), "rep")
                .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "members")
-    # texts of members only: a filter of at most 2 ** 20 slots, then the exact join on small rows
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 20)).cast("int")
-    slots = F.broadcast(members.select(slot(F.col("rep")).alias("slot")).distinct())
-    some = two.where("id is not null").withColumn("slot", slot(F.col("id"))).join(slots, "slot", "left_semi")
+    # texts of members only: a filter of fixed size, then the exact join on small rows
+    some = (two.where("id is not null").withColumn("slot", slot(col("id")))
+               .join(slots_of(members, "rep"), "slot", "left_semi"))
     sets = some.select("id", "text").mapInArrow(_sets(spec), "id long, tokens binary")
     dealt = (members.join(sets, members["rep"] == sets["id"])
                     .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -260,7 +259,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that id stay, and so do rows without an id."""
     j = jaccard_join(docs, id_col, text_col, spec)
     gone = j.where(col(id_col).isNotNull() & (col(id_col) != col("component_id"))).select(col(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*[col(c) for c in docs.columns])
+    return without(docs, materialize(gone, "gone"), id_col)
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from strata.llm.decontaminate import op10_decontaminate
 from strata.llm.ngram_jaccard import op8_ngram_jaccard
 from strata.llm.quality_rules import op9_quality_rules
 from strata.llm.secret_scan import op1_secret_scan
@@ -12,5 +13,6 @@ QUERIES = {
     "op3_word_bpe": op3_word_bpe,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_quality_rules": op9_quality_rules,
+    "op10_decontaminate": op10_decontaminate,
 }
 SQL: dict[str, str] = {}
