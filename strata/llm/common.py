@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,3 +77,11 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     rest = d.join(taken, s, "left_semi").join(gone, id_col, "left_anti")
     names = [col(c) for c in docs.columns]
     return clear.select(*names).unionByName(rest.select(*names))
+
+
+def slices(batches: Iterator, rows: int = 256) -> Iterator:
+    """Arrow arrays or record batches in pieces of at most ``rows``, so that a worker holds
+    the Python objects of a few hundred texts at a time, not of a whole Arrow batch."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)

@@ -38,7 +38,7 @@ from pandas.util import hash_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import col, read_table, slot, slots_of, without, workers_import
+from strata.llm.common import col, read_table, slices, slot, slots_of, without, workers_import
 from strata.llm.components import components
 from strata.session import materialize
 
@@ -93,7 +93,7 @@ def prefix_length(n: int, percent: int) -> int:
 def _sketch(spec: JoinSpec):
     """ids, texts -> id, set size, digest of the set, prefix."""
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n, digest, prefix = [], [], []
             for t in batch.column(1):
                 s = token_set(t.as_py(), spec.words)
@@ -112,7 +112,7 @@ def _sketch(spec: JoinSpec):
 def _sets(spec: JoinSpec):
     """ids, texts -> id, whole set as packed longs."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([token_set(t.as_py(), spec.words).tobytes() for t in batch.column(1)],
                                            pa.binary())], ["id", "tokens"])

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import SPACES, col, fresh, read_table, workers_import
+from strata.llm.common import SPACES, col, fresh, read_table, slices, workers_import
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines",
             "n_repeat_words", "n_letters", "n_upper", "n_exclaim")
@@ -118,7 +118,7 @@ def measure(text: str | None) -> tuple[int, ...]:
 
 
 def _measured(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in texts:
+    for batch in slices(texts):
         rows = np.array([measure(t.as_py()) for t in batch], dtype=np.int64).reshape(-1, len(MEASURES))
         yield pa.StructArray.from_arrays([pa.array(rows[:, i]) for i in range(len(MEASURES))], list(MEASURES))
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import col, fresh, read_table, workers_import
+from strata.llm.common import col, fresh, read_table, slices, workers_import
 from strata.session import materialize
 
 KINDS = ("assign", "access", "hex")
@@ -194,7 +194,7 @@ def _scan(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
     test = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("stratum", pa.int32()),
                                ("bin", pa.int32()), ("random", pa.bool_())]))
-    for batch in texts:
+    for batch in slices(texts):
         found = [(known := base_spans(t), random_runs(t, known)) for t in (x.as_py() or "" for x in batch)]
         yield pa.StructArray.from_arrays([
             pa.array([[dict(zip(("start", "kind", "end"), s)) for s in known] for known, _ in found], span),

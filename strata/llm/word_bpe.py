@@ -29,12 +29,12 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import col, read_table, workers_import
+from strata.llm.common import col, fresh, read_table, slices, workers_import
 
 #: Bytes up to which a word's ranks are scanned.
 SHORT = 96
 #: Pieces whose ids a worker remembers; twice as many at most are held.
-REMEMBERED = 600_000
+REMEMBERED = 150_000
 END = "</w>"
 
 # The word pattern of this vocabulary, and what it calls white space.
@@ -205,7 +205,7 @@ def encoder(docs: DataFrame, path: str):
 
     def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoded = load(shared.value)
-        for batch in texts:
+        for batch in slices(texts):
             yield pa.array([encoded(t.as_py()) for t in batch], pa.binary())
 
     return F.arrow_udf(encode, "binary")
@@ -217,7 +217,7 @@ def decoder(docs: DataFrame, path: str):
 
     def decode(packed: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocabulary = load(shared.value).vocabulary
-        for batch in packed:
+        for batch in slices(packed):
             yield pa.array([decode_ids(x.as_py(), vocabulary) for x in batch], pa.string())
 
     return F.arrow_udf(decode, "string")
@@ -225,10 +225,21 @@ def decoder(docs: DataFrame, path: str):
 
 def encode_decode(docs: DataFrame, path: str, text_col: str = "text",
                   ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
-    """``docs`` with the packed ids of the text and the text decoded from those ids.
-    Columns already so named are replaced."""
-    return (docs.withColumn(ids_col, encoder(docs, path)(col(text_col)))
-                .withColumn(decoded_col, decoder(docs, path)(col(ids_col))))
+    """``docs`` with the packed ids of the text and the text decoded from those ids, in
+    one pass of one worker.  Columns already so named are replaced."""
+    shared = _file(docs, path)
+
+    def code(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoded = load(shared.value)
+        for batch in slices(texts):
+            ids = [encoded(t.as_py()) for t in batch]
+            yield pa.StructArray.from_arrays(
+                [pa.array(ids, pa.binary()),
+                 pa.array([decode_ids(x, encoded.vocabulary) for x in ids], pa.string())], ["ids", "decoded"])
+
+    c = fresh(docs, "coded")
+    return (docs.withColumn(c, F.arrow_udf(code, "ids binary, decoded string")(col(text_col)))
+                .withColumn(ids_col, col(c)["ids"]).withColumn(decoded_col, col(c)["decoded"]).drop(c))
 
 
 def unpack(ids: Column) -> Column:
