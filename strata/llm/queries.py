@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+from strata.llm.chat_prefixes import OP5_SQL, op5_chat_prefixes
 from strata.llm.decontaminate import op10_decontaminate
 from strata.llm.ngram_jaccard import op8_ngram_jaccard
 from strata.llm.quality_rules import op9_quality_rules
 from strata.llm.secret_scan import op1_secret_scan
+from strata.llm.warc_normalise import OP6_SQL, op6_warc_normalise
 from strata.llm.word_bpe import op3_word_bpe
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op3_word_bpe": op3_word_bpe,
+    "op5_chat_prefixes": op5_chat_prefixes,
+    "op6_warc_normalise": op6_warc_normalise,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontaminate": op10_decontaminate,
 }
-SQL: dict[str, str] = {}
+SQL = {
+    "op5_chat_prefixes": OP5_SQL,
+    "op6_warc_normalise": OP6_SQL,
+}
