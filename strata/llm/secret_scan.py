@@ -226,25 +226,22 @@ def find_secrets(docs: DataFrame, text_col: str = "text", out: str = "secrets",
     """``docs`` with a column ``out``: array<struct<start, kind, end>> of all finds in
     order; kinds are those of KINDS, then the encodings of random runs.
 
-    One pass over the texts; its (small) finds are stored once and both the
-    corpus-wide thresholds and the result are read from them."""
-    return _decided(*_scanned(docs, text_col), out, fdr)
-
-
-def _scanned(docs: DataFrame, text_col: str) -> tuple[DataFrame, str]:
+    The texts are scanned twice, for the corpus-wide thresholds and for the
+    result, so that nothing of their size is stored or shuffled."""
     workers_import(docs.sparkSession)
     s = fresh(docs, "scan")
-    return materialize(docs.withColumn(s, scan(col(text_col))), "secrets"), s
+    at_least = thresholds(docs.select(scan(col(text_col))["tests"].alias("tests")), "tests", fdr)
+    return _decided(docs.withColumn(s, scan(col(text_col))), s, out, at_least)
 
 
-def _decided(stored: DataFrame, s: str, out: str, fdr: float) -> DataFrame:
-    at_least = F.array(*[F.lit(b) for b in thresholds(stored.select(col(s)["tests"].alias("tests")), "tests", fdr)])
+def _decided(scanned: DataFrame, s: str, out: str, at_least: list[int]) -> DataFrame:
+    at_least = F.array(*[F.lit(b) for b in at_least])
     added = F.transform(
         F.filter(col(s)["tests"], lambda t: t["random"] & (t["bin"] >= at_least[t["stratum"]])),
         lambda t: F.struct(t["start"].alias("start"),
                            (len(KINDS) + F.floor(t["stratum"] / len(LENGTHS))).cast("int").alias("kind"),
                            t["end"].alias("end")))
-    return stored.withColumn(out, F.array_sort(F.concat(col(s)["base"], added))).drop(s)
+    return scanned.withColumn(out, F.array_sort(F.concat(col(s)["base"], added))).drop(s)
 
 
 def span_text(spans: Column) -> Column:
@@ -285,7 +282,8 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     workers_import(spark)
     stored = materialize(docs.select("doc_id", scan(col("text")).alias("scan")), "secrets")
-    found = _decided(stored, "scan", "secrets", FDR)
+    at_least = thresholds(stored.select(col("scan")["tests"].alias("tests")), "tests", FDR)
+    found = _decided(stored, "scan", "secrets", at_least)
     base = F.filter(col("secrets"), lambda x: x["kind"] < len(KINDS))
     n = lambda k: F.size(F.filter(col("secrets"), lambda x: x["kind"] == k)).cast("long")
     return found.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"),

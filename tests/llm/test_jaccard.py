@@ -18,8 +18,15 @@ def plain_sets(text, k=3):
     return {tuple(w[i:i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
 
 
-def plain_join(docs, percent=90):
-    sets = {i: plain_sets(t) for i, t in docs if i is not None}
+def linked_pairs(sets, percent):
+    for a, b in combinations(sorted(sets), 2):
+        x, y = sets[a], sets[b]
+        if x and y and 100 * len(x & y) >= percent * len(x | y):
+            yield a, b
+
+
+def find_roots(sets, percent):
+    """id -> least id that it reaches."""
     root = {i: i for i in sets}
 
     def find(i):
@@ -27,15 +34,20 @@ def plain_join(docs, percent=90):
             i = root[i]
         return i
 
+    for a, b in linked_pairs(sets, percent):
+        p, q = sorted((find(a), find(b)))
+        root[q] = p
+    return {i: find(i) for i in sets}
+
+
+def plain_join(docs, percent=90):
+    sets = {i: plain_sets(t) for i, t in docs if i is not None}
+    roots = find_roots(sets, percent)
     links = dict.fromkeys(sets, 0)
-    for a, b in combinations(sorted(sets), 2):
-        x, y = sets[a], sets[b]
-        if x and y and 100 * len(x & y) >= percent * len(x | y):
-            links[a] += 1
-            links[b] += 1
-            p, q = sorted((find(a), find(b)))
-            root[q] = p
-    return {i: (len(s), find(i), links[i]) for i, s in sets.items()}
+    for pair in linked_pairs(sets, percent):
+        for i in pair:
+            links[i] += 1
+    return {i: (len(s), roots[i], links[i]) for i, s in sets.items()}
 
 
 def got(df):
