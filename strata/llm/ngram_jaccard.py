@@ -4,20 +4,22 @@ A document's set is its distinct n-gram hashes.  Equal sets form a class and onl
 one set of a class is joined.  With a similarity of at least t, a set of n tokens
 misses at most e = n - ceil(t n) of them in its partner, so:
 
-1. *Extended prefix*: the e + 2 + e/2 tokens of least hash.  Of two linked sets,
-   the one whose prefix ends first loses at most e prefix tokens, and all that
-   remain are in the prefix of the other.
-2. *Signatures*: of its prefix a set picks the rarest tokens (rarity over all
-   prefixes) until they weigh e + 1.  A rare token weighs one and is a signature
-   itself.  k frequent tokens weigh k - 1, and their signatures are their pairs:
-   one pair at least survives e losses.  Most sets pick tokens that no other set
-   has and so are finished here.
-3. *Candidates*: sets with a signature of another set, of compatible size, in
-   their prefix are tied to one leader of that signature: rows stay linear in
-   the prefixes, never pairs.  Connected candidates form a cluster.
-4. *Verification*: a cluster's whole sets are compared exactly, in blocks of
-   bounded size; clusters of any size are dealt out over block pairs.  A block
-   pair returns a spanning forest of its links, and link counts, not pairs.
+1. *Extended prefix*: the L = 2 e + 2 tokens of least hash.  Of two linked sets, the
+   one whose prefix ends first shares at least L - e of it with the other's.
+   Tokens that no other prefix has can't be shared; the rest fall in classes by
+   the number of prefixes that have them.
+2. *Rare tokens* (in ``rare`` prefixes at most) are indexed singly.  Sets that meet
+   in them are counted pair by pair, a few for each token, and a pair is a
+   candidate when it shares all that its frequent tokens can't make up for.
+3. *Frequent tokens*: linked sets that share no rare token share L - e frequent ones.
+   A set that has so many picks the least frequent of them until one signature at
+   least must be shared: up to ``frequent`` prefixes a token is a signature; beyond,
+   k tokens weigh k - 1 and their pairs are the signatures.  Sets of compatible
+   size with a picked signature in their prefix are tied to one leader of it:
+   rows stay linear in the prefixes, however many sets share the signature.
+4. *Verification*: the whole sets of connected candidates are compared exactly, in
+   blocks of bounded size; clusters of any size are dealt out over block pairs.  A
+   block pair returns a spanning forest of its links, and link counts, not pairs.
 
 Defined results: null or empty texts have an empty set, no links and themselves
 as component; a null id has no component; an empty table gives an empty result;
@@ -45,13 +47,14 @@ from strata.session import materialize
 
 @dataclass(frozen=True)
 class JoinSpec:
-    """n-gram length, similarity in percent, prefixes from which on a token is
-    frequent, and sets per block of a verification."""
+    """n-gram length, similarity in percent, prefixes up to which a token is rare,
+    prefixes beyond which tokens are indexed by pairs, and sets in a block."""
 
     words: int = 3
     percent: int = 90
+    rare: int = 16
     frequent: int = 1000
-    block: int = 1000
+    block: int = 3000
 
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
@@ -86,8 +89,7 @@ def may_miss(n: Column | int, percent: int):
 
 
 def prefix_length(n: int, percent: int) -> int:
-    e = may_miss(n, percent)
-    return min(n, e + 2 + (e + 1) // 2)
+    return min(n, 2 * may_miss(n, percent) + 2)
 
 
 def _sketch(spec: JoinSpec):
@@ -131,40 +133,51 @@ def candidates(classes: DataFrame, spec: JoinSpec) -> DataFrame:
     multi = classes.where("n > 1")
     rows = multi.select("rep", "n", F.explode("prefix").alias("token"))
     shared = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    # only tokens that others have: what a set has alone counts, but can't be met
     met = materialize(rows.join(shared, "token").select("rep", "n", "token", "df"), "met")
     e = may_miss(F.col("n"), spec.percent)
-    length = F.least(F.col("n"), e + 2 + F.floor((e + 1) / 2)).cast("int")
-    own = (met.groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
-              .withColumn("need", e + 1 - (length - F.size("t"))).where("need > 0")
-              .withColumn("rare", F.filter(F.slice("t", 1, F.col("need")), lambda x: x["df"] <= spec.frequent))
-              .withColumn("often", F.when(F.size("rare") < F.col("need"),
-                                          F.slice(F.filter("t", lambda x: x["df"] > spec.frequent), 1,
-                                                  F.col("need") - F.size("rare") + 1)))
+    must = F.least(F.col("n"), 2 * e + 2) - e  # shared with a linked set, if this prefix ends first
+    often = F.col("df") > spec.rare
+    own = (met.groupBy("rep", "n").agg(F.count(F.when(often, 1)).cast("int").alias("n_often"),
+                                       F.array_sort(F.collect_list(F.when(often, F.struct("df", "token")))).alias("t"))
+              .withColumn("lacks", must - F.col("n_often")))
+    own = materialize(own, "prefixes")
+    # rare tokens: pairs within groups of at most ``rare`` sets
+    few = met.where(~often).join(own.select("rep", "lacks"), "rep")
+    few = few.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("rep", "n", "lacks"))).alias("g"))
+    both = few.select(F.inline(F.flatten(F.transform("g", lambda x, i: F.transform(
+        F.slice("g", i + 2, F.size("g")), lambda y: F.struct(
+            x["rep"].alias("a"), y["rep"].alias("b"), F.least(x["lacks"], y["lacks"]).alias("lacks"),
+            (100 * F.least(x["n"], y["n"]) >= spec.percent * F.greatest(x["n"], y["n"])).alias("near")))))))
+    by_rare = (both.where("near").groupBy("a", "b").agg(F.count("*").alias("both"), F.min("lacks").alias("lacks"))
+                   .where("both >= lacks").select("a", "b"))
+    # frequent tokens: the rarest, until they outweigh what may be missed
+    own = (own.where("lacks <= 0").withColumn("need", F.lit(1) - F.col("lacks"))
+              .withColumn("single", F.filter(F.slice("t", 1, F.col("need")), lambda x: x["df"] <= spec.frequent))
+              .withColumn("paired", F.when(F.size("single") < F.col("need"),
+                                           F.slice(F.filter("t", lambda x: x["df"] > spec.frequent), 1,
+                                                   F.col("need") - F.size("single") + 1)))
               .withColumn("size", _size_class(F.col("n"), spec.percent)))
-    own = materialize(own.select("rep", "size", F.transform("rare", lambda x: x["token"]).alias("rare"),
-                                 F.array_sort(F.transform("often", lambda x: x["token"])).alias("often")), "picked")
+    own = materialize(own.select("rep", "size", F.transform("single", lambda x: x["token"]).alias("single"),
+                                 F.array_sort(F.transform("paired", lambda x: x["token"])).alias("paired")), "picked")
     near = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
-    sized = met.withColumn("size", _size_class(F.col("n"), spec.percent))
-    # rare tokens
-    picked = own.select("rep", "size", F.explode("rare").alias("token")).select(
+    sized = met.where(often).withColumn("size", _size_class(F.col("n"), spec.percent))
+    picked = own.select("rep", "size", F.explode("single").alias("token")).select(
         "rep", "token", "size", near.alias("d")).select("rep", "token", (F.col("size") + F.col("d")).alias("size"))
     lead = picked.groupBy("token", "size").agg(F.min("rep").alias("a"))
     by_one = (sized.join(lead, ["token", "size"]).select("a", F.col("rep").alias("b"))
                    .union(picked.join(lead, ["token", "size"]).select("a", F.col("rep").alias("b"))))
-    # pairs of frequent tokens, among sets of a size that a picking set can be linked with
-    often = own.where("often is not null")
-    wide = often.select("rep", "often", "size", near.alias("d")).select(
-        "rep", "often", (F.col("size") + F.col("d")).alias("size"))
-    pairs = wide.select("rep", "size", _pairs("often"))
+    # pairs of the most frequent, among sets of a size that a picking set can be linked with
+    wide = own.where("paired is not null").select("rep", "paired", "size", near.alias("d")).select(
+        "rep", "paired", (F.col("size") + F.col("d")).alias("size"))
+    pairs = wide.select("rep", "size", _pairs("paired"))
     lead2 = pairs.groupBy("p", "q", "size").agg(F.min("rep").alias("a"))
-    asked = wide.select("size", F.explode("often").alias("token")).distinct()
+    asked = wide.select("size", F.explode("paired").alias("token")).distinct()
     have = (sized.join(asked, ["token", "size"]).groupBy("rep", "size")
                  .agg(F.array_sort(F.collect_list("token")).alias("have")))
     by_two = (have.select("rep", "size", _pairs("have")).join(lead2, ["p", "q", "size"])
                   .select("a", F.col("rep").alias("b"))
                   .union(pairs.join(lead2, ["p", "q", "size"]).select("a", F.col("rep").alias("b"))))
-    return by_one.union(by_two).where("a <> b").distinct()
+    return by_rare.union(by_one).union(by_two).where("a <> b").distinct()
 
 
 def _pairs(tokens: str) -> Column:
@@ -174,39 +187,74 @@ def _pairs(tokens: str) -> Column:
         F.slice(t, i + 2, F.size(t)), lambda q: F.struct(p.alias("p"), q.alias("q"))))))
 
 
+#: Sets of a block pair up to which a token is counted pair by pair; beyond, by a matrix product.
+SPARSE = 48
+
+
+def intersections(tok: np.ndarray, row: np.ndarray, n_a: int, n_b: int) -> np.ndarray:
+    """Tokens that each of ``n_a`` sets shares with each of ``n_b``.
+
+    ``tok``, ``row``: one entry per token of a set; rows from ``n_a`` on are the second
+    block's."""
+    order = np.argsort(tok, kind="stable")
+    tok, row = tok[order], row[order]
+    first = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]]) if len(tok) else np.zeros(0, np.int64)
+    df = np.diff(np.r_[first, len(tok)])
+    out = np.zeros(n_a * n_b, np.int64)
+    for d in np.unique(df):
+        if not 2 <= d <= SPARSE:
+            continue
+        at = first[df == d]
+        step = max(1, 4_000_000 // int(d * d))
+        for k in range(0, len(at), step):
+            r = row[at[k:k + step, None] + np.arange(d)]
+            p, q = np.broadcast_arrays(r[:, :, None], r[:, None, :])
+            cross = (p < n_a) & (q >= n_a)
+            code, n = np.unique(p[cross] * n_b + (q[cross] - n_a), return_counts=True)
+            out[code] += n
+    out = out.reshape(n_a, n_b)
+    hot = first[df > SPARSE]
+    width = max(1, 8_000_000 // max(1, n_a + n_b))
+    sizes = df[df > SPARSE]
+    for k in range(0, len(hot), width):
+        m = np.zeros((n_a + n_b, len(hot[k:k + width])), np.float32)
+        for c, (f, d) in enumerate(zip(hot[k:k + width], sizes[k:k + width])):
+            m[row[f:f + d], c] = 1
+        out += (m[:n_a] @ m[n_a:].T).astype(np.int64)  # exact: counts stay far under 2 ** 24
+    return out
+
+
 def _verify(spec: JoinSpec):
     """One pair of blocks of a cluster: forest edges and link counts of its sets."""
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        pdf = pdf.sort_values("rep").drop_duplicates("rep")
-        sets = [np.frombuffer(x, np.int64) for x in pdf["tokens"]]
-        rep, block, copies = pdf["rep"].to_numpy(), pdf["block"].to_numpy(), pdf["copies"].to_numpy()
-        n = np.array([len(s) for s in sets])
-        flat = np.concatenate(sets)
-        _, tok, df = np.unique(flat, return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(len(sets)), n)
-        keep = df[tok] > 1  # the others are in no intersection
-        tok, row = np.unique(tok[keep], return_inverse=True)[1] if keep.any() else tok[keep], row[keep]
-        inter = np.zeros((len(sets), len(sets)), np.float32)
-        width = max(1, 16_000_000 // len(sets))
-        for at in range(0, int(tok.max()) + 1 if len(tok) else 0, width):
-            part = (tok >= at) & (tok < at + width)
-            m = np.zeros((len(sets), width), np.float32)
-            m[row[part], tok[part] - at] = 1
-            inter += m @ m.T  # exact: counts stay far under 2 ** 24
-        inter = inter.astype(np.int64)
-        linked = 100 * inter >= spec.percent * (n[:, None] + n[None, :] - inter)
-        np.fill_diagonal(linked, False)
-        if i != j:  # links inside a block are found where it meets itself
-            linked &= (block[:, None] == i) & (block[None, :] == j) | (block[:, None] == j) & (block[None, :] == i)
-        label = np.arange(len(sets))
+        pdf = pdf.sort_values(["block", "rep"]).drop_duplicates("rep")
+        one, two = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
+        both = pd.concat([one, two])
+        sets = [np.frombuffer(x, np.int64) for x in both["tokens"]]
+        n = np.array([len(x) for x in sets])
+        tok = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+        inter = intersections(tok, np.repeat(np.arange(len(sets)), n), len(one), len(two))
+        n_a, n_b = n[:len(one)], n[len(one):]
+        linked = 100 * inter >= spec.percent * (n_a[:, None] + n_b[None, :] - inter)
+        if i == j:
+            np.fill_diagonal(linked, False)
+        rep_a, rep_b = one["rep"].to_numpy(), two["rep"].to_numpy()
+        links = [linked @ two["copies"].to_numpy()] + ([] if i == j else [linked.T @ one["copies"].to_numpy()])
+        # a forest: labels go to the least of a set's links until they stay
+        label = np.arange(len(both)) if i != j else np.arange(len(one))
+        a, b = np.nonzero(linked)
+        b = b + (len(one) if i != j else 0)
         while True:
-            low = np.minimum(label, np.where(linked, label[None, :], len(sets)).min(axis=1))
+            low = label.copy()
+            np.minimum.at(low, a, label[b])
+            np.minimum.at(low, b, label[a])
             low = low[low]
             if (low == label).all():
                 break
             label = low
-        return pd.DataFrame({"a": rep[label], "b": rep, "links": linked @ copies})
+        rep = rep_a if i == j else np.concatenate([rep_a, rep_b])
+        return pd.DataFrame({"a": rep[label], "b": rep, "links": np.concatenate(links)})
     return verify
 
 
@@ -223,7 +271,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
              .agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"),
                   F.first("prefix").alias("prefix")), "classes")
     cluster = components(candidates(classes, spec))
-    # each cluster's sets are dealt to blocks by their hash
+    # a cluster's sets are dealt to blocks by their hash
     members = cluster.select(F.col("node").alias("rep"), F.col("root").alias("cluster")).union(
         cluster.select(F.col("root").alias("rep"), F.col("root").alias("cluster"))).distinct()
     sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / spec.block).cast("int").alias("blocks"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from strata.llm.chat_prefixes import OP5_SQL, op5_chat_prefixes
 from strata.llm.decontaminate import op10_decontaminate
+from strata.llm.language_id import op2_language_id
 from strata.llm.ngram_jaccard import op8_ngram_jaccard
 from strata.llm.quality_rules import op9_quality_rules
 from strata.llm.secret_scan import op1_secret_scan
@@ -12,6 +13,7 @@ from strata.llm.word_bpe import op3_word_bpe
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_language_id": op2_language_id,
     "op3_word_bpe": op3_word_bpe,
     "op5_chat_prefixes": op5_chat_prefixes,
     "op6_warc_normalise": op6_warc_normalise,

@@ -4,6 +4,7 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from strata.llm import ngram_jaccard as J
@@ -40,8 +41,8 @@ def find_roots(sets, percent):
     return {i: find(i) for i in sets}
 
 
-def plain_join(docs, percent=90):
-    sets = {i: plain_sets(t) for i, t in docs if i is not None}
+def plain_join(docs, percent=90, words=3):
+    sets = {i: plain_sets(t, words) for i, t in docs if i is not None}
     roots = find_roots(sets, percent)
     links = dict.fromkeys(sets, 0)
     for pair in linked_pairs(sets, percent):
@@ -77,11 +78,24 @@ def near_copies(rng, n_groups=6, size=25):
     return list(enumerate(docs, 1))
 
 
-@pytest.mark.parametrize("spec", [J.JoinSpec(frequent=2, block=7), J.JoinSpec(frequent=6), J.JoinSpec()])
+@pytest.mark.parametrize("spec", [J.JoinSpec(rare=2, frequent=3, block=7), J.JoinSpec(rare=4, frequent=9),
+                                  J.JoinSpec(percent=70, words=2, rare=3, frequent=5, block=40), J.JoinSpec()])
 def test_near_copies_with_hot_lines(spark, spec):
-    docs = near_copies(random.Random(spec.frequent))
+    docs = near_copies(random.Random(spec.frequent + spec.percent))
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    assert got(J.jaccard_join(df, spec=spec)) == plain_join(docs)
+    sets = {i: len(plain_sets(t, spec.words)) for i, t in docs}
+    want = {i: (sets[i], c, n) for i, (_, c, n) in plain_join(docs, spec.percent, spec.words).items()}
+    assert got(J.jaccard_join(df, spec=spec)) == want
+
+
+def test_intersections():
+    rng = random.Random(1)
+    sets = [sorted({rng.choice([rng.randrange(6), rng.randrange(400)]) for _ in range(rng.randrange(30))})
+            for _ in range(150)]
+    tok = np.array([t for x in sets for t in x])
+    row = np.repeat(np.arange(150), [len(x) for x in sets])
+    got = J.intersections(tok, row, 60, 90)
+    assert got.tolist() == [[len(set(x) & set(y)) for y in sets[60:]] for x in sets[:60]]
 
 
 def test_odd_rows(spark):
