@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from strata.llm.chat_prefixes import OP5_SQL, op5_chat_prefixes
+from strata.llm.context_tree import op7_context_tree
 from strata.llm.decontaminate import op10_decontaminate
 from strata.llm.language_id import op2_language_id
 from strata.llm.ngram_jaccard import op8_ngram_jaccard
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_word_bpe": op3_word_bpe,
     "op5_chat_prefixes": op5_chat_prefixes,
     "op6_warc_normalise": op6_warc_normalise,
+    "op7_context_tree": op7_context_tree,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontaminate": op10_decontaminate,
