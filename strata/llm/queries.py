@@ -8,6 +8,7 @@ from strata.llm.decontaminate import op10_decontaminate
 from strata.llm.language_id import op2_language_id
 from strata.llm.ngram_jaccard import op8_ngram_jaccard
 from strata.llm.quality_rules import op9_quality_rules
+from strata.llm.run_index import op4_run_index
 from strata.llm.secret_scan import op1_secret_scan
 from strata.llm.warc_normalise import OP6_SQL, op6_warc_normalise
 from strata.llm.word_bpe import op3_word_bpe
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_language_id": op2_language_id,
     "op3_word_bpe": op3_word_bpe,
+    "op4_run_index": op4_run_index,
     "op5_chat_prefixes": op5_chat_prefixes,
     "op6_warc_normalise": op6_warc_normalise,
     "op7_context_tree": op7_context_tree,
