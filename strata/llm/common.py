@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,3 +86,25 @@ def slices(batches: Iterator, rows: int = 256) -> Iterator:
     for batch in batches:
         for at in range(0, len(batch), rows):
             yield batch.slice(at, rows)
+
+
+#: Bits of a bitmap of keys: 8 MB whatever the number of keys.
+BITS = 1 << 26
+_ROW = 32768
+
+
+def bitmap(keys: DataFrame, key: str) -> np.ndarray:
+    """One bit for each long in ``key``, at its value modulo BITS; set bits are combined
+    per task, and at most BITS / 8 bytes reach the driver."""
+    at = F.pmod(col(key), F.lit(BITS)) + 1
+    rows = (keys.select(F.bitmap_bucket_number(at).alias("r"), F.bitmap_bit_position(at).alias("p"))
+                .groupBy("r").agg(F.bitmap_construct_agg("p").alias("bits")).collect())
+    out = np.zeros(BITS // 8, np.uint8)
+    for r in rows:
+        out[(r.r - 1) * _ROW // 8:r.r * _ROW // 8] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys % BITS
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)

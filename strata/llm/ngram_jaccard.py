@@ -40,7 +40,8 @@ from pandas.util import hash_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import col, read_table, slices, slot, slots_of, without, workers_import
+from strata.llm.common import (bitmap, col, in_bitmap, read_table, slices, slot, slots_of, without,
+                               workers_import)
 from strata.llm.components import components
 from strata.session import materialize
 
@@ -53,7 +54,7 @@ class JoinSpec:
     words: int = 3
     percent: int = 90
     rare: int = 16
-    frequent: int = 1000
+    frequent: int = 12_000
     block: int = 3000
 
 
@@ -121,6 +122,21 @@ def _sets(spec: JoinSpec):
     return sets
 
 
+def _repeated(shared):
+    """Prefixes -> one row per token that the bitmap holds."""
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in slices(batches, 4096):
+            prefix = batch.column(2)
+            token = prefix.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(batch)), np.diff(prefix.offsets.to_numpy()))
+            keep = in_bitmap(bits, token)
+            at = pa.array(row[keep])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(token[keep])],
+                                             ["rep", "n", "token"])
+    return repeated
+
+
 def _size_class(n: Column, percent: int) -> Column:
     """Sizes of linked sets are in the same or in neighbouring classes."""
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(100 / percent)) + F.lit(1e-9)).cast("int")
@@ -131,8 +147,11 @@ def candidates(classes: DataFrame, spec: JoinSpec) -> DataFrame:
 
     ``classes``: rep (a long), n, prefix.  A set of one token has no partner."""
     multi = classes.where("n > 1")
-    rows = multi.select("rep", "n", F.explode("prefix").alias("token"))
-    shared = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    tokens = multi.select(F.explode("prefix").alias("token"))
+    shared = materialize(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shared")
+    # only tokens that others have: what a set has alone counts, but can't be met
+    bits = classes.sparkSession.sparkContext.broadcast(bitmap(shared, "token"))
+    rows = multi.select("rep", "n", "prefix").mapInArrow(_repeated(bits), "rep long, n int, token long")
     met = materialize(rows.join(shared, "token").select("rep", "n", "token", "df"), "met")
     e = may_miss(F.col("n"), spec.percent)
     must = F.least(F.col("n"), 2 * e + 2) - e  # shared with a linked set, if this prefix ends first
@@ -282,7 +301,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     some = (two.where("id is not null").withColumn("slot", slot(col("id")))
                .join(slots_of(members, "rep"), "slot", "left_semi"))
     sets = some.select("id", "text").mapInArrow(_sets(spec), "id long, tokens binary")
-    dealt = (members.join(sets, members["rep"] == sets["id"])
+    # both sides grow with the copies: by shuffle at every size
+    dealt = (members.join(sets.hint("merge"), members["rep"] == sets["id"])
                     .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
                     .select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
                             "rep", "block", "copies", "tokens"))
