@@ -1,10 +1,10 @@
-"""Exact casts and typed defaults (SC9, PR4)."""
+"""Exact casts (SC9)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, DecimalType, IntegerType
+from pyspark.sql.types import DecimalType, IntegerType
 
 
 def _c(c) -> Column:
@@ -19,9 +19,3 @@ def try_decimal(col, precision: int = 18, scale: int = 2) -> Column:
 
 def try_int(col) -> Column:
     return F.trim(_c(col).cast("string")).try_cast(IntegerType())
-
-
-def typed_default(col, value, dtype: DataType | str) -> Column:
-    """``coalesce(col, value)`` with the literal cast to the column's type, so
-    a decimal column stays decimal (an untyped ``lit(0.00)`` makes it double)."""
-    return F.coalesce(_c(col), F.lit(value).cast(dtype))

@@ -12,29 +12,21 @@ PAYMENT_METHODS = {"cc": "Credit Card", "paypal": "PayPal", "giftcard": "Gift Ca
 ACCOUNT_TYPES = {"SV": "Savings", "CH": "Checking", "CD": "Certificate of Deposit"}
 ACCOUNT_STATUSES = {"A": "Active", "I": "Inactive", "D": "Dormant"}
 
-# Up to this many codes a CASE chain is used; beyond it a literal map lookup
-# (one hash probe per row, still inside codegen).  Dictionaries that are
-# data, not code, go through ``operators.joins.map_codes_join``.
-_CASE_LIMIT = 16
-
-
-def map_codes(col, mapping: Mapping[str, str], default: str | None = None,
-              trim: bool = False) -> Column:
-    """Exact, case-sensitive code lookup; unmapped or NULL -> ``default``."""
-    c = F.col(col) if isinstance(col, str) else col
+def map_codes(col, mapping: Mapping, default: str | None = None, trim: bool = False) -> Column:
+    """Exact, case-sensitive code lookup; unmapped or NULL -> ``default``.
+
+    One form whatever the number of codes: a literal map, probed by the text of
+    the column (so a numeric code column works too).  A code that is mapped to
+    ``None`` gives NULL, not the default.  Dictionaries that are data, not code,
+    go through ``operators.joins.map_codes_join``."""
+    c = (F.col(col) if isinstance(col, str) else col).cast("string")
     if trim:
         c = F.trim(c)
     if not mapping:
         return F.lit(default).cast("string")
-    items = list(mapping.items())
-    if len(items) <= _CASE_LIMIT:
-        k0, v0 = items[0]
-        out = F.when(c == F.lit(k0), F.lit(v0))
-        for k, v in items[1:]:
-            out = out.when(c == F.lit(k), F.lit(v))
-        return out.otherwise(F.lit(default))
-    m = F.create_map(*[F.lit(x) for kv in items for x in kv])
-    return F.coalesce(F.try_element_at(m, c), F.lit(default))
+    m = F.create_map(*[x for k, v in mapping.items() for x in (F.lit(str(k)), F.lit(v).cast("string"))])
+    return F.when(c.isNotNull() & F.map_contains_key(m, F.coalesce(c, F.lit(""))),
+                  F.try_element_at(m, c)).otherwise(F.lit(default))
 
 
 def codes_for(mapping: Mapping[str, str], value: str) -> list[str]:

@@ -31,53 +31,46 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-_LETTER_RUN = re.compile(r"([A-Za-z])\1*|'[^']*'|.", re.S)
+_RUN = re.compile(r"([A-Za-z])\1*|[^A-Za-z]")
+#: Runs of pattern letters whose every text this regex admits.
+_TOKENS = {**dict.fromkeys(("y", "yyyy", "u", "uuuu"), r"[+-]?\d+"),
+           **dict.fromkeys(("M", "MM", "d", "dd", "H", "HH", "h", "hh", "m", "mm", "s", "ss"), r"\d+"),
+           **{"S" * n: r"\d+" for n in range(1, 10)}, "MMM": r"\p{L}+\.?"}
+_PLAIN = set(" /-:.,T")
 
 
-def shape_regex(pattern: str) -> str:
-    """A loose regex every text the pattern can parse also matches.
+def shape_regex(pattern: str) -> str | None:
+    """A loose regex that every text the pattern can parse also matches, or None
+    for a pattern with any part that is not modelled here (optional sections,
+    quotes, eras, zones, ...): such a pattern is tried on every text.
 
-    A failed ``try_to_timestamp`` attempt is costly (the parser raises and
-    catches internally), so each pattern is only tried on text of its
-    shape.  The regex is deliberately permissive -- it may admit text the
-    parser then rejects, never the reverse -- so results are unchanged.
-    """
+    A failed ``try_to_timestamp`` is costly (the parser raises and catches
+    inside), so a modelled pattern is only tried on text of its shape."""
     out = []
-    for m in _LETTER_RUN.finditer(pattern):
+    for m in _RUN.finditer(pattern):
         tok = m.group(0)
-        ch = tok[0]
-        if tok.startswith("'"):
-            out.append(re.escape(tok[1:-1]) if len(tok) > 2 else "'")
-        elif ch.isalpha():
-            if ch in "MLE" and len(tok) >= 3:
-                out.append(r"\p{L}+\.?")           # month / weekday names
-            elif ch in "aB":
-                out.append(r"\p{L}+")
-            elif ch in "VzOXxZ":
-                out.append(r"\S+")
-            elif ch in "yuY":
-                out.append(r"[+-]?\d+")
-            else:
-                out.append(r"\d+")
-        else:
+        if tok in _TOKENS:
+            out.append(_TOKENS[tok])
+        elif tok in _PLAIN:
             out.append(re.escape(tok))
+        else:
+            return None
     return "^" + "".join(out) + "$"
 
 
+def _guarded(c: Column, pattern: str, parsed: Column) -> Column:
+    shape = shape_regex(pattern)
+    return parsed if shape is None else F.when(c.rlike(shape), parsed)
+
+
 def parse_ts(col, formats: Sequence[str] = DEFAULT_TS_FORMATS, ntz: bool = False) -> Column:
     """First pattern that parses wins; no match gives NULL, never an error."""
     c = F.trim(_c(col).cast("string"))
-    out = F.coalesce(*[F.when(c.rlike(shape_regex(f)), F.try_to_timestamp(c, F.lit(f)))
-                       for f in formats])
+    out = F.coalesce(*[_guarded(c, f, F.try_to_timestamp(c, F.lit(f))) for f in formats])
     return out.cast("timestamp_ntz") if ntz else out
 
 
 def parse_date(col, fmt: str = "yyyyMMdd") -> Column:
     """Fixed-width date text (e.g. mainframe ``OPEN_DT``); bad dates give NULL."""
     c = F.trim(_c(col).cast("string"))
-    return F.when(c.rlike(shape_regex(fmt)), F.try_to_date(c, fmt))
-
-
-def to_day(col) -> Column:
-    """Timestamp -> calendar date."""
-    return _c(col).cast("date")
+    return _guarded(c, fmt, F.try_to_date(c, fmt))

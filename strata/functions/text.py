@@ -36,6 +36,7 @@ def strip_text(col) -> Column:
 
 
 def _fence(language: str | None) -> str:
+    # Three or more backticks, a tag, its line, the body, the closing backticks.
     if language is None:
         # any first block; the tag match is case-sensitive here
         return r"(?s)`{3,}[^\n]*\n(.*?)\n`{3,}"

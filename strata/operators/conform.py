@@ -10,10 +10,10 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StringType
+from pyspark.sql.types import StringType
 
 from strata.functions.codes import map_codes
-from strata.functions.text import normalize_case, null_if_token
+from strata.functions.text import normalize_case
 
 
 def rename(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
@@ -54,12 +54,6 @@ def trim_strings(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame:
     return df.withColumns({c: F.trim(F.col(c)) for c in cols})
 
 
-def cast_columns(df: DataFrame, types: Mapping[str, DataType | str]) -> DataFrame:
-    """``try_cast`` each named column; a misfit becomes NULL.  Use
-    :func:`strata.sources.rescue.rescue_columns` to also keep the misfit text."""
-    return df.withColumns({c: F.col(c).try_cast(t) for c, t in types.items()})
-
-
 def fill_defaults(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
     """NULL -> default, with the literal cast to the column's own type."""
     dtypes = {f.name: f.dataType for f in df.schema.fields}
@@ -78,17 +72,6 @@ def with_code_map(df: DataFrame, col: str, mapping: Mapping[str, str], default:
     return df.withColumns(cols)
 
 
-def normalize_null_tokens(df: DataFrame, cols: Iterable[str],
-                          tokens: Iterable[str] = ("NULL",)) -> DataFrame:
-    """Literal ``NULL`` and blank text -> NULL in the given columns."""
-    tokens = tuple(tokens)
-    return df.withColumns({c: null_if_token(c, tokens) for c in cols})
-
-
 def normalize_case_columns(df: DataFrame, cols: Mapping[str, str | None]) -> DataFrame:
     """``upper(trim(c))`` per column; the mapping value is the NULL default."""
     return df.withColumns({c: normalize_case(c, d) for c, d in cols.items()})
-
-
-def drop_helpers(df: DataFrame, cols: Iterable[str]) -> DataFrame:
-    return df.drop(*cols)

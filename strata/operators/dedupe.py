@@ -12,9 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, MapType, StructType
-
-from strata.session import materialize
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 
 def _desc(c) -> Column:
@@ -23,74 +21,38 @@ def _desc(c) -> Column:
     return F.col(c).desc_nulls_last()
 
 
-def latest_order(order: Sequence, payload: Sequence[str]) -> list[Column]:
-    """The given ordering (strings mean ``DESC NULLS LAST``), then a hash of
-    the payload, then the payload itself: a total order, so the kept row
-    never depends on file or partition order."""
-    cols = [_desc(c) for c in order]
-    if payload:
-        cols.append(F.xxhash64(*[F.col(p) for p in payload]).desc())
-        cols.extend(F.col(p).desc_nulls_last() for p in payload)
-    return cols
+def _orderable(t: DataType) -> bool:
+    if isinstance(t, ArrayType):
+        return _orderable(t.elementType)
+    if isinstance(t, StructType):
+        return all(_orderable(f.dataType) for f in t.fields)
+    return not isinstance(t, (MapType, VariantType))
 
 
-def _payload(df: DataFrame, keys: Sequence[str]) -> list[str]:
-    """Columns usable as a tie-break: everything but the keys, minus
-    map / nested columns (not orderable)."""
-    bad = (MapType, ArrayType, StructType)
-    return [f.name for f in df.schema.fields
-            if f.name not in keys and not isinstance(f.dataType, bad)]
+def latest_order(df: DataFrame, keys: Sequence[str], order: Sequence) -> list[Column]:
+    """The given ordering (strings mean ``DESC NULLS LAST``), then every other
+    column that can be ordered (arrays and structs too), by name, likewise: a
+    total order, so the kept row never depends on file or partition order.
+    Only rows that differ in map columns alone are left to chance."""
+    done = {*keys, *(c for c in order if isinstance(c, str))}
+    rest = sorted(f.name for f in df.schema.fields if f.name not in done and _orderable(f.dataType))
+    return [_desc(c) for c in [*order, *rest]]
 
 
 def keep_latest(df: DataFrame, keys: Sequence[str], order: Sequence,
-                tiebreak: bool = True, rank_col: str = "_rn") -> DataFrame:
+                rank_col: str = "_rn") -> DataFrame:
     """One row per ``keys``: the first by ``order`` (latest first)."""
-    payload = _payload(df, keys) if tiebreak else []
-    w = Window.partitionBy(*keys).orderBy(*latest_order(order, payload))
+    w = Window.partitionBy(*keys).orderBy(*latest_order(df, keys, order))
     return (df.withColumn(rank_col, F.row_number().over(w))
               .where(F.col(rank_col) == 1)
               .drop(rank_col))
 
 
-ROW_ID = "_row_id"
-
-
-def tag_latest(df: DataFrame, keys: Sequence[str], order: Sequence,
-               rank_col: str = "_rn", stable_input: bool = False) -> DataFrame:
-    """Every row, with ``rank_col`` = 1 for the row ``keep_latest`` keeps and
-    2 for every row it drops.
-
-    No window over a whole key group: a key holding a third of all rows
-    would be sorted by one task.  Instead each row gets an id
-    (``monotonically_increasing_id``) and the id-tagged rows are written
-    once to the shared checkpoint folder, so every reader sees the same id
-    per row whatever the upstream (a shuffle output may be re-read in
-    another order).  The winner per key is found with the skew-safe
-    ``keep_latest`` (the id is the last tie-break, so exact copies still
-    have one winner), and rows are tagged by a join on the id, which is
-    spread evenly whatever the key distribution.
-
-    ``stable_input=True`` skips the write when the caller knows every
-    evaluation of ``df`` yields the same rows in the same partitions in the
-    same order -- true for a file scan followed by row-wise projections
-    (splits and row order are fixed by the files), not after a shuffle."""
-    ided = df.withColumn(ROW_ID, F.monotonically_increasing_id())
-    if not stable_input:
-        ided = materialize(ided, "tag-latest")
-    payload = _payload(df, keys)
-    w = Window.partitionBy(*keys).orderBy(*latest_order(order, payload), F.col(ROW_ID).desc())
-    winners = (ided.withColumn("_w", F.row_number().over(w)).where(F.col("_w") == 1)
-                   .select(F.col(ROW_ID).alias("_win_id")))
-    tagged = ided.join(winners, ided[ROW_ID] == winners["_win_id"], "left")
-    return (tagged.withColumn(rank_col, F.when(F.col("_win_id").isNotNull(), F.lit(1)).otherwise(F.lit(2)))
-                  .drop("_win_id", ROW_ID))
-
-
 def superseded(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
     """The rows ``keep_latest`` drops: the input minus the kept rows as a
     multiset (``EXCEPT ALL``).  That is a group-by over whole rows with
     map-side combining, so neither a hot key nor a hot group of exact
     copies is gathered by one task, and the result does not depend on
-    which of several exact copies was kept.  (Map-typed columns cannot be
-    grouped; use :func:`tag_latest` for such frames.)"""
+    which of several exact copies was kept.  Map-typed columns cannot be
+    grouped."""
     return df.exceptAll(keep_latest(df, keys, order))

@@ -34,30 +34,44 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 
 
 def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "left",
-                   max_broadcast_rows: int | None = BROADCAST_ROWS,
-                   known_small: bool = False) -> DataFrame:
-    """Enrich ``fact`` with ``dim``.  ``known_small`` is for dimensions bounded
-    by construction (a literal code list, ``region``); anything else is
-    counted first, and joined without a hint when over the bound."""
-    if known_small or (max_broadcast_rows is not None and fits_broadcast(dim, max_broadcast_rows)):
+                   max_broadcast_rows: int | None = BROADCAST_ROWS) -> DataFrame:
+    """Enrich ``fact`` with ``dim``, which is broadcast when it was counted to be
+    within the bound and joined without a hint otherwise."""
+    if max_broadcast_rows is not None and fits_broadcast(dim, max_broadcast_rows):
         dim = F.broadcast(dim)
     return fact.join(dim, on, how)
 
 
+def join_nullable(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
+                  max_broadcast_rows: int | None = BROADCAST_ROWS, spread: int = 1 << 10) -> DataFrame:
+    """Left join on a key that many fact rows lack.  A NULL key meets nothing, but
+    all such rows would be dealt to one partition; a second key, a hash of the
+    row where the key is NULL and 0 elsewhere, spreads them."""
+    if max_broadcast_rows is not None and fits_broadcast(dim, max_broadcast_rows):
+        return fact.join(F.broadcast(dim), fact[fact_key] == dim[dim_key], "left").drop(dim[dim_key])
+    salt = F.when(F.col(fact_key).isNull(), F.pmod(F.xxhash64(*fact.columns), F.lit(spread)) + 1).otherwise(F.lit(0))
+    f = fact.withColumn("_salt", salt)
+    # not a literal: a constant would fold the second key away
+    d = dim.withColumn("_salt_0", F.when(F.col(dim_key).isNull(), F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
+    return (f.join(d, (f[fact_key] == d[dim_key]) & (f["_salt"] == d["_salt_0"]), "left")
+             .drop(d[dim_key]).drop("_salt", "_salt_0"))
+
+
 def lookup_category(items: DataFrame, dim: DataFrame, key: str = "item_id",
                     category: str = "category", default: str = "Unknown",
                     max_broadcast_rows: int | None = BROADCAST_ROWS,
                     dedupe_dim: bool = False) -> DataFrame:
-    """Item -> category with a fallback for items the dimension lacks (J2).
+    """Item -> category with a fallback for items the dimension lacks (J2);
+    rows without an item are spread, not dealt to one task.
 
     The dimension key is its primary key (checked by a ``unique`` test), so
     by default the dimension is joined as is: de-duplicating it would cost
     a full shuffle of the dimension on every run.  ``dedupe_dim`` keeps one
     row per key for dimensions that are known to repeat rows."""
-    d = dim.select(key, category)
+    d = dim.select(F.col(key).alias("_dim_key"), category)
     if dedupe_dim:
-        d = d.dropDuplicates([key])
-    out = join_dimension(items, d, key, "left", max_broadcast_rows)
+        d = d.dropDuplicates(["_dim_key"])
+    out = join_nullable(items, d, key, "_dim_key", max_broadcast_rows)
     return out.withColumn(category, F.coalesce(F.col(category), F.lit(default)))
 
 
@@ -81,15 +95,15 @@ def combine_accounts(df: DataFrame, key: str, type_col: str, value_col: str,
 
 
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
-    """Child rows whose non-NULL key has no parent (J4).  A left-anti join
-    against the distinct parent keys only."""
-    p = parent.select(F.col(parent_key).alias("_pk")).distinct()
+    """Child rows whose non-NULL key has no parent (J4): a left-anti join, which
+    needs no distinct parent keys."""
+    p = parent.select(F.col(parent_key).alias("_pk"))
     c = child.where(F.col(child_key).isNotNull())
     return c.join(p, c[child_key] == p["_pk"], "left_anti")
 
 
 def build_star(fact: DataFrame, dims: Mapping[str, tuple[DataFrame, str, str]],
-               dedupe_dims: bool = False) -> tuple[DataFrame, dict]:
+               dedupe_dims: bool = False, keep_natural: bool = False) -> tuple[DataFrame, dict]:
     """Kimball star (J5).  ``dims`` maps a dimension name to
     ``(dimension rows, natural key in the dimension, natural key in the fact)``.
 
@@ -98,7 +112,9 @@ def build_star(fact: DataFrame, dims: Mapping[str, tuple[DataFrame, str, str]],
     replaced by that surrogate, computed from the fact itself, so the fact
     needs no join at all to receive it.  Natural keys are primary keys
     (``unique`` test); ``dedupe_dims`` drops repeated dimension rows at the
-    cost of a shuffle.  Returns (fact, {name: dimension}).
+    cost of a shuffle.  ``keep_natural`` leaves the natural key in the fact, for
+    joins, which are cheaper on it than on a 32-character hash.  Returns
+    (fact, {name: dimension}).
     """
     out_dims = {}
     f = fact
@@ -107,5 +123,6 @@ def build_star(fact: DataFrame, dims: Mapping[str, tuple[DataFrame, str, str]],
         d = dim.dropDuplicates([dim_key]) if dedupe_dims else dim
         out_dims[name] = d.withColumn(sk, md5_key(F.col(dim_key)))
         f = f.withColumn(sk, F.when(F.col(fact_key).isNotNull(), md5_key(F.col(fact_key))))
-        f = f.drop(fact_key)
+        if not keep_natural:
+            f = f.drop(fact_key)
     return f, out_dims

@@ -2,9 +2,7 @@
 (PR8, DQ1-DQ7).
 
 Tests are stacked into one result table ``(model, column_name, test,
-failures)``.  All ``not_null`` and ``accepted_values`` checks of a model
-run in ONE aggregate pass; ``unique`` needs a group-by per column (with
-map-side partial counts); ``relationships`` is a left-anti join.
+failures)``; all tests of a model run in one pass over it.
 """
 
 from __future__ import annotations
@@ -97,26 +95,56 @@ class TestSuite:
 
 
 def run_tests(df: DataFrame, suite: TestSuite) -> DataFrame:
-    """DQ5: every test of the suite as rows of one table.  ``not_null`` and
-    ``accepted_values`` share a single aggregate over ``df``."""
-    cells, rows = [], []
-    for i, c in enumerate(suite.not_null):
-        cells.append(F.count_if(F.col(c).isNull()).alias(f"_nn{i}"))
-        rows.append(_row(suite.model, c, "not_null", F.col(f"_nn{i}")))
-    for i, (c, vals) in enumerate(suite.accepted_values.items()):
-        cells.append(F.count_distinct(F.when(~F.col(c).isin(list(vals)), F.col(c))).alias(f"_av{i}"))
-        rows.append(_row(suite.model, c, "accepted_values", F.col(f"_av{i}")))
-    parts = []
-    if cells:
-        parts.append(_stack(df.agg(*cells), rows))
-    parts += [unique(df, c, suite.model) for c in suite.unique]
-    parts += [relationships(df, c, p, pc, suite.model) for c, (p, pc) in suite.relationships.items()]
-    if not parts:
+    """DQ5: every test of the suite as rows of one table, in one pass over ``df``.
+
+    Each row becomes the values that its tests look at -- NULLs, values outside
+    a list, keys that must be unique or have a parent, each with the test's number;
+    rows that pass the cheap tests yield nothing.  Those values are counted by
+    (test, value), combined before the shuffle, so a hot value is one row per
+    task; parents come in as values of their own.  A second, small aggregate
+    turns the counts into failures, and tests without any are filled in."""
+    tests: list[tuple[str, str]] = []
+    cells: list[Column] = []
+    parents: list[DataFrame] = []
+
+    def seen(value: Column, keep: Column) -> None:
+        i = F.lit(len(tests) - 1)
+        cells.append(F.when(keep, F.struct(i.alias("t"), value.cast("string").alias("v"))))
+
+    for c in suite.not_null:
+        tests.append((c, "not_null"))
+        seen(F.lit(None), F.col(c).isNull())
+    for c, vals in suite.accepted_values.items():
+        tests.append((c, "accepted_values"))
+        seen(F.col(c), ~F.col(c).isin(list(vals)))
+    for c in suite.unique:
+        tests.append((c, "unique"))
+        seen(F.col(c), F.col(c).isNotNull())
+    for c, (parent, parent_col) in suite.relationships.items():
+        tests.append((c, "relationships"))
+        seen(F.col(c), F.col(c).isNotNull())
+        key = F.col(parent_col).cast(df.schema[c].dataType).cast("string")
+        parents.append(parent.select(F.lit(len(tests) - 1).alias("t"), key.alias("v")).where("v is not null")
+                       .select("t", "v", F.lit(0).alias("child"), F.lit(1).alias("parent")))
+    if not tests:
         raise ValueError("run_tests: empty suite")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    rows = (df.select(F.explode(F.array_compact(F.array(*cells))).alias("x"))
+              .select("x.t", "x.v", F.lit(1).alias("child"), F.lit(0).alias("parent")))
+    for p in parents:
+        rows = rows.union(p)
+    values = rows.groupBy("t", "v").agg(F.sum("child").alias("n"), F.max("parent").alias("known"))
+    kinds = F.array(*[F.lit(kind) for _, kind in tests])
+    kind = kinds[F.col("t")]
+    failures = (F.when(kind == "not_null", F.col("n"))
+                 .when(kind == "accepted_values", F.lit(1))
+                 .when(kind == "unique", F.when(F.col("n") > 1, F.lit(1)))
+                 .when(F.col("known") == 0, F.col("n")))
+    counted = values.groupBy("t").agg(F.sum(failures).alias("failures"))
+    named = F.array(*[F.struct(F.lit(i).alias("t"), F.lit(suite.model).alias("model"), F.lit(c).alias("column_name"),
+                               F.lit(k).alias("test")) for i, (c, k) in enumerate(tests)])
+    every = df.sparkSession.range(1).select(F.inline(named))
+    return every.join(counted, "t", "left").select(
+        "model", "column_name", "test", F.coalesce("failures", F.lit(0)).cast("bigint").alias("failures"))
 
 
 def failing_rows(df: DataFrame, suite: TestSuite) -> DataFrame:

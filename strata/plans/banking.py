@@ -13,7 +13,7 @@ from strata.functions.codes import ACCOUNT_STATUSES, ACCOUNT_TYPES, map_codes
 from strata.functions.dates import parse_date
 from strata.functions.keys import md5_key
 from strata.operators.conform import snake_case_columns
-from strata.operators.gold import TIERS, customer_value, customer_value_by_status
+from strata.operators.gold import TIERS
 from strata.operators.quality import TestSuite
 from strata.streaming.bronze import BronzeConfig, bronze_stream
 
@@ -61,14 +61,6 @@ def conform_customers(bronze: DataFrame) -> DataFrame:
     )
 
 
-def gold_customer_value_by_status(silver: DataFrame) -> DataFrame:
-    return customer_value_by_status(silver)
-
-
-def gold_customer_value(silver: DataFrame) -> DataFrame:
-    return customer_value(silver)
-
-
 def customer_value_suite() -> TestSuite:
     return TestSuite(
         model="customer_lifetime_value",

@@ -21,19 +21,20 @@ from strata.functions.dates import DEFAULT_TS_FORMATS, parse_date, parse_ts
 from strata.functions.items import parse_items
 from strata.functions.keys import md5_key, sha_key
 from strata.functions.text import extract_block
-from strata.operators.dedupe import keep_latest, tag_latest
-from strata.operators.gold import (active_users, daily_revenue, daily_revenue_by_category,
+from strata.operators.dedupe import keep_latest
+from strata.operators.gold import (active_users, customer_value, customer_value_by_status,
+                                   daily_revenue, daily_revenue_by_category,
                                    monthly_recurring_revenue)
 from strata.operators.items import explode_items, item_reconciliation
-from strata.operators.joins import (build_star, combine_accounts, join_dimension, lookup_category,
-                                    map_codes_join, orphans)
-from strata.operators.quality import (LAYER, TestSuite, reconcile, reject_reasons, run_tests,
-                                      split_valid)
-from strata.plans.banking import (conform_customers, gold_customer_value,
-                                  gold_customer_value_by_status)
-from strata.plans.sql_models import CUSTOMER_VALUE_SQL, DAILY_REVENUE_SQL, run_model_sql
-from strata.plans.ecommerce import (conform_transactions, gold_revenue_by_category,
-                                    gold_revenue_daily, silver_transactions, typed_transactions)
+from strata.operators.joins import (build_star, combine_accounts, join_dimension, join_nullable,
+                                    lookup_category, map_codes_join, orphans)
+from strata.operators.quality import TestSuite, reconcile, run_tests, split_valid
+from strata.plans.banking import conform_customers
+from strata.plans.ecommerce import (gold_revenue_by_category, gold_revenue_daily,
+                                    latest_transactions, split_transactions,
+                                    superseded_transactions, tagged_transactions)
+from strata.plans.sql_models import RETURNING_REVENUE_SQL, run_model_sql
+from strata.session import materialize
 from strata.sources.files import spread_input
 from strata.sources.rescue import rescue_json
 
@@ -90,16 +91,25 @@ def raw_transactions(orders: DataFrame) -> DataFrame:
     """Legacy transaction text built from ``orders`` with injected faults:
     NULL / padded customers, seven date renderings (one unparseable), the
     literal ``NULL`` and blank item lists, ``FREE`` amounts, mixed-case
-    status and an unmapped payment code."""
-    key = F.col("o_orderkey")
-    amount = F.col("o_totalprice").cast(D18_2).cast("string")
+    status, an unmapped payment code, missing order ids; and repeats: exact
+    copies, later versions, and rows that tie in time but not in amount."""
+    m20 = _k("o_orderkey", 20)
+    kind = (F.when(m20 == 0, F.array(F.lit(0), F.lit(1))).when(m20 == 1, F.array(F.lit(0), F.lit(2)))
+             .when(m20 == 2, F.array(F.lit(0), F.lit(3))).otherwise(F.array(F.lit(0))))
+    o = orders.withColumn("kind", F.explode(kind))
+    key, kind = F.col("o_orderkey"), F.col("kind")
+    more = F.when(kind == 2, F.lit(5)).when(kind == 3, F.lit(1)).otherwise(F.lit(0)).cast(DecimalType(1, 0))
+    amount = (F.col("o_totalprice").cast(D18_2) + more).cast(D18_2).cast("string")
+    placed = F.when(kind == 2, F.col("o_orderdate") + F.expr("interval 1 day")).otherwise(F.col("o_orderdate"))
     cust = F.concat(F.lit("C_"), F.col("o_custkey").cast("string"))
-    return orders.select(
-        F.concat(F.lit("O-"), key.cast("string")).alias("order_id"),
+    return o.select(
+        F.when(_k("o_orderkey", 58) == 0, F.lit(" null"))
+         .when(_k("o_orderkey", 29) == 0, F.lit(None).cast("string"))
+         .otherwise(F.concat(F.lit("O-"), key.cast("string"))).alias("order_id"),
         F.when(_k("o_orderkey", 13) == 0, F.lit(None).cast("string"))
          .when(_k("o_orderkey", 5) == 0, F.concat(F.lit("  "), cust, F.lit(" ")))
          .otherwise(cust).alias("cust_id"),
-        render_date(F.col("o_orderdate"), _k("o_orderkey", 7)).alias("txn_dt"),
+        render_date(placed, _k("o_orderkey", 7)).alias("txn_dt"),
         F.when(_k("o_orderkey", 4) == 0, F.lit("NULL"))
          .when(_k("o_orderkey", 4) == 1, F.lit(""))
          .otherwise(F.concat(F.lit("["), (F.col("o_custkey") % 300).cast("string"),
@@ -116,6 +126,7 @@ def raw_transactions(orders: DataFrame) -> DataFrame:
          .when(_k("o_orderkey", 5) == 2, F.lit("giftcard"))
          .when(_k("o_orderkey", 5) == 3, F.lit("CreditCard"))
          .alias("p_method"),
+        F.concat(F.lit("part-"), (key / 5000).cast("bigint").cast("string")).alias("_source_file"),
     )
 
 
@@ -255,10 +266,8 @@ LINEITEM_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quan
 LINE_KEY = ["l_orderkey", "l_linenumber"]
 
 
-def line_order() -> list[Column]:
-    return [F.col("l_shipdate").desc_nulls_last()] + [
-        F.col(c).desc_nulls_last() for c in LINEITEM_COLS
-        if c not in ("l_orderkey", "l_linenumber", "l_shipdate")]
+def line_order() -> list[str]:
+    return ["l_shipdate"] + [c for c in LINEITEM_COLS if c not in ("l_orderkey", "l_linenumber", "l_shipdate")]
 
 
 def q_keep_latest_lineitem(spark, sf):
@@ -292,17 +301,22 @@ def q_char_dates(spark, sf):
             .select("o_orderkey", "open_dt", parse_date("open_dt", "yyyyMMdd").alias("open_date"))
 
 
+def transactions_tagged(spark, sf) -> DataFrame:
+    """Legacy text derived from orders, conformed, each row with its reject reason."""
+    return tagged_transactions(raw_transactions(table(spark, sf, "orders", spread=True)))
+
+
 def q_conform_orders(spark, sf):
     """PR1-PR6, PR13, PR14, SC1, SC9, SRC7: the e-commerce silver conform
     (with keep-latest) over legacy text derived from every order."""
-    silver = conform_transactions(typed_transactions(raw_transactions(table(spark, sf, "orders", spread=True))))
+    silver = latest_transactions(transactions_tagged(spark, sf)).drop("_reject_reason")
     return silver.withColumn("transaction_timestamp",
                              F.col("transaction_timestamp").cast("timestamp_ntz"))
 
 
 def transactions_silver(spark, sf) -> tuple[DataFrame, DataFrame]:
     """(valid, quarantine) silver of the legacy text derived from orders."""
-    return silver_transactions(raw_transactions(table(spark, sf, "orders", spread=True)))
+    return split_transactions(transactions_tagged(spark, sf))
 
 
 def q_transactions_gold_daily(spark, sf):
@@ -317,8 +331,6 @@ def q_transactions_gold_by_category(spark, sf):
     """The same silver -> G2: line items parsed from the text, category from
     ``part.p_type`` (missing -> Unknown), per-category rolling average."""
     valid, _ = transactions_silver(spark, sf)
-    # item ids are INT in the item schema; part keys are BIGINT (beyond the
-    # INT range at scale), so the join widens the item id, never the key
     dim = table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"),
                                           F.col("p_type").alias("category"))
     g = gold_revenue_by_category(valid, dim)
@@ -337,15 +349,11 @@ def q_transactions_quarantine(spark, sf):
         "_rescued_data", "_reject_reason")
 
 
-def q_daily_revenue_sql(spark, sf):
-    """G1 as a SQL model over the silver view (must equal ``daily_revenue``)."""
+def q_recurring_revenue_sql(spark, sf):
+    """G7 as a SQL model over the silver layer (must equal ``recurring_revenue``)."""
     silver = completed_transactions(table(spark, sf, "orders"))
-    return run_model_sql(spark, DAILY_REVENUE_SQL, {"silver": silver})
-
-
-def q_customer_value_by_status_sql(spark, sf):
-    """G4 as a SQL model (must equal ``customer_value_by_status``)."""
-    return run_model_sql(spark, CUSTOMER_VALUE_SQL, {"silver": customer_silver(spark, sf)})
+    return run_model_sql(spark, RETURNING_REVENUE_SQL, {"silver": silver}, {"gap": 1}).select(
+        "month", "recurring_customers", F.col("recurring_revenue").cast(DecimalType(28, 2)).alias("recurring_revenue"))
 
 
 def q_code_map(spark, sf):
@@ -370,7 +378,7 @@ def q_code_map_table(spark, sf):
         F.when(_k("c_custkey", 17) == 0, F.col("c_nationkey") + F.lit(100))
          .otherwise(F.col("c_nationkey")).alias("nation_code"))
     return map_codes_join(c, "nation_code", table(spark, sf, "nation"), "n_nationkey", "n_name",
-                          out="nation_name", default="Unknown", max_broadcast_rows=10_000)
+                          out="nation_name", default="Unknown")
 
 
 def q_surrogate_keys(spark, sf):
@@ -431,12 +439,12 @@ def q_accounts_by_type(spark, sf):
 
 def q_customer_value_by_status(spark, sf):
     """G4 (as shipped) + AG1/AG2/AG4/AG6 + PR10/PR11."""
-    return gold_customer_value_by_status(customer_silver(spark, sf))
+    return customer_value_by_status(customer_silver(spark, sf))
 
 
 def q_customer_value(spark, sf):
     """G5 + J3: one row per customer."""
-    return gold_customer_value(customer_silver(spark, sf))
+    return customer_value(customer_silver(spark, sf))
 
 
 def q_rescue_json(spark, sf):
@@ -495,16 +503,14 @@ def q_star_fact(spark, sf):
     cust = table(spark, sf, "customer")
     nation = table(spark, sf, "nation")
     region = table(spark, sf, "region")
-    geo = join_dimension(nation, region, nation["n_regionkey"] == region["r_regionkey"], "inner",
-                         max_broadcast_rows=10_000)
+    geo = join_dimension(nation, region, nation["n_regionkey"] == region["r_regionkey"], "inner")
     dim_rows = join_dimension(cust, geo.select("n_nationkey", "n_name", "r_name"),
-                              cust["c_nationkey"] == F.col("n_nationkey"), "left",
-                              max_broadcast_rows=10_000)
+                              cust["c_nationkey"] == F.col("n_nationkey"), "left")
     o = table(spark, sf, "orders")
     fact, dims = build_star(o.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"),
-                            {"customer": (dim_rows, "c_custkey", "o_custkey")})
-    dim = dims["customer"].select("sk_customer", "c_mktsegment", "n_name", "r_name")
-    return fact.join(dim, "sk_customer", "left").select(
+                            {"customer": (dim_rows, "c_custkey", "o_custkey")}, keep_natural=True)
+    dim = dims["customer"].select("c_custkey", "c_mktsegment", "n_name", "r_name")
+    return join_nullable(fact, dim, "o_custkey", "c_custkey").select(
         "o_orderkey", "sk_customer", "c_mktsegment", "n_name", "r_name",
         F.col("o_orderdate").cast("date").alias("order_date"),
         F.col("o_totalprice").cast(D18_2).alias("amount"))
@@ -538,22 +544,16 @@ def q_extract_blocks(spark, sf):
 
 
 def q_reconcile_layers(spark, sf):
-    """DQ7: per source file (a key range stands in), rows in = kept +
-    superseded + quarantined."""
-    bronze = table(spark, sf, "lineitem").withColumn(
-        "_source_file", F.concat(F.lit("part-"), (F.col("l_orderkey") / 5000).cast("bigint").cast("string")))
-    # One keep-latest pass labels every row with its outcome (bronze is a
-    # plain file scan, so its row ids are stable without a write); rows_in
-    # is counted independently from a key-only scan of the input.
-    tagged = tag_latest(bronze, LINE_KEY, line_order(), stable_input=True)
-    reason = reject_reasons([], {"quantity_below_50": F.col("l_quantity") < 50})
-    labelled = tagged.select(
-        "_source_file",
-        F.when(F.col("_rn") > 1, F.lit("superseded"))
-         .when(reason != F.lit(""), F.lit("quarantined"))
-         .otherwise(F.lit("kept")).alias(LAYER))
-    return reconcile({"rows_in": bronze, "outcomes": labelled},
-                     outcomes=["kept", "superseded", "quarantined"])
+    """DQ7: per source file, rows in = kept + superseded + quarantined, over the flow's
+    real outputs; and the same with an output that lost rows, which must not balance."""
+    bronze = raw_transactions(table(spark, sf, "orders", spread=True))
+    tagged = materialize(tagged_transactions(bronze), "conformed")
+    valid, quarantine = split_transactions(tagged)
+    gone = superseded_transactions(tagged)
+    flows = {"whole": valid, "lossy": valid.where(F.col("customer_id").isNotNull())}
+    out = [reconcile({"rows_in": bronze, "kept": kept, "superseded": gone, "quarantined": quarantine})
+           .select(F.lit(name).alias("flow"), "*") for name, kept in flows.items()]
+    return out[0].unionByName(out[1])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -565,8 +565,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parse_dates": q_parse_dates,
     "char_dates": q_char_dates,
     "conform_orders": q_conform_orders,
-    "daily_revenue_sql": q_daily_revenue_sql,
-    "customer_value_by_status_sql": q_customer_value_by_status_sql,
+    "recurring_revenue_sql": q_recurring_revenue_sql,
     "transactions_gold_daily": q_transactions_gold_daily,
     "transactions_gold_by_category": q_transactions_gold_by_category,
     "transactions_quarantine": q_transactions_quarantine,

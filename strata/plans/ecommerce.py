@@ -23,10 +23,12 @@ from strata.operators.dedupe import keep_latest, superseded
 from strata.operators.gold import daily_revenue, daily_revenue_by_category
 from strata.operators.items import explode_items
 from strata.operators.joins import lookup_category
-from strata.operators.quality import TestSuite, split_valid
+from strata.operators.quality import TestSuite, reject_reasons
 from strata.sources.rescue import rescue_columns
 from strata.streaming.bronze import BronzeConfig, bronze_stream
-from strata.streaming.silver import silver_stream
+from strata.session import materialize
+from strata.sources.sinks import append_batches, read_batches
+from strata.streaming.silver import snapshot
 
 # The raw transaction columns, in file order.
 RAW_COLUMNS = ("order_id", "cust_id", "txn_dt", "item_details", "gross_amt",
@@ -38,7 +40,7 @@ class TransactionConfig:
     formats: Sequence[str] = DEFAULT_TS_FORMATS
     payment_map: Mapping[str, str] = field(default_factory=lambda: dict(PAYMENT_METHODS))
     payment_default: str = "Other"
-    null_token_columns: Sequence[str] = ("item_details", "cust_id", "p_method", "status")
+    null_token_columns: Sequence[str] = ("order_id", "item_details", "cust_id", "p_method", "status")
     required: Sequence[str] = ("order_id", "transaction_timestamp")
     null_token: str | None = None        # opt-in NULL marker for the surrogate key
 
@@ -54,25 +56,15 @@ def typed_transactions(bronze: DataFrame, cfg: TransactionConfig = TransactionCo
     })
 
 
-def _order():
-    return [F.col("txn_dt").desc_nulls_last(), F.col("_ingested_at").desc_nulls_last()]
+#: Ties go by every other conformed column, so batch and stream keep the same row.
+LATEST = ("transaction_timestamp", "_ingested_at")
+KEY = ["order_id"]
 
 
-def _ordered(df: DataFrame) -> DataFrame:
-    if "_ingested_at" not in df.columns:
-        df = df.withColumn("_ingested_at", F.lit(None).cast("timestamp"))
-    return df
-
-
-def conform_transactions(typed: DataFrame, cfg: TransactionConfig = TransactionConfig(),
-                         dedupe: bool = True) -> DataFrame:
-    """Keep the latest row per ``order_id`` (by transaction time, then ingest
-    time, then a payload hash) and project the conformed schema."""
-    df = _ordered(typed)
-    if dedupe:
-        df = keep_latest(df, ["order_id"], _order())
+def conform_transactions(typed: DataFrame, cfg: TransactionConfig = TransactionConfig()) -> DataFrame:
+    """The conformed schema, row by row (no row is dropped or merged)."""
     extra = [c for c in ("_rescued_data", "_source_file", "_ingested_at") if c in typed.columns]
-    return df.select(
+    return typed.select(
         sha_key("order_id", "cust_id", null_token=cfg.null_token).alias("sk_transaction"),
         F.col("order_id"),
         F.col("cust_id").alias("customer_id"),
@@ -87,18 +79,44 @@ def conform_transactions(typed: DataFrame, cfg: TransactionConfig = TransactionC
     )
 
 
-def superseded_transactions(typed: DataFrame) -> DataFrame:
-    """The rows keep-latest drops (for reconciliation)."""
-    return superseded(_ordered(typed), ["order_id"], _order())
+def tagged_transactions(bronze: DataFrame, cfg: TransactionConfig = TransactionConfig()) -> DataFrame:
+    """Bronze rows conformed, each with its ``_reject_reason`` ('' when it is valid).
+
+    The one row-wise step of the batch and the streaming silver."""
+    conformed = conform_transactions(typed_transactions(bronze, cfg), cfg)
+    return conformed.withColumn("_reject_reason", reject_reasons(cfg.required))
+
+
+def latest_transactions(rows: DataFrame) -> DataFrame:
+    """The row kept of each order; rows without a key are none of them."""
+    order = [c for c in LATEST if c in rows.columns]
+    return keep_latest(rows.where(F.col("order_id").isNotNull()), KEY, order)
 
 
-def silver_transactions(bronze: DataFrame, cfg: TransactionConfig = TransactionConfig()
+def split_transactions(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid silver, quarantine) of tagged rows.
+
+    Rows without a key go to quarantine as they are: there is nothing to rank
+    them by.  Of each order the latest row is kept, and is quarantined when it is
+    rejected.  The quarantine keeps ``_rescued_data`` and the reasons."""
+    kept = latest_transactions(tagged)
+    valid = kept.where(F.col("_reject_reason") == "").drop("_reject_reason", "_rescued_data")
+    quarantine = kept.where(F.col("_reject_reason") != "").unionByName(tagged.where(F.col("order_id").isNull()))
+    return valid, quarantine
+
+
+def superseded_transactions(tagged: DataFrame) -> DataFrame:
+    """The rows of an order that its latest row replaces (for reconciliation)."""
+    order = [c for c in LATEST if c in tagged.columns]
+    return superseded(tagged.where(F.col("order_id").isNotNull()), KEY, order)
+
+
+def silver_transactions(bronze: DataFrame, cfg: TransactionConfig = TransactionConfig(), store: bool = False
                         ) -> tuple[DataFrame, DataFrame]:
-    """(valid silver, quarantine).  The quarantine keeps ``_rescued_data``
-    and a ``_reject_reason``; the valid projection drops the rescue column."""
-    conformed = conform_transactions(typed_transactions(bronze, cfg), cfg)
-    valid, quarantine = split_valid(conformed, cfg.required)
-    return valid.drop("_rescued_data"), quarantine
+    """(valid silver, quarantine) of bronze rows.  ``store`` writes the conformed
+    rows once, for flows that use both outputs."""
+    tagged = tagged_transactions(bronze, cfg)
+    return split_transactions(materialize(tagged, "conformed") if store else tagged)
 
 
 def line_items(silver: DataFrame, item_dim: DataFrame | None = None,
@@ -117,9 +135,9 @@ def line_items(silver: DataFrame, item_dim: DataFrame | None = None,
     return items
 
 
-def gold_revenue_daily(silver: DataFrame, window: str = "rows") -> DataFrame:
-    """G1 on silver (completed orders only)."""
-    return daily_revenue(silver, window=window)
+def gold_revenue_daily(silver: DataFrame, window: str = "rows", status: str | None = "COMPLETED") -> DataFrame:
+    """G1 on silver (completed orders only, unless ``status`` says otherwise)."""
+    return daily_revenue(silver, window=window, status=status)
 
 
 def gold_revenue_by_category(silver: DataFrame, item_dim: DataFrame, window: str = "rows") -> DataFrame:
@@ -150,19 +168,21 @@ def stream_bronze_transactions(spark, source_path: str, target_path: str, checkp
     return bronze_stream(spark, cfg)
 
 
-def stream_silver_transactions(spark, bronze_path: str, snapshot_root: str, checkpoint: str,
+def stream_silver_transactions(spark, bronze_path: str, rows_path: str, checkpoint: str,
                                cfg: TransactionConfig = TransactionConfig(),
-                               max_files_per_trigger: int | None = None):
-    """ST3 for transactions: bronze Parquet -> conform each micro-batch ->
-    keep-latest snapshot versions (read with ``latest_snapshot``)."""
+                               max_files_per_trigger: int | None = None, available_now: bool = True):
+    """ST3 for transactions: bronze Parquet -> tagged conformed rows, appended
+    under ``rows_path`` (see ``transactions_snapshot`` for the silver)."""
     bronze = spark.read.parquet(bronze_path)
     r = spark.readStream.schema(bronze.schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    stream = r.parquet(bronze_path)
+    rows = tagged_transactions(r.parquet(bronze_path), cfg)
+    return append_batches(rows, rows_path, checkpoint, available_now=available_now)
 
-    def conform(batch: DataFrame) -> DataFrame:
-        return conform_transactions(typed_transactions(batch, cfg), cfg, dedupe=False)
 
-    order = [F.col("transaction_timestamp").desc_nulls_last(), F.col("_ingested_at").desc_nulls_last()]
-    return silver_stream(stream, snapshot_root, checkpoint, ["order_id"], order, conform=conform)
+def transactions_snapshot(spark, rows_path: str, snapshots: str) -> tuple[DataFrame, DataFrame]:
+    """(valid silver, quarantine) of all rows that the stream appended so far, each
+    written as a new version and read back."""
+    valid, quarantine = split_transactions(read_batches(spark, rows_path))
+    return snapshot(valid, f"{snapshots}/valid"), snapshot(quarantine, f"{snapshots}/quarantine")

@@ -39,8 +39,16 @@ LINE_ORDER_SQL = ("l_shipdate DESC NULLS LAST, l_partkey DESC NULLS LAST, l_supp
                   "l_discount DESC NULLS LAST, l_tax DESC NULLS LAST, "
                   "l_returnflag DESC NULLS LAST, l_linestatus DESC NULLS LAST")
 
-RAW_TX = f"""raw AS (
-  SELECT 'O-' || o_orderkey AS order_id,
+RAW_TX = f"""kinds AS (
+  SELECT *, unnest(CASE o_orderkey % 20 WHEN 0 THEN [0, 1] WHEN 1 THEN [0, 2] WHEN 2 THEN [0, 3] ELSE [0] END) AS kind
+  FROM orders),
+o AS (
+  SELECT * REPLACE (o_orderdate + CASE kind WHEN 2 THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END AS o_orderdate,
+                    CAST(o_totalprice AS DECIMAL(18,2)) + CASE kind WHEN 2 THEN 5 WHEN 3 THEN 1 ELSE 0 END AS o_totalprice)
+  FROM kinds),
+raw AS (
+  SELECT CASE WHEN o_orderkey % 58 = 0 THEN ' null' WHEN o_orderkey % 29 = 0 THEN NULL
+              ELSE 'O-' || o_orderkey END AS order_id,
          CASE WHEN o_orderkey % 13 = 0 THEN NULL
               WHEN o_orderkey % 5 = 0 THEN '  C_' || o_custkey || ' '
               ELSE 'C_' || o_custkey END AS cust_id,
@@ -54,8 +62,9 @@ RAW_TX = f"""raw AS (
          CASE WHEN o_orderstatus = 'F' THEN CASE WHEN o_orderkey % 3 = 0 THEN ' completed' ELSE 'COMPLETED' END
               WHEN o_orderstatus = 'O' THEN 'PENDING' ELSE 'cancelled' END AS status,
          CASE o_orderkey % 5 WHEN 0 THEN 'cc' WHEN 1 THEN 'paypal' WHEN 2 THEN 'giftcard'
-              WHEN 3 THEN 'CreditCard' END AS p_method
-  FROM orders)"""
+              WHEN 3 THEN 'CreditCard' END AS p_method,
+         'part-' || (o_orderkey // 5000) AS _source_file
+  FROM o)"""
 
 
 def _null_tok(c: str) -> str:
@@ -228,18 +237,16 @@ SELECT o_orderkey, open_dt, CAST(try_strptime(trim(open_dt), '%Y%m%d') AS DATE)
 
 CONFORMED = f"""{RAW_TX},
 n AS (
-  SELECT order_id, {_null_tok('cust_id')} AS cust_id, txn_dt, {_null_tok('item_details')} AS item_details,
-         gross_amt, tax_rate, {_null_tok('status')} AS status, {_null_tok('p_method')} AS p_method
+  SELECT {_null_tok('order_id')} AS order_id, {_null_tok('cust_id')} AS cust_id, txn_dt,
+         {_null_tok('item_details')} AS item_details,
+         gross_amt, tax_rate, {_null_tok('status')} AS status, {_null_tok('p_method')} AS p_method, _source_file
   FROM raw),
 typed AS (
   SELECT *, try_strptime(trim(txn_dt), {_FMT_LIST}) AS ts,
          TRY_CAST(trim(gross_amt) AS DECIMAL(18,2)) AS gross,
          TRY_CAST(trim(tax_rate) AS DECIMAL(5,4)) AS rate
   FROM n),
-dedup AS (
-  SELECT * FROM typed
-  QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY ts DESC NULLS LAST) = 1),
-silver AS (
+tagged AS (
 SELECT sha256(concat_ws('||', order_id, cust_id)) AS sk_transaction,
        order_id, cust_id AS customer_id, ts AS transaction_timestamp,
        item_details AS raw_item_details,
@@ -256,12 +263,25 @@ SELECT sha256(concat_ws('||', order_id, cust_id)) AS sk_transaction,
                    {{'k': 'gross_amt', 'v': CASE WHEN gross_amt IS NOT NULL AND gross IS NULL THEN gross_amt END}},
                    {{'k': 'tax_rate', 'v': CASE WHEN tax_rate IS NOT NULL AND rate IS NULL THEN tax_rate END}}
                  ], lambda x: x.v IS NOT NULL))) AS VARCHAR)
-       END AS _rescued_data
-FROM dedup),
-valid AS (SELECT * FROM silver WHERE order_id IS NOT NULL AND transaction_timestamp IS NOT NULL)"""
+       END AS _rescued_data,
+       _source_file,
+       concat_ws(';', CASE WHEN order_id IS NULL THEN 'missing:order_id' END,
+                      CASE WHEN ts IS NULL THEN 'missing:transaction_timestamp' END) AS _reject_reason
+FROM typed),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY transaction_timestamp DESC NULLS LAST,
+    _reject_reason DESC NULLS LAST, _rescued_data DESC NULLS LAST, _source_file DESC NULLS LAST,
+    customer_id DESC NULLS LAST, gross_amount DESC NULLS LAST, order_status DESC NULLS LAST,
+    payment_method DESC NULLS LAST, payment_method_raw DESC NULLS LAST, raw_item_details DESC NULLS LAST,
+    sk_transaction DESC NULLS LAST, tax_rate DESC NULLS LAST) AS place
+  FROM tagged),
+silver AS (SELECT * EXCLUDE (place) FROM ranked WHERE order_id IS NOT NULL AND place = 1),
+valid AS (SELECT * FROM silver WHERE _reject_reason = ''),
+quarantine AS (SELECT * FROM silver WHERE _reject_reason <> ''
+               UNION ALL SELECT * FROM tagged WHERE order_id IS NULL)"""
 
 SQL["conform_orders"] = f"""WITH {CONFORMED}
-SELECT * FROM silver"""
+SELECT * EXCLUDE (_reject_reason) FROM silver"""
 
 SQL["transactions_gold_daily"] = f"""WITH {CONFORMED},
 daily AS (
@@ -275,12 +295,12 @@ SELECT *, avg(order_count) OVER (ORDER BY transaction_date ROWS BETWEEN 6 PRECED
 FROM daily"""
 
 SQL["transactions_quarantine"] = f"""WITH {CONFORMED}
-SELECT order_id, customer_id, raw_item_details, gross_amount, order_status, _rescued_data,
-       concat_ws(';', CASE WHEN order_id IS NULL THEN 'missing:order_id' END,
-                      CASE WHEN transaction_timestamp IS NULL THEN 'missing:transaction_timestamp' END)
-         AS _reject_reason
-FROM silver
-WHERE order_id IS NULL OR transaction_timestamp IS NULL"""
+SELECT order_id, customer_id, raw_item_details, gross_amount, order_status, _rescued_data, _reject_reason
+FROM quarantine"""
+
+SQL["transactions_stream"] = f"""WITH {CONFORMED}
+SELECT 'valid' AS outcome, order_id, transaction_timestamp, gross_amount, '' AS _reject_reason FROM valid
+UNION ALL SELECT 'quarantine', order_id, transaction_timestamp, gross_amount, _reject_reason FROM quarantine"""
 
 SQL["transactions_gold_by_category"] = f"""WITH {CONFORMED},
 it AS (
@@ -473,23 +493,24 @@ SELECT conv_id, turn, {_extract('reply', 'sql')} AS sql_block, {_extract('reply'
        {_extract('reply', 'python')} AS python_block
 FROM t"""
 
-SQL["reconcile_layers"] = f"""WITH b AS (
-  SELECT *, 'part-' || CAST(l_orderkey // 5000 AS VARCHAR) AS _source_file FROM lineitem),
-r AS (
-  SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {LINE_ORDER_SQL}) AS rn FROM b),
+SQL["reconcile_layers"] = f"""WITH {CONFORMED},
+t AS (
+  SELECT _source_file, 'rows_in' AS layer, customer_id FROM tagged
+  UNION ALL SELECT _source_file, 'kept', customer_id FROM valid
+  UNION ALL SELECT _source_file, 'superseded', customer_id FROM ranked WHERE order_id IS NOT NULL AND place > 1
+  UNION ALL SELECT _source_file, 'quarantined', customer_id FROM quarantine),
 c AS (
-  SELECT _source_file, CAST(count(*) AS BIGINT) AS rows_in,
-         CAST(count(*) FILTER (WHERE rn = 1 AND l_quantity < 50) AS BIGINT) AS kept,
-         CAST(count(*) FILTER (WHERE rn > 1) AS BIGINT) AS superseded,
-         CAST(count(*) FILTER (WHERE rn = 1 AND NOT (l_quantity < 50)) AS BIGINT) AS quarantined
-  FROM r GROUP BY 1)
+  SELECT flow, _source_file, CAST(count(*) FILTER (layer = 'rows_in') AS BIGINT) AS rows_in,
+         CAST(count(*) FILTER (layer = 'kept' AND (flow = 'whole' OR customer_id IS NOT NULL)) AS BIGINT) AS kept,
+         CAST(count(*) FILTER (layer = 'superseded') AS BIGINT) AS superseded,
+         CAST(count(*) FILTER (layer = 'quarantined') AS BIGINT) AS quarantined
+  FROM t, (VALUES ('whole'), ('lossy')) AS f(flow) GROUP BY 1, 2)
 SELECT *, rows_in - kept - superseded - quarantined AS unexplained,
        rows_in - kept - superseded - quarantined = 0 AS balanced
 FROM c"""
 
-# The SQL-model queries compute the same results as their DataFrame twins.
-SQL["daily_revenue_sql"] = SQL["daily_revenue"]
-SQL["customer_value_by_status_sql"] = SQL["customer_value_by_status"]
+# The SQL model computes the same result as its DataFrame twin.
+SQL["recurring_revenue_sql"] = SQL["recurring_revenue"]
 
 SQL["conform_customers"] = f"""WITH {RAW_ACCOUNTS}
 SELECT md5(trim(CUST_ID)) AS sk_customer, trim(CUST_ID) AS customer_id, trim(FIRST_NAME) AS first_name,

@@ -1,76 +1,239 @@
-"""Streaming queries registered with the driver.
+"""Streaming and file-to-gold queries registered with the driver.
 
-Both stage their input from the driver tables into the shared checkpoint
-folder (``spark.checkpoint.dir``), run Structured Streaming with
-``availableNow`` and return a batch read of what the stream wrote.
+All stage their input from the driver tables into the shared checkpoint
+folder (``spark.checkpoint.dir``), load it from there and return what was
+written.  Streams run with ``availableNow``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from strata.plans.catalog import LINE_KEY, line_order, table
+from strata.operators.dedupe import keep_latest
+from strata.operators.gold import customer_value
+from strata.operators.quality import describe_model
+from strata.plans.banking import CUST_MAST_SCHEMA, conform_customers, customer_value_suite
+from strata.plans.catalog import LINE_KEY, line_order, raw_accounts, raw_event_json, raw_transactions, table
+from strata.plans.ecommerce import (RAW_COLUMNS, gold_daily_suite, gold_revenue_daily, silver_transactions,
+                                    stream_silver_transactions, transactions_snapshot)
+from strata.plans.oracle import CONFORMED, RAW_ACCOUNTS, RAW_JSON
 from strata.plans.oracle import SQL as _SQL
-from strata.session import scratch_path
-from strata.streaming.bronze import BronzeConfig, bronze_stream
-from strata.streaming.silver import latest_snapshot, silver_stream
+from strata.session import materialize, scratch_path
+from strata.sources.files import read_table
+from strata.sources.sinks import append_batches, materialize_gold, read_batches, write_overwrite
+from strata.streaming.bronze import BronzeConfig, bronze_batch, bronze_stream
+from strata.streaming.silver import snapshot
 
 EVENT_COLUMNS = ("event_id", "ts", "user_id", "event_type", "value", "props")
 TS_TEXT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+EVENT_TYPES = {"event_id": "bigint", "ts": f"timestamp:{TS_TEXT}", "user_id": "bigint",
+               "event_type": "string", "value": "double", "props": "string"}
 
 
-def stage_event_csv(spark: SparkSession, sf: str, path: str, files: int = 4) -> None:
-    """Events as legacy CSV text; one value in 101 is the text ``n/a``."""
-    ev = table(spark, sf, "events")
-    ev.select(
+def event_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as legacy text; one value in 101 is the text ``n/a``."""
+    return table(spark, sf, "events").select(
         F.col("event_id").cast("string").alias("event_id"),
         F.date_format("ts", TS_TEXT).alias("ts"),
         F.col("user_id").cast("string").alias("user_id"),
         "event_type",
         F.when(F.col("event_id") % 101 == 0, F.lit("n/a")).otherwise(F.col("value").cast("string")).alias("value"),
         "props",
-    ).repartition(files).write.option("header", "true").csv(path)
+    )
+
+
+def stage_csv(df: DataFrame, path: str, files: int = 2) -> None:
+    df.repartition(files).write.mode("append").option("header", "true").csv(path)
+
+
+def events_config(spark: SparkSession, **more) -> BronzeConfig:
+    paths = {k: scratch_path(spark, v) for k, v in
+             (("source_path", "events"), ("target_path", "bronze"), ("checkpoint", "ckpt"))}
+    return BronzeConfig(**{**paths, "expected": EVENT_TYPES, **more})
+
+
+def bronze_events(b: DataFrame, *more: str) -> DataFrame:
+    return b.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id",
+                    "event_type", "value", "props", "_rescued_data", *more)
 
 
 def q_bronze_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """ST1 / ST2 / ST4 / SRC1 / SRC8 / SRC9 / SRC10: CSV files -> bronze
-    Parquet partitioned by ingest date, run twice on one checkpoint (the
-    second run must add nothing)."""
-    src, out, ckpt = (scratch_path(spark, n) for n in ("events-csv", "bronze-events", "ckpt-bronze"))
-    stage_event_csv(spark, sf, src)
-    cfg = BronzeConfig(source_path=src, target_path=out, checkpoint=ckpt, fmt="csv",
-                       columns=EVENT_COLUMNS,
-                       expected={"event_id": "bigint", "ts": f"timestamp:{TS_TEXT}", "user_id": "bigint",
-                                 "event_type": "string", "value": "double", "props": "string"})
+    """ST1 / ST2 / ST4 / SRC1 / SRC5 / SRC8-SRC10 / SC13 / SC14: CSV files -> bronze
+    Parquet partitioned by ingest date, run twice on one checkpoint (the second run
+    must add nothing); files that the glob leaves out are not read, and every row
+    names its file and its ingest date."""
+    cfg = events_config(spark)
+    stage_csv(event_text(spark, sf), cfg.source_path, 4)
+    event_text(spark, sf).write.mode("append").json(cfg.source_path)  # not *.csv: left out
     bronze_stream(spark, cfg)
     bronze_stream(spark, cfg)          # restart: every file is already in the source log
-    b = spark.read.parquet(out)
-    return b.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id",
-                    "event_type", "value", "props", "_rescued_data")
+    name = F.regexp_extract("_source_file", r"([^/]+)$", 1)
+    return bronze_events(
+        read_table(spark, cfg.target_path).withColumns({
+            "from_csv": name.startswith("part-") & name.endswith(".csv"),
+            "dated": F.col("_ingest_date") == F.to_date("_ingested_at")}), "from_csv", "dated")
+
+
+def q_bronze_csv_drift(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC1 / ST4: a source whose later files have their columns in another order, then
+    one column more and one less: columns go by name, the new one is rescued."""
+    cfg = events_config(spark)
+    ev = event_text(spark, sf)
+    part = F.col("event_id").cast("bigint") % 3
+    stage_csv(ev.where(part == 0), cfg.source_path)
+    bronze_stream(spark, cfg)
+    stage_csv(ev.where(part == 1).select(*reversed(EVENT_COLUMNS)), cfg.source_path)
+    stage_csv(ev.where(part == 2).drop("props").withColumn("extra", F.concat(F.lit("x"), "user_id")), cfg.source_path)
+    bronze_stream(spark, cfg)
+    return bronze_events(read_batches(spark, cfg.target_path))
+
+
+def q_bronze_parquet_drift(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC2 / ST4: Parquet files whose ``user_id`` turns from a number into text (some of it
+    no number) and that gain a column; read as a batch (SRC4) and as a stream."""
+    schema = StructType([StructField("event_id", LongType()), StructField("user_id", LongType()),
+                         StructField("event_type", StringType())])
+    cfg = events_config(spark, fmt="parquet", expected={}, schema=schema)
+    ev = table(spark, sf, "events").select("event_id", "user_id", "event_type", "props")
+    odd = F.col("event_id") % 2 == 1
+    ev.where(~odd).drop("props").write.parquet(cfg.source_path)
+    bronze_stream(spark, cfg)
+    text = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("u"), F.col("user_id"))).otherwise(F.col("user_id").cast("string"))
+    ev.where(odd).withColumn("user_id", text).write.mode("append").parquet(cfg.source_path)
+    bronze_stream(spark, cfg)
+    rows = lambda df, how: df.select(F.lit(how).alias("load"), *schema.names, "_rescued_data")
+    return rows(read_batches(spark, cfg.target_path), "stream").unionByName(rows(bronze_batch(spark, cfg), "batch"))
+
+
+def q_bronze_json(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC3 / SRC6: JSON lines with drift and broken records; the schema is inferred from all
+    the first files, remembered, and used again for the later ones."""
+    cfg = events_config(spark, fmt="json", expected={}, glob="*.txt", schema_at=scratch_path(spark, "schema"))
+    raw = raw_event_json(table(spark, sf, "events", spread=True))
+    first = raw.where("event_id % 2 = 0").select(F.to_json(F.struct(F.col("event_id").alias("id"), "value")).alias("value"))
+    first.write.text(cfg.source_path)
+    bronze_stream(spark, cfg)
+    later = raw.where("event_id % 2 = 1").select(F.to_json(F.struct(
+        F.col("event_id").alias("id"), "value", F.lit(1).alias("new"))).alias("value"))
+    later.write.mode("append").text(cfg.source_path)
+    bronze_stream(spark, cfg)
+    return read_batches(spark, cfg.target_path).select("id", "value", "_rescued_data")
 
 
 def q_silver_stream(spark: SparkSession, sf: str, files: int = 4) -> DataFrame:
-    """ST3: line items arrive as several Parquet files, one micro-batch
-    each; the keep-latest snapshot after the last batch must equal the
-    batch keep-latest over all rows (``keep_latest_lineitem``)."""
-    src, snap, ckpt = (scratch_path(spark, n) for n in ("lineitem-in", "silver-snap", "ckpt-silver"))
+    """ST3: line items arrive as several Parquet files, one micro-batch each, and are
+    appended; keep-latest over what was appended must equal keep-latest over all rows."""
+    src, rows, ckpt, out = (scratch_path(spark, n) for n in ("lineitem-in", "silver-rows", "ckpt", "silver"))
     li = table(spark, sf, "lineitem")
     li.repartition(files).write.parquet(src)
     stream = spark.readStream.schema(li.schema).option("maxFilesPerTrigger", "1").parquet(src)
-    silver_stream(stream, snap, ckpt, LINE_KEY, line_order())
-    return latest_snapshot(spark, snap)
+    append_batches(stream, rows, ckpt)
+    return snapshot(keep_latest(read_batches(spark, rows), LINE_KEY, line_order()), out)
+
+
+def q_transactions_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """ST3 on transactions with exact copies, later versions, ties and rows without a key:
+    streamed file by file, then through a second checkpoint as well (which appends all rows
+    again); valid silver and quarantine must equal the batch."""
+    bronze, rows, snaps = (scratch_path(spark, n) for n in ("tx-bronze", "tx-rows", "tx-silver"))
+    raw = raw_transactions(table(spark, sf, "orders", spread=True))
+    raw.where("order_id is not null and upper(trim(order_id)) <> 'NULL'").repartition(3).write.parquet(bronze)
+    for _ in range(2):
+        stream_silver_transactions(spark, bronze, rows, scratch_path(spark, "ckpt"), max_files_per_trigger=1)
+    # keyless rows have nothing that tells a copy from a second row: they are streamed once
+    raw.where("order_id is null or upper(trim(order_id)) = 'NULL'").repartition(1).write.parquet(f"{bronze}-keyless")
+    stream_silver_transactions(spark, f"{bronze}-keyless", rows, scratch_path(spark, "ckpt"))
+    valid, quarantine = transactions_snapshot(spark, rows, snaps)
+    cols = ["order_id", F.col("transaction_timestamp").cast("timestamp_ntz").alias("transaction_timestamp"), "gross_amount"]
+    return valid.select(F.lit("valid").alias("outcome"), *cols, F.lit("").alias("_reject_reason")).unionByName(
+        quarantine.select(F.lit("quarantine").alias("outcome"), *cols, "_reject_reason"))
+
+
+def _comments(stored: DataFrame, columns) -> Column:
+    """The descriptions that the stored model's columns carry."""
+    return F.lit("; ".join(f"{c}: {stored.schema[c].metadata.get('comment')}" for c in columns)).alias("comments")
+
+
+def q_ecommerce_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC4, SRC11-SRC13, DQ6 end to end: CSV files -> bronze (batch) -> silver, overwritten twice
+    (partitioned; the second time without one status) -> read back -> documented gold table."""
+    cfg = events_config(spark, expected={}, columns=(*RAW_COLUMNS, "origin"))
+    raw = raw_transactions(table(spark, sf, "orders", spread=True)).withColumnRenamed("_source_file", "origin")
+    stage_csv(raw, cfg.source_path)
+    bronze = bronze_batch(spark, cfg).drop("_source_file", "_ingested_at", "_ingest_date", "_rescued_data") \
+        .withColumnRenamed("origin", "_source_file")
+    valid = materialize(silver_transactions(bronze)[0], "silver")
+    silver, gold = scratch_path(spark, "silver"), scratch_path(spark, "gold")
+    write_overwrite(valid, silver, partition_by=["order_status"])
+    write_overwrite(valid.where("order_status <> 'PENDING'"), silver, partition_by=["order_status"])
+    again = read_table(spark, silver)
+    docs = gold_daily_suite().docs
+    stored = materialize_gold(describe_model(gold_revenue_daily(again, status=None), docs), gold)
+    return stored.select("transaction_date", "order_count", "daily_gross_revenue", _comments(stored, docs))
+
+
+def q_mainframe_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC2, SRC11-SRC13, DQ6 end to end for the mainframe dump: Parquet -> bronze stream ->
+    silver table -> documented customer value."""
+    cfg = events_config(spark, fmt="parquet", expected={}, schema=CUST_MAST_SCHEMA)
+    raw_accounts(table(spark, sf, "customer"), table(spark, sf, "orders")).write.parquet(cfg.source_path)
+    bronze_stream(spark, cfg)
+    silver, gold = scratch_path(spark, "silver"), scratch_path(spark, "gold")
+    write_overwrite(conform_customers(read_batches(spark, cfg.target_path)), silver)
+    docs = customer_value_suite().docs
+    stored = materialize_gold(describe_model(customer_value(read_table(spark, silver)), docs), gold)
+    return stored.select("customer_id", "customer_lifetime_value", "customer_tier", "is_dormant_risk",
+                         _comments(stored, docs))
 
 
 STREAM_QUERIES = {
     "bronze_stream": q_bronze_stream,
+    "bronze_csv_drift": q_bronze_csv_drift,
+    "bronze_parquet_drift": q_bronze_parquet_drift,
+    "bronze_json": q_bronze_json,
     "silver_stream": q_silver_stream,
+    "transactions_stream": q_transactions_stream,
+    "ecommerce_chain": q_ecommerce_chain,
+    "mainframe_chain": q_mainframe_chain,
 }
 
+
+def _said(docs: dict[str, str]) -> str:
+    return "'" + "; ".join(f"{c}: {t}" for c, t in docs.items()).replace("'", "''") + "' AS comments"
+
+
+_NA = "CASE WHEN event_id % 101 = 0 THEN NULL ELSE value END AS value"
+
 STREAM_SQL = {
-    "bronze_stream": """SELECT event_id, ts, user_id, event_type,
-       CASE WHEN event_id % 101 = 0 THEN NULL ELSE value END AS value, props,
-       CASE WHEN event_id % 101 = 0 THEN '{"value":"n/a"}' END AS _rescued_data
+    "bronze_stream": f"""SELECT event_id, ts, user_id, event_type, {_NA}, props,
+       CASE WHEN event_id % 101 = 0 THEN '{{"value":"n/a"}}' END AS _rescued_data,
+       TRUE AS from_csv, TRUE AS dated
+FROM events""",
+    "bronze_csv_drift": f"""SELECT event_id, ts, user_id, event_type, {_NA},
+       CASE WHEN event_id % 3 = 2 THEN NULL ELSE props END AS props,
+       CASE WHEN event_id % 3 = 2 AND event_id % 101 = 0
+              THEN '{{"value":"n/a","extra":"x' || user_id || '"}}'
+            WHEN event_id % 3 = 2 THEN '{{"extra":"x' || user_id || '"}}'
+            WHEN event_id % 101 = 0 THEN '{{"value":"n/a"}}' END AS _rescued_data
 FROM events""",
+    "bronze_parquet_drift": """SELECT l.load, event_id,
+       CASE WHEN event_id % 10 = 5 THEN NULL ELSE user_id END AS user_id, event_type,
+       CASE WHEN event_id % 2 = 0 THEN NULL
+            WHEN event_id % 10 = 5 THEN '{"user_id":"u' || user_id || '","props":' || to_json(props) || '}'
+            ELSE '{"props":' || to_json(props) || '}' END AS _rescued_data
+FROM events, (VALUES ('stream'), ('batch')) AS l(load)""",
+    "bronze_json": f"""WITH {RAW_JSON}
+SELECT event_id AS id, value, CASE WHEN event_id % 2 = 1 THEN '{{"new":"1"}}' END AS _rescued_data FROM raw""",
     "silver_stream": _SQL["keep_latest_lineitem"],
+    "transactions_stream": _SQL["transactions_stream"],
+    "ecommerce_chain": f"""WITH {CONFORMED}
+SELECT CAST(transaction_timestamp AS DATE) AS transaction_date, CAST(count(DISTINCT order_id) AS BIGINT) AS order_count,
+       CAST(sum(gross_amount) AS DECIMAL(28,2)) AS daily_gross_revenue,
+       {_said(gold_daily_suite().docs)}
+FROM valid WHERE order_status <> 'PENDING' GROUP BY 1""",
+    "mainframe_chain": f"""SELECT customer_id, customer_lifetime_value, customer_tier, is_dormant_risk,
+       {_said(customer_value_suite().docs)}
+FROM ({_SQL["customer_value"]})""",
 }

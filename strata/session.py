@@ -3,7 +3,9 @@ scratch folder every job that must cut lineage or stage files uses."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -20,7 +22,6 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
 
@@ -47,7 +48,9 @@ def checkpoint_root(spark: SparkSession) -> str:
 
     On a cluster the job config names a shared (HDFS / object store)
     folder; it is read from the session and never replaced.  Only when it
-    is unset (local tests) is a fresh local folder created and registered.
+    is unset and the master is local (tests, the bench) is a fresh local folder
+    created; elsewhere executors would each write to a disk of their own, so
+    an unset folder is an error.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None)
@@ -55,8 +58,11 @@ def checkpoint_root(spark: SparkSession) -> str:
         app = sc.applicationId
         root = _LOCAL_ROOTS.get(app)
         if root is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             root = tempfile.mkdtemp(prefix="strata-ckpt-")
             _LOCAL_ROOTS[app] = root
+            atexit.register(shutil.rmtree, root, ignore_errors=True)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
     return root.rstrip("/")
@@ -75,3 +81,17 @@ def materialize(df, name: str = "stage"):
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def discard(df_or_path, spark: SparkSession | None = None) -> None:
+    """Delete scratch data that nothing reads any more: a frame that
+    :func:`materialize` returned, or a path under the checkpoint folder."""
+    if spark is None:
+        spark = df_or_path.sparkSession
+    paths = [df_or_path] if isinstance(df_or_path, str) else {f.rsplit("/", 1)[0] for f in df_or_path.inputFiles()}
+    root = checkpoint_root(spark)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        if path.removeprefix("file:").lstrip("/").startswith(root.removeprefix("file:").lstrip("/") + "/"):
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)

@@ -1,9 +1,5 @@
-"""File and table sources (SRC1-SRC6, SRC11, SRC14).
-
-Streaming readers use Spark's file source: the driver lists new files,
-executors read them, and the file-source log inside the query checkpoint
-remembers what was read, so a restart never ingests a file twice (ST2).
-"""
+"""Schemas and table sources (SRC6, SRC11, SRC14); files are loaded by
+``strata.streaming.bronze``, as a batch or as a stream (SRC1-SRC5)."""
 
 from __future__ import annotations
 
@@ -13,102 +9,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StringType, StructField, StructType
 
-from strata.sources.rescue import CORRUPT
-
-
-def all_string_schema(columns, corrupt: str | None = CORRUPT) -> StructType:
-    """Every column as text (nothing can misfit while reading), plus the
-    corrupt-record column that receives lines with a wrong token count."""
-    fields = [StructField(c, StringType(), True) for c in columns]
-    if corrupt:
-        fields.append(StructField(corrupt, StringType(), True))
-    return StructType(fields)
-
-
-def _csv_options(glob: str | None, corrupt: str | None, check_header: bool = False) -> dict:
-    """CSV reader options.  Columns are matched by position
-    (``enforceSchema=true``): a file that gains trailing columns still
-    loads -- its leading columns are read and the whole line lands in the
-    corrupt-record column, hence in ``_rescued_data`` -- so schema drift
-    never stops a stream.  ``check_header=True`` validates every file's
-    header by name instead and fails on any difference (use it when
-    columns may be reordered)."""
-    o = {"header": "true", "mode": "PERMISSIVE",
-         "enforceSchema": "false" if check_header else "true", "multiLine": "false"}
-    if corrupt:
-        o["columnNameOfCorruptRecord"] = corrupt
-    if glob:
-        o["pathGlobFilter"] = glob
-    return o
-
-
-def read_csv_stream(spark: SparkSession, path: str, schema: StructType,
-                    glob: str | None = "*.csv", corrupt: str | None = CORRUPT,
-                    max_files_per_trigger: int | None = None,
-                    check_header: bool = False) -> DataFrame:
-    """SRC1/SRC5: incremental CSV ingest with header (see ``_csv_options``
-    for how columns are matched)."""
-    if corrupt and corrupt not in schema.fieldNames():
-        schema = StructType(schema.fields + [StructField(corrupt, StringType(), True)])
-    r = spark.readStream.schema(schema).options(**_csv_options(glob, corrupt, check_header))
-    if max_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return r.csv(path)
-
-
-def read_parquet_stream(spark: SparkSession, path: str, schema: StructType,
-                        glob: str | None = "*.parquet",
-                        max_files_per_trigger: int | None = None) -> DataFrame:
-    """SRC2: incremental Parquet ingest with a declared schema."""
-    r = spark.readStream.schema(schema)
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    if max_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return r.parquet(path)
-
-
-def read_json_stream(spark: SparkSession, path: str, glob: str | None = "*.json",
-                     max_files_per_trigger: int | None = None) -> DataFrame:
-    """SRC3: JSON lines as raw text (one ``value`` per line); typing and
-    rescue happen in :func:`strata.sources.rescue.rescue_json`."""
-    r = spark.readStream.format("text")
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    if max_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return r.load(path)
-
-
-def read_batch(spark: SparkSession, fmt: str, path: str, schema: StructType | None = None,
-               glob: str | None = None, corrupt: str | None = CORRUPT,
-               check_header: bool = False) -> DataFrame:
-    """SRC4: the same contract as the stream readers, as a one-off load."""
-    fmt = fmt.lower()
-    if fmt == "csv":
-        if schema is None:
-            raise ValueError("read_batch(csv) needs a schema (see declare_or_infer_schema)")
-        if corrupt and corrupt not in schema.fieldNames():
-            schema = StructType(schema.fields + [StructField(corrupt, StringType(), True)])
-        return spark.read.schema(schema).options(**_csv_options(glob, corrupt, check_header)).csv(path)
-    if fmt == "json":
-        r = spark.read.format("text")
-        if glob:
-            r = r.option("pathGlobFilter", glob)
-        return r.load(path)
-    r = spark.read.format(fmt)
-    if schema is not None:
-        r = r.schema(schema)
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    return r.load(path)
-
 
 def declare_or_infer_schema(spark: SparkSession, fmt: str, path: str, stored_at: str,
-                            sample_ratio: float = 0.1) -> StructType:
-    """SRC6: infer the schema once from a sample, store it as JSON at
-    ``stored_at``, and reuse the stored one on every later run (so a
-    restart reads with the same schema; drift goes to the rescue column).
+                            glob: str | None = None) -> StructType:
+    """SRC6: infer the schema once, from all the data, store it as JSON at
+    ``stored_at``, and reuse the stored one on every later run (so a restart
+    reads with the same schema; drift goes to the rescue column).  A schema
+    without a column is an error and is never stored.
 
     CSV is declared all-string from its header: types are applied later
     by ``rescue_columns``, so nothing fails while reading.
@@ -117,24 +24,31 @@ def declare_or_infer_schema(spark: SparkSession, fmt: str, path: str, stored_at:
     if stored is not None:
         return stored
     fmt = fmt.lower()
+    reader = spark.read
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
     if fmt == "csv":
-        header = spark.read.option("header", "true").csv(path).schema.fieldNames()
-        schema = all_string_schema(header, corrupt=None)
+        names = reader.option("header", "true").csv(path).schema.fieldNames()
+        schema = StructType([StructField(c, StringType()) for c in names])
     elif fmt == "json":
-        schema = spark.read.option("samplingRatio", str(sample_ratio)).json(path).schema
+        schema = reader.option("samplingRatio", "1.0").json(path).schema
+        schema = StructType([f for f in schema.fields if f.name != "_corrupt_record"])
     else:
-        schema = spark.read.format(fmt).load(path).schema
-    spark.createDataFrame([(schema.json(),)], "s string").coalesce(1) \
-        .write.mode("overwrite").text(stored_at)
+        schema = reader.option("mergeSchema", "true").format(fmt).load(path).schema
+    if not schema.fields:
+        raise ValueError(f"no columns found in {path}: declare the schema")
+    spark.createDataFrame([(schema.json(),)], "s string").coalesce(1).write.mode("overwrite").text(stored_at)
     return schema
 
 
 def _read_stored_schema(spark: SparkSession, stored_at: str) -> StructType | None:
     try:
-        row = spark.read.text(stored_at, wholetext=True).first()
-    except AnalysisException:
+        rows = spark.read.text(stored_at, wholetext=True).where("value <> ''").collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    return StructType.fromJson(json.loads(row[0])) if row else None
+    return StructType.fromJson(json.loads(rows[0][0])) if rows else None
 
 
 def read_table(spark: SparkSession, name_or_path: str, fmt: str = "parquet") -> DataFrame:

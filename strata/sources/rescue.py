@@ -15,11 +15,11 @@ Expected types are given as ``{name: spec}`` where spec is a Spark type
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StringType
+from pyspark.sql.types import DataType, DecimalType, StringType
 
 from strata.functions.dates import DEFAULT_TS_FORMATS, parse_date, parse_ts
 
@@ -42,10 +42,23 @@ def converter(spec: DataType | str) -> Callable[[Column], Column]:
             return lambda c: parse_date(c, fmt)
         if low in ("string", "varchar"):
             return lambda c: c.cast("string")
-        return lambda c: F.trim(c.cast("string")).try_cast(s)
+        return _exact(s)
     if isinstance(spec, StringType):
         return lambda c: c.cast("string")
-    return lambda c: F.trim(c.cast("string")).try_cast(spec)
+    return _exact(spec)
+
+
+def _exact(spec: DataType | str) -> Callable[[Column], Column]:
+    """Cast that does not fit when a decimal type would round the text."""
+    if not (isinstance(spec, DecimalType) or str(spec).lower().startswith(("decimal", "numeric"))):
+        return lambda c: F.trim(c.cast("string")).try_cast(spec)
+
+    def cast(c: Column) -> Column:
+        text = F.trim(c.cast("string"))
+        value, wide = text.try_cast(spec), text.try_cast("decimal(38,18)")
+        return F.when(wide.isNull() | (wide == value), value)
+
+    return cast
 
 
 def _merge(old: Column, new: Column) -> Column:
@@ -61,8 +74,10 @@ def _merge(old: Column, new: Column) -> Column:
 
 
 def rescue_columns(df: DataFrame, expected: Mapping[str, DataType | str],
-                   rescued: str = RESCUED, corrupt: str | None = CORRUPT) -> DataFrame:
-    """Cast text columns to their expected types, keeping every misfit.
+                   rescued: str = RESCUED, corrupt: str | None = CORRUPT,
+                   undeclared: Sequence[str] = ()) -> DataFrame:
+    """Cast text columns to their expected types, keeping every misfit, and the text
+    of every column in ``undeclared``, which is then dropped.
 
     Columns not in ``expected`` pass through unchanged.  If a corrupt-record
     column is present (CSV ``columnNameOfCorruptRecord``) it wins: the whole
@@ -77,9 +92,10 @@ def rescue_columns(df: DataFrame, expected: Mapping[str, DataType | str],
     names = [n for n in expected if n in df.columns]
     tmp = {n: f"__typed_{i}" for i, n in enumerate(names)}
     staged = df.withColumns({tmp[n]: converter(expected[n])(F.col(n)) for n in names})
-    if names:
+    if names or undeclared:
         mis = F.struct(*[F.when(F.col(n).isNotNull() & F.col(tmp[n]).isNull(),
-                                F.col(n).cast("string")).alias(n) for n in names])
+                                F.col(n).cast("string")).alias(n) for n in names],
+                       *[F.col(f"`{n}`").cast("string").alias(n) for n in undeclared])
         js = F.to_json(mis)
         new = F.when(js != F.lit("{}"), js)
     else:
@@ -88,7 +104,7 @@ def rescue_columns(df: DataFrame, expected: Mapping[str, DataType | str],
         new = F.coalesce(F.col(corrupt), new)
     if rescued in df.columns:
         new = _merge(F.col(rescued), new)
-    out = staged.withColumns({**{n: F.col(tmp[n]) for n in names}, rescued: new}).drop(*tmp.values())
+    out = staged.withColumns({**{n: F.col(tmp[n]) for n in names}, rescued: new}).drop(*tmp.values(), *undeclared)
     if corrupt and corrupt in df.columns:
         out = out.drop(corrupt)
     return out

@@ -3,40 +3,62 @@ format on the classpath (e.g. a table format) can be named instead."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 
-def write_stream_append(df: DataFrame, target: str, checkpoint: str,
-                        partition_by: Sequence[str] = ("_ingest_date",), fmt: str = "parquet",
-                        available_now: bool = True, start: bool = True) -> StreamingQuery:
-    """SRC10: exactly-once append.  The file sink commits each micro-batch
-    in its own log, and the checkpoint records offsets, so a retried batch
-    (e.g. after a lost executor) is not written twice.  ``target`` is a
-    path; a name without ``/`` is treated as a catalog table."""
-    w = (df.writeStream.format(fmt).outputMode("append")
-           .option("checkpointLocation", checkpoint))
-    if partition_by:
-        w = w.partitionBy(*partition_by)
+LOAD = "_load"
+
+
+def append_batches(stream: DataFrame, path: str, checkpoint: str,
+                   rows: Callable[[DataFrame], DataFrame | None] | None = None,
+                   partition_by: Sequence[str] = (), available_now: bool = True,
+                   wait: bool = True) -> StreamingQuery:
+    """SRC10: append what ``rows`` makes of each micro-batch under ``path``, exactly once.
+
+    A batch has a folder of its own, named by the query's id (which its checkpoint
+    keeps) and the batch's number, and overwrites it: a batch replayed after a
+    failure counts once, and a query with another checkpoint never meets it (the
+    log of Spark's file sink, kept by number alone, would skip its first batches).
+    With ``available_now=False`` the query runs on until it is stopped."""
+
+    def load(batch: DataFrame, number: int) -> None:
+        out = rows(batch) if rows else batch
+        if out is None:
+            return
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        w = out.write.mode("overwrite").option("partitionOverwriteMode", "static")
+        if partition_by:
+            w = w.partitionBy(*partition_by)
+        w.parquet(f"{path.rstrip('/')}/{LOAD}={query}-{number}")
+
+    w = stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     if available_now:
         w = w.trigger(availableNow=True)
-    if "/" not in target:
-        return w.toTable(target)
-    return w.start(target)
+    q = w.start()
+    if wait and available_now:
+        q.awaitTermination()
+    return q
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """All rows that :func:`append_batches` wrote under ``path``."""
+    return spark.read.parquet(path).drop(LOAD)
 
 
 def write_overwrite(df: DataFrame, target: str, fmt: str = "parquet",
                     partition_by: Sequence[str] = (),
                     bucket_by: tuple[int, Sequence[str]] | None = None) -> None:
-    """SRC12: full overwrite; the new schema replaces the old one.
+    """SRC12: full overwrite; the new schema replaces the old one, and so do the
+    new partitions all old ones, whatever the session's overwrite mode.
 
     ``bucket_by=(n, keys)`` (catalog tables only) stores the table hashed
     into ``n`` buckets by ``keys`` and sorted within them: later joins and
     aggregations of two tables bucketed alike on the key read co-located
     buckets and need no shuffle."""
-    w = df.write.format(fmt).mode("overwrite")
+    w = df.write.format(fmt).mode("overwrite").option("partitionOverwriteMode", "static")
     if partition_by:
         w = w.partitionBy(*partition_by)
     if bucket_by is not None:

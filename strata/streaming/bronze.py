@@ -1,25 +1,36 @@
-"""Bronze ingest stream (ST1, ST2, ST4): file source -> ingest metadata ->
-rescue -> partitioned append with checkpoint.
+"""Bronze ingest (ST1, ST2, ST4, SRC1-SRC4): files -> rows of the declared columns,
+``_rescued_data`` and ingest metadata, partitioned by ingest date.
 
-``availableNow`` processes everything new since the last run and stops;
-re-running with the same checkpoint ingests only files not yet seen.
+The stream discovers files: its source lists them (the file-source log in the
+checkpoint remembers which were seen) and each micro-batch loads its new files as a
+batch does, so both give the same columns and rows.  Columns are matched by *name*,
+file by file: files are grouped by their own header or footer, of which there are
+as many as the source had layouts, and each group is read with its own schema.  So a
+reordered, added or retyped column neither stops the load nor lands in another
+column; what the declared columns can't hold is kept as text in ``_rescued_data``.
+
+Each micro-batch is written exactly once (see ``sources.sinks.append_batches``).
 """
 
 from __future__ import annotations
 
+import json
+from collections import defaultdict
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import DataType, StructType
+from pyspark.sql.types import DataType, MapType, StringType, StructField, StructType
 
-from strata.sources.files import (all_string_schema, read_csv_stream, read_json_stream,
-                                  read_parquet_stream)
+from strata.sources.files import declare_or_infer_schema
 from strata.sources.metadata import with_ingest_metadata
-from strata.sources.rescue import rescue_columns, rescue_json
-from strata.sources.sinks import write_stream_append
+from strata.sources.rescue import CORRUPT, RESCUED, rescue_columns, rescue_json
+from strata.sources.sinks import append_batches
+
+GLOBS = {"csv": "*.csv", "json": "*.json", "parquet": "*.parquet"}
 
 
 @dataclass
@@ -30,69 +41,133 @@ class BronzeConfig:
     fmt: str = "csv"                       # csv | json | parquet
     columns: Sequence[str] = ()            # csv header / json keys
     expected: Mapping[str, DataType | str] = field(default_factory=dict)
-    schema: StructType | None = None       # parquet
+    schema: StructType | None = None       # parquet (or any format: names and types)
+    schema_at: str | None = None           # remember an inferred schema here (SRC6)
     partition_by: Sequence[str] = ("_ingest_date",)
     glob: str | None = None
     max_files_per_trigger: int | None = None
-    rescue_new_columns: bool = True        # parquet: keep undeclared columns as JSON
-
-
-def bronze_frame(spark: SparkSession, cfg: BronzeConfig) -> DataFrame:
-    """The streaming frame written to bronze (no sink attached)."""
-    fmt = cfg.fmt.lower()
-    if fmt == "csv":
-        raw = read_csv_stream(spark, cfg.source_path, all_string_schema(cfg.columns),
-                              glob=cfg.glob or "*.csv",
-                              max_files_per_trigger=cfg.max_files_per_trigger)
-        df = with_ingest_metadata(raw)
-        expected = cfg.expected or {c: "string" for c in cfg.columns}
-        return rescue_columns(df, expected)
-    if fmt == "json":
-        raw = read_json_stream(spark, cfg.source_path, glob=cfg.glob or "*.json",
-                               max_files_per_trigger=cfg.max_files_per_trigger)
-        df = with_ingest_metadata(raw)
-        expected = cfg.expected or {c: "string" for c in cfg.columns}
-        return rescue_json(df, expected)
-    if fmt == "parquet":
-        if cfg.schema is None:
-            raise ValueError("parquet bronze needs a schema")
-        extra = new_parquet_columns(spark, cfg) if cfg.rescue_new_columns else []
-        schema = StructType(cfg.schema.fields + extra)
-        raw = read_parquet_stream(spark, cfg.source_path, schema, glob=cfg.glob or "*.parquet",
-                                  max_files_per_trigger=cfg.max_files_per_trigger)
-        df = with_ingest_metadata(raw)
-        if cfg.expected:
-            df = rescue_columns(df, cfg.expected)
-        else:
-            df = df.withColumn("_rescued_data", F.lit(None).cast("string"))
-        if extra:
-            # undeclared columns: values kept as JSON, schema unchanged
-            js = F.to_json(F.struct(*[F.col(f.name) for f in extra]))
-            new = F.when(js != F.lit("{}"), js)
-            df = df.withColumn("_rescued_data", F.coalesce(F.col("_rescued_data"), new)) \
-                   .drop(*[f.name for f in extra])
-        return df
-    raise ValueError(f"unsupported bronze format {cfg.fmt!r}")
-
-
-def new_parquet_columns(spark: SparkSession, cfg: BronzeConfig) -> list:
-    """Columns present in the source files but not in the declared schema.
-    Reads Parquet footers only (merged by a distributed job), once per
-    stream start; an empty or missing folder has none."""
-    try:
-        found = (spark.read.option("mergeSchema", "true")
-                 .option("pathGlobFilter", cfg.glob or "*.parquet")
-                 .parquet(cfg.source_path).schema)
-    except Exception:  # noqa: BLE001 -- nothing to read yet
-        return []
-    declared = set(cfg.schema.fieldNames())
-    return [f for f in found.fields if f.name not in declared]
+    available_now: bool = True             # False: run on until stopped
+
+
+def declared(spark: SparkSession, cfg: BronzeConfig) -> dict[str, DataType | str]:
+    """Name -> type of the columns that bronze has; inferred once and remembered
+    where ``schema_at`` names a place and nothing is declared."""
+    if cfg.expected:
+        return dict(cfg.expected)
+    if cfg.columns:
+        return {c: "string" for c in cfg.columns}
+    schema = cfg.schema
+    if schema is None and cfg.schema_at:
+        schema = declare_or_infer_schema(spark, cfg.fmt, cfg.source_path, cfg.schema_at, glob=_glob(cfg))
+    if schema is None:
+        raise ValueError("bronze needs columns, expected types, a schema or a place to remember one")
+    return {f.name: f.dataType for f in schema.fields}
+
+
+def _glob(cfg: BronzeConfig) -> str:
+    return cfg.glob or GLOBS[cfg.fmt.lower()]
+
+
+def _named(raw: DataFrame, types: Mapping[str, DataType | str]) -> DataFrame:
+    """Text columns by name -> declared columns and ``_rescued_data``; ``raw`` may hold
+    others, the corrupt record and its file."""
+    own = {"_file", CORRUPT}
+    others = [c for c in raw.columns if c not in types and c not in own]
+    out = raw.withColumns({n: F.lit(None).cast("string") for n in types if n not in raw.columns})
+    return rescue_columns(out, types, undeclared=others).select(*types, RESCUED, "_file")
+
+
+def csv_headers(spark: SparkSession, files: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files by their header: the first line of each file's first block, found where it
+    is read and brought together as one row per file."""
+    lines = spark.read.text(list(files)).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("i"), "value").where("at = 0")
+    first = lines.groupBy("file").agg(F.min_by("value", "i").alias("line"))
+    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
+    for r in first.collect():
+        groups[r.line].append(unquote(r.file))  # the metadata column holds a URI
+    out: dict[tuple[str, ...], list[str]] = defaultdict(list)
+    for line, paths in groups.items():
+        out[tuple(spark.read.option("header", "true").csv(paths[0]).columns)] += paths
+    return out
+
+
+def _csv_rows(spark: SparkSession, files: Sequence[str], types: Mapping[str, DataType | str]) -> list[DataFrame]:
+    out = []
+    for header, paths in csv_headers(spark, files).items():
+        schema = StructType([StructField(c, StringType()) for c in (*header, CORRUPT)])
+        raw = (spark.read.schema(schema).options(header="true", mode="PERMISSIVE", enforceSchema="true",
+                                                 columnNameOfCorruptRecord=CORRUPT).csv(paths))
+        out.append(_named(raw.withColumn("_file", F.col("_metadata.file_path")), types))
+    return out
+
+
+def _json_rows(spark: SparkSession, files: Sequence[str], types: Mapping[str, DataType | str]) -> list[DataFrame]:
+    raw = spark.read.text(list(files)).withColumn("_file", F.col("_metadata.file_path"))
+    return [rescue_json(raw, types).select(*types, RESCUED, "_file")]
+
+
+def _parquet_rows(spark: SparkSession, files: Sequence[str], types: Mapping[str, DataType | str]) -> list[DataFrame]:
+    """Each file's own footer gives its types.  Columns that already have the declared type
+    are read as they are; others go through their text, and back where they fit."""
+    groups: dict[str, list[str]] = defaultdict(list)
+    for f in files:  # new files only: older footers are never read again
+        groups[spark.read.parquet(f).schema.json()].append(f)
+    out = []
+    for text, paths in groups.items():
+        schema = StructType.fromJson(json.loads(text))
+        have = {f.name: f.dataType for f in schema.fields}
+        same = [n for n, t in types.items() if n in have and have[n] == t]
+        raw = spark.read.schema(schema).parquet(*paths).withColumn("_file", F.col("_metadata.file_path"))
+        nested = [n for n, t in have.items() if n not in same and isinstance(t, (StructType, MapType))
+                  or t.typeName() == "array" and n not in same]
+        raw = raw.withColumns({n: F.to_json(F.col(f"`{n}`")) for n in nested})
+        raw = raw.withColumns({n: F.col(f"`{n}`").cast("string") for n in have if n not in same and n not in nested})
+        rest = {n: t for n, t in types.items() if n not in same}
+        others = [c for c in have if c not in types]
+        rows = raw.withColumns({n: F.lit(None).cast("string") for n in rest if n not in have})
+        out.append(rescue_columns(rows, rest, undeclared=others).select(*types, RESCUED, "_file"))
+    return out
+
+
+READERS = {"csv": _csv_rows, "json": _json_rows, "parquet": _parquet_rows}
+
+
+def bronze_rows(spark: SparkSession, cfg: BronzeConfig, files: Sequence[str]) -> DataFrame | None:
+    """The bronze rows of these files; None for no files."""
+    if not files:
+        return None
+    if cfg.fmt.lower() not in READERS:
+        raise ValueError(f"unsupported bronze format {cfg.fmt!r}")
+    parts = READERS[cfg.fmt.lower()](spark, files, declared(spark, cfg))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return with_ingest_metadata(rows, source_file=F.col("_file")).drop("_file")
+
+
+def _discover(reader, cfg: BronzeConfig):
+    """Files of the source, by path; their contents are not read."""
+    reader = reader.format("binaryFile").option("pathGlobFilter", _glob(cfg))
+    if cfg.max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(cfg.max_files_per_trigger))
+    return reader
+
+
+def bronze_batch(spark: SparkSession, cfg: BronzeConfig) -> DataFrame | None:
+    """SRC4: all files of the source as one load, with the columns of the stream."""
+    found = _discover(spark.read, cfg).load(cfg.source_path).select("path")
+    return bronze_rows(spark, cfg, sorted(r.path for r in found.collect()))
 
 
 def bronze_stream(spark: SparkSession, cfg: BronzeConfig, wait: bool = True) -> StreamingQuery:
-    """Run the bronze ingest (availableNow) into ``cfg.target_path``."""
-    q = write_stream_append(bronze_frame(spark, cfg), cfg.target_path, cfg.checkpoint,
-                            partition_by=cfg.partition_by)
-    if wait:
-        q.awaitTermination()
-    return q
+    """Load the files that are new since the last run of this checkpoint into
+    ``cfg.target_path``; or, with ``available_now=False``, go on as they arrive."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    found = _discover(spark.readStream.schema(schema), cfg).load(cfg.source_path).select("path")
+
+    def rows(batch: DataFrame) -> DataFrame | None:
+        return bronze_rows(batch.sparkSession, cfg, sorted(r.path for r in batch.collect()))
+
+    return append_batches(found, cfg.target_path, cfg.checkpoint, rows, cfg.partition_by, cfg.available_now, wait)

@@ -1,126 +1,26 @@
-"""Silver keep-latest stream (ST3).
-
-``row_number`` is not allowed on a stream and a table cannot be
-overwritten while it is read, so each micro-batch (``foreachBatch``)
-folds its rows into the previous snapshot and writes the next snapshot
-into the *other* of two slots (``data/slot=0|1``, double buffering: the
-slot being replaced is never the one being read, and storage stays at
-two copies).  After the write, (batch id, slot) is
-appended to a small commit log (``committed/``); readers take the slot of
-the highest committed version, so a half-written slot is never read.  A
-retried batch folds the same committed input into the same slot, so
-retries (lost executors, restarts) are idempotent.
-
-Per batch only the keys the batch touches are re-ranked: the previous
-snapshot is split by a null-safe semi / anti join against the batch's
-distinct keys (broadcast after a row-count check, so the snapshot itself
-is filtered map-side and never shuffled), and keep-latest runs over the
-touched snapshot rows plus the batch.  Shuffle and sort cost is
-O(batch); the new version is still written in full (plain files have no
-in-place update).  A batch touching more keys than the broadcast bound
-falls back to one keep-latest over snapshot + batch.
+"""Silver keep-latest over a stream (ST3).
+
+A stream can neither rank rows that are still to come nor replace rows that
+readers hold open.  So the stream itself only appends: each micro-batch's rows,
+conformed and tagged, are written once (``sources.sinks.append_batches``), at the
+cost of that batch.  Ranking is a batch job over the appended rows: it writes a *new*
+folder each time and never touches one that may be read.  Another checkpoint appends
+its rows again, which ranking undoes, as they are exact copies: no history depends on
+a batch's number.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-
-from strata.operators.dedupe import keep_latest
-from strata.operators.joins import BROADCAST_ROWS, fits_broadcast
-
-
-def commit_log(root: str) -> str:
-    return f"{root.rstrip('/')}/committed"
-
-
-def data_path(root: str) -> str:
-    return f"{root.rstrip('/')}/data"
-
-
-def slot_path(root: str, slot: int) -> str:
-    return f"{data_path(root)}/slot={slot}"
-
-
-def read_slot(spark: SparkSession, root: str, slot: int) -> DataFrame | None:
-    try:
-        return spark.read.parquet(slot_path(root, slot))
-    except AnalysisException:
-        return None
-
-
-def merge_latest(prev: DataFrame, rows: DataFrame, keys: Sequence[str], order: Sequence,
-                 max_broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Fold new ``rows`` into a keep-latest snapshot ``prev`` (one row per
-    key): untouched keys pass through, touched keys are re-ranked."""
-    if not fits_broadcast(rows, max_broadcast_rows):
-        # a batch this large may touch too many keys to filter the snapshot
-        # map-side: one shuffle of snapshot + batch beats two shuffle joins
-        return keep_latest(prev.unionByName(rows), keys, order)
-    # at most max_broadcast_rows rows -> at most that many distinct keys
-    touched = F.broadcast(rows.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).distinct())
-    cond = None
-    for i, k in enumerate(keys):
-        c = prev[k].eqNullSafe(touched[f"_k{i}"])
-        cond = c if cond is None else cond & c
-    keep = prev.join(touched, cond, "left_anti")
-    redo = prev.join(touched, cond, "left_semi")
-    return keep.unionByName(keep_latest(redo.unionByName(rows), keys, order))
-
-
-def silver_stream(bronze: DataFrame, snapshot_root: str, checkpoint: str,
-                  keys: Sequence[str], order: Sequence,
-                  conform: Callable[[DataFrame], DataFrame] | None = None,
-                  wait: bool = True) -> StreamingQuery:
-    """Stream ``bronze`` (a streaming frame) into versioned keep-latest
-    snapshots under ``snapshot_root``."""
-
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = conform(batch) if conform else batch
-        last = last_committed(spark, snapshot_root, below=batch_id)
-        prev = read_slot(spark, snapshot_root, last[1]) if last is not None else None
-        if prev is None:
-            latest = keep_latest(rows, keys, order)
-        else:
-            rows = rows.select(*prev.columns)
-            latest = merge_latest(prev, rows, keys, order)
-        slot = 0 if last is None else 1 - last[1]
-        # the slot being replaced is not the one being read
-        latest.write.mode("overwrite").parquet(slot_path(snapshot_root, slot))
-        spark.range(1).select(F.lit(batch_id).cast("bigint").alias("version"),
-                              F.lit(slot).alias("slot")) \
-            .write.mode("append").parquet(commit_log(snapshot_root))
-
-    q = (bronze.writeStream.foreachBatch(fold)
-         .option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    if wait:
-        q.awaitTermination()
-    return q
+import uuid
 
+from pyspark.sql import DataFrame
 
-def last_committed(spark: SparkSession, snapshot_root: str,
-                   below: int | None = None) -> tuple[int, int] | None:
-    """(version, slot) of the highest committed version (optionally below
-    ``below``), or None."""
-    try:
-        log = spark.read.parquet(commit_log(snapshot_root))
-    except AnalysisException:
-        return None
-    if below is not None:
-        log = log.where(F.col("version") < below)
-    top = log.agg(F.max_by(F.struct("version", "slot"), "version").alias("t")).first()["t"]
-    return None if top is None else (int(top["version"]), int(top["slot"]))
 
+def snapshot(df: DataFrame, root: str) -> DataFrame:
+    """``df`` written as a new version under ``root`` and read back.
 
-def latest_snapshot(spark: SparkSession, snapshot_root: str) -> DataFrame:
-    """The newest committed snapshot."""
-    top = last_committed(spark, snapshot_root)
-    if top is None:
-        raise FileNotFoundError(f"no committed snapshot under {snapshot_root}")
-    return spark.read.parquet(slot_path(snapshot_root, top[1]))
+    Which version readers use is for the caller to publish (its path, or a view or
+    catalog table over it); older versions stay until they are deleted."""
+    path = f"{root.rstrip('/')}/version={uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.option("basePath", path).parquet(path)

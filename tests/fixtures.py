@@ -31,9 +31,6 @@ def write_csv(dirpath, name="transactions.csv", text=LEGACY_CSV):
 def read_legacy(spark, dirpath):
     """Batch bronze read of the fixture with ingest metadata."""
     from strata.plans.ecommerce import RAW_COLUMNS
-    from strata.sources.files import all_string_schema, read_batch
-    from strata.sources.metadata import with_ingest_metadata
-    from strata.sources.rescue import rescue_columns
+    from strata.streaming.bronze import BronzeConfig, bronze_batch
     write_csv(dirpath)
-    raw = read_batch(spark, "csv", dirpath, all_string_schema(RAW_COLUMNS), glob="*.csv")
-    return rescue_columns(with_ingest_metadata(raw), {c: "string" for c in RAW_COLUMNS})
+    return bronze_batch(spark, BronzeConfig(dirpath, "", "", columns=RAW_COLUMNS))

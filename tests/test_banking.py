@@ -1,8 +1,8 @@
 from decimal import Decimal
 
+from strata.operators.gold import customer_value, customer_value_by_status
 from strata.operators.quality import run_tests, unique
-from strata.plans.banking import (CUST_MAST_SCHEMA, conform_customers, customer_value_suite,
-                                  gold_customer_value, gold_customer_value_by_status)
+from strata.plans.banking import CUST_MAST_SCHEMA, conform_customers, customer_value_suite
 
 # FIXTURES F3 account rows, as they arrive (CHAR padded).
 RAW = [
@@ -39,7 +39,7 @@ def test_unmapped_codes(spark):
 
 
 def test_value_by_status_as_shipped(spark):
-    g = gold_customer_value_by_status(_silver(spark))
+    g = customer_value_by_status(_silver(spark))
     got = sorted((r.customer_id, r.account_status, f"{r.active_balance:.2f}",
                   f"{r.customer_lifetime_value:.2f}", r.distinct_accounts, r.customer_tier[5],
                   r.is_dormant_risk) for r in g.collect())
@@ -55,7 +55,7 @@ def test_value_by_status_as_shipped(spark):
 
 
 def test_value_per_customer(spark):
-    g = gold_customer_value(_silver(spark))
+    g = customer_value(_silver(spark))
     got = sorted((r.customer_id, f"{r.active_balance:.2f}", f"{r.dormant_balance:.2f}",
                   f"{r.customer_lifetime_value:.2f}", r.distinct_accounts, r.customer_tier,
                   r.is_dormant_risk) for r in g.collect())
@@ -84,7 +84,7 @@ def test_mainframe_parquet_bronze_stream(spark, tmp_dir):
     bronze = spark.read.parquet(out)
     assert bronze.count() == len(RAW)
     assert {"_rescued_data", "_ingested_at", "_source_file", "_ingest_date"} <= set(bronze.columns)
-    g = {r.customer_id: r.customer_tier for r in gold_customer_value(conform_customers(bronze)).collect()}
+    g = {r.customer_id: r.customer_tier for r in customer_value(conform_customers(bronze)).collect()}
     assert g["C1"] == "Tier 2 (Gold)" and g["C5"] == "Tier 1 (Platinum)"
 
 

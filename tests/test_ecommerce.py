@@ -4,10 +4,10 @@ from pyspark.sql import functions as F
 
 from fixtures import ITEM_CATEGORIES, read_legacy
 from strata.operators.quality import reconcile, run_tests
-from strata.plans.ecommerce import (conform_transactions, gold_daily_suite,
+from strata.plans.ecommerce import (gold_daily_suite, latest_transactions, tagged_transactions,
                                     gold_revenue_by_category, gold_revenue_daily,
                                     silver_transactions, superseded_transactions,
-                                    typed_transactions)
+                                    split_transactions)
 
 EXPECTED_SILVER = {
     # order_id: (sk prefix, customer, ts, gross, rate, status, payment)
@@ -24,7 +24,7 @@ EXPECTED_SILVER = {
 
 def _silver_all(spark, tmp_dir):
     bronze = read_legacy(spark, tmp_dir + "/raw")
-    return bronze, conform_transactions(typed_transactions(bronze))
+    return bronze, latest_transactions(tagged_transactions(bronze))
 
 
 def test_silver_golden(spark, tmp_dir):
@@ -60,7 +60,7 @@ def test_split_and_reconcile(spark, tmp_dir):
     assert [r.order_id for r in q] == ["O-9989"]
     assert q[0]._reject_reason == "missing:transaction_timestamp"
     assert "_rescued_data" not in valid.columns
-    sup = superseded_transactions(typed_transactions(bronze))
+    sup = superseded_transactions(tagged_transactions(bronze))
     rec = reconcile({"rows_in": bronze, "kept": valid, "superseded": sup,
                      "quarantined": quarantine}).collect()
     assert len(rec) == 1
@@ -88,7 +88,7 @@ def test_gold_by_day(spark, tmp_dir):
 
 def test_gold_without_quarantine_has_null_day(spark, tmp_dir):
     bronze = read_legacy(spark, tmp_dir + "/raw")
-    silver = conform_transactions(typed_transactions(bronze))
+    silver = latest_transactions(tagged_transactions(bronze))
     # the gold model drops NULL dates itself; the quarantine holds the row
     days = [r.transaction_date for r in gold_revenue_daily(silver).collect()]
     assert None not in days and len(days) == 6
@@ -127,3 +127,23 @@ def test_line_items_golden(spark, tmp_dir):
     }
     rec = item_reconciliation(silver).collect()
     assert len(rec) == 8 and all(r.amount_matches for r in rec)
+
+
+def test_rows_without_a_key_are_all_quarantined(spark):
+    rows = [(None, "C_1", f"2026-08-0{i}", None, str(i), "0.1", "x", "cc") for i in range(1, 5)]
+    rows += [(" null ", "C_1", "2026-08-09", None, "9", "0.1", "x", "cc"), ("O-1", "C_1", "2026-08-01", None, "1", "0.1", "x", "cc"),
+             ("O-1", "C_1", "bad", None, "2", "0.1", "x", "cc")]
+    bronze = spark.createDataFrame(rows, "order_id string, cust_id string, txn_dt string, item_details string, "
+                                         "gross_amt string, tax_rate string, status string, p_method string")
+    valid, quarantine = split_transactions(tagged_transactions(bronze))
+    assert [r.order_id for r in valid.collect()] == ["O-1"]
+    assert sorted(r.gross_amount for r in quarantine.collect()) == [1, 2, 3, 4, 9]
+    assert superseded_transactions(tagged_transactions(bronze)).count() == 1
+
+
+def test_ties_do_not_depend_on_row_order(spark):
+    rows = [("O-1", "C_1", "2026-08-01", None, str(i), "0.1", s, "cc") for i in range(20) for s in ("a", "b")]
+    bronze = spark.createDataFrame(rows, "order_id string, cust_id string, txn_dt string, item_details string, "
+                                         "gross_amt string, tax_rate string, status string, p_method string")
+    kept = {tuple(latest_transactions(tagged_transactions(bronze.orderBy(F.rand(i)).repartition(3))).first()) for i in range(3)}
+    assert len(kept) == 1

@@ -59,9 +59,25 @@ def test_map_codes(spark):
     e = map_codes("x", PAYMENT_METHODS, "Other")
     assert [one(spark, e, v) for v in ["cc", "paypal", "giftcard", "CreditCard", None]] == \
         ["Credit Card", "PayPal", "Gift Card", "Other", "Other"]
-    big = {str(i): f"v{i}" for i in range(100)}            # literal-map path
-    assert one(spark, map_codes("x", big, "none"), "42") == "v42"
-    assert one(spark, map_codes("x", big, "none"), "x") == "none"
+    for n in (3, 16, 17, 100):                             # the same at every size
+        codes = {str(i): None if i == 2 else f"v{i}" for i in range(n)}
+        got = [one(spark, map_codes("x", codes, "none"), v) for v in ("1", "2", "x", None)]
+        assert got == ["v1", None, "none", "none"]
+        assert one(spark, map_codes("x", codes, "none"), 1, "x int") == "v1"
+
+
+@pytest.mark.parametrize("fmt,text", [("yyyy-MM-dd[ HH:mm:ss]", "2026-08-01 10:00:00"), ("yyyy-MM-dd[ HH:mm:ss]", "2026-08-01"),
+                                      ("yyyy-MM-dd G", "2026-08-01 AD"), ("yyyy'T'MM", "2026T08")])
+def test_patterns_that_are_not_modelled_are_not_guarded(spark, fmt, text):
+    assert shape_regex(fmt) is None
+    assert one(spark, parse_ts("x", [fmt]), text) is not None
+
+
+def test_totals_that_do_not_fit_are_null(spark):
+    assert one(spark, items_total(parse_items("x")), "[1:2000000000:9999999999999999.99]") is None
+    from strata.operators.items import item_reconciliation
+    df = spark.createDataFrame([("1.00", "[1:2000000000:9999999999999999.99]")], "gross_amount string, raw_item_details string")
+    assert item_reconciliation(df).first().amount_matches is False
 
 
 def test_null_tokens(spark):

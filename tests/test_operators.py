@@ -104,14 +104,41 @@ def test_active_users_and_mrr(spark):
     assert m == [("2024-02-01", 1, 20)]
 
 
-def test_tag_latest_and_superseded(spark):
-    from strata.operators.dedupe import superseded, tag_latest
+def test_superseded(spark):
+    from strata.operators.dedupe import superseded
     rows = [("k", 1, "a"), ("k", 1, "a"), ("k", 2, "b"), ("j", None, "c"), ("j", None, "c")]
     df = spark.createDataFrame(rows, "key string, ts int, v string")
-    for stable in (True, False):
-        t = tag_latest(df.repartition(3), ["key"], ["ts"], stable_input=stable).collect()
-        kept = sorted((r.key, r.ts, r.v) for r in t if r._rn == 1)
-        assert kept == [("j", None, "c"), ("k", 2, "b")]
-        assert sum(1 for r in t if r._rn == 2) == 3
     sup = sorted(map(tuple, superseded(df, ["key"], ["ts"]).collect()), key=repr)
     assert sup == sorted([("k", 1, "a"), ("k", 1, "a"), ("j", None, "c")], key=repr)
+
+
+def test_keep_latest_ranks_nested_columns(spark):
+    df = spark.createDataFrame([(1, [1, 2], (1, "a")), (1, [1, 3], (0, "z")), (1, [1, 3], (2, "b"))],
+                               "k int, a array<int>, s struct<x:int,y:string>")
+    for seed in range(3):
+        r = keep_latest(df.orderBy(F.rand(seed)).repartition(3), ["k"], []).first()
+        assert (r.a, tuple(r.s)) == ([1, 3], (2, "b"))
+
+
+def test_null_keys_are_spread_and_kept(spark):
+    from strata.operators.joins import join_nullable, lookup_category
+    items = spark.range(0, 300).selectExpr("id", "if(id % 2 = 0, null, id % 7) AS item_id")
+    dim = spark.createDataFrame([(1, "one"), (2, "two"), (None, "none")], "item_id long, category string")
+    for bound in (100, None):
+        got = lookup_category(items, dim, max_broadcast_rows=bound)
+        assert got.columns == ["id", "item_id", "category"] and got.count() == 300
+        n = {r.category: r["count"] for r in got.groupBy("category").count().collect()}
+        want = [i for i in range(300) if i % 2]
+        assert n == {"one": sum(i % 7 == 1 for i in want), "two": sum(i % 7 == 2 for i in want),
+                     "Unknown": 300 - sum(i % 7 in (1, 2) for i in want)}
+    d = dim.withColumnRenamed("item_id", "k")
+    plan = join_nullable(items, d, "item_id", "k", None)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in plan and "_salt_0" in plan
+
+
+def test_several_accepted_values_plan_no_expand(spark):
+    df = spark.createDataFrame([("a", "x"), ("b", None), ("c", "z"), ("c", "z")], "p string, q string")
+    res = run_tests(df, TestSuite("m", accepted_values={"p": ["a"], "q": ["x"]}, unique=["p"]))
+    assert {(r.column_name, r.test): r.failures for r in res.collect()} == {
+        ("p", "accepted_values"): 2, ("q", "accepted_values"): 1, ("p", "unique"): 1}
+    assert "Expand" not in res._jdf.queryExecution().executedPlan().toString()

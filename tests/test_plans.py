@@ -66,11 +66,32 @@ FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "
 
 
 def test_registered_queries_have_no_cross_joins_or_python(spark):
-    import __spark_entry__ as E
+    from strata.plans.catalog import QUERIES
     sf = "/root/testdata/sf0.001"
-    for name, fn in E.queries().items():
-        if name in ("bronze_stream", "silver_stream"):
-            continue
+    for name, fn in QUERIES.items():
         plan = _plan(fn(spark, sf))
         bad = [f for f in FORBIDDEN if f in plan]
         assert not bad, (name, bad)
+
+
+def test_an_unset_checkpoint_folder_is_an_error_off_local_masters(spark, monkeypatch):
+    import pytest
+
+    from strata import session
+
+    class Fake:
+        sparkContext = type("C", (), {"master": "yarn", "applicationId": "a", "getConf": lambda s: {}})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.checkpoint_root(Fake())
+
+
+def test_scratch_can_be_discarded(spark):
+    import os
+
+    from strata.session import discard, materialize
+    df = materialize(spark.range(10), "gone")
+    path = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(path)
+    discard(df)
+    assert not os.path.isdir(path)
