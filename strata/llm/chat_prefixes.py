@@ -103,15 +103,15 @@ WITH said AS (
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), lines AS (
-  SELECT *, row_number() OVER w AS at, count(*) OVER (PARTITION BY conv_id) AS n,
+  SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id) AS n,
     sum(24 + length(replace(replace(role, '~', '~0'), '<|', '~1'))
            + length(replace(replace(text, '~', '~0'), '<|', '~1'))) OVER w AS stop
   FROM said WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)
 )
 SELECT conv_id, count(*)::BIGINT AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY at)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY at) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(stop) FILTER (role = 'assistant' OR at = n)::BIGINT AS formatted_chars
+  sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(stop) FILTER (role = 'assistant' OR place = n)::BIGINT AS formatted_chars
 FROM lines GROUP BY conv_id
 """

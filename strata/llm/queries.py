@@ -7,6 +7,7 @@ from strata.llm.context_tree import op7_context_tree
 from strata.llm.decontaminate import op10_decontaminate
 from strata.llm.language_id import op2_language_id
 from strata.llm.ngram_jaccard import op8_ngram_jaccard
+from strata.llm.oracles import OP8_SQL, OP9_SQL, OP10_SQL
 from strata.llm.quality_rules import op9_quality_rules
 from strata.llm.run_index import op4_run_index
 from strata.llm.secret_scan import op1_secret_scan
@@ -28,4 +29,7 @@ QUERIES = {
 SQL = {
     "op5_chat_prefixes": OP5_SQL,
     "op6_warc_normalise": OP6_SQL,
+    "op8_ngram_jaccard": OP8_SQL,
+    "op9_quality_rules": OP9_SQL,
+    "op10_decontaminate": OP10_SQL,
 }
