@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.session import materialize
+from strata.session import discard, materialize
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -20,16 +20,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     up = lambda x, y: F.struct(F.greatest(x, y).alias("v"), F.least(x, y).alias("r"))
     e = edges.select(up(F.col(a), F.col(b)).alias("e")).select("e.v", "e.r").where("v <> r").distinct()
     e = materialize(e, "edges")
-    seen = None
     for _ in range(max_rounds):
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("v", "r").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen = state
-        e = materialize(_small_star(_large_star(e)), "edges")
-    else:
-        raise RuntimeError("components did not settle")
-    return e.select(F.col("v").alias("node"), F.col("r").alias("root"))
+        if _stars(e):
+            return e.select(F.col("v").alias("node"), F.col("r").alias("root"))
+        last, e = e, materialize(_small_star(_large_star(e)), "edges")
+        discard(last)
+    raise RuntimeError("components did not settle")
+
+
+def _stars(e: DataFrame) -> bool:
+    """Every node has one edge down, to a node without any: r is the least of its component."""
+    rows, nodes = e.agg(F.count("*"), F.count_distinct("v")).first()
+    return rows == nodes and e.join(e.select(F.col("r").alias("v")).distinct(), "v", "left_semi").isEmpty()
 
 
 def _large_star(e: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from strata.llm.common import (bitmap, col, in_bitmap, read_table, slices, slot, slots_of, without,
                                workers_import)
 from strata.llm.components import components
-from strata.session import materialize
+from strata.session import discard, materialize
 
 
 @dataclass(frozen=True)
@@ -142,10 +142,11 @@ def _size_class(n: Column, percent: int) -> Column:
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(100 / percent)) + F.lit(1e-9)).cast("int")
 
 
-def candidates(classes: DataFrame, spec: JoinSpec) -> DataFrame:
+def candidates(classes: DataFrame, spec: JoinSpec, scratch: list[DataFrame]) -> DataFrame:
     """Edges (a, b) of classes, whose components hold every linked pair.
 
-    ``classes``: rep (a long), n, prefix.  A set of one token has no partner."""
+    ``classes``: rep (a long), n, prefix.  A set of one token has no partner.  Tables
+    that the edges are read from are added to ``scratch``."""
     multi = classes.where("n > 1")
     tokens = multi.select(F.explode("prefix").alias("token"))
     shared = materialize(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shared")
@@ -160,6 +161,7 @@ def candidates(classes: DataFrame, spec: JoinSpec) -> DataFrame:
                                        F.array_sort(F.collect_list(F.when(often, F.struct("df", "token")))).alias("t"))
               .withColumn("lacks", must - F.col("n_often")))
     own = materialize(own, "prefixes")
+    scratch += [shared, met, own]
     # rare tokens: pairs within groups of at most ``rare`` sets
     few = met.where(~often).join(own.select("rep", "lacks"), "rep")
     few = few.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("rep", "n", "lacks"))).alias("g"))
@@ -178,6 +180,7 @@ def candidates(classes: DataFrame, spec: JoinSpec) -> DataFrame:
               .withColumn("size", _size_class(F.col("n"), spec.percent)))
     own = materialize(own.select("rep", "size", F.transform("single", lambda x: x["token"]).alias("single"),
                                  F.array_sort(F.transform("paired", lambda x: x["token"])).alias("paired")), "picked")
+    scratch.append(own)
     near = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
     sized = met.where(often).withColumn("size", _size_class(F.col("n"), spec.percent))
     picked = own.select("rep", "size", F.explode("single").alias("token")).select(
@@ -284,12 +287,18 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     workers_import(spark)
     two = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
-    every = materialize(two.mapInArrow(_sketch(spec), "id long, n int, digest binary, prefix array<long>"), "sketch")
-    classes = materialize(
-        every.where("n > 0 and id is not null").groupBy("digest")
-             .agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"),
-                  F.first("prefix").alias("prefix")), "classes")
-    cluster = components(candidates(classes, spec))
+    sketch = materialize(two.mapInArrow(_sketch(spec), "id long, n int, digest binary, prefix array<long>"), "sketch")
+    prefixes = materialize(
+        sketch.where("n > 0 and id is not null").groupBy("digest")
+              .agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"),
+                   F.first("prefix").alias("prefix")), "classes")
+    every = materialize(sketch.drop("prefix"), "sets")
+    discard(sketch)
+    scratch = [prefixes]
+    cluster = components(candidates(prefixes, spec, scratch))
+    classes = materialize(prefixes.drop("prefix"), "classes")
+    for table in scratch:
+        discard(table)
     # a cluster's sets are dealt to blocks by their hash
     members = cluster.select(F.col("node").alias("rep"), F.col("root").alias("cluster")).union(
         cluster.select(F.col("root").alias("rep"), F.col("root").alias("cluster"))).distinct()
