@@ -8,6 +8,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import SparkSession
 
@@ -88,7 +89,7 @@ def discard(df_or_path, spark: SparkSession | None = None) -> None:
     :func:`materialize` returned, or a path under the checkpoint folder."""
     if spark is None:
         spark = df_or_path.sparkSession
-    paths = [df_or_path] if isinstance(df_or_path, str) else {f.rsplit("/", 1)[0] for f in df_or_path.inputFiles()}
+    paths = [df_or_path] if isinstance(df_or_path, str) else {unquote(f).rsplit("/", 1)[0] for f in df_or_path.inputFiles()}
     root = checkpoint_root(spark)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for path in paths:
