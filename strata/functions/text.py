@@ -48,14 +48,16 @@ def extract_block(col, language: str = "python") -> Column:
     the tag may be followed by e.g. ``filename=...``); else the first fenced
     block of any language; else the whole text.  Outer white space stripped.
 
-    ``regexp_extract`` returns ``''`` when nothing matches, so each branch is
-    guarded with ``rlike`` instead of testing for the empty string.
+    Each pattern is matched once: the list of its blocks has no first element
+    where there is none (``regexp_extract`` would give ``''`` for that and for an
+    empty block alike), and a later pattern is only tried where it is needed.
     """
     c = _c(col)
-    lang, anyb = _fence(language), _fence(None)
-    return (F.when(c.rlike(lang), strip_text(F.regexp_extract(c, lang, 1)))
-            .when(c.rlike(anyb), strip_text(F.regexp_extract(c, anyb, 1)))
-            .otherwise(strip_text(c)))
+
+    def first(pattern: str) -> Column:
+        return F.try_element_at(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), F.lit(1))
+
+    return strip_text(F.coalesce(first(_fence(language)), first(_fence(None)), c))
 
 
 def extract_pair(col, first: str = "sql", second: str = "yaml") -> Column:

@@ -118,7 +118,9 @@ def rescue_json(df: DataFrame, expected: Mapping[str, DataType | str], value: st
     objects survive as text (a ``from_json`` with a struct schema would drop
     unknown keys silently).  Unparseable text -> NULL fields, raw text rescued.
     """
-    m = F.from_json(F.col(value), "map<string,string>")
+    parsed = "__parsed"
+    df = df.withColumn(parsed, F.from_json(F.col(value), "map<string,string>"))  # once per record
+    m = F.col(parsed)
     names = list(expected)
     typed = {n: converter(t)(F.try_element_at(m, F.lit(n))) for n, t in expected.items()}
 
@@ -136,5 +138,5 @@ def rescue_json(df: DataFrame, expected: Mapping[str, DataType | str], value: st
     res = (F.when(m.isNull() & F.col(value).isNotNull(), F.col(value))
             .when(repeated, F.col(value))
             .when(F.size(mis) > 0, F.to_json(mis)))
-    cols = [c for c in df.columns if keep_value or c != value]
+    cols = [c for c in df.columns if c != parsed and (keep_value or c != value)]
     return df.select(*cols, *[typed[n].alias(n) for n in names], res.alias(rescued))
