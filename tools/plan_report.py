@@ -14,9 +14,6 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-STREAMS = {"bronze_stream", "silver_stream"}
-
-
 def summarise(plan: str) -> dict:
     lines = plan.splitlines()
     joins = [re.sub(r".*?(\w*Join\w*).*", r"\1", ln) for ln in lines if re.search(r"Join(Exec)? |Join \[", ln)]
@@ -41,7 +38,7 @@ def summarise(plan: str) -> dict:
 
 def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
-    import __spark_entry__ as E
+    from strata.plans.catalog import QUERIES
     from strata.session import local_session
     spark = local_session(cores=8, shuffle_partitions=16, app="plan-report")
     print("# PLANS — executed physical plans, summarised\n")
@@ -50,9 +47,7 @@ def main():
           "sort-merge joins unless a side is proven small.\n")
     print("| Query | Scans (table: pushed filters; columns read) | Exchanges | Single-partition | Joins | WindowGroupLimit |")
     print("| --- | --- | --- | --- | --- | --- |")
-    for name, fn in E.queries().items():
-        if name in STREAMS:
-            continue
+    for name, fn in QUERIES.items():
         df = fn(spark, sf)
         df.write.format("noop").mode("overwrite").save()
         plan = df._jdf.queryExecution().executedPlan().toString()
@@ -67,7 +62,7 @@ def main():
 SCALE_NOTES = """
 ## At 100 TB (reading the plans above at 1000x)
 
-* **Daily models** (`daily_revenue*`, `transactions_gold_daily`, `daily_revenue_sql`): the status
+* **Daily models** (`daily_revenue*`, `transactions_gold_daily`): the status
   filter reaches the scan; the distinct count plans as partial sums per (day, order) before the
   first exchange and partial counts per day before the second, so a day with a third of all
   orders is combined map-side. The single-partition exchange feeds the rolling window one row
@@ -85,15 +80,11 @@ SCALE_NOTES = """
 * **Customer value**: one join of orders with customers on the customer key, then partial
   aggregation by customer; `count(DISTINCT account_type)` adds one exchange on
   (customer, type) with map-side de-duplication.
-* **Quality** (`dq_results`): one aggregate for all not-null / accepted-values checks, one
-  group-by per unique column, one anti join for relationships; global aggregates end in a
-  single-partition exchange of one partial row per task.
-* **Reconciliation**: rows in are counted from a key-only scan; outcomes come from one
-  keep-latest pass and a join on a row id (even spread whatever the key distribution); one
-  final aggregate by source file.
-* **Streams**: the bronze file source and sink commit through their logs (a retried batch is not
-  written twice); the silver fold re-ranks only touched keys when the batch's keys fit the
-  broadcast bound, otherwise one keep-latest over snapshot + batch.
+* **Quality** (`dq_results`): one scan; values that a test looks at are counted by (test, value),
+  combined per task, parents among them; a second aggregate has one row per test.
+* **Reconciliation**: one union of the real outputs and one aggregate by source file; superseded rows
+  are the input minus the kept rows as a multiset, combined map-side.
+* **Streams**: each micro-batch costs what it holds; ranking is a batch over what was appended.
 """
 
 
