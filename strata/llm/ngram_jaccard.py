@@ -49,13 +49,14 @@ from strata.session import discard, materialize
 @dataclass(frozen=True)
 class JoinSpec:
     """n-gram length, similarity in percent, prefixes up to which a token is rare,
-    prefixes beyond which tokens are indexed by pairs, and sets in a block."""
+    prefixes beyond which tokens are indexed by pairs, and sets and tokens in a block."""
 
     words: int = 3
     percent: int = 90
     rare: int = 16
     frequent: int = 12_000
     block: int = 3000
+    tokens: int = 4_000_000
 
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
@@ -106,7 +107,7 @@ def _sketch(spec: JoinSpec):
             ends = np.cumsum([0, *map(len, prefix)])
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int32()), pa.array(digest, pa.binary()),
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
                  pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
                 ["id", "n", "digest", "prefix"])
     return sketch
@@ -152,7 +153,7 @@ def candidates(classes: DataFrame, spec: JoinSpec, scratch: list[DataFrame]) ->
     shared = materialize(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shared")
     # only tokens that others have: what a set has alone counts, but can't be met
     bits = classes.sparkSession.sparkContext.broadcast(bitmap(shared, "token"))
-    rows = multi.select("rep", "n", "prefix").mapInArrow(_repeated(bits), "rep long, n int, token long")
+    rows = multi.select("rep", "n", "prefix").mapInArrow(_repeated(bits), "rep long, n long, token long")
     met = materialize(rows.join(shared, "token").select("rep", "n", "token", "df"), "met")
     e = may_miss(F.col("n"), spec.percent)
     must = F.least(F.col("n"), 2 * e + 2) - e  # shared with a linked set, if this prefix ends first
@@ -287,7 +288,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     workers_import(spark)
     two = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
-    sketch = materialize(two.mapInArrow(_sketch(spec), "id long, n int, digest binary, prefix array<long>"), "sketch")
+    sketch = materialize(two.mapInArrow(_sketch(spec), "id long, n long, digest binary, prefix array<long>"), "sketch")
     prefixes = materialize(
         sketch.where("n > 0 and id is not null").groupBy("digest")
               .agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"),
@@ -302,9 +303,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # a cluster's sets are dealt to blocks by their hash
     members = cluster.select(F.col("node").alias("rep"), F.col("root").alias("cluster")).union(
         cluster.select(F.col("root").alias("rep"), F.col("root").alias("cluster"))).distinct()
-    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / spec.block).cast("int").alias("blocks"))
+    members = members.join(classes.select("rep", "copies", "n"), "rep")
+    blocks = F.greatest(F.count("*") / spec.block, F.sum("n") / spec.tokens)
+    sizes = members.groupBy("cluster").agg(F.ceil(blocks).cast("int").alias("blocks"))
     members = materialize(
-        members.join(sizes, "cluster").join(classes.select("rep", "copies"), "rep")
+        members.drop("n").join(sizes, "cluster")
                .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "members")
     # texts of members only: a filter of fixed size, then the exact join on small rows
     some = (two.where("id is not null").withColumn("slot", slot(col("id")))
