@@ -55,8 +55,8 @@ class JoinSpec:
     percent: int = 90
     rare: int = 16
     frequent: int = 12_000
-    block: int = 3000
-    tokens: int = 4_000_000
+    block: int = 1500
+    tokens: int = 1_000_000
 
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
