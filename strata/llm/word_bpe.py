@@ -34,7 +34,7 @@ from strata.llm.common import col, fresh, read_table, slices, workers_import
 #: Bytes up to which a word's ranks are scanned.
 SHORT = 96
 #: Pieces whose ids a worker remembers; twice as many at most are held.
-REMEMBERED = 150_000
+REMEMBERED = 50_000
 END = "</w>"
 
 # The word pattern of this vocabulary, and what it calls white space.
