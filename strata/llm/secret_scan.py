@@ -78,7 +78,7 @@ BINS, PER_DECADE = 400, 8
 #: A run whose even spread, runs or serial correlation is rarer than this among random strings isn't random.
 ALPHA = 0.001
 #: The share of false finds that is accepted in a stratum.
-FDR = 0.001
+FDR = 0.05
 
 _TEXT_P = np.zeros(256)
 for _set in (_UPPER, _LOWER):
@@ -216,6 +216,11 @@ def thresholds(scanned: DataFrame, tests: str, fdr: float = FDR) -> list[int]:
     hist = np.zeros((N_STRATA, BINS))
     for stratum, at, n in t.groupBy("stratum", "bin").agg(F.count("*").alias("n")).collect():
         hist[stratum, at] = n
+    return least_bins(hist, fdr)
+
+
+def least_bins(hist: np.ndarray, fdr: float) -> list[int]:
+    """The same, from the strata x bins counts of tests."""
     upto = hist[:, ::-1].cumsum(axis=1)[:, ::-1]  # tests in this bin or beyond
     p = 10.0 ** -(np.arange(BINS) / PER_DECADE)
     passed = (p * hist.sum(axis=1, keepdims=True) <= fdr * upto) & (upto > 0)

@@ -98,6 +98,21 @@ def test_random_keys_are_found_and_words_are_not(spark):
     assert masked[0] == rows[0][1]
 
 
+@pytest.mark.parametrize(("alphabet", "length", "least"), [
+    (64, 20, .3), (64, 24, .45), (64, 32, .8), (64, 40, .95), (64, 64, .99), (32, 64, .45), (36, 40, .65), (36, 64, .95)])
+def test_few_keys_of_usual_length_among_many_runs(alphabet, length, least):
+    rng = random.Random(length)
+    of = {64: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 32: "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+          36: "abcdefghijklmnopqrstuvwxyz0123456789"}[alphabet]
+    runs = [S.random_runs("".join(rng.choices(of, k=length)), [])[0][2:] for _ in range(400)]
+    hist = np.zeros((S.N_STRATA, S.BINS))
+    for stratum, at, _ in runs:
+        hist[stratum, at] += 1
+    hist[:, 0] += 9 * hist.sum(axis=1)  # nine ordinary runs for each key
+    at_least = S.least_bins(hist, S.FDR)
+    assert np.mean([ok and at >= at_least[stratum] for stratum, at, ok in runs]) >= least
+
+
 def test_secret_query(spark, docs_dir):
     for r in S.op1_secret_scan(spark, docs_dir).collect():
         base = [x for x in r.spans.split(",") if x.split(":")[0] in S.KINDS]
