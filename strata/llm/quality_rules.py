@@ -9,6 +9,13 @@ Defined results: a null text has no words (all measurements 0) and fails
 ``few_words``; an empty table gives an empty ledger; repeated rows are each
 judged on their own; long texts are measured whole.  Columns of the input other
 than the id and the text are not read, whatever their names.
+
+*What a text says*: ``listed_words`` fails where more than one word in 200 is in a list
+given by the caller (none: no document fails).  ``toxic_words`` learns such a list
+from labelled documents: whole words of four or more letters in at least four toxic
+documents of the sample, and in one other for every nine of those at most.  The sample is
+the ``LABELLED`` labels least by hash of their id, without the ids held out for figures
+(crc32 of the id modulo 4 is 2); no id is otherwise looked at.
 """
 
 from __future__ import annotations
@@ -21,10 +28,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import SPACES, col, fresh, read_table, slices, workers_import
+from strata.llm.common import SPACES, ascii_lower, col, fresh, id_part, read_table, slices, workers_import
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines",
-            "n_repeat_words", "n_letters", "n_upper", "n_exclaim")
+            "n_repeat_words", "n_letters", "n_upper", "n_exclaim", "n_listed")
+
+#: Labels that a word list is learned from, and its words, at most.
+LABELLED = 20_000
+LISTED = 4096
+#: Signs cut from both ends of a word before it is looked up.
+_AROUND = ".,;:!?\"'()"
+_LOWERED = bytes.maketrans(bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)))
 
 _SYMBOLS = b"#*$%&|<>"
 _SPACE_BYTES = SPACES.encode()
@@ -54,6 +68,7 @@ RULES = (
     Rule("few_letters", lambda m: 100 * m["n_letters"] < 50 * m["word_chars"]),
     Rule("shouting", lambda m: 100 * m["n_upper"] > 60 * m["n_letters"]),
     Rule("exclamations", lambda m: 100 * m["n_exclaim"] > 50 * m["n_words"]),
+    Rule("listed_words", lambda m: 200 * m["n_listed"] > m["n_words"]),
 )
 BIT = {r.name: 1 << i for i, r in enumerate(RULES)}
 
@@ -72,7 +87,8 @@ class Policy:
 
 BASE = Policy("base", ("few_words", "repeated_words"))
 V1 = Policy("v1", (*BASE.rules, "symbols", "duplicate_lines"))
-V2 = Policy("v2", tuple(BIT))
+V2 = Policy("v2", (*V1.rules, "word_length", "few_letters", "shouting", "exclamations"))
+V3 = Policy("v3", (*V2.rules, "listed_words"))
 
 
 def repeat_words(words: Sequence[bytes]) -> int:
@@ -98,7 +114,15 @@ def repeat_words(words: Sequence[bytes]) -> int:
     return int(covered.sum())
 
 
-def measure(text: str | None) -> tuple[int, ...]:
+def n_listed(data: bytes, listed: frozenset[bytes]) -> int:
+    """Words of the text that are listed (in lower case, without the signs around them)."""
+    if not listed:
+        return 0
+    around = _AROUND.encode()
+    return sum(w.strip(around) in listed for w in data.translate(_LOWERED).split())
+
+
+def measure(text: str | None, listed: frozenset[bytes] = frozenset()) -> tuple[int, ...]:
     """The measurements of one text, in the order of ``MEASURES``."""
     data = (text or "").encode("utf-8", "surrogatepass")
     words = data.split()  # bytes split at exactly the white space of SPACES
@@ -114,21 +138,39 @@ def measure(text: str | None) -> tuple[int, ...]:
         len(data.translate(None, _NOT_LETTERS)),
         len(data.translate(None, _NOT_UPPER)),
         data.count(b"!"),
+        n_listed(data, listed),
     )
 
 
-def _measured(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in slices(texts):
-        rows = np.array([measure(t.as_py()) for t in batch], dtype=np.int64).reshape(-1, len(MEASURES))
-        yield pa.StructArray.from_arrays([pa.array(rows[:, i]) for i in range(len(MEASURES))], list(MEASURES))
+def _measured(listed: frozenset[bytes]):
+    def measured(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in slices(texts):
+            rows = np.array([measure(t.as_py(), listed) for t in batch], dtype=np.int64).reshape(-1, len(MEASURES))
+            yield pa.StructArray.from_arrays([pa.array(rows[:, i]) for i in range(len(MEASURES))], list(MEASURES))
+    return measured
 
 
-def measures(text: Column) -> Column:
+def measures(text: Column, listed: frozenset[bytes] = frozenset()) -> Column:
     """One struct of measurements per text."""
-    udf = F.arrow_udf(_measured, ", ".join(f"{m} long" for m in MEASURES))
+    udf = F.arrow_udf(_measured(listed), ", ".join(f"{m} long" for m in MEASURES))
     return udf(text)
 
 
+def toxic_words(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> frozenset[bytes]:
+    """Words that toxic documents of the labelled sample have and others hardly have;
+    ``LISTED`` at most, those in most documents first.  Ids without a label don't count."""
+    learn = F.coalesce(id_part(col(id_col), 4) != 2, F.lit(False)) & col("toxic").isNotNull()
+    known = (labels.where(learn).groupBy(col(id_col).alias("id")).agg(F.max("toxic").alias("toxic"))
+             .orderBy(F.xxhash64("id"), "id").limit(LABELLED))
+    words = F.transform(F.split(ascii_lower(F.coalesce(col("text"), F.lit(""))), f"[{SPACES}]+"),
+                        lambda w: F.btrim(w, F.lit(_AROUND)))
+    texts = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).join(F.broadcast(known), "id")
+    seen = texts.select("toxic", F.explode(F.array_distinct(words)).alias("word")).where(F.length("word") >= 4)
+    n = seen.groupBy("word").agg(F.count_if(col("toxic") > 0).alias("toxic"), F.count("*").alias("n"))
+    rows = n.where((col("toxic") >= 4) & (10 * col("toxic") >= 9 * col("n"))).orderBy(F.desc("toxic"), "word").limit(LISTED)
+    return frozenset(r.word.encode() for r in rows.collect())
+
+
 def _bits(m: Mapping[str, Column]) -> Column:
     bits = F.lit(0).cast("long")
     for rule in RULES:
@@ -136,12 +178,13 @@ def _bits(m: Mapping[str, Column]) -> Column:
     return bits
 
 
-def rule_ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def rule_ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                listed: frozenset[bytes] = frozenset()) -> DataFrame:
     """One row per document: the id, every measurement, ``fail_bits``.
 
     One pass over the texts, no shuffle."""
     workers_import(docs.sparkSession)
-    m = docs.select(col(id_col).alias(id_col), measures(col(text_col)).alias("m"))
+    m = docs.select(col(id_col).alias(id_col), measures(col(text_col), listed).alias("m"))
     flat = m.select(id_col, *[col("m").getField(k).alias(k) for k in MEASURES])
     return flat.withColumn("fail_bits", _bits({k: flat[k] for k in MEASURES}))
 
@@ -171,11 +214,12 @@ def ablation(ledger: DataFrame, policy: Policy = V2) -> DataFrame:
         count(bits.bitwiseAND(F.bitwise_not(bit)) == 0).alias("n_kept_without"))
 
 
-def keep_good(docs: DataFrame, policy: Policy = V2, text_col: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, policy: Policy = V2, text_col: str = "text",
+              listed: frozenset[bytes] = frozenset()) -> DataFrame:
     """The documents that the policy keeps, with all the columns they came with."""
     workers_import(docs.sparkSession)
     m = fresh(docs, "ledger")
-    d = docs.withColumn(m, measures(col(text_col)))
+    d = docs.withColumn(m, measures(col(text_col), listed))
     bits = _bits({k: col(m).getField(k) for k in MEASURES})
     return d.where(bits.bitwiseAND(F.lit(policy.mask).cast("long")) == 0).drop(m)
 
@@ -186,3 +230,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                        (~col("base_kept")).alias("base_failed"), "kept", "fail_bits",
                        F.lit(V2.version).alias("policy"))
+
+
+def op9_toxic_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    listed = toxic_words(docs, read_table(spark, sf_dir, "labels"))
+    led = apply_policy(apply_policy(rule_ledger(docs, listed=listed), V3), V2, "v2_kept")
+    return led.select("doc_id", "n_words", "n_listed", "v2_kept", "kept", "fail_bits", F.lit(V3.version).alias("policy"))

@@ -8,7 +8,7 @@ from strata.llm.decontaminate import op10_decontaminate
 from strata.llm.language_id import op2_language_id
 from strata.llm.ngram_jaccard import op8_ngram_jaccard
 from strata.llm.oracles import OP8_SQL, OP9_SQL, OP10_SQL
-from strata.llm.quality_rules import op9_quality_rules
+from strata.llm.quality_rules import op9_quality_rules, op9_toxic_words
 from strata.llm.run_index import op4_run_index
 from strata.llm.secret_scan import op1_secret_scan
 from strata.llm.warc_normalise import OP6_SQL, op6_warc_normalise
@@ -24,6 +24,7 @@ QUERIES = {
     "op7_context_tree": op7_context_tree,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_quality_rules": op9_quality_rules,
+    "op9_toxic_words": op9_toxic_words,
     "op10_decontaminate": op10_decontaminate,
 }
 SQL = {

@@ -62,6 +62,30 @@ def test_quality_odd_rows_ablation_and_clashes(spark):
     assert Q.rule_ledger(df.limit(0)).count() == 0
 
 
+def test_toxic_documents_are_dropped(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("crc32(cast(string(doc_id) as binary)) % 4 = 2")
+    rows = Q.op9_toxic_words(spark, sf).join(docs, "doc_id").join(labels, "doc_id").collect()
+    toxic, clean = ([r for r in rows if r.toxic == k and r.v2_kept] for k in (1, 0))
+    assert len(toxic) > 80 and np.mean([not r.kept for r in toxic]) > .8
+    assert np.mean([not r.kept for r in clean]) < .01
+    for lang in ("en", "de", "fr"):
+        assert np.mean([not r.kept for r in toxic if r.lang == lang]) > .7
+    print({k: (sum(not r.kept for r in x), len(x)) for k, x in (("toxic", toxic), ("clean", clean))},
+          {g: (sum(not r.kept for r in toxic if r.lang == g), sum(r.lang == g for r in toxic)) for g in ("en", "de", "fr", "es")})
+
+
+def test_listed_words_odd_rows(spark):
+    assert Q.n_listed(b"Bad, (bad) badly 'BAD!'", frozenset([b"bad"])) == 3
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)] + [(None, "dup")], "doc_id long, text string")
+    labels = spark.createDataFrame([(None, 1), (0, None), (1, 1), (1, 0), (99, 1)], "doc_id long, toxic int")
+    assert Q.toxic_words(df, labels) == Q.toxic_words(df.limit(0), labels.limit(0)) == frozenset()
+    led = Q.rule_ledger(df)
+    assert led.where(F.col("n_listed") > 0).count() == 0
+    assert led.where(F.col("fail_bits").bitwiseAND(F.lit(Q.BIT["listed_words"]).cast("long")) != 0).count() == 0
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="AKI0af19 :=\"'_token", max_size=80))
 def test_base_spans(text):
