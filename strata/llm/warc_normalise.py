@@ -10,7 +10,9 @@ written as a gzip member of its own, and a sidecar index keeps where each
 member starts and how long it is.  The members of an archive, in the order of
 their offsets, are the normalised file.
 
-*Read*: any record can be read by its place alone: offset and length from the index.
+*Read*: any record can be read by its place alone: archive, offset and length from the
+index (``read_records``).  ``read_archives``, and so the query, reads every member
+and needs no index.
 
 Defined results: null html is an empty payload, a null url leaves its header out,
 line breaks in a url are percent-encoded, and pages without an id are written and
@@ -201,6 +203,17 @@ def read_archives(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.parquet(f"{target}/members").select("member").mapInArrow(_read, schema)
 
 
+def read_records(spark: SparkSession, target: str, record_ids: DataFrame) -> DataFrame:
+    """The records of these ids (a column ``record_id``), as ``read_archives`` gives them: their
+    places are looked up in the index, and only the members at those places are inflated."""
+    workers_import(spark)
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    index = spark.read.parquet(f"{target}/index")
+    places = index.join(record_ids.select("record_id").distinct(), "record_id").select("archive", "offset", "length")
+    members = spark.read.parquet(f"{target}/members").select("archive", "offset", "length", "member")
+    return members.join(places, ["archive", "offset", "length"]).select("member").mapInArrow(_read, schema)
+
+
 def op6_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, target = scratch_path(spark, "warc"), scratch_path(spark, "warc-members")
     write_monolithic(tag_revisits(read_table(spark, sf_dir, "pages")), source)

@@ -106,6 +106,19 @@ def test_warc_round_trip(spark):
             assert gzip.decompress(whole) == f.read()
 
 
+def test_records_are_read_by_their_places_in_the_index(spark):
+    df = spark.createDataFrame([(i, f"http://a/{i}", f"page {i} " * 30) for i in range(9)], "page_id long, url string, html string")
+    source, target = scratch_path(spark, "w"), scratch_path(spark, "m")
+    W.write_monolithic(W.tag_revisits(df), source, max_records=4)
+    W.normalise(spark, source, target)
+    index = spark.read.parquet(f"{target}/index")
+    asked = index.where("record_id in ('<urn:page:3>', '<urn:page:7>')").select("record_id")
+    got = sorted(tuple(r) for r in W.read_records(spark, target, asked.union(asked)).collect())
+    assert got == sorted(tuple(r) for r in W.read_archives(spark, target).where("page_id in (3, 7)").collect())
+    assert len(got) == 2
+    assert W.read_records(spark, target, asked.limit(0)).count() == 0
+
+
 def test_warc_stream_errors_and_pieces():
     record = b"WARC/1.1\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Length: 4\r\n\r\nab\r\n\r\n\r\n"
     assert list(W.split_records(iter([record[:20], record[20:] + record[:5], record[5:]]))) == [record] * 2
