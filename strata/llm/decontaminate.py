@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import ascii_lower, col, read_table, slot, slots_of, without
+from strata.llm.common import ascii_lower, col, fresh, read_table, slot, slots_of, without
 from strata.session import materialize
 
 WINDOW = 10
@@ -120,10 +120,13 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents without any occurrence, with all the columns they came with.
-    A document without an id cannot be named and stays."""
+    A document without an id goes by the digest of its text."""
     at = occurrences(docs, items, id_col, text_col, item_col, item_text)
-    gone = materialize(at.where("doc is not null").select(col("doc").alias(id_col)).distinct(), "contaminated")
-    return without(docs, gone, id_col)
+    named = lambda i, digest: F.coalesce(i.cast("string"), F.concat(F.lit("text "), digest.cast("string")))
+    key = fresh(docs, "key")
+    gone = materialize(at.select(named(col("doc"), col("digest")).alias(key)).distinct(), "contaminated")
+    keyed = docs.withColumn(key, named(col(id_col), F.xxhash64(col(text_col))))
+    return without(keyed, gone, key).drop(key)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

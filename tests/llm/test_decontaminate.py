@@ -69,6 +69,15 @@ def test_empty_tables_and_null_ids(spark):
     assert D.contamination(d.limit(0), b).count() == 0
 
 
+def test_contaminated_rows_without_an_id_are_dropped(spark):
+    d = spark.createDataFrame([(None, "q w e r t y u i o p", 1), (None, "Q W E R T Y U I O P!", 2), (None, "other text", 3),
+                               (None, None, 4), (1, "q w e r t y u i o p", 5), (2, "other text", 6)],
+                              "doc_id long, text string, key int")
+    b = spark.createDataFrame([(5, "Q W E R T Y U I O P")], "item_id long, text string")
+    left = D.drop_contaminated(d, b)
+    assert left.columns == d.columns and sorted(r.key for r in left.collect()) == [3, 4, 6]
+
+
 def test_plan_has_no_python(spark, docs_dir):
     plan = D.op10_decontaminate(spark, docs_dir)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
