@@ -8,6 +8,7 @@ from strata.llm.decontaminate import op10_decontaminate
 from strata.llm.language_id import op2_language_id
 from strata.llm.ngram_jaccard import op8_ngram_jaccard
 from strata.llm.oracles import OP8_SQL, OP9_SQL, OP10_SQL
+from strata.llm.periodic_runs import OP13_SQL, op13_periodic_runs
 from strata.llm.quality_rules import op9_quality_rules, op9_toxic_words
 from strata.llm.run_index import op4_run_index
 from strata.llm.secret_scan import op1_secret_scan
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op9_toxic_words": op9_toxic_words,
     "op10_decontaminate": op10_decontaminate,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 SQL = {
     "op5_chat_prefixes": OP5_SQL,
@@ -33,4 +35,5 @@ SQL = {
     "op8_ngram_jaccard": OP8_SQL,
     "op9_quality_rules": OP9_SQL,
     "op10_decontaminate": OP10_SQL,
+    "op13_periodic_runs": OP13_SQL,
 }
