@@ -12,6 +12,7 @@ from strata.llm.periodic_runs import OP13_SQL, op13_periodic_runs
 from strata.llm.quality_rules import op9_quality_rules, op9_toxic_words
 from strata.llm.run_index import op4_run_index
 from strata.llm.secret_scan import op1_secret_scan
+from strata.llm.spelling_variants import OP11_SQL, op11_spelling_variants
 from strata.llm.warc_normalise import OP6_SQL, op6_warc_normalise
 from strata.llm.word_bpe import op3_word_bpe
 
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op9_toxic_words": op9_toxic_words,
     "op10_decontaminate": op10_decontaminate,
+    "op11_spelling_variants": op11_spelling_variants,
     "op13_periodic_runs": op13_periodic_runs,
 }
 SQL = {
@@ -35,5 +37,6 @@ SQL = {
     "op8_ngram_jaccard": OP8_SQL,
     "op9_quality_rules": OP9_SQL,
     "op10_decontaminate": OP10_SQL,
+    "op11_spelling_variants": OP11_SQL,
     "op13_periodic_runs": OP13_SQL,
 }
