@@ -6,6 +6,7 @@ from strata.llm.chat_prefixes import OP5_SQL, op5_chat_prefixes
 from strata.llm.context_tree import op7_context_tree
 from strata.llm.decontaminate import op10_decontaminate
 from strata.llm.language_id import op2_language_id
+from strata.llm.license_scan import OP12_SQL, op12_license_scan
 from strata.llm.ngram_jaccard import op8_ngram_jaccard
 from strata.llm.oracles import OP8_SQL, OP9_SQL, OP10_SQL
 from strata.llm.periodic_runs import OP13_SQL, op13_periodic_runs
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_toxic_words": op9_toxic_words,
     "op10_decontaminate": op10_decontaminate,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_license_scan": op12_license_scan,
     "op13_periodic_runs": op13_periodic_runs,
 }
 SQL = {
@@ -38,5 +40,6 @@ SQL = {
     "op9_quality_rules": OP9_SQL,
     "op10_decontaminate": OP10_SQL,
     "op11_spelling_variants": OP11_SQL,
+    "op12_license_scan": OP12_SQL,
     "op13_periodic_runs": OP13_SQL,
 }
