@@ -122,6 +122,55 @@ def q_bronze_json(spark: SparkSession, sf: str) -> DataFrame:
     return read_batches(spark, cfg.target_path).select("id", "value", "_rescued_data")
 
 
+NESTED_TYPES = {"id": "bigint", "customer": "struct<key:bigint,tier:bigint>", "items": "array<struct<line:bigint,qty:bigint>>"}
+
+
+def nested_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as nested JSON records; of seven records, one has a quantity that is no number, one an undeclared
+    field, one an object for the list, one no customer and one a text for the customer's key."""
+    k = F.col("o_orderkey") % 7
+    pair = lambda qty: F.format_string('{"line":2,"qty":%s}', qty)
+    number = (F.col("o_custkey") % 50).cast("string")
+    items = F.when(k == 3, F.format_string('{"line":1,"qty":%s}', number)).otherwise(F.concat(
+        F.format_string('[{"line":1,"qty":%s},', number), F.when(k == 1, pair(F.lit('"n/a"'))).otherwise(pair(number)), F.lit("]")))
+    key = F.when(k == 5, F.format_string('"K%s"', F.col("o_custkey").cast("string"))).otherwise(F.col("o_custkey").cast("string"))
+    tier = F.substring("o_orderpriority", 1, 1)
+    customer = F.when(k == 4, F.lit("null")).otherwise(F.format_string(
+        '{"key":%s,"tier":%s%s}', key, tier, F.when(k == 2, F.lit(',"vip":true')).otherwise("")))
+    return table(spark, sf, "orders").select(
+        k.alias("kind"), F.format_string('{"id":%s,"customer":%s,"items":%s}', F.col("o_orderkey").cast("string"), customer, items).alias("value"))
+
+
+def q_bronze_nested(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC7 / SRC3 / SRC2 / ST4 on nested values: records with structs and lists that drift inside, as JSON
+    lines (streamed) and as Parquet files whose nested types differ (a batch); what does
+    not fit is kept under its path."""
+    raw = nested_orders(spark, sf)
+    out = []
+    for fmt in ("json", "parquet"):
+        cfg = events_config(spark, fmt=fmt, expected={}, schema=StructType.fromDDL(", ".join(f"{c} {t}" for c, t in NESTED_TYPES.items())))
+        if fmt == "json":
+            raw.select("value").write.text(cfg.source_path)
+            cfg.glob = "*.txt"
+            bronze_stream(spark, cfg)
+            rows = read_batches(spark, cfg.target_path)
+        else:
+            for kinds in ((0, 4), (1,), (2,), (3,), (5, 6)):
+                text = raw.where(F.col("kind").isin(*kinds)).select("value")
+                schema = StructType.fromDDL(", ".join(f"{c} {_NESTED_AS[kinds[0]].get(c, t)}" for c, t in NESTED_TYPES.items()))
+                text.select(F.from_json("value", schema).alias("r")).select("r.*").write.mode("append").parquet(cfg.source_path)
+            rows = bronze_batch(spark, cfg)
+        out.append(rows.select(F.lit(fmt).alias("load"), "id", F.col("customer.key").alias("customer_key"), F.col("customer.tier").alias("customer_tier"),
+                               F.size("items").alias("n_items"), F.try_element_at("items", F.lit(1))["qty"].alias("qty_1"),
+                               F.try_element_at("items", F.lit(2))["qty"].alias("qty_2"), "_rescued_data"))
+    return out[0].unionByName(out[1])
+
+
+#: How the Parquet files of a kind of record hold what differs from the declared types.
+_NESTED_AS = {0: {}, 1: {"items": "array<struct<line:bigint,qty:string>>"}, 2: {"customer": "struct<key:bigint,tier:bigint,vip:boolean>"},
+              3: {"items": "struct<line:bigint,qty:bigint>"}, 5: {"customer": "struct<key:string,tier:bigint>"}}
+
+
 def q_silver_stream(spark: SparkSession, sf: str, files: int = 4) -> DataFrame:
     """ST3: line items arrive as several Parquet files, one micro-batch each, and are
     appended; keep-latest over what was appended must equal keep-latest over all rows."""
@@ -193,6 +242,7 @@ STREAM_QUERIES = {
     "bronze_csv_drift": q_bronze_csv_drift,
     "bronze_parquet_drift": q_bronze_parquet_drift,
     "bronze_json": q_bronze_json,
+    "bronze_nested": q_bronze_nested,
     "silver_stream": q_silver_stream,
     "transactions_stream": q_transactions_stream,
     "ecommerce_chain": q_ecommerce_chain,
@@ -226,6 +276,17 @@ FROM events""",
 FROM events, (VALUES ('stream'), ('batch')) AS l(load)""",
     "bronze_json": f"""WITH {RAW_JSON}
 SELECT event_id AS id, value, CASE WHEN event_id % 2 = 1 THEN '{{"new":"1"}}' END AS _rescued_data FROM raw""",
+    "bronze_nested": r"""SELECT l.load, o_orderkey AS id,
+       CASE WHEN k NOT IN (4, 5) THEN o_custkey END AS customer_key,
+       CASE WHEN k <> 4 THEN substr(o_orderpriority, 1, 1)::BIGINT END AS customer_tier,
+       CASE WHEN k <> 3 THEN 2 END AS n_items,
+       CASE WHEN k <> 3 THEN o_custkey % 50 END AS qty_1,
+       CASE WHEN k NOT IN (1, 3) THEN o_custkey % 50 END AS qty_2,
+       CASE k WHEN 1 THEN '{"$.items[1].qty":"n/a"}'
+              WHEN 2 THEN '{"$.customer.vip":"true"}'
+              WHEN 3 THEN '{"items":"{\"line\":1,\"qty\":' || o_custkey % 50 || '}"}'
+              WHEN 5 THEN '{"$.customer.key":"K' || o_custkey || '"}' END AS _rescued_data
+FROM (SELECT *, o_orderkey % 7 AS k FROM orders), (VALUES ('json'), ('parquet')) AS l(load)""",
     "silver_stream": _SQL["keep_latest_lineitem"],
     "transactions_stream": _SQL["transactions_stream"],
     "ecommerce_chain": f"""WITH {CONFORMED}

@@ -3,12 +3,13 @@ an unexpected field, or a malformed record never fails the load.  The
 typed column gets NULL and the original text is kept in
 ``_rescued_data``:
 
-* field misfits / unknown fields -> a JSON object ``{"field": "text"}``;
+* field misfits / unknown fields -> a JSON object ``{"field": "text"}``; in a declared struct,
+  array or map the part that does not fit, under its path (see ``sources.nested``);
 * a malformed record (unparseable JSON, wrong CSV token count) -> the raw
   record text itself.
 
 Expected types are given as ``{name: spec}`` where spec is a Spark type
-(or DDL string such as ``"int"`` / ``"decimal(18,2)"``), ``"timestamp"``
+(or DDL string such as ``"int"`` / ``"decimal(18,2)"`` / ``"struct<a:int>"``), ``"timestamp"``
 (tolerant multi-format parse), ``"timestamp:<fmt>|<fmt>"`` or
 ``"date:<fmt>"``.
 """
@@ -22,11 +23,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DecimalType, StringType
 
 from strata.functions.dates import DEFAULT_TS_FORMATS, parse_date, parse_ts
+from strata.sources import nested as N
 
 RESCUED = "_rescued_data"
 CORRUPT = "_corrupt_record"
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def converter(spec: DataType | str) -> Callable[[Column], Column]:
     """Text -> typed value; NULL when the text does not fit."""
     if isinstance(spec, str):
@@ -75,39 +82,47 @@ def _merge(old: Column, new: Column) -> Column:
 
 def rescue_columns(df: DataFrame, expected: Mapping[str, DataType | str],
                    rescued: str = RESCUED, corrupt: str | None = CORRUPT,
-                   undeclared: Sequence[str] = ()) -> DataFrame:
+                   undeclared: Sequence[str] | Mapping[str, str] = ()) -> DataFrame:
     """Cast text columns to their expected types, keeping every misfit, and the text
-    of every column in ``undeclared``, which is then dropped.
+    of every column in ``undeclared`` (names, or the key to keep each under), which is then dropped.
 
     Columns not in ``expected`` pass through unchanged.  If a corrupt-record
     column is present (CSV ``columnNameOfCorruptRecord``) it wins: the whole
     raw line is the rescue value, and the column is dropped.
 
+    A column with a nested type holds JSON text, parsed once as VARIANT.
+
     Plan shape: typed values are computed once in their own projection and
     the misfit test reads them back (Catalyst does not collapse a projection
     that would repeat a costly expression); the JSON is ``to_json`` of a
     struct whose NULL fields are omitted, so no higher-order function
-    leaves whole-stage codegen.
+    leaves whole-stage codegen but for nested types.
     """
+    others = dict(undeclared) if isinstance(undeclared, Mapping) else {n: n for n in undeclared}
     names = [n for n in expected if n in df.columns]
+    deep = {n: t for n in names if (t := N.nested_type(expected[n])) is not None}
     tmp = {n: f"__typed_{i}" for i, n in enumerate(names)}
-    staged = df.withColumns({tmp[n]: converter(expected[n])(F.col(n)) for n in names})
-    if names or undeclared:
-        mis = F.struct(*[F.when(F.col(n).isNotNull() & F.col(tmp[n]).isNull(),
-                                F.col(n).cast("string")).alias(n) for n in names],
-                       *[F.col(f"`{n}`").cast("string").alias(n) for n in undeclared])
+    staged = df.withColumns({tmp[n]: F.try_parse_json(named(n).cast("string")) if n in deep else converter(expected[n])(named(n))
+                             for n in names})
+    if names or others:
+        mis = F.struct(*[F.when(named(n).isNotNull() & F.col(tmp[n]).isNull(),
+                                named(n).cast("string")).alias(n) for n in names],
+                       *[named(n).cast("string").alias(key) for n, key in others.items()])
         js = F.to_json(mis)
         new = F.when(js != F.lit("{}"), js)
     else:
         new = F.lit(None).cast("string")
+    if deep:
+        inside = F.concat(*[N.misfits(F.col(tmp[n]), t, converter, N.root(n), F.lit(n)) for n, t in deep.items()])
+        new = N.join_objects(new, N.entries_json(inside))
     if corrupt and corrupt in df.columns:
-        new = F.coalesce(F.col(corrupt), new)
+        new = F.coalesce(named(corrupt), new)
     if rescued in df.columns:
-        new = _merge(F.col(rescued), new)
-    out = staged.withColumns({**{n: F.col(tmp[n]) for n in names}, rescued: new}).drop(*tmp.values(), *undeclared)
-    if corrupt and corrupt in df.columns:
-        out = out.drop(corrupt)
-    return out
+        new = _merge(named(rescued), new)
+    typed = {n: N.fit(F.col(tmp[n]), deep[n], converter) if n in deep else F.col(tmp[n]) for n in names}
+    out = staged.withColumns({**typed, rescued: new})
+    gone = {*tmp.values(), *others, *([corrupt] if corrupt else [])}
+    return out.select(*[named(c) for c in out.columns if c not in gone])
 
 
 def rescue_json(df: DataFrame, expected: Mapping[str, DataType | str], value: str = "value",
@@ -118,25 +133,34 @@ def rescue_json(df: DataFrame, expected: Mapping[str, DataType | str], value: st
     objects survive as text (a ``from_json`` with a struct schema would drop
     unknown keys silently).  Unparseable text -> NULL fields, raw text rescued.
     """
-    parsed = "__parsed"
-    df = df.withColumn(parsed, F.from_json(F.col(value), "map<string,string>"))  # once per record
-    m = F.col(parsed)
+    parsed, variant = "__parsed", "__variant"
+    deep = {n: t for n, spec in expected.items() if (t := N.nested_type(spec)) is not None}
+    df = df.withColumn(parsed, F.from_json(named(value), "map<string,string>"))  # once per record
+    if deep:
+        df = df.withColumn(variant, F.try_parse_json(named(value)))
+    m, whole = F.col(parsed), F.col(variant)
     names = list(expected)
-    typed = {n: converter(t)(F.try_element_at(m, F.lit(n))) for n, t in expected.items()}
+    typed = {n: N.fit(N.field(whole, n), deep[n], converter) if n in deep else converter(t)(F.try_element_at(m, F.lit(n)))
+             for n, t in expected.items()}
 
     def misfit(k, v):
         bad = F.lit(True)                       # unknown key -> rescued
         chain = None
         for n, t in expected.items():
-            test = v.isNotNull() & converter(t)(v).isNull()
+            # nested values are looked at below, unless the record can't be parsed (a name repeated inside)
+            test = v.isNotNull() & (whole.isNull() if n in deep else converter(t)(v).isNull())
             chain = F.when(k == F.lit(n), test) if chain is None else chain.when(k == F.lit(n), test)
         return chain.otherwise(bad) if chain is not None else bad
 
     mis = F.map_filter(m, misfit)
+    found = F.when(F.size(mis) > 0, F.to_json(mis))
+    if deep:
+        inside = F.concat(*[N.misfits(N.field(whole, n), t, converter, N.root(n), F.lit(n)) for n, t in deep.items()])
+        found = N.join_objects(found, N.entries_json(inside))
     # a repeated key: lookups see only one value; keep the whole record instead
     repeated = F.size(F.map_keys(m)) > F.size(F.array_distinct(F.map_keys(m)))
-    res = (F.when(m.isNull() & F.col(value).isNotNull(), F.col(value))
-            .when(repeated, F.col(value))
-            .when(F.size(mis) > 0, F.to_json(mis)))
-    cols = [c for c in df.columns if c != parsed and (keep_value or c != value)]
-    return df.select(*cols, *[typed[n].alias(n) for n in names], res.alias(rescued))
+    res = (F.when(m.isNull() & named(value).isNotNull(), named(value))
+            .when(repeated, named(value))
+            .otherwise(found))
+    cols = [c for c in df.columns if c not in (parsed, variant) and (keep_value or c != value)]
+    return df.select(*[named(c) for c in cols], *[typed[n].alias(n) for n in names], res.alias(rescued))

@@ -4,10 +4,13 @@
 The stream discovers files: its source lists them (the file-source log in the
 checkpoint remembers which were seen) and each micro-batch loads its new files as a
 batch does, so both give the same columns and rows.  Columns are matched by *name*,
-file by file: files are grouped by their own header or footer, of which there are
-as many as the source had layouts, and each group is read with its own schema.  So a
+as Spark matches names (an exact match goes first; otherwise letter case counts only with
+``spark.sql.caseSensitive``), file by file: files are grouped by layout (``sources.layouts``),
+of which there are few, and each group is read with its own schema.  So a
 reordered, added or retyped column neither stops the load nor lands in another
-column; what the declared columns can't hold is kept as text in ``_rescued_data``.
+column; what the declared columns can't hold is kept as text in ``_rescued_data``, and so are
+the parts of nested values that the declared types can't hold.  CSV records may hold
+line breaks in quotes.
 
 Each micro-batch is written exactly once (see ``sources.sinks.append_batches``).
 """
@@ -15,19 +18,18 @@ Each micro-batch is written exactly once (see ``sources.sinks.append_batches``).
 from __future__ import annotations
 
 import json
-from collections import defaultdict
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
-from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import DataType, MapType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructField, StructType
 
 from strata.sources.files import declare_or_infer_schema
+from strata.sources.layouts import Layout, find_layouts
 from strata.sources.metadata import with_ingest_metadata
-from strata.sources.rescue import CORRUPT, RESCUED, rescue_columns, rescue_json
+from strata.sources.rescue import RESCUED, named, rescue_columns, rescue_json
 from strata.sources.sinks import append_batches
 
 GLOBS = {"csv": "*.csv", "json": "*.json", "parquet": "*.parquet"}
@@ -43,6 +45,8 @@ class BronzeConfig:
     expected: Mapping[str, DataType | str] = field(default_factory=dict)
     schema: StructType | None = None       # parquet (or any format: names and types)
     schema_at: str | None = None           # remember an inferred schema here (SRC6)
+    layouts_at: str | None = None          # remember the layouts of files here
+    escape: str = "\\"                      # csv: what stands before a quote inside quotes ('"' for doubled quotes)
     partition_by: Sequence[str] = ("_ingest_date",)
     glob: str | None = None
     max_files_per_trigger: int | None = None
@@ -68,83 +72,107 @@ def _glob(cfg: BronzeConfig) -> str:
     return cfg.glob or GLOBS[cfg.fmt.lower()]
 
 
-def _named(raw: DataFrame, types: Mapping[str, DataType | str]) -> DataFrame:
-    """Text columns by name -> declared columns and ``_rescued_data``; ``raw`` may hold
-    others, the corrupt record and its file."""
-    own = {"_file", CORRUPT}
-    others = [c for c in raw.columns if c not in types and c not in own]
-    out = raw.withColumns({n: F.lit(None).cast("string") for n in types if n not in raw.columns})
-    return rescue_columns(out, types, undeclared=others).select(*types, RESCUED, "_file")
-
-
-def csv_headers(spark: SparkSession, files: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
-    """Files by their header: the first line of each file's first block, found where it
-    is read and brought together as one row per file."""
-    lines = spark.read.text(list(files)).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
-        F.monotonically_increasing_id().alias("i"), "value").where("at = 0")
-    first = lines.groupBy("file").agg(F.min_by("value", "i").alias("line"))
-    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for r in first.collect():
-        groups[r.line].append(unquote(r.file))  # the metadata column holds a URI
-    out: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for line, paths in groups.items():
-        out[tuple(spark.read.option("header", "true").csv(paths[0]).columns)] += paths
-    return out
-
-
-def _csv_rows(spark: SparkSession, files: Sequence[str], types: Mapping[str, DataType | str]) -> list[DataFrame]:
-    out = []
-    for header, paths in csv_headers(spark, files).items():
-        schema = StructType([StructField(c, StringType()) for c in (*header, CORRUPT)])
-        raw = (spark.read.schema(schema).options(header="true", mode="PERMISSIVE", enforceSchema="true",
-                                                 columnNameOfCorruptRecord=CORRUPT).csv(paths))
-        out.append(_named(raw.withColumn("_file", F.col("_metadata.file_path")), types))
-    return out
-
-
-def _json_rows(spark: SparkSession, files: Sequence[str], types: Mapping[str, DataType | str]) -> list[DataFrame]:
-    raw = spark.read.text(list(files)).withColumn("_file", F.col("_metadata.file_path"))
-    return [rescue_json(raw, types).select(*types, RESCUED, "_file")]
-
-
-def _parquet_rows(spark: SparkSession, files: Sequence[str], types: Mapping[str, DataType | str]) -> list[DataFrame]:
-    """Each file's own footer gives its types.  Columns that already have the declared type
-    are read as they are; others go through their text, and back where they fit."""
-    groups: dict[str, list[str]] = defaultdict(list)
-    for f in files:  # new files only: older footers are never read again
-        groups[spark.read.parquet(f).schema.json()].append(f)
-    out = []
-    for text, paths in groups.items():
-        schema = StructType.fromJson(json.loads(text))
-        have = {f.name: f.dataType for f in schema.fields}
-        same = [n for n, t in types.items() if n in have and have[n] == t]
-        raw = spark.read.schema(schema).parquet(*paths).withColumn("_file", F.col("_metadata.file_path"))
-        nested = [n for n, t in have.items() if n not in same and isinstance(t, (StructType, MapType))
-                  or t.typeName() == "array" and n not in same]
-        raw = raw.withColumns({n: F.to_json(F.col(f"`{n}`")) for n in nested})
-        raw = raw.withColumns({n: F.col(f"`{n}`").cast("string") for n in have if n not in same and n not in nested})
-        rest = {n: t for n, t in types.items() if n not in same}
-        others = [c for c in have if c not in types]
-        rows = raw.withColumns({n: F.lit(None).cast("string") for n in rest if n not in have})
-        out.append(rescue_columns(rows, rest, undeclared=others).select(*types, RESCUED, "_file"))
-    return out
-
-
-READERS = {"csv": _csv_rows, "json": _json_rows, "parquet": _parquet_rows}
-
-
-def bronze_rows(spark: SparkSession, cfg: BronzeConfig, files: Sequence[str]) -> DataFrame | None:
-    """The bronze rows of these files; None for no files."""
-    if not files:
+def _fresh(name: str, taken: Sequence[str]) -> str:
+    have = {t.lower() for t in taken}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
+def match_names(spark: SparkSession, types: Mapping[str, DataType | str], have: Sequence[str]) -> dict[str, int]:
+    """Declared name -> place in ``have`` of the column that it stands for."""
+    places = {n: have.index(n) for n in types if n in have}
+    if spark.conf.get("spark.sql.caseSensitive") != "true":
+        taken = set(places.values())
+        for n in types:
+            at = next((i for i, h in enumerate(have) if h.lower() == n.lower() and i not in taken), None)
+            if n not in places and at is not None:
+                places[n] = at
+                taken.add(at)
+    return places
+
+
+def _declared_rows(raw: DataFrame, types: Mapping[str, DataType | str], places: Mapping[str, int], have: Sequence[str],
+                   text: Callable[[int], Column], keep: Sequence[str], corrupt: str | None = None) -> DataFrame:
+    """The columns ``types``, ``_rescued_data`` and those in ``keep``.  ``text(i)`` is the text of the column at
+    place i of ``have``; columns without a declared name are rescued."""
+    extra = [i for i in range(len(have)) if i not in places.values()]
+    own, keys = "_other", {}
+    while any(f"{own}{i}".lower() in {c.lower() for c in (*types, *keep, corrupt or "")} for i in extra):
+        own = f"_{own}"
+    for i in extra:
+        name = have[i] or f"_c{i}"
+        keys[f"{own}{i}"] = f"{name}#{i}" if name in (*types, *keys.values()) else name
+    cols = [(text(places[n]) if n in places else F.lit(None).cast("string")).alias(n) for n in types]
+    rows = raw.select(*cols, *[text(i).alias(f"{own}{i}") for i in extra], *[named(c) for c in keep], *([named(corrupt)] if corrupt else []))
+    return rescue_columns(rows, types, corrupt=corrupt, undeclared=keys)
+
+
+def _csv_rows(spark: SparkSession, layout: Layout, files: Sequence[str], types: Mapping[str, DataType | str], file: str,
+              escape: str) -> DataFrame:
+    have = list(layout.header)
+    places = match_names(spark, types, have)
+    # read by place, so that any names will do
+    cells = [f"_c{i}" for i in range(len(have))]
+    corrupt = _fresh("_corrupt", [*cells, *have, *types, file])
+    schema = StructType([StructField(c, StringType()) for c in (*cells, corrupt)])
+    raw = (spark.read.schema(schema).options(header="true", mode="PERMISSIVE", enforceSchema="true", columnNameOfCorruptRecord=corrupt, escape=escape,
+                                             multiLine=str(layout.many_lines).lower()).csv(list(files)))
+    raw = raw.withColumn(file, F.col("_metadata.file_path"))
+    return _declared_rows(raw, types, places, have, lambda i: F.col(cells[i]), [file], corrupt)
+
+
+def _json_rows(spark: SparkSession, files: Sequence[str], types: Mapping[str, DataType | str], file: str) -> DataFrame:
+    value = _fresh("value", [*types, file])
+    raw = spark.read.text(list(files)).select(F.col("value").alias(value), F.col("_metadata.file_path").alias(file))
+    return rescue_json(raw, types, value)
+
+
+def _parquet_rows(spark: SparkSession, layout: Layout, files: Sequence[str], types: Mapping[str, DataType | str], file: str,
+                  escape: str) -> DataFrame:
+    """(``escape`` is for CSV.)  Columns that already have the declared type are read as they are; others go through
+    their text (nested ones through JSON), and back where they fit."""
+    schema = StructType.fromJson(json.loads(layout.schema))
+    have, kinds = schema.fieldNames(), [f.dataType for f in schema.fields]
+    places = match_names(spark, types, have)
+    same = {n: i for n, i in places.items() if isinstance(types[n], DataType) and types[n].simpleString() == kinds[i].simpleString()}
+    asis = {n: f"_same{k}" for k, n in enumerate(same)}
+    while {*asis.values()} & {*types, *have, file}:
+        asis = {n: f"_{c}" for n, c in asis.items()}
+    others = [i for i in range(len(have)) if i not in same.values()]
+    raw = spark.read.schema(schema).parquet(*files).select(
+        *[named(h) for h in have], *[named(have[i]).alias(asis[n]) for n, i in same.items()], F.col("_metadata.file_path").alias(file))
+
+    def text(k: int) -> Column:
+        c, kind = named(have[others[k]]), kinds[others[k]]
+        return F.to_json(c) if isinstance(kind, (StructType, MapType, ArrayType)) else c.cast("string")
+
+    rows = _declared_rows(raw, {n: t for n, t in types.items() if n not in same}, {n: others.index(i) for n, i in places.items() if n not in same},
+                          [have[i] for i in others], text, [file, *asis.values()])
+    return rows.select(*[named(asis.get(n, n)).alias(n) for n in types], RESCUED, named(file))
+
+
+def bronze_rows(spark: SparkSession, cfg: BronzeConfig, listing: Sequence[Row]) -> DataFrame | None:
+    """The bronze rows of listed files (path, length, modificationTime); None for no files."""
+    if not listing:
         return None
-    if cfg.fmt.lower() not in READERS:
+    fmt, types = cfg.fmt.lower(), declared(spark, cfg)
+    if fmt == "json":
+        file = _fresh("_file", list(types))
+        parts = [_json_rows(spark, sorted(r.path for r in listing), types, file)]
+    elif fmt in ("csv", "parquet"):
+        read = _csv_rows if fmt == "csv" else _parquet_rows
+        layouts = sorted(find_layouts(spark, fmt, listing, cfg.layouts_at, cfg.escape).items())
+        file = _fresh("_file", [*types, *(name for layout, _ in layouts for name in layout.names())])
+        parts = [read(spark, layout, sorted(files), types, file, cfg.escape) for layout, files in layouts]
+    else:
         raise ValueError(f"unsupported bronze format {cfg.fmt!r}")
-    parts = READERS[cfg.fmt.lower()](spark, files, declared(spark, cfg))
-    rows = parts[0]
+    if not parts:
+        return None
+    rows = parts[0].select(*[named(n) for n in types], RESCUED, named(file))
     for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return with_ingest_metadata(rows, source_file=F.col("_file")).drop("_file")
+        rows = rows.union(p.select(*[named(n) for n in types], RESCUED, named(file)))
+    return with_ingest_metadata(rows, source_file=named(file)).drop(file)
 
 
 def _discover(reader, cfg: BronzeConfig):
@@ -157,17 +185,17 @@ def _discover(reader, cfg: BronzeConfig):
 
 def bronze_batch(spark: SparkSession, cfg: BronzeConfig) -> DataFrame | None:
     """SRC4: all files of the source as one load, with the columns of the stream."""
-    found = _discover(spark.read, cfg).load(cfg.source_path).select("path")
-    return bronze_rows(spark, cfg, sorted(r.path for r in found.collect()))
+    found = _discover(spark.read, cfg).load(cfg.source_path).select("path", "length", "modificationTime")
+    return bronze_rows(spark, cfg, found.collect())
 
 
 def bronze_stream(spark: SparkSession, cfg: BronzeConfig, wait: bool = True) -> StreamingQuery:
     """Load the files that are new since the last run of this checkpoint into
     ``cfg.target_path``; or, with ``available_now=False``, go on as they arrive."""
     schema = "path string, modificationTime timestamp, length long, content binary"
-    found = _discover(spark.readStream.schema(schema), cfg).load(cfg.source_path).select("path")
+    found = _discover(spark.readStream.schema(schema), cfg).load(cfg.source_path).select("path", "length", "modificationTime")
 
     def rows(batch: DataFrame) -> DataFrame | None:
-        return bronze_rows(batch.sparkSession, cfg, sorted(r.path for r in batch.collect()))
+        return bronze_rows(batch.sparkSession, cfg, batch.collect())
 
     return append_batches(found, cfg.target_path, cfg.checkpoint, rows, cfg.partition_by, cfg.available_now, wait)
