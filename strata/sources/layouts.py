@@ -8,7 +8,7 @@ record by record (one task a file), all others are split by lines.
 *Parquet*: the footers of all files are merged by one job.  Only where that fails, because two
 files have one column in two types, is the layout of one file taken and every file
 tested by reading it so, in one job; those that can be read are merged, the rest is
-treated alike.  The jobs grow with the number of layouts, not of files, and a batch
+treated alike; of a few files each is looked at.  The jobs grow with the number of layouts, not of files, and a batch
 without a conflict needs one.
 
 The files' layouts are kept in an append-only table, so that a later load of the same source
@@ -32,6 +32,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+#: A group of so many files or fewer that differ is looked at file by file.
+FEW = 8
+
+
 class Layout(NamedTuple):
     """What files have in common: CSV column names (``many_lines``: a record may span lines), or a Parquet schema as JSON."""
 
@@ -115,6 +119,10 @@ def parquet_layouts(spark: SparkSession, files: Sequence[str]) -> dict[Layout, l
         if schema is not None:
             out[Layout(schema=schema.json())] += group
             continue
+        if len(group) <= FEW:
+            for f in group:
+                out[Layout(schema=spark.read.parquet(f).schema.json())].append(f)
+            continue
         alike = _alike(spark, group)
         if alike:
             todo += [[f for f in group if f not in alike], [f for f in group if f in alike]]

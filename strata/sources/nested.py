@@ -34,26 +34,20 @@ def nested_type(spec: DataType | str) -> DataType | None:
     return spec if isinstance(spec, (StructType, ArrayType, MapType, VariantType)) else None
 
 
-def field(v: Column, name: str) -> Column:
-    """A field of an object; NULL where there is none."""
-    quote = "'" if '"' in name else '"'
-    if quote in name:
-        return F.try_element_at(_object(v), F.lit(name))
-    return F.try_variant_get(v, f"$[{quote}{name}{quote}]", "variant")
-
-
-def _object(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "map<string,variant>")
-
-
-def _list(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "array<variant>")
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
 
 
 def text_of(v: Column) -> Column:
     return F.try_variant_get(v, "$", "string")
 
 
+def field(v: Column, name: str) -> Column:
+    """A field of an object; NULL where there is none."""
+    return F.try_element_at(F.try_variant_get(v, "$", "map<string,variant>"), F.lit(name))
+
+
 def _step(name: Column) -> Column:
     """How a name continues a path."""
     plain = F.concat(F.lit("."), name)
@@ -65,42 +59,48 @@ def root(name: str) -> Column:
     return F.concat(F.lit("$"), _step(F.lit(name)))
 
 
-def fit(v: Column, t: DataType, leaf: Callable[[DataType], Callable[[Column], Column]]) -> Column:
-    """A VARIANT as the declared type, NULL wherever it does not fit.  ``leaf`` gives a type's text conversion."""
-    if isinstance(t, VariantType):
-        return v
-    if isinstance(t, StructType):
-        fields = [fit(field(v, f.name), f.dataType, leaf).alias(f.name) for f in t.fields]
-        return F.when(_object(v).isNotNull(), F.struct(*fields))
-    if isinstance(t, ArrayType):
-        return F.transform(_list(v), lambda x: fit(x, t.elementType, leaf))
-    if isinstance(t, MapType):
-        return F.transform_values(_object(v), lambda _, x: fit(x, t.valueType, leaf))
-    return leaf(t)(text_of(v))
-
-
-def misfits(v: Column, t: DataType, leaf, path: Column, label: Column | None = None) -> Column:
-    """(path, text) of every part of a VARIANT that ``fit`` leaves out; none for NULL."""
+def fitted(v: Column, t: DataType, leaf: Callable[[DataType], Callable[[Column], Column]], path: Column,
+           label: Column | None = None) -> Column:
+    """struct<value, misfits>: a VARIANT as the declared type, NULL wherever it does not fit, and (path, text)
+    of every part left out.  ``leaf`` gives a type's conversion from text; ``label`` is the whole value's path, if another."""
     none = F.array().cast(ENTRIES)
+    pair = lambda value, left: F.struct(value.alias("value"), left.alias("misfits"))
     if isinstance(t, VariantType):
-        return none
-    whole = F.array(F.struct((path if label is None else label).alias("path"), text_of(v).alias("text")))
+        return pair(v, none)
     there = v.isNotNull() & ~F.is_variant_null(v)
-    if isinstance(t, StructType):
+    here = F.array(F.struct((path if label is None else label).alias("path"), text_of(v).alias("text")))
+    unless = lambda fits, inside: F.when(there & ~fits, here).when(there, inside).otherwise(none)
+
+    def of_struct(m: Column) -> Column:
         known = F.array(*[F.lit(f.name) for f in t.fields]).cast("array<string>")
-        others = F.map_entries(F.map_filter(_object(v), lambda k, _: ~F.array_contains(known, k)))
-        parts = [misfits(field(v, f.name), f.dataType, leaf, F.concat(path, _step(F.lit(f.name)))) for f in t.fields]
-        parts.append(F.transform(others, lambda e: F.struct(F.concat(path, _step(e["key"])).alias("path"), text_of(e["value"]).alias("text"))))
-        return F.when(there & _object(v).isNull(), whole).when(there, F.concat(*parts)).otherwise(none)
+        others = F.map_entries(F.map_filter(m, lambda k, _: ~F.array_contains(known, k)))
+        extra = F.transform(others, lambda e: F.struct(F.concat(path, _step(e["key"])).alias("path"), text_of(e["value"]).alias("text")))
+        part = lambda f: _let(F.try_element_at(m, F.lit(f.name)), lambda x: fitted(
+            x, f.dataType, leaf, F.concat(path, _step(F.lit(f.name)))))
+        each = F.struct(*[part(f).alias(f"f{i}") for i, f in enumerate(t.fields)])
+
+        def joined(r: Column) -> Column:
+            value = F.when(m.isNotNull(), F.struct(*[r[f"f{i}"]["value"].alias(f.name) for i, f in enumerate(t.fields)]))
+            return pair(value, unless(m.isNotNull(), F.concat(*[r[f"f{i}"]["misfits"] for i in range(len(t.fields))], extra)))
+
+        return _let(each, joined)
+
+    def of_list(a: Column) -> Column:
+        each = F.transform(a, lambda x, i: fitted(x, t.elementType, leaf, F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))
+        return _let(each, lambda r: pair(F.transform(r, lambda x: x["value"]), unless(a.isNotNull(), F.flatten(F.transform(r, lambda x: x["misfits"])))))
+
+    def of_map(m: Column) -> Column:
+        each = F.transform_values(m, lambda k, x: fitted(x, t.valueType, leaf, F.concat(path, _step(k))))
+        return _let(each, lambda r: pair(F.transform_values(r, lambda _, x: x["value"]),
+                                         unless(m.isNotNull(), F.flatten(F.transform(F.map_values(r), lambda x: x["misfits"])))))
+
+    if isinstance(t, StructType):
+        return _let(F.try_variant_get(v, "$", "map<string,variant>"), of_struct)
     if isinstance(t, ArrayType):
-        inside = F.flatten(F.transform(_list(v), lambda x, i: misfits(
-            x, t.elementType, leaf, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")))))
-        return F.when(there & _list(v).isNull(), whole).when(there, inside).otherwise(none)
+        return _let(F.try_variant_get(v, "$", "array<variant>"), of_list)
     if isinstance(t, MapType):
-        inside = F.flatten(F.transform(F.map_entries(_object(v)), lambda e: misfits(
-            e["value"], t.valueType, leaf, F.concat(path, _step(e["key"])))))
-        return F.when(there & _object(v).isNull(), whole).when(there, inside).otherwise(none)
-    return F.when(there & leaf(t)(text_of(v)).isNull(), whole).otherwise(none)
+        return _let(F.try_variant_get(v, "$", "map<string,variant>"), of_map)
+    return _let(leaf(t)(text_of(v)), lambda x: pair(x, unless(x.isNotNull(), none)))
 
 
 def join_objects(a: Column, b: Column) -> Column:

@@ -104,6 +104,8 @@ def rescue_columns(df: DataFrame, expected: Mapping[str, DataType | str],
     tmp = {n: f"__typed_{i}" for i, n in enumerate(names)}
     staged = df.withColumns({tmp[n]: F.try_parse_json(named(n).cast("string")) if n in deep else converter(expected[n])(named(n))
                              for n in names})
+    fits = {n: f"__fitted_{i}" for i, n in enumerate(deep)}
+    staged = staged.withColumns({c: N.fitted(F.col(tmp[n]), deep[n], converter, N.root(n), F.lit(n)) for n, c in fits.items()})
     if names or others:
         mis = F.struct(*[F.when(named(n).isNotNull() & F.col(tmp[n]).isNull(),
                                 named(n).cast("string")).alias(n) for n in names],
@@ -113,15 +115,15 @@ def rescue_columns(df: DataFrame, expected: Mapping[str, DataType | str],
     else:
         new = F.lit(None).cast("string")
     if deep:
-        inside = F.concat(*[N.misfits(F.col(tmp[n]), t, converter, N.root(n), F.lit(n)) for n, t in deep.items()])
+        inside = F.concat(*[F.col(c)["misfits"] for c in fits.values()])
         new = N.join_objects(new, N.entries_json(inside))
     if corrupt and corrupt in df.columns:
         new = F.coalesce(named(corrupt), new)
     if rescued in df.columns:
         new = _merge(named(rescued), new)
-    typed = {n: N.fit(F.col(tmp[n]), deep[n], converter) if n in deep else F.col(tmp[n]) for n in names}
+    typed = {n: F.col(fits[n])["value"] if n in deep else F.col(tmp[n]) for n in names}
     out = staged.withColumns({**typed, rescued: new})
-    gone = {*tmp.values(), *others, *([corrupt] if corrupt else [])}
+    gone = {*tmp.values(), *fits.values(), *others, *([corrupt] if corrupt else [])}
     return out.select(*[named(c) for c in out.columns if c not in gone])
 
 
@@ -133,14 +135,16 @@ def rescue_json(df: DataFrame, expected: Mapping[str, DataType | str], value: st
     objects survive as text (a ``from_json`` with a struct schema would drop
     unknown keys silently).  Unparseable text -> NULL fields, raw text rescued.
     """
-    parsed, variant = "__parsed", "__variant"
+    parsed, variant, fits = "__parsed", "__variant", {}
     deep = {n: t for n, spec in expected.items() if (t := N.nested_type(spec)) is not None}
     df = df.withColumn(parsed, F.from_json(named(value), "map<string,string>"))  # once per record
     if deep:
         df = df.withColumn(variant, F.try_parse_json(named(value)))
+        fits = {n: f"__fitted_{i}" for i, n in enumerate(deep)}
+        df = df.withColumns({c: N.fitted(N.field(F.col(variant), n), deep[n], converter, N.root(n), F.lit(n)) for n, c in fits.items()})
     m, whole = F.col(parsed), F.col(variant)
     names = list(expected)
-    typed = {n: N.fit(N.field(whole, n), deep[n], converter) if n in deep else converter(t)(F.try_element_at(m, F.lit(n)))
+    typed = {n: F.col(fits[n])["value"] if n in deep else converter(t)(F.try_element_at(m, F.lit(n)))
              for n, t in expected.items()}
 
     def misfit(k, v):
@@ -155,12 +159,12 @@ def rescue_json(df: DataFrame, expected: Mapping[str, DataType | str], value: st
     mis = F.map_filter(m, misfit)
     found = F.when(F.size(mis) > 0, F.to_json(mis))
     if deep:
-        inside = F.concat(*[N.misfits(N.field(whole, n), t, converter, N.root(n), F.lit(n)) for n, t in deep.items()])
+        inside = F.concat(*[F.col(c)["misfits"] for c in fits.values()])
         found = N.join_objects(found, N.entries_json(inside))
     # a repeated key: lookups see only one value; keep the whole record instead
     repeated = F.size(F.map_keys(m)) > F.size(F.array_distinct(F.map_keys(m)))
     res = (F.when(m.isNull() & named(value).isNotNull(), named(value))
             .when(repeated, named(value))
             .otherwise(found))
-    cols = [c for c in df.columns if c not in (parsed, variant) and (keep_value or c != value)]
+    cols = [c for c in df.columns if c not in (parsed, variant, *fits.values()) and (keep_value or c != value)]
     return df.select(*[named(c) for c in cols], *[typed[n].alias(n) for n in names], res.alias(rescued))
