@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
-from strata.llm.quality_rules import BIT, V2
+from strata.llm.periodic_runs import SQL_CRC, SQL_CRC_TABLE
+from strata.llm.quality_rules import BIT, V2, V3
 
 _SOLID = r"[^\x20\x09-\x0D]+"
 
-OP9_SQL = rf"""
-WITH t AS (
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BARE = "trim(" + _LOWER + """, '.,;:!?"''()')"""
+
+#: The word list is learned from all labels: no table here has as many as the sample may hold.
+_LEDGER = rf"""
+WITH {SQL_CRC_TABLE}, known AS (
+  SELECT doc_id, max(toxic) AS toxic FROM labels, crc_table
+  WHERE toxic IS NOT NULL AND doc_id IS NOT NULL AND {SQL_CRC.format("doc_id::VARCHAR")} % 4 <> 2 GROUP BY doc_id
+), listed AS (
+  SELECT word FROM (SELECT toxic, unnest(list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '{_SOLID}'), lambda x: {_BARE.format("x")}))) AS word
+                    FROM documents JOIN known USING (doc_id))
+  WHERE length(word) >= 4 GROUP BY word
+  HAVING count(*) FILTER (toxic > 0) >= 4 AND 10 * count(*) FILTER (toxic > 0) >= 9 * count(*)
+), t AS (
   SELECT row_number() OVER () AS i, doc_id, coalesce(text, '') AS text FROM documents
 ), w AS (
   SELECT i, doc_id, text, regexp_extract_all(text, '{_SOLID}') AS words,
@@ -20,8 +33,10 @@ WITH t AS (
   SELECT i, k FROM windows QUALIFY count(*) OVER (PARTITION BY i, win) > 1
 ), repeated AS (
   SELECT i, count(DISTINCT k + d) AS n FROM twice, (VALUES (0), (1), (2)) AS s(d) GROUP BY i
+), said AS (
+  SELECT i, count(*) AS n FROM (SELECT i, unnest(list_transform(words, lambda x: {_BARE.format("x")})) AS word FROM w) SEMI JOIN listed USING (word) GROUP BY i
 ), m AS (
-  SELECT w.i, doc_id, len(words)::BIGINT AS n_words,
+  SELECT w.i, doc_id, coalesce(s.n, 0)::BIGINT AS n_listed, len(words)::BIGINT AS n_words,
     length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
     len(lines) AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
@@ -29,7 +44,7 @@ WITH t AS (
     length(regexp_replace(text, '[\x00-\x40\x5B-\x60\x7B-\x7F]', '', 'g')) AS n_letters,
     length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper,
     length(regexp_replace(text, '[^!]', '', 'g')) AS n_exclaim
-  FROM w LEFT JOIN repeated r ON r.i = w.i
+  FROM w LEFT JOIN repeated r ON r.i = w.i LEFT JOIN said s ON s.i = w.i
 ), b AS (
   SELECT *, (CASE WHEN n_words < 50 THEN {BIT['few_words']} ELSE 0 END
     + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN {BIT['repeated_words']} ELSE 0 END
@@ -38,16 +53,31 @@ WITH t AS (
     + CASE WHEN NOT word_chars BETWEEN 2 * n_words AND 40 * n_words THEN {BIT['word_length']} ELSE 0 END
     + CASE WHEN 100 * n_letters < 50 * word_chars THEN {BIT['few_letters']} ELSE 0 END
     + CASE WHEN 100 * n_upper > 60 * n_letters THEN {BIT['shouting']} ELSE 0 END
-    + CASE WHEN 100 * n_exclaim > 50 * n_words THEN {BIT['exclamations']} ELSE 0 END)::BIGINT AS fail_bits
+    + CASE WHEN 100 * n_exclaim > 50 * n_words THEN {BIT['exclamations']} ELSE 0 END
+    + CASE WHEN 200 * n_listed > n_words THEN {BIT['listed_words']} ELSE 0 END)::BIGINT AS fail_bits
   FROM m
-)
+)"""
+
+OP9_SQL = rf"""{_LEDGER}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  fail_bits & {V2.mask} = 0 AS kept, fail_bits, '{V2.version}' AS policy
+  fail_bits & {V3.mask} = 0 AS kept, n_listed, fail_bits, '{V3.version}' AS policy
 FROM b
 """
 
-_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP9_TOXIC_SQL = rf"""{_LEDGER}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  fail_bits & {V3.mask} = 0 AS kept, n_listed, fail_bits & {V2.mask} = 0 AS v2_kept, fail_bits, '{V3.version}' AS policy
+FROM b
+"""
+
+OP9_ABLATION_SQL = rf"""{_LEDGER}
+SELECT rule, count(*) FILTER (fail_bits & bit <> 0) AS n_failed, count(*) FILTER (fail_bits & {V3.mask} = bit) AS n_only,
+  count(*) FILTER (fail_bits & {V3.mask} & ~bit = 0) AS n_kept_without
+FROM b, (VALUES {", ".join(f"('{r}', {BIT[r]}::BIGINT)" for r in V3.rules)}) AS rules(rule, bit) GROUP BY rule
+"""
+
 _WORDS = r"regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 OP10_SQL = rf"""

@@ -33,9 +33,8 @@ from strata.llm.common import SPACES, ascii_lower, col, fresh, id_part, read_tab
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines",
             "n_repeat_words", "n_letters", "n_upper", "n_exclaim", "n_listed")
 
-#: Labels that a word list is learned from, and its words, at most.
+#: Labels that a word list is learned from, at most.
 LABELLED = 20_000
-LISTED = 4096
 #: Signs cut from both ends of a word before it is looked up.
 _AROUND = ".,;:!?\"'()"
 _LOWERED = bytes.maketrans(bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)))
@@ -157,8 +156,8 @@ def measures(text: Column, listed: frozenset[bytes] = frozenset()) -> Column:
 
 
 def toxic_words(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> frozenset[bytes]:
-    """Words that toxic documents of the labelled sample have and others hardly have;
-    ``LISTED`` at most, those in most documents first.  Ids without a label don't count."""
+    """Words that toxic documents of the labelled sample have and others hardly have.
+    Ids without a label don't count."""
     learn = F.coalesce(id_part(col(id_col), 4) != 2, F.lit(False)) & col("toxic").isNotNull()
     known = (labels.where(learn).groupBy(col(id_col).alias("id")).agg(F.max("toxic").alias("toxic"))
              .orderBy(F.xxhash64("id"), "id").limit(LABELLED))
@@ -167,7 +166,7 @@ def toxic_words(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     texts = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).join(F.broadcast(known), "id")
     seen = texts.select("toxic", F.explode(F.array_distinct(words)).alias("word")).where(F.length("word") >= 4)
     n = seen.groupBy("word").agg(F.count_if(col("toxic") > 0).alias("toxic"), F.count("*").alias("n"))
-    rows = n.where((col("toxic") >= 4) & (10 * col("toxic") >= 9 * col("n"))).orderBy(F.desc("toxic"), "word").limit(LISTED)
+    rows = n.where((col("toxic") >= 4) & (10 * col("toxic") >= 9 * col("n"))).select("word")
     return frozenset(r.word.encode() for r in rows.collect())
 
 
@@ -224,16 +223,28 @@ def keep_good(docs: DataFrame, policy: Policy = V2, text_col: str = "text",
     return d.where(bits.bitwiseAND(F.lit(policy.mask).cast("long")) == 0).drop(m)
 
 
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of ``documents`` with the word list that ``labels`` teach, ``kept`` by policy V3 and ``v2_kept``."""
+    docs = read_table(spark, sf_dir, "documents")
+    listed = toxic_words(docs, read_table(spark, sf_dir, "labels"))
+    return apply_policy(apply_policy(rule_ledger(docs, listed=listed), V3), V2, "v2_kept")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    led = apply_policy(rule_ledger(read_table(spark, sf_dir, "documents")), V2)
-    base = apply_policy(led, BASE, "base_kept")
+    base = apply_policy(_judged(spark, sf_dir), BASE, "base_kept")
     return base.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                       (~col("base_kept")).alias("base_failed"), "kept", "fail_bits",
-                       F.lit(V2.version).alias("policy"))
+                       (~col("base_kept")).alias("base_failed"), "kept", "n_listed", "fail_bits",
+                       F.lit(V3.version).alias("policy"))
 
 
 def op9_toxic_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    listed = toxic_words(docs, read_table(spark, sf_dir, "labels"))
-    led = apply_policy(apply_policy(rule_ledger(docs, listed=listed), V3), V2, "v2_kept")
-    return led.select("doc_id", "n_words", "n_listed", "v2_kept", "kept", "fail_bits", F.lit(V3.version).alias("policy"))
+    """The same with what the policy without the word list says."""
+    base = apply_policy(_judged(spark, sf_dir), BASE, "base_kept")
+    return base.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                       (~col("base_kept")).alias("base_failed"), "kept", "n_listed", "v2_kept", "fail_bits",
+                       F.lit(V3.version).alias("policy"))
+
+
+def op9_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy removes, alone and beside the others."""
+    return ablation(_judged(spark, sf_dir), V3)
