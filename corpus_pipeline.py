@@ -20,8 +20,9 @@ NEAR = ngram_jaccard.JoinSpec(words=5, percent=80)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality policy keeps."""
-    return quality_rules.keep_good(docs)
+    """Documents that the quality policy keeps, its list of toxic words learned from ``labels``."""
+    listed = quality_rules.toxic_words(docs, read_table(spark, sf_dir, "labels"))
+    return quality_rules.keep_good(docs, quality_rules.V3, listed=listed)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
