@@ -34,9 +34,13 @@ def latest_order(df: DataFrame, keys: Sequence[str], order: Sequence) -> list[Co
     column that can be ordered (arrays and structs too), by name, likewise: a
     total order, so the kept row never depends on file or partition order.
     Only rows that differ in map columns alone are left to chance."""
+    return [_desc(c) for c in [*order, *total_order(df, keys, order)]]
+
+
+def total_order(df: DataFrame, keys: Sequence[str], order: Sequence) -> list[str]:
+    """The columns that decide where ``order`` does not: all others that can be ordered, by name."""
     done = {*keys, *(c for c in order if isinstance(c, str))}
-    rest = sorted(f.name for f in df.schema.fields if f.name not in done and _orderable(f.dataType))
-    return [_desc(c) for c in [*order, *rest]]
+    return sorted(f.name for f in df.schema.fields if f.name not in done and _orderable(f.dataType))
 
 
 def keep_latest(df: DataFrame, keys: Sequence[str], order: Sequence,

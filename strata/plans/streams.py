@@ -24,7 +24,7 @@ from strata.session import materialize, scratch_path
 from strata.sources.files import read_table
 from strata.sources.sinks import append_batches, materialize_gold, read_batches, write_overwrite
 from strata.streaming.bronze import BronzeConfig, bronze_batch, bronze_stream
-from strata.streaming.silver import snapshot
+from strata.streaming.silver import latest_changes, publish_current, snapshot
 
 EVENT_COLUMNS = ("event_id", "ts", "user_id", "event_type", "value", "props")
 TS_TEXT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -182,6 +182,24 @@ def q_silver_stream(spark: SparkSession, sf: str, files: int = 4) -> DataFrame:
     return snapshot(keep_latest(read_batches(spark, rows), LINE_KEY, line_order()), out)
 
 
+def q_silver_state(spark: SparkSession, sf: str, files: int = 3) -> DataFrame:
+    """ST3 / SRC10 / SRC12 with state: line items in several files, later ship dates first, through two runs of one
+    checkpoint; the state store keeps each key's latest row, changes are appended to a named table, merged,
+    and the current rows published as a table after each run."""
+    src, ckpt, root = (scratch_path(spark, n) for n in ("lineitem-in", "ckpt", "published"))
+    name = f"silver_{root[-12:]}"
+    li = table(spark, sf, "lineitem")
+    stream = lambda: spark.readStream.schema(li.schema).option("maxFilesPerTrigger", "1").parquet(src)
+    order = line_order()
+    late = F.col("l_shipdate") < F.lit("1995-06-17")
+    for part in (li.where(~late), li.where(late | F.col("l_shipdate").isNull())):
+        for i in range(files):
+            part.where(F.pmod(F.hash("l_orderkey", "l_partkey"), F.lit(files)) == i).write.mode("append").parquet(src)
+        latest_changes(stream(), f"{root}/changes", ckpt, LINE_KEY, order, compact_after=2)
+        out = publish_current(spark, f"{root}/changes", name, f"{root}/table", LINE_KEY, order)
+    return out
+
+
 def q_transactions_stream(spark: SparkSession, sf: str) -> DataFrame:
     """ST3 on transactions with exact copies, later versions, ties and rows without a key:
     streamed file by file, then through a second checkpoint as well (which appends all rows
@@ -244,6 +262,7 @@ STREAM_QUERIES = {
     "bronze_json": q_bronze_json,
     "bronze_nested": q_bronze_nested,
     "silver_stream": q_silver_stream,
+    "silver_state": q_silver_state,
     "transactions_stream": q_transactions_stream,
     "ecommerce_chain": q_ecommerce_chain,
     "mainframe_chain": q_mainframe_chain,
@@ -288,6 +307,7 @@ SELECT event_id AS id, value, CASE WHEN event_id % 2 = 1 THEN '{{"new":"1"}}' EN
               WHEN 5 THEN '{"$.customer.key":"K' || o_custkey || '"}' END AS _rescued_data
 FROM (SELECT *, o_orderkey % 7 AS k FROM orders), (VALUES ('json'), ('parquet')) AS l(load)""",
     "silver_stream": _SQL["keep_latest_lineitem"],
+    "silver_state": _SQL["keep_latest_lineitem"],
     "transactions_stream": _SQL["transactions_stream"],
     "ecommerce_chain": f"""WITH {CONFORMED}
 SELECT CAST(transaction_timestamp AS DATE) AS transaction_date, CAST(count(DISTINCT order_id) AS BIGINT) AS order_count,

@@ -1,19 +1,55 @@
 """Silver keep-latest over a stream (ST3).
 
-A stream can neither rank rows that are still to come nor replace rows that
-readers hold open.  So the stream itself only appends: each micro-batch's rows,
-conformed and tagged, are written once (``sources.sinks.append_batches``), at the
-cost of that batch.  Ranking is a batch job over the appended rows: it writes a *new*
-folder each time and never touches one that may be read.  Another checkpoint appends
-its rows again, which ranking undoes, as they are exact copies: no history depends on
-a batch's number.
+Two ways.  *Ranking*: the stream only appends each micro-batch's rows, conformed and tagged
+(``sources.sinks.append_batches``), and a batch job ranks the appended rows into a *new*
+folder (``snapshot``).  Another checkpoint appends its rows again, which ranking undoes, as they
+are exact copies.
+
+*State*: ``latest_changes`` keeps the latest row of each key in the state store, so that a micro-batch
+costs its own keys, not the history; only keys that changed are appended.  The order is
+that of ``operators.dedupe.keep_latest``: late rows never replace later ones, and ties are decided
+by all columns.  ``current`` is the last change of each key; merging folders of
+changes keeps just those, so the table is as large as its keys.  State grows with the keys: on a
+cluster set ``spark.sql.streaming.stateStore.providerClass`` to the RocksDB one.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from strata.operators.dedupe import keep_latest, total_order
+from strata.sources.sinks import append_batches, publish, read_batches
+
+
+def latest_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``keep_latest`` as an aggregate (columns named in ``order`` come first, latest first, NULL last), which a
+    stream can hold as state."""
+    names = [*order, *total_order(df, keys, order)]
+    row, by = F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(*[F.col(f"`{c}`") for c in names])
+    kept = df.groupBy(*[F.col(f"`{k}`").alias(f"__key{i}") for i, k in enumerate(keys)]).agg(F.max_by(row, by).alias("__row"))
+    return kept.select(*[F.col("__row").getField(c).alias(c) for c in df.columns])
+
+
+def latest_changes(stream: DataFrame, target: str, checkpoint: str, keys: Sequence[str], order: Sequence[str],
+                   compact_after: int | None = 16, **more) -> StreamingQuery:
+    """Append to ``target`` each key whose latest row a micro-batch changed, with that row."""
+    return append_batches(latest_rows(stream, keys, order), target, checkpoint, output_mode="update", compact_after=compact_after,
+                          merge=lambda rows: keep_latest(rows, keys, order), **more)
+
+
+def current(spark: SparkSession, target: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The latest row of each key, from the changes alone."""
+    return keep_latest(read_batches(spark, target), keys, order)
+
 
-from pyspark.sql import DataFrame
+def publish_current(spark: SparkSession, target: str, name: str, root: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``current`` as a new version of the table ``name``; who has the last version open keeps it."""
+    return publish(current(spark, target, keys, order), name, root)
 
 
 def snapshot(df: DataFrame, root: str) -> DataFrame:
