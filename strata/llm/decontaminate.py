@@ -119,10 +119,10 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The documents without any occurrence, with all the columns they came with.
-    A document without an id goes by the digest of its text."""
+    """The documents without any occurrence, with all the columns they came with.  A document goes by its
+    id and the digest of its text, so that of two rows with one id only the contaminated one is dropped."""
     at = occurrences(docs, items, id_col, text_col, item_col, item_text)
-    named = lambda i, digest: F.coalesce(i.cast("string"), F.concat(F.lit("text "), digest.cast("string")))
+    named = lambda i, digest: F.concat_ws(" ", i.cast("string"), F.lit("text"), digest.cast("string"))
     key = fresh(docs, "key")
     gone = materialize(at.select(named(col("doc"), col("digest")).alias(key)).distinct(), "contaminated")
     keyed = docs.withColumn(key, named(col(id_col), F.xxhash64(col(text_col))))

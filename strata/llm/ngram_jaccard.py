@@ -37,10 +37,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pandas.util import hash_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import (bitmap, col, in_bitmap, read_table, slices, slot, slots_of, without,
+from strata.llm.common import (bitmap, col, fresh, in_bitmap, read_table, slices, slot, slots_of, without,
                                workers_import)
 from strata.llm.components import components
 from strata.session import discard, materialize
@@ -335,11 +335,28 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 spec: JoinSpec = JoinSpec()) -> DataFrame:
-    """The document of least id of every component, with its columns.  Repeated rows of
-    that id stay, and so do rows without an id."""
-    j = jaccard_join(docs, id_col, text_col, spec)
-    gone = j.where(col(id_col).isNotNull() & (col(id_col) != col("component_id"))).select(col(id_col)).distinct()
-    return without(docs, materialize(gone, "gone"), id_col)
+    """One row of every component, with its columns: that of least id; a row without an id only where no
+    row of its component has one (it goes by a number of 2 ** 62 or more made of its text, above all ids).
+    Of repeated rows (one id, or none, and one text) the first by the hash of all columns stays.  Rows
+    without a word are linked with nothing and all stay; so do rows of one id with different texts."""
+    key, digest = fresh(docs, "key"), fresh(docs, "digest")
+    made = F.lit(1 << 62) + F.xxhash64(col(text_col)).bitwiseAND(F.lit((1 << 62) - 1))
+    d = docs.withColumn(key, F.coalesce(col(id_col).cast("long"), made))
+    j = jaccard_join(d, key, text_col, spec)
+    gone = j.where(col(key) != col("component_id")).select(col(key)).distinct()
+    left = without(d, materialize(gone, "gone"), key)
+    # repeated rows: found by small rows; only those that a filter of fixed size lets pass meet in a window
+    keyed = left.withColumn(digest, F.when(col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(col(text_col))))
+    again = materialize(keyed.where(col(digest).isNotNull()).groupBy(col(key), col(digest)).agg(F.count("*").alias("n")).where("n > 1")
+                             .select(col(key), col(digest)), "repeated")
+    s, rank = fresh(keyed, "slot"), fresh(keyed, "rank")
+    taken = slots_of(again, key, digest).withColumnRenamed("slot", s)
+    keyed = keyed.withColumn(s, F.when(col(digest).isNotNull(), slot(col(key), col(digest))))
+    some = keyed.join(taken, s, "left_semi")
+    first = Window.partitionBy(col(key), col(digest), col(text_col)).orderBy(F.xxhash64(*[col(c) for c in docs.columns]))
+    one = some.withColumn(rank, F.row_number().over(first)).where(col(rank) == 1)
+    names = [col(c) for c in docs.columns]
+    return keyed.join(taken, s, "left_anti").select(*names).unionByName(one.select(*names))
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,12 +85,35 @@ def test_stages_on_whole_table(spark, docs_dir):
 
 
 def test_stages_on_odd_rows(spark, docs_dir):
-    long = " ".join(f"w{i}" for i in range(60))
+    made = lambda first, n: " ".join(first + "".join("abcdefghij"[int(c)] for c in str(i)) for i in range(n))
+    long = made("w", 60)
+    item = next(r.text for r in spark.read.parquet(f"{docs_dir}/benchmark.parquet").collect() if len(r.text.split()) >= 10)
+    other = made("v", 70)
     rows = [(1, None, "en", "s", 0, "x"), (2, "", None, None, None, None), (3, long, "en", "s", 5, "y"),
-            (3, long, "en", "s", 5, "y"), (None, long, "en", "s", 5, "z"), (4, long + " more", "en", "s", 9, "w")]
+            (3, long, "en", "s", 5, "y"), (None, long, "en", "s", 5, "z"), (4, long + " more", "en", "s", 9, "w"),
+            (None, other, "en", "s", 5, "z"), (None, other, "en", "s", 5, "z"), (None, other + " more", "en", "s", 6, "z"),
+            (7, made("u", 60), "en", "s", 7, "a"), (7, made("t", 60) + f" {item}", "en", "s", 8, "b")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, slot string")
+    kept = []
     for docs in (df, df.limit(0)):
         for name, stage in P.STAGES[:-1]:
             docs = P.materialize(stage(spark, docs, docs_dir), name)
             assert docs.columns == df.columns
+            kept.append(sorted((str(r.doc_id), r.text) for r in docs.collect()))
         P.STAGES[-1][1](spark, docs, docs_dir).count()
+    pairs = lambda keep: sorted((str(rows[i][0]), rows[i][1]) for i in keep)
+    assert kept[0] == pairs(range(2, 11))
+    assert kept[1] in (pairs([2, 6, 9, 10]), pairs([2, 8, 9, 10]))  # of the group without ids either text stays
+    assert kept[2] == kept[3] == [r for r in kept[1] if item not in r[1]]
+    assert not any(kept[4:])
+
+
+def test_one_row_of_each_group(spark):
+    from strata.llm import ngram_jaccard as J
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, text, "a"), (None, text, "b"), (3, text, "c"), (3, text, "c"), (4, text, "d"), (None, "", "e"), (None, "", "f"), (5, None, "g"), (5, None, "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rank string")
+    got = sorted((r.doc_id or 0, r.text, r["rank"]) for r in J.one_of_each(df, spec=J.JoinSpec(words=5, percent=80)).fillna("", "text").collect())
+    assert got == sorted([(0, "", "e"), (0, "", "f"), (3, text, "c"), (5, "", "g"), (5, "", "g")])
+    only = df.where("doc_id is null and text <> ''")
+    assert J.one_of_each(only).count() == 1
