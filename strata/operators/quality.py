@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DoubleType, FloatType, MapType, NumericType, VariantType
+
 from strata.operators.joins import orphans
 
 RESULT_COLUMNS = ("model", "column_name", "test", "failures")
@@ -59,9 +61,7 @@ def not_null(df: DataFrame, cols: Iterable[str], model: str = "model") -> DataFr
 
 def unique(df: DataFrame, col: str, model: str = "model") -> DataFrame:
     """DQ2: number of non-NULL values that occur more than once."""
-    dup = (df.where(F.col(col).isNotNull()).groupBy(col).count()
-             .where(F.col("count") > 1))
-    return dup.agg(*_named(_row(model, col, "unique", F.count(F.lit(1)))))
+    return repeated_values(df, col).agg(*_named(_row(model, col, "unique", F.count(F.lit(1)))))
 
 
 def accepted_values(df: DataFrame, col: str, values: Sequence, model: str = "model") -> DataFrame:
@@ -74,10 +74,38 @@ def accepted_values(df: DataFrame, col: str, values: Sequence, model: str = "mod
 def relationships(child: DataFrame, col: str, parent: DataFrame, parent_col: str,
                   model: str = "model") -> DataFrame:
     """DQ4: child rows with a non-NULL key missing from the parent."""
-    o = orphans(child.select(col), parent, col, parent_col)
+    keys = parent.select(parent_key(parent, parent_col, child.schema[col].dataType).alias("_key"))
+    o = orphans(child.select(col), keys, col, "_key")
     return o.agg(*_named(_row(model, col, "relationships", F.count(F.lit(1)))))
 
 
+def repeated_values(df: DataFrame, col: str) -> DataFrame:
+    """The non-NULL values that occur more than once; counted in the tasks first, so a hot value is a row per task."""
+    return df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("_key")).agg(F.count("*").alias("_n")).where("_n > 1").select("_key")
+
+
+def missing_values(child: DataFrame, col: str, parent: DataFrame, parent_col: str) -> DataFrame:
+    """The distinct non-NULL keys of ``child`` that ``parent`` lacks."""
+    keys = parent.select(parent_key(parent, parent_col, child.schema[col].dataType).alias("_parent"))
+    some = child.where(F.col(col).isNotNull()).select(F.col(col).alias("_key")).distinct()
+    return some.join(keys, some["_key"] == keys["_parent"], "left_anti")
+
+
+def parent_key(parent: DataFrame, col: str, child: DataType) -> Column:
+    """A parent's key in the child's type; NULL, which matches nothing, where that type can't hold it (a text
+    that is no number, a number out of range) or would change it (a fraction)."""
+    have = parent.schema[col].dataType
+    if have == child:
+        return F.col(col)
+    key = F.col(col).try_cast(child)
+    return F.when(key.try_cast(have) == F.col(col), key) if isinstance(have, NumericType) else key
+
+
+def _text(value: Column, kind: DataType) -> Column:
+    """A value as text, equal for values that are equal (0.0 and -0.0 are)."""
+    return ((value + F.lit(0.0)) if isinstance(kind, (DoubleType, FloatType)) else value).cast("string")
+
+
 def _named(cells: list[Column]) -> list[Column]:
     return [c.alias(n) for c, n in zip(cells, RESULT_COLUMNS)]
 
@@ -109,21 +137,21 @@ def run_tests(df: DataFrame, suite: TestSuite) -> DataFrame:
 
     def seen(value: Column, keep: Column) -> None:
         i = F.lit(len(tests) - 1)
-        cells.append(F.when(keep, F.struct(i.alias("t"), value.cast("string").alias("v"))))
+        cells.append(F.when(keep, F.struct(i.alias("t"), value.alias("v"))))
 
     for c in suite.not_null:
         tests.append((c, "not_null"))
-        seen(F.lit(None), F.col(c).isNull())
+        seen(F.lit(None).cast("string"), F.col(c).isNull())
     for c, vals in suite.accepted_values.items():
         tests.append((c, "accepted_values"))
-        seen(F.col(c), ~F.col(c).isin(list(vals)))
+        seen(_text(F.col(c), df.schema[c].dataType), ~F.col(c).isin(list(vals)))
     for c in suite.unique:
         tests.append((c, "unique"))
-        seen(F.col(c), F.col(c).isNotNull())
+        seen(_text(F.col(c), df.schema[c].dataType), F.col(c).isNotNull())
     for c, (parent, parent_col) in suite.relationships.items():
         tests.append((c, "relationships"))
-        seen(F.col(c), F.col(c).isNotNull())
-        key = F.col(parent_col).cast(df.schema[c].dataType).cast("string")
+        seen(_text(F.col(c), df.schema[c].dataType), F.col(c).isNotNull())
+        key = _text(parent_key(parent, parent_col, df.schema[c].dataType), df.schema[c].dataType)
         parents.append(parent.select(F.lit(len(tests) - 1).alias("t"), key.alias("v")).where("v is not null")
                        .select("t", "v", F.lit(0).alias("child"), F.lit(1).alias("parent")))
     if not tests:
@@ -147,14 +175,41 @@ def run_tests(df: DataFrame, suite: TestSuite) -> DataFrame:
         "model", "column_name", "test", F.coalesce("failures", F.lit(0)).cast("bigint").alias("failures"))
 
 
+#: Slots of the filter that finds rows with a failing key, and parts that the rows of one such key are dealt to.
+SLOTS, PARTS = 1 << 20, 32
+
+
 def failing_rows(df: DataFrame, suite: TestSuite) -> DataFrame:
-    """Rows that break a row-level test (not_null / accepted_values), with
-    the failed tests listed in ``_failed_tests``."""
+    """DQ5: the rows that break a test of any kind, with the tests, as ``kind:column``, in ``_failed_tests``.
+
+    Row tests are expressions.  For ``unique`` and ``relationships`` the failing *values* are found first,
+    by counts combined in the tasks, and led back to their rows in two steps: a filter
+    on hash slots, broadcast and of a fixed size, lets rows pass that may hold one, without a shuffle;
+    only those meet the values in a join, which deals the rows of one value to PARTS
+    parts, so that a value that a third of the rows hold is in no single task.  Input columns whose names begin
+    with ``_dq_`` are not supported."""
     checks = [F.when(F.col(c).isNull(), F.lit(f"not_null:{c}")) for c in suite.not_null]
     checks += [F.when(~F.col(c).isin(list(v)), F.lit(f"accepted_values:{c}"))
                for c, v in suite.accepted_values.items()]
-    tagged = df.withColumn("_failed_tests", F.array_compact(F.array(*checks)))
-    return tagged.where(F.size("_failed_tests") > 0)
+    keys = [("unique", c, repeated_values(df, c)) for c in suite.unique]
+    keys += [("relationships", c, missing_values(df, c, *p)) for c, p in suite.relationships.items()]
+    row = F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>")
+    rows = df.withColumn("_failed_tests", row)
+    slot = lambda key, kind: F.pmod(F.xxhash64(_text(key, kind)), F.lit(SLOTS)).cast("int")
+    maybe = F.size("_failed_tests") > 0
+    for i, (_, c, bad) in enumerate(keys):
+        kind = df.schema[c].dataType
+        slots = bad.select(slot(F.col("_key"), kind).alias(f"_dq_s{i}")).distinct().withColumn(f"_dq_f{i}", F.lit(True))
+        at = F.when(F.col(c).isNotNull(), slot(F.col(c), kind))
+        rows = rows.withColumn(f"_dq_s{i}", at).join(F.broadcast(slots), f"_dq_s{i}", "left")
+        maybe = maybe | F.coalesce(F.col(f"_dq_f{i}"), F.lit(False))
+    rows = rows.where(maybe)
+    part = F.pmod(F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]), F.lit(PARTS))
+    for i, (test, c, bad) in enumerate(keys):
+        dealt = bad.select(F.col("_key").alias(f"_dq_k{i}"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias(f"_dq_p{i}"))
+        rows = rows.join(dealt, (F.col(c) == F.col(f"_dq_k{i}")) & (part == F.col(f"_dq_p{i}")), "left").withColumn(
+            "_failed_tests", F.when(F.col(f"_dq_k{i}").isNotNull(), F.array_append("_failed_tests", F.lit(f"{test}:{c}"))).otherwise(F.col("_failed_tests")))
+    return rows.where(F.size("_failed_tests") > 0).select(*[F.col(f"`{c}`") for c in df.columns], "_failed_tests")
 
 
 def describe_model(df: DataFrame, docs: Mapping[str, str]) -> DataFrame:

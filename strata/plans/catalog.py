@@ -28,7 +28,7 @@ from strata.operators.gold import (active_users, customer_value, customer_value_
 from strata.operators.items import explode_items, item_reconciliation
 from strata.operators.joins import (build_star, combine_accounts, join_dimension, join_nullable,
                                     lookup_category, map_codes_join, orphans)
-from strata.operators.quality import TestSuite, reconcile, run_tests, split_valid
+from strata.operators.quality import TestSuite, failing_rows, reconcile, run_tests, split_valid
 from strata.plans.banking import conform_customers
 from strata.plans.ecommerce import (gold_revenue_by_category, gold_revenue_daily,
                                     latest_transactions, split_transactions,
@@ -476,16 +476,25 @@ def q_split_valid(spark, sf):
                                        "_reject_reason"))
 
 
+def orders_suite(spark, sf) -> TestSuite:
+    return TestSuite(model="orders_silver",
+                     not_null=["order_id", "customer_id", "order_ts"],
+                     unique=["order_id", "pair_id"],
+                     accepted_values={"order_status": ["F", "O", "P"]},
+                     relationships={"customer_id": (table(spark, sf, "customer"), "c_custkey")})
+
+
 def q_dq_results(spark, sf):
     """DQ1-DQ5: one result table for a suite of declared tests."""
-    df = faulty_orders(spark, sf)
-    cust = table(spark, sf, "customer")
-    suite = TestSuite(model="orders_silver",
-                      not_null=["order_id", "customer_id", "order_ts"],
-                      unique=["order_id", "pair_id"],
-                      accepted_values={"order_status": ["F", "O", "P"]},
-                      relationships={"customer_id": (cust, "c_custkey")})
-    return run_tests(df, suite)
+    return run_tests(faulty_orders(spark, sf), orders_suite(spark, sf))
+
+
+def q_dq_failing_rows(spark, sf):
+    """DQ5: the rows behind the failures of all four kinds of test, each with the tests it breaks; one customer
+    in eleven is not in the parent table."""
+    suite = orders_suite(spark, sf)
+    suite.relationships = {"customer_id": (table(spark, sf, "customer").where("c_custkey % 11 <> 0"), "c_custkey")}
+    return failing_rows(faulty_orders(spark, sf), suite).select("o_orderkey", F.array_join("_failed_tests", ";").alias("failed_tests"))
 
 
 def q_orphans(spark, sf):
@@ -581,6 +590,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rescue_json": q_rescue_json,
     "split_valid": q_split_valid,
     "dq_results": q_dq_results,
+    "dq_failing_rows": q_dq_failing_rows,
     "orphans": q_orphans,
     "star_fact": q_star_fact,
     "daily_active": q_daily_active,

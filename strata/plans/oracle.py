@@ -454,6 +454,18 @@ SELECT 'orders_silver', 'customer_id', 'relationships', CAST(count(*) AS BIGINT)
 FROM f WHERE customer_id IS NOT NULL
   AND NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = f.customer_id)"""
 
+SQL["dq_failing_rows"] = f"""WITH {FAULTY},
+t AS (
+  SELECT o_orderkey, concat_ws(';',
+    CASE WHEN order_id IS NULL THEN 'not_null:order_id' END, CASE WHEN customer_id IS NULL THEN 'not_null:customer_id' END,
+    CASE WHEN order_ts IS NULL THEN 'not_null:order_ts' END, CASE WHEN order_status NOT IN ('F', 'O', 'P') THEN 'accepted_values:order_status' END,
+    CASE WHEN order_id IS NOT NULL AND count(*) OVER (PARTITION BY order_id) > 1 THEN 'unique:order_id' END,
+    CASE WHEN pair_id IS NOT NULL AND count(*) OVER (PARTITION BY pair_id) > 1 THEN 'unique:pair_id' END,
+    CASE WHEN customer_id IS NOT NULL AND NOT EXISTS (
+      SELECT 1 FROM customer c WHERE c.c_custkey = f.customer_id AND c.c_custkey % 11 <> 0) THEN 'relationships:customer_id' END) AS failed_tests
+  FROM f)
+SELECT o_orderkey, failed_tests FROM t WHERE failed_tests <> ''"""
+
 SQL["orphans"] = """WITH x AS (
   SELECT o_orderkey,
          CASE WHEN o_orderkey % 53 = 0 THEN o_custkey + 10000000 ELSE o_custkey END AS cust_key

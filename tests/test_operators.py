@@ -80,7 +80,8 @@ def test_quality(spark):
                       relationships={"s": (parent, "s")})
     res = run_tests(df, suite)
     assert res.columns == ["model", "column_name", "test", "failures"] and res.count() == 4
-    assert failing_rows(df, suite).count() == 2
+    assert sorted((r.id or 0, r.v, tuple(r._failed_tests)) for r in failing_rows(df, suite).collect()) == [
+        (0, "x", ("not_null:id", "relationships:s")), (1, "x", ("unique:id",)), (1, "y", ("unique:id",)), (2, "zz", ("accepted_values:v",))]
     valid, quarantine = split_valid(df, ["id"], {"short_v": F.length("v") < 2})
     assert valid.count() == 2
     assert sorted(r._reject_reason for r in quarantine.collect()) == ["missing:id", "short_v"]
@@ -88,6 +89,41 @@ def test_quality(spark):
     assert described.schema["id"].metadata["comment"] == "the key"
 
 
+def test_keys_of_other_types_and_signed_zeros(spark):
+    """Under ANSI a parent that the child's type can't hold is no match, and no error; 0.0 and -0.0 are one value."""
+    child = spark.createDataFrame([(1,), (2,), (None,), (7,)], "k int")
+    for values, ddl, failures in ((["1", "abc", "7"], "string", 1), ([5_000_000_000, 1], "long", 2), ([1.0, 2.5, 7.0], "double", 1)):
+        parent = spark.createDataFrame([(v,) for v in values], f"p {ddl}")
+        assert relationships(child, "k", parent, "p").first().failures == failures
+        suite = TestSuite("m", relationships={"k": (parent, "p")})
+        assert run_tests(child, suite).first().failures == failures == failing_rows(child, suite).count()
+    floats = spark.createDataFrame([(0.0,), (-0.0,), (1.0,), (float("nan"),), (float("nan"),)], "x double")
+    suite = TestSuite("m", unique=["x"])
+    assert unique(floats, "x").first().failures == run_tests(floats, suite).first().failures == 2
+    assert failing_rows(floats, suite).count() == 4
+
+
+def test_failing_rows_of_a_hot_key(spark):
+    """A third of all rows hold one failing key: every row comes back, and no task gets them all."""
+    n = 30_000
+    df = spark.range(n).selectExpr("id", "IF(id % 3 = 0, -1, id) AS k")
+    parent = spark.range(n).selectExpr("id AS p")
+    out = failing_rows(df, TestSuite("m", not_null=["k"], unique=["k"], relationships={"k": (parent, "p")}))
+    set_to = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in set_to}
+    for k, v in set_to.items():
+        spark.conf.set(k, v)
+    try:
+        rows = out.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    tasks = [r.task for r in rows]
+    assert max(map(tasks.count, set(tasks))) < len(rows) / 3
+    assert sorted(r.id for r in rows) == list(range(0, n, 3)) and {tuple(r._failed_tests) for r in rows} == {("unique:k", "relationships:k")}
+    assert failing_rows(df.limit(0), TestSuite("m", unique=["k"])).collect() == []
+
+
 def test_active_users_and_mrr(spark):
     ev = spark.createDataFrame([(dt.datetime(2024, 1, 1, 1), 1), (dt.datetime(2024, 1, 1, 2), 1),
                                 (dt.datetime(2024, 1, 2), 2), (dt.datetime(2024, 1, 8), 1)],
