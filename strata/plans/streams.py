@@ -12,16 +12,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from strata.operators.dedupe import keep_latest
-from strata.operators.gold import customer_value
+from strata.operators.gold import customer_value, daily_revenue, daily_revenue_by_category
 from strata.operators.quality import describe_model
 from strata.plans.banking import CUST_MAST_SCHEMA, conform_customers, customer_value_suite
-from strata.plans.catalog import LINE_KEY, line_order, raw_accounts, raw_event_json, raw_transactions, table
+from strata.plans.catalog import (LINE_KEY, category_items, completed_transactions, line_order, raw_accounts, raw_event_json,
+                                  raw_transactions, table)
 from strata.plans.ecommerce import (RAW_COLUMNS, gold_daily_suite, gold_revenue_daily, silver_transactions,
                                     stream_silver_transactions, transactions_snapshot)
 from strata.plans.oracle import CONFORMED, RAW_ACCOUNTS, RAW_JSON
 from strata.plans.oracle import SQL as _SQL
 from strata.session import materialize, scratch_path
 from strata.sources.files import read_table
+from strata.sources.incremental import DailyTable, build, read_daily, refresh, touched
 from strata.sources.sinks import append_batches, materialize_gold, read_batches, write_overwrite
 from strata.streaming.bronze import BronzeConfig, bronze_batch, bronze_stream
 from strata.streaming.silver import latest_changes, publish_current, snapshot
@@ -255,6 +257,48 @@ def q_mainframe_chain(spark: SparkSession, sf: str) -> DataFrame:
                          _comments(stored, docs))
 
 
+def _late_batches(gold: DailyTable, rows: DataFrame) -> DataFrame:
+    """``rows`` in a first load and three late batches (late rows of a year each; the last batch also moves
+    orders that stood 30 days too early), the table refreshed after each."""
+    kind, year = F.col("order_id") % 10, F.year(gold.day)
+    late = F.when((kind < 4) & (kind > 0) & (year == 1995 + kind), kind).otherwise(0)
+    moved = (kind == 4) & (year == 1999)
+    rows = materialize(rows.withColumn("_batch", late).withColumn("_moved", moved), "silver_rows")
+    wrong = F.when(F.col("_moved"), F.date_sub(gold.day, 30)).otherwise(F.col(gold.day))
+
+    def state(batch: int) -> DataFrame:
+        seen = rows.where(F.col("_batch") <= batch)
+        return seen if batch == 3 else seen.withColumn(gold.day, wrong)
+
+    build(gold, state(0))
+    for batch in (1, 2, 3):
+        changes = [rows.where(F.col("_batch") == batch)]
+        if batch == 3:
+            fixed = rows.where("_moved")
+            changes += [fixed, fixed.withColumn(gold.day, wrong)]
+        refresh(gold, state(batch), touched(gold, *changes))
+    return read_daily(gold, rows.sparkSession)
+
+
+def q_gold_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """G1 + W2 kept up to date by touched days through three late batches: equals the full build."""
+    tx = completed_transactions(table(spark, sf, "orders"), "COMPLETED").where("order_status = 'COMPLETED'")
+    rows = tx.withColumn("transaction_date", F.col("transaction_timestamp").cast("date"))
+    gold = DailyTable(scratch_path(spark, "gold_daily"), lambda x: daily_revenue(x).drop("rolling_7d_avg_orders"),
+                      "order_count", "rolling_7d_avg_orders")
+    return _late_batches(gold, rows)
+
+
+def q_gold_incremental_category(spark: SparkSession, sf: str) -> DataFrame:
+    """G2 + W2 per category kept up to date by touched days through three late batches: equals the full build."""
+    gold = DailyTable(scratch_path(spark, "gold_category"),
+                      lambda x: daily_revenue_by_category(x).drop("rolling_7d_avg_orders"),
+                      "order_count", "rolling_7d_avg_orders", keys=("category",))
+    return _late_batches(gold, category_items(spark, sf)).select(
+        "transaction_date", "category", "order_count", F.col("daily_gross_revenue").cast("decimal(38,4)").alias("daily_gross_revenue"),
+        F.col("daily_tax_collected").cast("decimal(38,6)").alias("daily_tax_collected"), "rolling_7d_avg_orders")
+
+
 STREAM_QUERIES = {
     "bronze_stream": q_bronze_stream,
     "bronze_csv_drift": q_bronze_csv_drift,
@@ -264,6 +308,8 @@ STREAM_QUERIES = {
     "silver_stream": q_silver_stream,
     "silver_state": q_silver_state,
     "transactions_stream": q_transactions_stream,
+    "gold_incremental": q_gold_incremental,
+    "gold_incremental_category": q_gold_incremental_category,
     "ecommerce_chain": q_ecommerce_chain,
     "mainframe_chain": q_mainframe_chain,
 }
@@ -309,6 +355,8 @@ FROM (SELECT *, o_orderkey % 7 AS k FROM orders), (VALUES ('json'), ('parquet'))
     "silver_stream": _SQL["keep_latest_lineitem"],
     "silver_state": _SQL["keep_latest_lineitem"],
     "transactions_stream": _SQL["transactions_stream"],
+    "gold_incremental": _SQL["daily_revenue"],
+    "gold_incremental_category": _SQL["revenue_by_category_daily"],
     "ecommerce_chain": f"""WITH {CONFORMED}
 SELECT CAST(transaction_timestamp AS DATE) AS transaction_date, CAST(count(DISTINCT order_id) AS BIGINT) AS order_count,
        CAST(sum(gross_amount) AS DECIMAL(28,2)) AS daily_gross_revenue,
