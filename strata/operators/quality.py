@@ -225,14 +225,20 @@ LAYER = "_layer"
 
 
 def reconcile(layers: Mapping[str, DataFrame], key: str = "_source_file",
-              source: str = "rows_in", outcomes: Sequence[str] | None = None) -> DataFrame:
+              source: str = "rows_in", outcomes: Sequence[str] | None = None,
+              content: Sequence[str] = ()) -> DataFrame:
     """DQ7: lineage as data.  ``layers`` maps an outcome name (e.g.
     ``rows_in``, ``kept``, ``superseded``, ``quarantined``) to the frame
     holding those rows; all carry ``key``.  A frame that has a ``_layer``
     column is labelled per row by it instead (one processed frame can then
     carry several outcomes, computed in a single pass).  One union and ONE
     aggregate (no join between layers): per key the count of every
-    outcome, the unexplained difference and a ``balanced`` flag."""
+    outcome, the unexplained difference and a ``balanced`` flag.
+
+    ``content``: columns that all layers hold unchanged (no maps).  Then ``content_balanced``
+    says whether the outcomes hold the same rows as the source, each as often, in any
+    order: two 64-bit hashes of every row are summed in the same aggregate.  NULL is a value
+    of its own; rows of equal count but other content don't balance."""
     names = [n for n in layers if LAYER not in layers[n].columns]
     if source not in names:
         raise ValueError(f"reconcile: {source!r} must be a plain layer")
@@ -240,8 +246,24 @@ def reconcile(layers: Mapping[str, DataFrame], key: str = "_source_file",
     u = None
     for n, d in layers.items():
         label = F.col(LAYER) if LAYER in d.columns else F.lit(n)
-        part = d.select(F.col(key).alias(key), label.alias(LAYER))
+        part = d.select(F.col(key).alias(key), label.alias(LAYER), *_row_hashes(content))
         u = part if u is None else u.unionByName(part)
-    agg = u.groupBy(key).agg(*[F.count_if(F.col(LAYER) == F.lit(n)).alias(n) for n in [source, *outs]])
+    sign = F.when(F.col(LAYER) == source, 1).when(F.col(LAYER).isin(outs), -1).otherwise(0)
+    net = [F.sum(F.when(sign > 0, F.col(f"_hash{i}")).when(sign < 0, -F.col(f"_hash{i}"))
+                 .otherwise(F.lit(0).cast("decimal(28,0)"))).alias(f"_net{i}") for i in (0, 1)] if content else []
+    agg = u.groupBy(key).agg(*[F.count_if(F.col(LAYER) == F.lit(n)).alias(n) for n in [source, *outs]], *net)
     diff = F.col(source) - sum((F.col(n) for n in outs), F.lit(0))
-    return agg.withColumn("unexplained", diff).withColumn("balanced", diff == 0)
+    out = agg.withColumn("unexplained", diff).withColumn("balanced", diff == 0)
+    if not content:
+        return out
+    same = (diff == 0) & (F.col("_net0") == 0) & (F.col("_net1") == 0)
+    return out.withColumn("content_balanced", same).drop("_net0", "_net1")
+
+
+def _row_hashes(content: Sequence[str]) -> list[Column]:
+    """Two hashes of a row; Spark's skip NULLs, so what is NULL is hashed as well."""
+    if not content:
+        return []
+    values = [x for c in content for x in (F.col(c), F.col(c).isNull())]
+    # 28 digits: sums have 38, enough for 10 ** 18 rows of a key
+    return [F.xxhash64(F.lit(i), *values).cast("decimal(28,0)").alias(f"_hash{i}") for i in (0, 1)]

@@ -565,6 +565,19 @@ def q_reconcile_layers(spark, sf):
     return out[0].unionByName(out[1])
 
 
+def q_reconcile_content(spark, sf):
+    """DQ7 by content: the flow's outputs hold the order ids, item texts and payment words of each source
+    file, each as often; with the item texts of the kept rows changed, counts still balance, contents don't."""
+    tagged = materialize(tagged_transactions(raw_transactions(table(spark, sf, "orders", spread=True))), "conformed")
+    valid, quarantine = split_transactions(tagged)
+    gone = superseded_transactions(tagged)
+    changed = valid.withColumn("raw_item_details", F.concat(F.coalesce("raw_item_details", F.lit("")), F.lit("]")))
+    out = [reconcile({"rows_in": tagged, "kept": kept, "superseded": gone, "quarantined": quarantine},
+                     content=("order_id", "raw_item_details", "payment_method_raw"))
+           .select(F.lit(name).alias("flow"), "*") for name, kept in {"whole": valid, "changed": changed}.items()]
+    return out[0].unionByName(out[1])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "daily_revenue": q_daily_revenue,
     "daily_revenue_calendar": q_daily_revenue_calendar,
@@ -598,4 +611,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "recurring_revenue": q_recurring_revenue,
     "extract_blocks": q_extract_blocks,
     "reconcile_layers": q_reconcile_layers,
+    "reconcile_content": q_reconcile_content,
 }

@@ -521,6 +521,10 @@ SELECT *, rows_in - kept - superseded - quarantined AS unexplained,
        rows_in - kept - superseded - quarantined = 0 AS balanced
 FROM c"""
 
+SQL["reconcile_content"] = f"""WITH r AS ({SQL["reconcile_layers"]})
+SELECT f.flow, r.* EXCLUDE (flow), f.flow = 'whole' OR kept = 0 AS content_balanced
+FROM r, (VALUES ('whole'), ('changed')) AS f(flow) WHERE r.flow = 'whole'"""
+
 # The SQL model computes the same result as its DataFrame twin.
 SQL["recurring_revenue_sql"] = SQL["recurring_revenue"]
 

@@ -178,3 +178,19 @@ def test_several_accepted_values_plan_no_expand(spark):
     assert {(r.column_name, r.test): r.failures for r in res.collect()} == {
         ("p", "accepted_values"): 2, ("q", "accepted_values"): 1, ("p", "unique"): 1}
     assert "Expand" not in res._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reconcile_by_content(spark):
+    from strata.operators.quality import reconcile
+    ddl = "_source_file string, a string, b double"
+    frame = lambda *rows: spark.createDataFrame(list(rows), ddl)
+    source = frame(("whole", None, 1.0), ("whole", "x", None), ("whole", "x", None), ("moved", None, 1.0), ("moved", "y", 2.0),
+                   ("null", None, 1.0), ("twice", "p", 0.0), ("twice", "q", 0.0), ("lost", "z", 1.0), (None, "n", 1.0))
+    kept = frame(("whole", "x", None), ("whole", None, 1.0), ("moved", "y", 1.0), ("null", "", 1.0), ("twice", "p", 0.0),
+                 (None, "n", 1.0))
+    gone = frame(("whole", "x", None), ("moved", None, 2.0), ("twice", "p", 0.0))
+    rows = reconcile({"rows_in": source, "kept": kept, "superseded": gone}, content=("a", "b")).collect()
+    got = {r["_source_file"]: (r["balanced"], r["content_balanced"]) for r in rows}
+    assert got == {"whole": (True, True), "moved": (True, False), "null": (True, False), "twice": (True, False),
+                   "lost": (False, False), None: (True, True)}
+    assert reconcile({"rows_in": source.limit(0), "kept": kept.limit(0)}, content=("a",)).count() == 0
