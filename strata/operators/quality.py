@@ -80,14 +80,14 @@ def relationships(child: DataFrame, col: str, parent: DataFrame, parent_col: str
 
 
 def repeated_values(df: DataFrame, col: str) -> DataFrame:
-    """The non-NULL values that occur more than once; counted in the tasks first, so a hot value is a row per task."""
-    return df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("_key")).agg(F.count("*").alias("_n")).where("_n > 1").select("_key")
+    """The non-NULL values that occur more than once, and how often; counted in the tasks first, so a hot value is a row per task."""
+    return df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("_key")).agg(F.count("*").alias("_n")).where("_n > 1")
 
 
 def missing_values(child: DataFrame, col: str, parent: DataFrame, parent_col: str) -> DataFrame:
-    """The distinct non-NULL keys of ``child`` that ``parent`` lacks."""
+    """The distinct non-NULL keys of ``child`` that ``parent`` lacks, and how often they occur."""
     keys = parent.select(parent_key(parent, parent_col, child.schema[col].dataType).alias("_parent"))
-    some = child.where(F.col(col).isNotNull()).select(F.col(col).alias("_key")).distinct()
+    some = child.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("_key")).agg(F.count("*").alias("_n"))
     return some.join(keys, some["_key"] == keys["_parent"], "left_anti")
 
 
@@ -175,8 +175,8 @@ def run_tests(df: DataFrame, suite: TestSuite) -> DataFrame:
         "model", "column_name", "test", F.coalesce("failures", F.lit(0)).cast("bigint").alias("failures"))
 
 
-#: Slots of the filter that finds rows with a failing key, and parts that the rows of one such key are dealt to.
-SLOTS, PARTS = 1 << 20, 32
+#: Slots of the filter that finds rows with a failing key, rows beyond which a failing value is hot, and parts that its rows are dealt to.
+SLOTS, HOT, PARTS = 1 << 20, 4096, 32
 
 
 def failing_rows(df: DataFrame, suite: TestSuite) -> DataFrame:
@@ -184,10 +184,10 @@ def failing_rows(df: DataFrame, suite: TestSuite) -> DataFrame:
 
     Row tests are expressions.  For ``unique`` and ``relationships`` the failing *values* are found first,
     by counts combined in the tasks, and led back to their rows in two steps: a filter
-    on hash slots, broadcast and of a fixed size, lets rows pass that may hold one, without a shuffle;
-    only those meet the values in a join, which deals the rows of one value to PARTS
-    parts, so that a value that a third of the rows hold is in no single task.  Input columns whose names begin
-    with ``_dq_`` are not supported."""
+    on hash slots, broadcast as bits (SLOTS / 64 rows at most, however many values fail), lets rows
+    pass that may hold one, without a shuffle; only those meet the values in a join by shuffle.  Rows and values of a slot with a
+    hot value are dealt to PARTS parts, so that a value that a third of the rows hold is in no single task.
+    Input columns whose names begin with ``_dq_`` are not supported."""
     checks = [F.when(F.col(c).isNull(), F.lit(f"not_null:{c}")) for c in suite.not_null]
     checks += [F.when(~F.col(c).isin(list(v)), F.lit(f"accepted_values:{c}"))
                for c, v in suite.accepted_values.items()]
@@ -196,18 +196,27 @@ def failing_rows(df: DataFrame, suite: TestSuite) -> DataFrame:
     row = F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>")
     rows = df.withColumn("_failed_tests", row)
     slot = lambda key, kind: F.pmod(F.xxhash64(_text(key, kind)), F.lit(SLOTS)).cast("int")
-    maybe = F.size("_failed_tests") > 0
+    is_set = lambda bits, s: F.coalesce(F.getbit(F.col(bits), F.col(s).bitwiseAND(F.lit(63))) == 1, F.lit(False))
+    maybe, filters = F.size("_failed_tests") > 0, []
     for i, (_, c, bad) in enumerate(keys):
         kind = df.schema[c].dataType
-        slots = bad.select(slot(F.col("_key"), kind).alias(f"_dq_s{i}")).distinct().withColumn(f"_dq_f{i}", F.lit(True))
+        one = F.expr("shiftleft(1L, s & 63)")
+        bits = (bad.select(slot(F.col("_key"), kind).alias("s"), "_n").groupBy(F.shiftright("s", 6).alias(f"_dq_w{i}"))
+                   .agg(F.bit_or(one).alias(f"_dq_f{i}"), F.bit_or(F.when(F.col("_n") > HOT, one)).alias(f"_dq_h{i}")))
+        filters.append(F.broadcast(bits))
         at = F.when(F.col(c).isNotNull(), slot(F.col(c), kind))
-        rows = rows.withColumn(f"_dq_s{i}", at).join(F.broadcast(slots), f"_dq_s{i}", "left")
-        maybe = maybe | F.coalesce(F.col(f"_dq_f{i}"), F.lit(False))
+        rows = rows.withColumn(f"_dq_s{i}", at).withColumn(f"_dq_w{i}", F.shiftright(f"_dq_s{i}", 6)).join(filters[i], f"_dq_w{i}", "left")
+        maybe = maybe | is_set(f"_dq_f{i}", f"_dq_s{i}")
     rows = rows.where(maybe)
     part = F.pmod(F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]), F.lit(PARTS))
     for i, (test, c, bad) in enumerate(keys):
-        dealt = bad.select(F.col("_key").alias(f"_dq_k{i}"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias(f"_dq_p{i}"))
-        rows = rows.join(dealt, (F.col(c) == F.col(f"_dq_k{i}")) & (part == F.col(f"_dq_p{i}")), "left").withColumn(
+        every = F.when(is_set(f"_dq_h{i}", "s"), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
+        dealt = (bad.select(F.col("_key").alias(f"_dq_k{i}"), slot(F.col("_key"), df.schema[c].dataType).alias("s"))
+                    .withColumn(f"_dq_w{i}", F.shiftright("s", 6)).join(filters[i], f"_dq_w{i}", "left")
+                    .select(f"_dq_k{i}", F.explode(every).alias(f"_dq_p{i}")))
+        own = F.when(is_set(f"_dq_h{i}", f"_dq_s{i}"), part).otherwise(F.lit(0))
+        # both sides grow with the input: by shuffle at every size
+        rows = rows.join(dealt.hint("merge"), (F.col(c) == F.col(f"_dq_k{i}")) & (own == F.col(f"_dq_p{i}")), "left").withColumn(
             "_failed_tests", F.when(F.col(f"_dq_k{i}").isNotNull(), F.array_append("_failed_tests", F.lit(f"{test}:{c}"))).otherwise(F.col("_failed_tests")))
     return rows.where(F.size("_failed_tests") > 0).select(*[F.col(f"`{c}`") for c in df.columns], "_failed_tests")
 

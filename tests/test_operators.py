@@ -124,6 +124,16 @@ def test_failing_rows_of_a_hot_key(spark):
     assert failing_rows(df.limit(0), TestSuite("m", unique=["k"])).collect() == []
 
 
+def test_failing_values_are_not_broadcast(spark):
+    """Values that fail, however many, reach no driver: only bits of their slots are broadcast."""
+    df = spark.range(200_000).selectExpr("id", "id div 2 AS k")
+    out = failing_rows(df, TestSuite("m", unique=["k"]))
+    assert out.count() == 200_000
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "_dq_k" in x]
+    assert "SortMergeJoin" in plan
+
+
 def test_active_users_and_mrr(spark):
     ev = spark.createDataFrame([(dt.datetime(2024, 1, 1, 1), 1), (dt.datetime(2024, 1, 1, 2), 1),
                                 (dt.datetime(2024, 1, 2), 2), (dt.datetime(2024, 1, 8), 1)],
