@@ -46,6 +46,17 @@ def event_text(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: Rows of a staged file at most, about; so no task writes or reads more, however large the table.
+STAGED = 250_000
+
+
+def staged(df: DataFrame, least: int) -> tuple[DataFrame, int]:
+    """``df`` dealt to at least ``least`` files of about ``STAGED`` rows, and for each of the ``least`` the files that it
+    has become: what a micro-batch takes for the number of batches to stay."""
+    each = max(1, -(-df.count() // (STAGED * least)))
+    return df.repartition(least * each), each
+
+
 def stage_csv(df: DataFrame, path: str, files: int = 2) -> None:
     df.repartition(files).write.mode("append").option("header", "true").csv(path)
 
@@ -174,12 +185,13 @@ _NESTED_AS = {0: {}, 1: {"items": "array<struct<line:bigint,qty:string>>"}, 2: {
 
 
 def q_silver_stream(spark: SparkSession, sf: str, files: int = 4) -> DataFrame:
-    """ST3: line items arrive as several Parquet files, one micro-batch each, and are
+    """ST3: line items arrive as Parquet files in ``files`` micro-batches and are
     appended; keep-latest over what was appended must equal keep-latest over all rows."""
     src, rows, ckpt, out = (scratch_path(spark, n) for n in ("lineitem-in", "silver-rows", "ckpt", "silver"))
     li = table(spark, sf, "lineitem")
-    li.repartition(files).write.parquet(src)
-    stream = spark.readStream.schema(li.schema).option("maxFilesPerTrigger", "1").parquet(src)
+    arriving, each = staged(li, files)
+    arriving.write.parquet(src)
+    stream = spark.readStream.schema(li.schema).option("maxFilesPerTrigger", str(each)).parquet(src)
     append_batches(stream, rows, ckpt)
     return snapshot(keep_latest(read_batches(spark, rows), LINE_KEY, line_order()), out)
 
