@@ -58,7 +58,7 @@ def staged(df: DataFrame, least: int) -> tuple[DataFrame, int]:
 
 
 def stage_csv(df: DataFrame, path: str, files: int = 2) -> None:
-    df.repartition(files).write.mode("append").option("header", "true").csv(path)
+    staged(df, files)[0].write.mode("append").option("header", "true").csv(path)
 
 
 def events_config(spark: SparkSession, **more) -> BronzeConfig:

@@ -27,3 +27,8 @@ def test_silver_stream_stages_files_by_rows(spark, small_files):
     streams.q_silver_stream(spark, SF)
     assert files(newest(spark, "lineitem-in")) >= spark.read.parquet(f"{SF}/lineitem.parquet").count() // 200
     assert len(glob.glob(f"{newest(spark, 'silver-rows')}/_load=*")) == 4
+
+
+def test_ecommerce_chain_stages_files_by_rows(spark, small_files):
+    streams.q_ecommerce_chain(spark, SF)
+    assert files(newest(spark, "events")) >= spark.read.parquet(f"{SF}/orders.parquet").count() // 200
