@@ -93,13 +93,16 @@ def latest_transactions(rows: DataFrame) -> DataFrame:
     return keep_latest(rows.where(F.col("order_id").isNotNull()), KEY, order)
 
 
-def split_transactions(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid silver, quarantine) of tagged rows.
+def split_transactions(tagged: DataFrame, store: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(valid silver, quarantine) of tagged rows.  ``store`` writes the kept rows once, so that
+    flows that use both outputs rank once.
 
     Rows without a key go to quarantine as they are: there is nothing to rank
     them by.  Of each order the latest row is kept, and is quarantined when it is
     rejected.  The quarantine keeps ``_rescued_data`` and the reasons."""
     kept = latest_transactions(tagged)
+    if store:
+        kept = materialize(kept, "latest")
     valid = kept.where(F.col("_reject_reason") == "").drop("_reject_reason", "_rescued_data")
     quarantine = kept.where(F.col("_reject_reason") != "").unionByName(tagged.where(F.col("order_id").isNull()))
     return valid, quarantine
@@ -184,5 +187,5 @@ def stream_silver_transactions(spark, bronze_path: str, rows_path: str, checkpoi
 def transactions_snapshot(spark, rows_path: str, snapshots: str) -> tuple[DataFrame, DataFrame]:
     """(valid silver, quarantine) of all rows that the stream appended so far, each
     written as a new version and read back."""
-    valid, quarantine = split_transactions(read_batches(spark, rows_path))
+    valid, quarantine = split_transactions(read_batches(spark, rows_path), store=True)
     return snapshot(valid, f"{snapshots}/valid"), snapshot(quarantine, f"{snapshots}/quarantine")

@@ -216,15 +216,16 @@ def q_silver_state(spark: SparkSession, sf: str, files: int = 3) -> DataFrame:
 
 def q_transactions_stream(spark: SparkSession, sf: str) -> DataFrame:
     """ST3 on transactions with exact copies, later versions, ties and rows without a key:
-    streamed file by file, then through a second checkpoint as well (which appends all rows
+    streamed in three micro-batches, then through a second checkpoint as well (which appends all rows
     again); valid silver and quarantine must equal the batch."""
     bronze, rows, snaps = (scratch_path(spark, n) for n in ("tx-bronze", "tx-rows", "tx-silver"))
     raw = raw_transactions(table(spark, sf, "orders", spread=True))
-    raw.where("order_id is not null and upper(trim(order_id)) <> 'NULL'").repartition(3).write.parquet(bronze)
+    arriving, each = staged(raw.where("order_id is not null and upper(trim(order_id)) <> 'NULL'"), 3)
+    arriving.write.parquet(bronze)
     for _ in range(2):
-        stream_silver_transactions(spark, bronze, rows, scratch_path(spark, "ckpt"), max_files_per_trigger=1)
+        stream_silver_transactions(spark, bronze, rows, scratch_path(spark, "ckpt"), max_files_per_trigger=each)
     # keyless rows have nothing that tells a copy from a second row: they are streamed once
-    raw.where("order_id is null or upper(trim(order_id)) = 'NULL'").repartition(1).write.parquet(f"{bronze}-keyless")
+    staged(raw.where("order_id is null or upper(trim(order_id)) = 'NULL'"), 1)[0].write.parquet(f"{bronze}-keyless")
     stream_silver_transactions(spark, f"{bronze}-keyless", rows, scratch_path(spark, "ckpt"))
     valid, quarantine = transactions_snapshot(spark, rows, snaps)
     cols = ["order_id", F.col("transaction_timestamp").cast("timestamp_ntz").alias("transaction_timestamp"), "gross_amount"]

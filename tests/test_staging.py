@@ -32,3 +32,11 @@ def test_silver_stream_stages_files_by_rows(spark, small_files):
 def test_ecommerce_chain_stages_files_by_rows(spark, small_files):
     streams.q_ecommerce_chain(spark, SF)
     assert files(newest(spark, "events")) >= spark.read.parquet(f"{SF}/orders.parquet").count() // 200
+
+
+def test_transactions_stream_stages_files_by_rows(spark, small_files):
+    streams.q_transactions_stream(spark, SF)
+    kept = [p for p in glob.glob(f"{checkpoint_root(spark).removeprefix('file:')}/tx-bronze-*") if not p.endswith("-keyless")]
+    rows = spark.read.parquet(f"{SF}/orders.parquet").where("o_orderkey % 29 <> 0").count()
+    assert files(max(kept, key=os.path.getmtime)) >= rows // 200
+    assert len(glob.glob(f"{newest(spark, 'tx-rows')}/_load=*")) == 7
