@@ -197,18 +197,20 @@ def q_silver_stream(spark: SparkSession, sf: str, files: int = 4) -> DataFrame:
 
 
 def q_silver_state(spark: SparkSession, sf: str, files: int = 3) -> DataFrame:
-    """ST3 / SRC10 / SRC12 with state: line items in several files, later ship dates first, through two runs of one
+    """ST3 / SRC10 / SRC12 with state: line items in ``files`` micro-batches a run, later ship dates first, through two runs of one
     checkpoint; the state store keeps each key's latest row, changes are appended to a named table, merged,
     and the current rows published as a table after each run."""
     src, ckpt, root = (scratch_path(spark, n) for n in ("lineitem-in", "ckpt", "published"))
     name = f"silver_{root[-12:]}"
     li = table(spark, sf, "lineitem")
-    stream = lambda: spark.readStream.schema(li.schema).option("maxFilesPerTrigger", "1").parquet(src)
+    # the files of a micro-batch grow with the table, the micro-batches don't
+    each = max(1, -(-li.count() // (2 * files * STAGED)))
+    stream = lambda: spark.readStream.schema(li.schema).option("maxFilesPerTrigger", str(each)).parquet(src)
     order = line_order()
     late = F.col("l_shipdate") < F.lit("1995-06-17")
     for part in (li.where(~late), li.where(late | F.col("l_shipdate").isNull())):
         for i in range(files):
-            part.where(F.pmod(F.hash("l_orderkey", "l_partkey"), F.lit(files)) == i).write.mode("append").parquet(src)
+            part.where(F.pmod(F.hash("l_orderkey", "l_partkey"), F.lit(files)) == i).repartition(each).write.mode("append").parquet(src)
         latest_changes(stream(), f"{root}/changes", ckpt, LINE_KEY, order, compact_after=2)
         out = publish_current(spark, f"{root}/changes", name, f"{root}/table", LINE_KEY, order)
     return out

@@ -3,9 +3,11 @@ import glob
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from strata.plans import streams
 from strata.session import checkpoint_root
+from strata.streaming.silver import STATE, latest_changes, latest_rows
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,3 +42,23 @@ def test_transactions_stream_stages_files_by_rows(spark, small_files):
     rows = spark.read.parquet(f"{SF}/orders.parquet").where("o_orderkey % 29 <> 0").count()
     assert files(max(kept, key=os.path.getmtime)) >= rows // 200
     assert len(glob.glob(f"{newest(spark, 'tx-rows')}/_load=*")) == 7
+
+
+def test_silver_state_keeps_its_number_of_batches(spark, small_files):
+    streams.q_silver_state(spark, SF)
+    commits = max(glob.glob(f"{checkpoint_root(spark).removeprefix('file:')}/ckpt-*/state"), key=os.path.getmtime).replace("/state", "/commits")
+    assert files(newest(spark, "lineitem-in")) > 6
+    assert sum(n.isdigit() for n in os.listdir(commits)) <= 8
+
+
+def test_state_is_stored_on_disk_and_rows_once(spark, tmp_dir):
+    df = spark.createDataFrame([(1, 2, "a", None), (1, 2, "b", None), (1, None, "z", 5.0), (None, 1, None, 1.0)], "k int, t int, v string, w double")
+    assert sorted(map(str, latest_rows(df, ["k"], ["t"]).collect())) == ["Row(k=1, t=2, v='b', w=None)", "Row(k=None, t=1, v=None, w=1.0)"]
+    assert "max_by" not in latest_rows(df, ["k"], ["t"])._jdf.queryExecution().optimizedPlan().toString()
+    maps = df.withColumn("m", F.create_map("v", "t"))
+    assert {r.m["b"] for r in latest_rows(maps.where("k = 1"), ["k"], ["t"]).collect()} == {2}
+    df.write.parquet(f"{tmp_dir}/in")
+    latest_changes(spark.readStream.schema(df.schema).parquet(f"{tmp_dir}/in"), f"{tmp_dir}/out", f"{tmp_dir}/ckpt", ["k"], ["t"])
+    key = "spark.sql.streaming.stateStore.providerClass"
+    offsets = open(f"{tmp_dir}/ckpt/offsets/0").read()
+    assert STATE[key] in offsets and spark.conf.get(key, "") == ""
