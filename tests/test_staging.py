@@ -1,53 +1,51 @@
 """Staged files and the state of streams follow the size of their input."""
 import glob
 import os
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from strata.plans import streams
-from strata.session import checkpoint_root
 from strata.streaming.silver import STATE, latest_changes, latest_rows
 
 SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture
-def small_files(monkeypatch):
+def folder(monkeypatch, tmp_path):
+    """Where the query of a test stages; files of 200 rows."""
     monkeypatch.setattr(streams, "STAGED", 200)
-
-
-def newest(spark, name: str) -> str:
-    return max(glob.glob(f"{checkpoint_root(spark).removeprefix('file:')}/{name}-*"), key=os.path.getmtime)
+    monkeypatch.setattr(streams, "scratch_path", lambda spark, name: f"{tmp_path}/{name}-{uuid.uuid4().hex[:12]}")
+    return lambda name: sorted(glob.glob(f"{tmp_path}/{name}-*"), key=len)[0]
 
 
 def files(path: str) -> int:
     return len(glob.glob(f"{path}/part-*"))
 
 
-def test_silver_stream_stages_files_by_rows(spark, small_files):
+def test_silver_stream_stages_files_by_rows(spark, folder):
     streams.q_silver_stream(spark, SF)
-    assert files(newest(spark, "lineitem-in")) >= spark.read.parquet(f"{SF}/lineitem.parquet").count() // 200
-    assert len(glob.glob(f"{newest(spark, 'silver-rows')}/_load=*")) == 4
+    assert files(folder("lineitem-in")) >= spark.read.parquet(f"{SF}/lineitem.parquet").count() // 200
+    assert len(glob.glob(f"{folder('silver-rows')}/_load=*")) == 4
 
 
-def test_ecommerce_chain_stages_files_by_rows(spark, small_files):
+def test_ecommerce_chain_stages_files_by_rows(spark, folder):
     streams.q_ecommerce_chain(spark, SF)
-    assert files(newest(spark, "events")) >= spark.read.parquet(f"{SF}/orders.parquet").count() // 200
+    assert files(folder("events")) >= spark.read.parquet(f"{SF}/orders.parquet").count() // 200
 
 
-def test_transactions_stream_stages_files_by_rows(spark, small_files):
+def test_transactions_stream_stages_files_by_rows(spark, folder):
     streams.q_transactions_stream(spark, SF)
-    kept = [p for p in glob.glob(f"{checkpoint_root(spark).removeprefix('file:')}/tx-bronze-*") if not p.endswith("-keyless")]
     rows = spark.read.parquet(f"{SF}/orders.parquet").where("o_orderkey % 29 <> 0").count()
-    assert files(max(kept, key=os.path.getmtime)) >= rows // 200
-    assert len(glob.glob(f"{newest(spark, 'tx-rows')}/_load=*")) == 7
+    assert files(folder("tx-bronze")) >= rows // 200
+    assert len(glob.glob(f"{folder('tx-rows')}/_load=*")) == 7
 
 
-def test_silver_state_keeps_its_number_of_batches(spark, small_files):
+def test_silver_state_keeps_its_number_of_batches(spark, folder):
     streams.q_silver_state(spark, SF)
-    commits = max(glob.glob(f"{checkpoint_root(spark).removeprefix('file:')}/ckpt-*/state"), key=os.path.getmtime).replace("/state", "/commits")
-    assert files(newest(spark, "lineitem-in")) > 6
+    commits = f"{folder('ckpt')}/commits"
+    assert files(folder("lineitem-in")) > 6
     assert sum(n.isdigit() for n in os.listdir(commits)) <= 8
 
 
