@@ -2,10 +2,12 @@
 
 *Model*: a text is its bytes (A-Z in lower case) and an end mark, 0xFF.  A byte is eight
 binary decisions along its bits; each of the 255 decision places has a context tree
-of its own over the preceding bytes, here ``DEPTH`` = 2.  A node's counts give a
+of its own over the preceding bytes.  A node's counts give a
 Krichevsky-Trofimov estimate, and its weighted probability is half that of
 stopping there plus half the product over its children, so every depth is mixed
-by how well it coded the training bytes.
+by how well it coded the training bytes.  The query mixes depths 0 to
+``context_depths.DEPTH`` = 6 (``score_deep``; that module says how); what follows is the
+small model of depth ``DEPTH`` = 2, which fits a broadcast (``score``).
 
 *Training*: tasks send byte trigrams and words with their counts, combined twice, so
 what is gathered follows the vocabulary of the corpus, never one task or the driver.
@@ -39,6 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.llm import context_depths
 from strata.llm.common import col, id_part, read_table, slices, workers_import
 from strata.session import materialize
 
@@ -184,7 +187,12 @@ class Model:
         return -self.score(data) / np.log10(2) / (len(data) + 1)
 
 
-def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _word_statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As below, without the trigrams."""
+    return _statistics(batches, False)
+
+
+def _statistics(batches: Iterator[pa.RecordBatch], contexts: bool = True) -> Iterator[pa.RecordBatch]:
     """Counts of trigrams (gram) and words (word) of the texts; gram -1 counts texts."""
     def sent(grams: np.ndarray, n: np.ndarray, words: Counter) -> pa.RecordBatch:
         k = len(grams)
@@ -208,7 +216,8 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batch.column(0):
             data = lowered(t.as_py())
             words.update(data.split())
-            held.append(trigrams(data))
+            if contexts:
+                held.append(trigrams(data))
             docs, size = docs + 1, size + len(data)
         if size >= 1 << 22:
             merge()
@@ -219,10 +228,10 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield sent(np.r_[-1, grams], np.r_[docs, n], words)
 
 
-def statistics(train: DataFrame, text_col: str = "text") -> DataFrame:
-    """gram (24-bit code; -1: texts) or word, and n, over all training rows; stored once."""
+def statistics(train: DataFrame, text_col: str = "text", contexts: bool = True) -> DataFrame:
+    """gram (24-bit code, if ``contexts``; -1: texts) or word, and n, over all training rows; stored once."""
     workers_import(train.sparkSession)
-    s = train.select(col(text_col)).mapInArrow(_statistics, "gram long, word binary, n long")
+    s = train.select(col(text_col)).mapInArrow(_statistics if contexts else _word_statistics, "gram long, word binary, n long")
     return materialize(s.groupBy("gram", "word").agg(F.sum("n").alias("n")), "statistics")
 
 
@@ -247,60 +256,86 @@ def tree_model(stats: DataFrame) -> Model:
     return Model(place, np.array(logs, np.float32))
 
 
-def _scored(shared):
-    """texts -> bytes' score, tokens, and of frequent words: how many, and their log10(c + 1);
+def _counted(texts: list[bytes], score: list[float], known: dict[bytes, float]) -> pa.StructArray:
+    """Texts' scores, tokens, and of frequent words: how many, and their log10(c + 1);
     the other words with their counts."""
+    rows = []
+    for data in texts:
+        words = Counter(data.split())
+        often = {w: n for w, n in words.items() if w in known}
+        rows.append((sum(words.values()) + 1, sum(often.values()),
+                     float(sum(n * known[w] for w, n in often.items())),
+                     [(w, n) for w, n in words.items() if w not in often]))
+    tokens, n, logs, rare = zip(*rows) if rows else ([],) * 4
+    ends = np.cumsum([0, *map(len, rare)])
+    flat = [x for r in rare for x in r]
+    pairs = pa.StructArray.from_arrays([pa.array([w for w, _ in flat], pa.binary()),
+                                        pa.array([k for _, k in flat], pa.int32())], ["word", "k"])
+    return pa.StructArray.from_arrays(
+        [pa.array(score, pa.float64()), pa.array(tokens, pa.int64()), pa.array(n, pa.int64()),
+         pa.array(logs, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)],
+        ["score", "n_tokens", "n_often", "logs", "rare"])
+
+
+def _scored(shared):
+    """texts -> as ``_counted``."""
     def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model, known = shared.value
         for batch in slices(texts):
-            rows = []
-            for t in batch:
-                data = lowered(t.as_py())
-                words = Counter(data.split())
-                often = {w: n for w, n in words.items() if w in known}
-                rows.append((model.score(data), sum(words.values()) + 1, sum(often.values()),
-                             float(sum(n * known[w] for w, n in often.items())),
-                             [(w, n) for w, n in words.items() if w not in often]))
-            score, tokens, n, logs, rare = zip(*rows) if rows else ([],) * 5
-            ends = np.cumsum([0, *map(len, rare)])
-            flat = [x for r in rare for x in r]
-            pairs = pa.StructArray.from_arrays([pa.array([w for w, _ in flat], pa.binary()),
-                                                pa.array([k for _, k in flat], pa.int32())], ["word", "k"])
-            yield pa.StructArray.from_arrays(
-                [pa.array(score, pa.float64()), pa.array(tokens, pa.int64()), pa.array(n, pa.int64()),
-                 pa.array(logs, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)],
-                ["score", "n_tokens", "n_often", "logs", "rare"])
+            data = [lowered(t.as_py()) for t in batch]
+            yield _counted(data, [model.score(x) for x in data], known)
     return scored
 
 
 _SCORED = "score double, n_tokens long, n_often long, logs double, rare array<struct<word:binary,k:int>>"
 
 
+class _Unigrams:
+    """Words of the training texts: those that are broadcast, the others, and the totals."""
+
+    def __init__(self, stats: DataFrame):
+        words = stats.where("word is not null")
+        n_words, total = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        self.texts = stats.where("gram = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        self.tokens, self.vocabulary = total + self.texts, n_words + (self.texts > 0)
+        frequent = F.col("n") >= -(-self.tokens // FREQUENT)  # so there are FREQUENT at most
+        self.known = {bytes(w): float(np.log10(n + 1))
+                      for w, n in words.where(frequent).select("word", "n").toPandas().itertuples(index=False)}
+        self.rare = words.where(~frequent)
+
+    def finished(self, done: DataFrame, id_col: str) -> DataFrame:
+        # words that are not frequent: those that training lacks add nothing
+        rare = done.select("row", F.inline("rare")).join(self.rare, "word").groupBy("row").agg(
+            F.sum("k").alias("n_rare"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("logs_rare"))
+        zero = F.lit(0).cast("long")
+        end = (self.texts > 0, float(np.log10(self.texts + 1)))
+        return done.join(rare, "row", "left").select(
+            F.col("id").alias(id_col), "n_tokens",
+            (F.col("n_often") + F.coalesce("n_rare", zero) + int(end[0])).cast("long").alias("n_known"),
+            F.lit(self.tokens).cast("long").alias("train_tokens"),
+            (F.col("logs") + F.coalesce("logs_rare", F.lit(0.0)) + F.lit(end[1])
+             - F.col("n_tokens") * F.lit(float(np.log10(self.tokens + self.vocabulary + 1)))).alias("base_score"), "score")
+
+
 def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per input row: id, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
+    """Per input row: id, n_tokens, n_known, train_tokens, base_score, score; contexts of ``DEPTH`` bytes."""
     stats = statistics(train, text_col)
-    words = stats.where("word is not null")
-    n_words, total = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    texts = stats.where("gram = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    tokens, vocabulary = total + texts, n_words + (texts > 0)
-    frequent = F.col("n") >= -(-tokens // FREQUENT)  # so there are FREQUENT at most
-    known = {bytes(w): float(np.log10(n + 1)) for w, n in words.where(frequent).select("word", "n").toPandas().itertuples(index=False)}
-    shared = spark.sparkContext.broadcast((tree_model(stats), known))
+    unigrams = _Unigrams(stats)
+    shared = docs.sparkSession.sparkContext.broadcast((tree_model(stats), unigrams.known))
     udf = F.arrow_udf(_scored(shared), _SCORED)
     done = materialize(docs.select(F.monotonically_increasing_id().alias("row"), col(id_col).alias("id"),
                                    udf(col(text_col)).alias("s")).select("row", "id", "s.*"), "scored")
-    # words that are not frequent: those that training lacks add nothing
-    rare = done.select("row", F.inline("rare")).join(words.where(~frequent), "word").groupBy("row").agg(
-        F.sum("k").alias("n_rare"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("logs_rare"))
-    zero = F.lit(0).cast("long")
-    end = (texts > 0, float(np.log10(texts + 1)))
-    return done.join(rare, "row", "left").select(
-        F.col("id").alias(id_col), "n_tokens",
-        (F.col("n_often") + F.coalesce("n_rare", zero) + int(end[0])).cast("long").alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("logs_rare", F.lit(0.0)) + F.lit(end[1])
-         - F.col("n_tokens") * F.lit(float(np.log10(tokens + vocabulary + 1)))).alias("base_score"), "score")
+    return unigrams.finished(done, id_col)
+
+
+def score_deep(docs: DataFrame, trained: Column, id_col: str = "doc_id", text_col: str = "text",
+               depth: int = context_depths.DEPTH) -> DataFrame:
+    """As ``score``, of contexts of up to ``depth`` bytes, learned from the rows where ``trained`` is true."""
+    unigrams = _Unigrams(statistics(docs.where(trained), text_col, contexts=False))
+    shared = docs.sparkSession.sparkContext.broadcast(unigrams.known)
+    done = context_depths.scored(docs, trained, lambda texts, scores: _counted(texts, scores, shared.value), _SCORED,
+                                 id_col, text_col, depth)
+    return unigrams.finished(done, id_col)
 
 
 def held_out(c: Column) -> Column:
@@ -310,6 +345,6 @@ def held_out(c: Column) -> Column:
 
 def op7_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    s = score(docs, docs.where(~held_out(col("doc_id"))))
+    s = score_deep(docs, ~held_out(col("doc_id")))
     return s.select("doc_id", held_out(col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
                     "base_score", "score")
