@@ -151,8 +151,8 @@ class Encoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _piece(self, piece: str) -> bytes:
-        if piece.isascii() and piece.isalpha():
-            return self.words[piece]
+        if piece.isascii() and piece.isalpha():  # one word: remembered as a piece, not twice
+            return self._word(piece)
         return b"".join(map(self.words.__getitem__, WORD.findall(piece)))
 
     def __call__(self, text: str | None) -> bytes:
