@@ -2,9 +2,11 @@
 
 import math
 import random
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +118,54 @@ def test_numbers_packed():
     x = np.array([0, 1, 255, 256, (1 << 56) - 1])
     assert (D.unpack_numbers(D.pack_numbers(x, 7), 5, 7) == x).all()
     assert len(D.unpack_numbers(D.pack_numbers(x[:0], 7), 0, 7)) == 0
+
+
+def test_counts_and_lists_of_pieces(monkeypatch):
+    rng = random.Random(4)
+    texts = [bytes(rng.choices(b"ab c", k=rng.randrange(200))) for _ in range(40)] + [b"a" * 500]
+    trained = np.array([i % 3 > 0 for i in range(41)], np.int64)
+    for piece in (1, 64, 1 << 16):
+        monkeypatch.setattr(D, "PIECE", piece)
+        want = defaultdict(int)
+        for t, known in zip(texts, trained.tolist()):
+            for g in D.grams([t], 6).tolist():
+                want[g] += known
+        keys, n = D.distinct(texts, trained, 6)
+        assert dict(zip(keys.tolist(), n.tolist())) == want and (np.diff(keys) > 0).all()
+        parts = dict(D.by_bucket(keys, 6, 5))
+        assert sorted(i for x in parts.values() for a, z in x for i in range(a, z)) == list(range(len(keys)))
+        lists = [D.distinct(texts[i::3], trained[i::3], 6) for i in range(3)]
+        both = list(D.merged(lists, 6))
+        assert np.array_equal(np.concatenate([k for k, _ in both]), keys)
+        assert np.array_equal(np.concatenate([m for _, m in both]), n)
+
+
+def peak_mb(f):
+    tracemalloc.start()
+    out = f()
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return out, peak
+
+
+def test_a_bucket_of_many_grams_takes_little_memory():
+    """All grams differ, under 4,096 contexts of three bytes."""
+    x = np.random.default_rng(1).integers(0, 1 << 44, 600_000)
+    keys = np.unique((x >> 32 << 36) | x & (1 << 32) - 1)
+    table = pa.table({"bucket": [0], "chunk": [7], "size": pa.array([len(keys)], pa.int32()), "grams": [D.pack_numbers(keys, 7)],
+                      "n": [D.pack_numbers(np.ones(len(keys)), 4)]})
+    D.log_kt(np.ones(1, int), np.ones(1, int))
+    row, peak = peak_mb(lambda: D._bucket(6)(table).to_pylist()[0])
+    assert row["size"] == len(keys) and sum(row["nodes"]) > 0 and peak < 130
+
+    class Shared:
+        value = D.Upper(D._upper(next(D._tops([pa.record_batch({"nodes": [row["nodes"]], "top": [row["top"]]})])).to_pandas()))
+    answers, peak = peak_mb(lambda: list(D._answers(Shared, 6)([pa.RecordBatch.from_pylist([row])])))
+    assert sum(map(len, answers)) == 1 and peak < 130
+
+
+def test_a_chunk_is_sent_in_small_batches():
+    text = np.random.default_rng(1).integers(97, 123, 4_000_000, np.uint8).tobytes()
+    chunk = pa.RecordBatch.from_pylist([{"chunk": 1, "trained": [True], "sizes": [len(text)], "texts": D.packed(text)}])
+    sizes, peak = peak_mb(lambda: [b.nbytes for b in D._lists(6, 50)([chunk])])
+    assert max(sizes) < 4 * D.SLAB and peak < 180
