@@ -18,7 +18,8 @@ root is what following forms ends at.
    the two roles are joined, not all words of a group.
 4. *Equi-join* on the signatures' 64-bit digests, and *verification* by edit distance.
    Signatures hold the order of the letters of a half and the lengths, so common letters do not
-   gather in one group, and a group that is large all the same is split by the join.
+   gather in one group, and a group that is large all the same is split by the join.  Nothing
+   is broadcast: all tables grow with the words.
 5. *Roots*: forms are followed by doubling.  Counts double with each form, so
    log2 of the largest count bounds the rounds.
 
@@ -139,7 +140,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     """Pairs of near words of (word, n), each once: word, n, other, n_other with word < other."""
     side = lambda longer: words.select("word", "n").mapInArrow(lambda rows: _signed(rows, longer), "sig long, word string, n long")
     x, y = side(True).alias("x"), side(False).alias("y")
-    met = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.levenshtein("x.word", "y.word", 1) == 1))
+    # by shuffle at every size: Spark takes the signatures for as large as the words that they are made of
+    met = x.join(y.hint("merge"), (F.col("x.sig") == F.col("y.sig")) & (F.levenshtein("x.word", "y.word", 1) == 1))
     first = F.col("x.word") < F.col("y.word")
     a, b = F.struct("x.word", "x.n"), F.struct("y.word", "y.n")
     pair = met.select(F.when(first, a).otherwise(b).alias("a"), F.when(first, b).otherwise(a).alias("b"))
@@ -151,7 +153,7 @@ def roots(forms: DataFrame) -> DataFrame:
     up = materialize(forms.select("word", col("form").alias("root"), F.lit(True).alias("moved")), "forms")
     while not up.where("moved").isEmpty():
         on = up.select(col("word").alias("w"), col("root").alias("r"))
-        ahead = up.join(on, up["root"] == on["w"], "left").select(
+        ahead = up.join(on.hint("merge"), up["root"] == on["w"], "left").select(
             "word", F.coalesce("r", "root").alias("root"), col("r").isNotNull().alias("moved"))
         last, up = up, materialize(ahead, "roots")
         discard(last)
@@ -170,7 +172,8 @@ def group_variants(words: DataFrame) -> DataFrame:
     known = F.when(-F.col("near.less") >= 2 * F.col("own"), F.col("near.form"))
     near = materialize(best.select("word", "n_near", known.alias("form"), F.when(known.isNotNull(), -F.col("near.less")).alias("form_n")), "near")
     last = roots(near.where("form is not null"))
-    return (words.join(near, "word", "left").join(last, "word", "left")
+    # what these tables have in files says little of what a broadcast of them takes
+    return (words.join(near.hint("merge"), "word", "left").join(last.hint("merge"), "word", "left")
                  .select("word", "form", F.coalesce("root", "word").alias("root"), "n",
                          F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n"))
 

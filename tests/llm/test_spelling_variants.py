@@ -94,3 +94,11 @@ def test_counts_and_odd_rows(spark):
     assert set(map(tuple, rows)) == plain_groups(plain_words(data, 2))
     assert V.group_variants(V.count_words(df.limit(0))).collect() == []
     assert V.count_words(df, least_count=1).where("length(word) > 1000").count() == 2
+
+
+def test_nothing_is_broadcast_by_the_size_of_files(spark, tmp_dir):
+    """The signatures are many times the words' file, which Spark would broadcast them by."""
+    spark.createDataFrame([(f"word{i}", 3 + i) for i in range(50)], "word string, n long").write.parquet(tmp_dir + "/words")
+    words = spark.read.parquet(tmp_dir + "/words")
+    for df in (V.near_pairs(words), V.group_variants(words)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
