@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from strata.session import CLEANUP, defaults
 
 LOAD = "_load"
 #: Folders whose names begin with an underscore and hold no "=" are not read by Spark.
@@ -42,7 +43,8 @@ def _write_once(df: DataFrame, path: str, name: str, fmt: str, partition_by: Seq
     w = df.write.format(fmt).option("partitionOverwriteMode", "static")
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.save(aside)
+    with defaults(spark, CLEANUP):
+        w.save(aside)
     if replaces:
         spark.createDataFrame([(r,) for r in replaces], "value string").coalesce(1).write.text(f"{aside}/{REPLACES}")
     if not fs.rename(cls(aside), cls(f"{path}/{name}")):

@@ -60,3 +60,20 @@ def test_state_is_stored_on_disk_and_rows_once(spark, tmp_dir):
     key = "spark.sql.streaming.stateStore.providerClass"
     offsets = open(f"{tmp_dir}/ckpt/offsets/0").read()
     assert STATE[key] in offsets and spark.conf.get(key, "") == ""
+
+
+def test_state_holds_keys_once_and_logs_changes(spark, tmp_dir):
+    df = spark.createDataFrame([(1, 0.0, 2, "a"), (1, -0.0, 3, "b"), (2, None, 1, "c")], "k int, f double, t int, v string")
+    rows = latest_rows(df, ["k", "f"], ["t"])
+    assert sorted(map(str, rows.collect())) == ["Row(k=1, f=-0.0, t=3, v='b')", "Row(k=2, f=None, t=1, v='c')"]
+    # a whole-number key is the group's; a float is not, as 0.0 and -0.0 are one group
+    held = rows._jdf.queryExecution().analyzed().toString().split("max(struct(")[1].split(")")[0]
+    assert "f, f#" in held and "k, k#" not in held
+    df.write.parquet(f"{tmp_dir}/in")
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    shuffled = lambda: {f for d in local for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    before = shuffled()
+    latest_changes(spark.readStream.schema(df.schema).parquet(f"{tmp_dir}/in"), f"{tmp_dir}/out", f"{tmp_dir}/ckpt", ["k", "f"], ["t"])
+    assert shuffled() <= before
+    assert glob.glob(f"{tmp_dir}/ckpt/state/0/*/1.changelog") and not glob.glob(f"{tmp_dir}/ckpt/state/0/*/*.zip")
+    assert sorted(map(str, spark.read.parquet(f"{tmp_dir}/out").select(*df.columns).collect())) == sorted(map(str, rows.collect()))
