@@ -18,8 +18,11 @@ misses at most e = n - ceil(t n) of them in its partner, so:
    size with a picked signature in their prefix are tied to one leader of it:
    rows stay linear in the prefixes, however many sets share the signature.
 4. *Verification*: the whole sets of connected candidates are compared exactly, in
-   blocks of bounded size; clusters of any size are dealt out over block pairs.  A
-   block pair returns a spanning forest of its links, and link counts, not pairs.
+   blocks of bounded size; clusters of any size are dealt out over block pairs, those of
+   a large one by size, as only sets of a size class and the next one can be linked.  A
+   block pair returns a spanning forest of its links, and link counts, not pairs.  The block
+   pairs grow with the square of a cluster, so they are worked off in as many passes as
+   keep what is sent at a time in proportion to the sets.
 
 Defined results: null or empty texts have an empty set, no links and themselves
 as component; a null id has no component; an empty table gives an empty result;
@@ -29,7 +32,9 @@ identifies one text.  Texts are read whole.  Other input columns are not read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -113,10 +118,12 @@ def _sketch(spec: JoinSpec):
     return sketch
 
 
-def _sets(spec: JoinSpec):
-    """ids, texts -> id, whole set as packed longs."""
+def _sets(spec: JoinSpec, shared):
+    """ids, texts -> id, whole set as packed longs, of the ids that the bitmap holds."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
         for batch in slices(batches):
+            batch = batch.filter(pa.array(in_bitmap(bits, batch.column(0).to_numpy())))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([token_set(t.as_py(), spec.words).tobytes() for t in batch.column(1)],
                                            pa.binary())], ["id", "tokens"])
@@ -210,6 +217,8 @@ def _pairs(tokens: str) -> Column:
         F.slice(t, i + 2, F.size(t)), lambda q: F.struct(p.alias("p"), q.alias("q"))))))
 
 
+#: Times that the sets of all clusters are sent to block pairs in a pass, at most.
+SENT = 2
 #: Sets of a block pair up to which a token is counted pair by pair; beyond, by a matrix product.
 SPARSE = 48
 
@@ -281,6 +290,29 @@ def _verify(spec: JoinSpec):
     return verify
 
 
+def _dealt(members: DataFrame, spec: JoinSpec) -> tuple[DataFrame, int]:
+    """A row for each member (cluster, rep, copies, n) and size class that it is held against, its own (``own``) or one
+    beside it: the member's block, and the class's blocks from ``other`` on, ``others`` of them; and the passes.
+
+    A block is its size class (of a cluster of one block: 0) and the part of the class that a hash says."""
+    blocks = F.ceil(F.greatest(F.count("*") / spec.block, F.sum("n") / spec.tokens)).cast("int")
+    several = members.groupBy("cluster").agg(blocks.alias("blocks")).where("blocks > 1").select("cluster", F.lit(True).alias("several"))
+    members = members.join(several, "cluster", "left").withColumn(
+        "size", F.when(F.col("several"), _size_class(F.col("n"), spec.percent)).otherwise(0).cast("long"))
+    classes = materialize(members.groupBy("cluster", "size").agg(blocks.alias("others")), "sizes")
+    first = lambda size: F.shiftleft(size, 32)
+    parts = classes.select("cluster", "size", F.col("others").alias("parts"))
+    members = (members.join(parts, ["cluster", "size"])
+                      .withColumn("block", first(F.col("size")) + F.pmod(F.xxhash64("rep"), F.col("parts")))
+                      .withColumn("beside", F.explode(F.when(F.col("several"), F.array(*map(F.lit, (-1, 0, 1)))).otherwise(F.array(F.lit(0)))))
+                      .withColumn("size", F.col("size") + F.col("beside")))
+    dealt = materialize(members.join(classes, ["cluster", "size"]).select(
+        "cluster", "rep", "copies", "n", "block", first(F.col("size")).alias("other"), "others", (F.col("beside") == 0).alias("own")), "members")
+    discard(classes)
+    sent, sets = dealt.agg(F.sum(F.col("n") * F.col("others")), F.sum(F.when(F.col("own"), F.col("n")))).first()
+    return dealt, max(1, math.ceil((sent or 0) / (SENT * (sets or 1))))
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  spec: JoinSpec = JoinSpec()) -> DataFrame:
     """Per input row: id, n_shingles, component_id (least id reachable by links),
@@ -300,26 +332,29 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = materialize(prefixes.drop("prefix"), "classes")
     for table in scratch:
         discard(table)
-    # a cluster's sets are dealt to blocks by their hash
     members = cluster.select(F.col("node").alias("rep"), F.col("root").alias("cluster")).union(
         cluster.select(F.col("root").alias("rep"), F.col("root").alias("cluster"))).distinct()
     members = members.join(classes.select("rep", "copies", "n"), "rep")
-    blocks = F.greatest(F.count("*") / spec.block, F.sum("n") / spec.tokens)
-    sizes = members.groupBy("cluster").agg(F.ceil(blocks).cast("int").alias("blocks"))
-    members = materialize(
-        members.drop("n").join(sizes, "cluster")
-               .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "members")
-    # texts of members only: a filter of fixed size, then the exact join on small rows
-    some = (two.where("id is not null").withColumn("slot", slot(col("id")))
-               .join(slots_of(members, "rep"), "slot", "left_semi"))
-    sets = some.select("id", "text").mapInArrow(_sets(spec), "id long, tokens binary")
+    members, passes = _dealt(members, spec)
+    # texts of members only: a filter of bounded size, then the exact join on small rows
+    has = spark.sparkContext.broadcast(bitmap(members.where("own"), "rep"))
+    sets = two.where("id is not null").mapInArrow(_sets(spec, has), "id long, tokens binary")
+    if passes > 1:
+        sets = materialize(sets, "tokens", {"parquet.enable.dictionary": "false"})
     # both sides grow with the copies: by shuffle at every size
-    dealt = (members.join(sets.hint("merge"), members["rep"] == sets["id"])
-                    .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-                    .select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                            "rep", "block", "copies", "tokens"))
-    found = materialize(dealt.groupBy("cluster", "i", "j").applyInPandas(_verify(spec), "a long, b long, links long"),
-                        "found")
+    met = members.join(sets.hint("merge"), members["rep"] == sets["id"])
+    found = []
+    for k in range(passes):
+        pair = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda x: F.struct(
+            F.least("block", F.col("other") + x).alias("i"), F.greatest("block", F.col("other") + x).alias("j")))
+        now = F.filter(pair, lambda x: F.pmod(F.xxhash64("cluster", x["i"], x["j"]), F.lit(passes)) == k)
+        sent = met.select("cluster", F.explode(now).alias("x"), "rep", "block", "copies", "tokens").select("cluster", "x.*", "rep", "block", "copies", "tokens")
+        found.append(materialize(sent.groupBy("cluster", "i", "j").applyInPandas(_verify(spec), "a long, b long, links long"), "found"))
+    has.destroy()
+    if passes > 1:
+        discard(sets)
+    discard(members)
+    found = functools.reduce(DataFrame.union, found)
     root = components(found.select("a", "b"))
     links = found.groupBy(F.col("b").alias("rep")).agg(F.sum("links").alias("links"))
     known = (classes.select("digest", "rep", "copies").join(root, classes["rep"] == root["node"], "left")

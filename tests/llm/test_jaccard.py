@@ -129,3 +129,27 @@ def test_components(spark):
             root[a] = root[b] = m
     out = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert out == {n: r for n, r in root.items() if n != r}
+
+
+@pytest.mark.parametrize("sent", [0.2, 2])
+def test_large_clusters_in_passes(spark, monkeypatch, sent):
+    """One cluster of sets of many sizes: sizes that can't be linked don't meet, and the passes are one table."""
+    monkeypatch.setattr(J, "SENT", sent)
+    spec = J.JoinSpec(rare=2, frequent=3, block=7)
+    dealt = []
+    monkeypatch.setattr(J, "_dealt", lambda *a, f=J._dealt: dealt.append(f(*a)) or dealt[-1])
+    made = []
+    monkeypatch.setattr(J, "materialize", lambda df, name="stage", *a, f=J.materialize: made.append(name) or f(df, name, *a))
+    docs = near_copies(random.Random(7), n_groups=4)
+    monkeypatch.setattr(J, "discard", lambda df: None)  # to look at the members afterwards
+    assert got(J.jaccard_join(spark.createDataFrame(docs, "doc_id long, text string"), spec=spec)) == plain_join(docs)
+    (members, passes), = dealt
+    assert made.count("found") == passes and (passes > 1) == (sent < 1)
+    rows = members.collect()
+    own = {r.rep: r for r in rows if r.own}
+    assert max(r.others for r in rows) > 1 and len({r.block >> 32 for r in rows}) > 2
+    # every set meets its own class and those beside it
+    assert all(abs((r.other >> 32) - (own[r.rep].block >> 32)) <= 1 for r in rows)
+    # what a pass sends, on average
+    n = sum(r.n for r in own.values())
+    assert sum(r.n * r.others for r in rows) <= passes * sent * n + n
